@@ -87,11 +87,9 @@ SENS_SQL = (
 
 def dense_sens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SENS on every slot between the first and the last event; slot counted from the first."""
-    from sensorweave.operators.segments import grid_segments
+    from sensorweave.operators.segments import resample
 
-    wide = wide_events(spark, sf_dir)
-    out = grid_segments(wide, SENS, STEP, 366 * 86_400, {s: F.avg(s) for s in SENSORS})
-    return out.drop("segment_id")
+    return resample(wide_events(spark, sf_dir), SENS, STEP, {s: F.avg(s) for s in SENSORS})
 
 
 DENSE_SQL = SENS_SQL + (

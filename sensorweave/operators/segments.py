@@ -15,7 +15,7 @@ from sensorweave.spec import MICROS, SeriesSpec, from_micros, micros
 SEGMENT = "segment_id"
 
 
-def _cells(df: DataFrame, spec: SeriesSpec, max_gap_s: float) -> DataFrame:
+def _cells(df: DataFrame, spec: SeriesSpec, max_gap_s: float | None) -> DataFrame:
     """One row per (series, time cell): first and last instant, segment number, cell before it.
 
     A cell is no wider than the allowed gap, so no break can fall inside one; only the cells, which
@@ -23,10 +23,11 @@ def _cells(df: DataFrame, spec: SeriesSpec, max_gap_s: float) -> DataFrame:
     """
     keys = list(spec.keys)
     ordered = Window.partitionBy(*keys).orderBy("_cell")
-    limit = int(round(max_gap_s * MICROS))
     cells = df.groupBy(*keys, "_cell").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
     cells = cells.withColumn("_before", F.lag("_last").over(ordered))
-    opens = F.col("_before").isNull() | (F.col("_first") - F.col("_before") > limit)
+    opens = F.col("_before").isNull()
+    if max_gap_s is not None:
+        opens = opens | (F.col("_first") - F.col("_before") > int(round(max_gap_s * MICROS)))
     return cells.withColumns({
         SEGMENT: F.sum(opens.cast("long")).over(ordered) - 1,
         "_start": F.last(F.when(opens, F.col("_first")), True).over(ordered),
@@ -59,22 +60,23 @@ def segments(df: DataFrame, spec: SeriesSpec, max_gap_s: float) -> DataFrame:
     )
 
 
-def grid_segments(df: DataFrame, spec: SeriesSpec, step_s: int, max_gap_s: float,
+def grid_segments(df: DataFrame, spec: SeriesSpec, step_s: int, max_gap_s: float | None,
                   values: Mapping[str, Column]) -> DataFrame:
     """Gap segmentation and a dense regular grid inside each segment.
 
     ``values`` maps output names to aggregates, e.g. ``{"t_in": F.avg("t_in")}``. Grid points are
     aligned to multiples of ``step_s``; points without rows are kept with null values. Adds
     ``segment_id``, ``slot`` (0 at the segment's first grid point) and the grid time under ``spec.ts``.
+    Without ``max_gap_s`` each series is one segment.
 
     The rows are aggregated once by grid point (with map-side partial sums); the empty points come
     from the much smaller cell table, so no row of a segment has to meet the others in one task.
     """
-    if max_gap_s < step_s:
+    if max_gap_s is not None and max_gap_s < step_s:
         raise ValueError("max_gap_s must be at least step_s")
     keys = list(spec.keys)
     step = int(step_s * MICROS)
-    bins_per_cell = int(max_gap_s // step_s)
+    bins_per_cell = CHUNK_ROWS if max_gap_s is None else int(max_gap_s // step_s)
     timed = df.withColumn("_t", micros(spec.ts)).withColumn("_bin", F.floor(F.col("_t") / step))
     grid = timed.groupBy(*keys, "_bin").agg(*[v.alias(n) for n, v in values.items()])
 
@@ -84,19 +86,27 @@ def grid_segments(df: DataFrame, spec: SeriesSpec, step_s: int, max_gap_s: float
     def bin_of(name: str) -> Column:
         return F.floor(F.col(name) / step)
 
-    first = F.coalesce(bin_of("_before") + 1, bin_of("_first"))
-    last = bin_of("_last")
-    dense = (
-        cells.select(*keys, SEGMENT, bin_of("_start").alias("_origin"),
-                F.explode(F.sequence(first, last)).alias("_bin"))
-        .withColumn(spec.slot, F.col("_bin") - F.col("_origin"))
-    )
+    cells = cells.select(
+        *keys, SEGMENT, bin_of("_start").alias("_origin"),
+        F.coalesce(bin_of("_before") + 1, bin_of("_first")).alias("_lo"), bin_of("_last").alias("_hi"))
+    # Two steps, so that a long empty stretch never becomes one huge array.
+    first, last = F.floor(F.col("_lo") / CHUNK_ROWS), F.floor(F.col("_hi") / CHUNK_ROWS)
+    pieces = cells.withColumn("_piece", F.explode(F.sequence(first, last)))
+    dense = pieces.select(*keys, SEGMENT, "_origin", F.explode(F.sequence(
+        F.greatest(F.col("_lo"), F.col("_piece") * CHUNK_ROWS),
+        F.least(F.col("_hi"), F.col("_piece") * CHUNK_ROWS + (CHUNK_ROWS - 1)))).alias("_bin"))
+    dense = dense.withColumn(spec.slot, F.col("_bin") - F.col("_origin"))
     return (
         dense.join(grid, [*keys, "_bin"], "left")
         .select(*keys, SEGMENT, spec.slot, from_micros(F.col("_bin") * step).alias(spec.ts), *values)
     )
 
 
+def resample(df: DataFrame, spec: SeriesSpec, step_s: int, values: Mapping[str, Column]) -> DataFrame:
+    """Dense bins of ``step_s`` seconds between the first and the last row of each series (A4)."""
+    return grid_segments(df, spec, step_s, None, values).drop(SEGMENT)
+
+
 def align_rate(df: DataFrame, spec: SeriesSpec, every: int, cols: Sequence[str],
                best: DataFrame | None = None) -> DataFrame:
     """Keep every ``every``-th slot, from the phase with the fewest null cells.
