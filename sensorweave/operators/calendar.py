@@ -139,7 +139,7 @@ def resample_days(df: DataFrame, spec: SeriesSpec, days: int, aggs: Mapping[str,
     # The origin differs per series, so bins come from a join on (series, day).
     days_of = df.select(*keys, "_d").distinct()
     days_of = join_keys(days_of, first, keys).select(
-        *keys, "_d", F.expr(f"date_add(_from, (datediff(_d, _from) div {int(days)}) * {int(days)})").alias("bin"))
+        *keys, "_d", F.expr(f"date_add(_from, cast((datediff(_d, _from) div {int(days)}) * {int(days)} as int))").alias("bin"))
     sums = df.join(days_of, [*keys, "_d"]).groupBy(*keys, "bin").agg(*[a.alias(n) for n, a in aggs.items()])
     grid = first.select(*keys, F.explode(F.sequence("_from", "_to", F.expr(f"interval {int(days)} days"))).alias("bin"))
     return grid.join(sums, [*keys, "bin"], "left")
