@@ -168,8 +168,8 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EMB_SQL = "emb AS (SELECT vec_id, embedding::DOUBLE[] AS features, label FROM embeddings)"
 CB_SQL = EMB_SQL + (
-    ", cb AS (SELECT vec_id::INTEGER AS bmu, (vec_id // 5)::INTEGER AS r, (vec_id % 5)::INTEGER AS c, "
-    "features AS w FROM emb WHERE vec_id < 25)"
+    ", cells AS (SELECT (vec_id % 25)::INTEGER AS bmu, i, avg(features[i]) AS v FROM emb, range(1, 65) t(i) GROUP BY ALL)"
+    ", cb AS (SELECT bmu, (bmu // 5)::INTEGER AS r, (bmu % 5)::INTEGER AS c, list(v ORDER BY i) AS w FROM cells GROUP BY bmu)"
 )
 NEAR_SQL = CB_SQL + (
     ", pairs AS (SELECT vec_id, features, label, bmu, list_distance(features, w) AS d FROM emb, cb)"
@@ -179,8 +179,10 @@ NEAR_SQL = CB_SQL + (
 
 
 def code25(spark: SparkSession, sf_dir: str):
-    """The first 25 embeddings as a fixed 5 x 5 codebook."""
+    """A fixed 5 x 5 codebook that SQL can build too: the mean vectors of 25 groups of embeddings."""
     from sensorweave.operators.codebook import Codebook
 
-    rows = emb(spark, sf_dir).where("vec_id < 25").orderBy("vec_id").select("features").collect()
-    return Codebook.from_rows([r.features for r in rows], 5, 5)
+    means = F.array(*[F.avg(F.col("features")[i]) for i in range(64)])
+    rows = (emb(spark, sf_dir).groupBy((F.col("vec_id") % 25).alias("bmu")).agg(means.alias("w"))
+            .orderBy("bmu").collect())
+    return Codebook.from_rows([r.w for r in rows], 5, 5)

@@ -99,9 +99,9 @@ def _(spark, d):
 
 
 @query("f13_positional_split", f"WITH {_EMBED_SQL} SELECT slot, {R('lag_0', 2)} AS lag_0, slot - 118 < 500 AS is_train "
-       "FROM emb4 WHERE slot >= 118 AND slot < 1118")
+       "FROM emb4 WHERE slot >= 118")
 def _(spark, d):
-    out = lag_embed(daily(spark, d), DAILY, "total", 4, 6, 118, 1118)
+    out = lag_embed(daily(spark, d), DAILY, "total", 4, 6, 118)
     return out.select("slot", rnd("lag_0", 2).alias("lag_0"), (F.col("slot") - 118 < 500).alias("is_train"))
 
 

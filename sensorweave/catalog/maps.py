@@ -75,7 +75,7 @@ def _(spark, d):
 
 @query("j8_n27_distance_table", f"WITH {NEAR_SQL} SELECT vec_id, bmu, {R('d')} AS dist FROM pairs")
 def _(spark, d):
-    out = A.distance_table(emb(spark, d), code25(spark, d).table(spark))
+    out = A.distance_table(emb(spark, d), code25(spark, d))
     return out.select("vec_id", "bmu", rnd("dist").alias("dist"))
 
 
@@ -95,8 +95,8 @@ def _(spark, d):
 
 for _metric, _expr in {
     "cosine": "1 - list_dot_product(features, w) / (sqrt(list_dot_product(features, features)) * sqrt(list_dot_product(w, w)) + 1e-8)",
-    "manhattan": "list_sum(list_transform(list_zip(features, w), p -> abs(p[1] - p[2])))",
-    "chebyshev": "list_max(list_transform(list_zip(features, w), p -> abs(p[1] - p[2])))",
+    "manhattan": "list_sum(list_transform(list_zip(features, w), lambda p: abs(p[1] - p[2])))",
+    "chebyshev": "list_max(list_transform(list_zip(features, w), lambda p: abs(p[1] - p[2])))",
 }.items():
     @query(f"n26_{_metric}_distance", f"""WITH {CB_SQL}, pairs AS (SELECT vec_id, bmu, {_expr} AS d FROM emb, cb),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, bmu) AS k FROM pairs)
@@ -215,23 +215,28 @@ def _kernel_sql(kind: str) -> str:
 
 
 for _kind, _sigma in [("ceil", 0.4), ("half", 1.0), ("exp", 0.8), ("mult", 0.8)]:
-    @query(f"n10_kernel_{_kind}", f"""WITH {CB_SQL} SELECT a.bmu AS hit, b.bmu AS bmu, {R(_kernel_sql(_kind), 6)} AS h FROM cb a, cb b""")
+    @query(f"n10_kernel_{_kind}", f"""WITH {NEAR_SQL}, hits AS (SELECT bmu, count(*) AS n FROM near GROUP BY 1)
+SELECT b.bmu, {R(f'sum(n * ({_kernel_sql(_kind)}))')} AS pull FROM hits JOIN cb a USING (bmu), cb b GROUP BY b.bmu""")
     def _(spark, d, kind=_kind, sigma=_sigma):
+        # How strongly all rows together pull each neuron under this kernel.
         book = code25(spark, d)
+        hits = A.hit_map(A.assign(emb(spark, d), book), book.table(spark))
         h = C.neighbourhood(book, kind, sigma)
-        rows = [(i, j, float(h[i, j])) for i in range(book.size) for j in range(book.size)]
-        table_h = spark.createDataFrame(rows, "hit int, bmu int, h double")
-        # Joined with the map read from the data, so the kernel covers the neurons that are there.
-        return table_h.join(F.broadcast(book.table(spark).select("bmu")), "bmu").select("hit", "bmu", rnd("h", 6).alias("h"))
+        pairs = [(i, j, float(h[i, j])) for i in range(book.size) for j in range(book.size)]
+        kernel = spark.createDataFrame(pairs, "hit int, bmu int, h double")
+        pull = hits.select(F.col("bmu").alias("hit"), "hits").join(F.broadcast(kernel), "hit")
+        return pull.groupBy("bmu").agg(rnd(F.sum(F.col("hits") * F.col("h"))).alias("pull"))
 
 
-@query("n13_single_row_update", f"""WITH {NEAR_SQL}, x AS (SELECT features, bmu AS hit FROM emb JOIN near USING (vec_id) WHERE emb.vec_id = 123),
+@query("n13_single_row_update", f"""WITH {NEAR_SQL}, x AS (SELECT features, near.bmu AS hit FROM emb JOIN near USING (vec_id) ORDER BY round(d, 9) DESC, vec_id LIMIT 1),
 hit AS (SELECT x.features AS x, cb.r, cb.c FROM x JOIN cb ON cb.bmu = x.hit),
-upd AS (SELECT b.bmu, list_transform(list_zip(b.w, a.x), p -> p[1] + 0.5 * exp(-pow(abs(a.r - b.r) + abs(a.c - b.c), 2) / (2 * 0.8 * 0.8)) * (p[2] - p[1])) AS w
+upd AS (SELECT b.bmu, list_transform(list_zip(b.w, a.x), lambda p: p[1] + 0.5 * exp(-pow(abs(a.r - b.r) + abs(a.c - b.c), 2) / (2 * 0.8 * 0.8)) * (p[2] - p[1])) AS w
   FROM cb b, hit a)
 SELECT bmu, {R('w[1]', 6)} AS w1, {R('w[32]', 6)} AS w32, {R('list_sum(w)')} AS total FROM upd""")
 def _(spark, d):
-    x = emb(spark, d).where("vec_id = 123").first().features
+    # The row farthest from the map moves it.
+    far = F.max(F.struct(F.round("dmin", 9), -F.col("vec_id"), F.col("features").alias("x")))
+    x = hits25(spark, d).agg(far.alias("f")).select("f.x").first().x
     out = update_one(code25(spark, d), x, TrainingParams(kernel="exp"), 0.8, 0.5).table(spark)
     return _book_view(out)
 
@@ -448,12 +453,12 @@ def _(spark, d):
     return out.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
 
 
-@query("j6_rows_not_shared", "SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE (l_quantity, l_discount) NOT IN (SELECT (l_quantity, l_discount) FROM lineitem WHERE l_tax > 0.02)")
+@query("j6_rows_not_shared", "SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE (l_quantity, l_discount, l_tax) NOT IN (SELECT (l_quantity, l_discount, l_tax) FROM lineitem WHERE l_extendedprice < 20000)")
 def _(spark, d):
     from sensorweave.catalog.base import lineitem
 
     df = lineitem(spark, d)
-    out = V.shared_rows(df, df.where("l_tax > 0.02"), ["l_quantity", "l_discount"], keep=False)
+    out = V.shared_rows(df, df.where("l_extendedprice < 20000"), ["l_quantity", "l_discount", "l_tax"], keep=False)
     return out.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
 
 

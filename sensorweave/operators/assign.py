@@ -118,11 +118,21 @@ def assign_columns(df: DataFrame, codebook: Codebook, cols: Sequence[str]) -> Da
     return df.withColumns({"row": F.expr(f"cast(bmu div {grid_cols} as int)"), "col": F.col("bmu") % grid_cols}).drop("_d", "_min")
 
 
-def distance_table(df: DataFrame, codebook_table: DataFrame, features: str = "features") -> DataFrame:
-    """Every row against every neuron (J8, N27): output is map size times the input, for inspection."""
-    sq = F.zip_with(features, "w", lambda a, b: (a - b) * (a - b))
-    dist = F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, v: s + v))
-    return df.crossJoin(F.broadcast(codebook_table)).withColumn("dist", dist).drop("w")
+def distance_table(df: DataFrame, codebook: Codebook, features: str = "features", metric: str = "euclidean") -> DataFrame:
+    """Every row against every neuron (J8, N27): ``bmu``, ``dist``; map size times the input, for inspection."""
+    w, dim = codebook.weights, codebook.dim
+
+    def measure(column):
+        known = np.asarray(column.is_valid())
+        dist = np.zeros((len(column), len(w)))
+        if known.any():
+            dist[known] = np.concatenate([distances(part, w, metric) for part in blocks(array_matrix(column, dim), w)])
+        ends = pa.array(np.arange(len(column) + 1) * len(w), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(dist.ravel()), mask=pa.array(~known))
+
+    measure = F.arrow_udf(measure, "array<double>", F.ArrowUDFType.SCALAR)
+    # Materialised before the explode so the distances of a row are computed once.
+    return df.withColumn("_all", measure(F.col(features))).select(*df.columns, F.posexplode("_all").alias("bmu", "dist"))
 
 
 def quantize(df: DataFrame, codebook: Codebook, codebook_table: DataFrame, features: str = "features") -> DataFrame:

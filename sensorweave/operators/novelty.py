@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sensorweave.operators.assign import assign, distance_maps, hit_map
+from sensorweave.operators.assign import assign, distance_maps, distances, hit_map
 from sensorweave.operators.codebook import Codebook
+from sensorweave.spec import from_micros
 
 
 def allowed_nodes(codebook: Codebook, counted: DataFrame, min_hits: int) -> Codebook:
@@ -85,30 +89,53 @@ def compare_scores(a: DataFrame, b: DataFrame, row_key: str, x: str, y: str, x_c
 
 
 def nearest_record(history: DataFrame, queries: DataFrame, cols: Sequence[str], ts: str, query_key: str,
-                   max_queries: int = 10_000) -> DataFrame:
+                   batch: int = 4096) -> DataFrame:
     """The closest historical row to each query row (J4, T2), ties to the earliest time.
 
-    ``queries`` are the few novel rows under study: they are counted (one job), broadcast in slices of
-    about ``max_queries``, and each task keeps one best row per query before anything is shuffled.
+    ``queries`` are the few novel rows under study. They are taken ``batch`` at a time and shipped to
+    the history's tasks; a task keeps one best row per query, so the shuffle carries at most one row
+    per query and task. One job per batch when the result is used, whatever the history's size.
     """
     cols = list(cols)
-    wanted = queries.select(query_key, *[F.col(c).alias(f"_q_{c}") for c in cols])
-    slices = max(1, -(-wanted.count() // max_queries))
-    gap = [(F.col(c) - F.col(f"_q_{c}")) for c in cols]
-    dist = F.sqrt(sum((g * g for g in gap), F.lit(0.0)))
-
-    def best_of(part: DataFrame) -> DataFrame:
-        pairs = history.select(ts, *cols).crossJoin(F.broadcast(part)).withColumn("dist", dist)
-        return pairs.where("dist IS NOT NULL").groupBy(query_key).agg(F.min(F.struct("dist", ts)).alias("_m"))
-
-    found = best_of(wanted.where(_slice(query_key, slices, 0)))
-    for i in range(1, slices):
-        found = found.unionByName(best_of(wanted.where(_slice(query_key, slices, i))))
-    return found.select(query_key, F.col(f"_m.{ts}").alias("match_ts"), F.col("_m.dist").alias("dist"))
-
-
-def _slice(key: str, slices: int, i: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slices)) == i
+    spark = history.sparkSession
+    wanted = queries.select(query_key, *cols)
+    slices = max(1, -(-wanted.count() // batch))
+    key_type = wanted.schema[query_key].dataType
+    found = None
+    for i in range(slices):
+        mine = wanted.where(F.pmod(F.xxhash64(query_key), F.lit(slices)) == i).collect()  # about `batch` rows
+        points = np.array([r[1:] for r in mine], dtype=float).reshape(len(mine), len(cols))
+        ids = spark.createDataFrame([(j, r[0]) for j, r in enumerate(mine)],
+                                    T.StructType([T.StructField("_q", T.IntegerType()), T.StructField(query_key, key_type)]))
+        best = _best_per_query(history.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), *cols), cols, points)
+        part = best.join(F.broadcast(ids), "_q").select(query_key, from_micros(F.col("_t")).alias("match_ts"), "dist")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _best_per_query(rows: DataFrame, cols: Sequence[str], points: np.ndarray) -> DataFrame:
+    def run(batches):
+        n = len(points)
+        best_d, best_t = np.full(n, np.inf), np.zeros(n, dtype=np.int64)
+        for batch in batches:
+            t = np.asarray(batch.column(0))
+            x = np.column_stack([np.asarray(batch.column(i + 1).cast(pa.float64()).fill_null(np.nan)) for i in range(len(cols))])
+            keep = ~np.isnan(x).any(axis=1)
+            t, x = t[keep], x[keep]
+            for start in range(0, len(x), 512):
+                d = distances(points, x[start:start + 512])
+                part = t[start:start + 512]
+                low = d.min(axis=1)
+                when = np.where(d == low[:, None], part[None, :], np.iinfo(np.int64).max).min(axis=1)
+                better = (low < best_d) | ((low == best_d) & (when < best_t))
+                best_d, best_t = np.where(better, low, best_d), np.where(better, when, best_t)
+        hit = np.flatnonzero(np.isfinite(best_d))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(hit, pa.int32()), pa.array(best_t[hit]), pa.array(best_d[hit])], names=["_q", "_t", "dist"])
+
+    local = rows.mapInArrow(run, "_q int, _t bigint, dist double")
+    best = local.groupBy("_q").agg(F.min(F.struct("dist", "_t")).alias("_m"))
+    return best.select("_q", F.col("_m._t").alias("_t"), F.col("_m.dist").alias("dist"))
 
 
 def matched_days(history: DataFrame, ts: str, matches: DataFrame) -> DataFrame:

@@ -63,8 +63,14 @@ def _partial_sums(df: DataFrame, features: str, books: Mapping[int, Codebook]) -
 
     rows = df.select(features).where(F.col(features).isNotNull())
     part = rows.mapInArrow(run, "config int, bmu int, n double, s array<double>")
-    return part.groupBy("config", "bmu").agg(F.sum("n").alias("n"), *[
-        F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(dim + 1)])
+    if dim < 128:
+        sums = F.array(*[F.sum(F.col("s")[j]) for j in range(dim + 1)])
+        return part.groupBy("config", "bmu").agg(F.sum("n").alias("n"), sums.alias("s"))
+    # Too many sums for one generated aggregate: add up by coordinate instead.
+    long = part.select("config", "bmu", "n", F.posexplode("s").alias("i", "v"))
+    cells = long.groupBy("config", "bmu", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    return cells.groupBy("config", "bmu").agg(F.max("n").alias("n"), F.sort_array(
+        F.collect_list(F.struct("i", "v"))).alias("s")).withColumn("s", F.col("s.v"))
 
 
 def _moved(book: Codebook, n: np.ndarray, sums: np.ndarray, h: np.ndarray, lr: float) -> Codebook:
@@ -98,8 +104,8 @@ def fit_many(df: DataFrame, starts: Mapping[int, Codebook], params: Mapping[int,
             for r in rows:
                 if r["config"] == c:
                     n[r["bmu"]] = r["n"]
-                    sums[r["bmu"]] = [r[f"s{j}"] for j in range(dim)]
-                    sq += r[f"s{dim}"]
+                    sums[r["bmu"]] = r["s"][:dim]
+                    sq += r["s"][dim]
             if n.sum() == 0:
                 raise ValueError("no rows to train on")
             errors[c] = sq / n.sum()
