@@ -80,10 +80,10 @@ def fold_stats(df: DataFrame, fold: str, cols: Sequence[str], ddof: int = 1) ->
         F.struct(F.lit(c).alias("column"), F.col(f"{c}.m").alias("m"), F.col(f"{c}.x").alias("x")) for c in cols])))
     sums = long.groupBy(fold, "column").agg(
         F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.max("m").alias("m"))
-    total = sums.groupBy("column").agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"))
+    total = sums.groupBy("column").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("q").alias("all_q"))
     rest = sums.join(total, "column").select(
-        fold, "column", "m", (F.col("N") - F.col("n")).alias("n"), (F.col("S") - F.col("s")).alias("s"),
-        (F.col("Q") - F.col("q")).alias("q"))
+        fold, "column", "m", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_s") - F.col("s")).alias("s"),
+        (F.col("all_q") - F.col("q")).alias("q"))
     var = F.try_divide(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - ddof)
     return rest.select(fold, "column", (F.col("m") + F.try_divide("s", "n")).alias("mean"),
                        F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
