@@ -12,6 +12,7 @@ from sensorweave.operators.fuzzy import (
     FuzzyModel, grid_rules, init_from_data, mean_activation, membership_curves, normalised, paired_rules, predict,
     predict_many, spaced_model, strengths,
 )
+from sensorweave.sources.stage import stage
 from sensorweave.plans.fuzzy_training import (
     Adam, Momentum, evaluate_folds, fit_consequents, fit_gradient, fit_hybrid, score_candidates,
 )
@@ -213,7 +214,7 @@ def _fit_view(spark, d, fitted, df=None, target="y"):
 
 @query("g12_adam_training")
 def _(spark, d):
-    df = points(spark, d).select("x1", "x2", "y").persist()
+    df = stage(points(spark, d).select("x1", "x2", "y"))
     start = spaced_model({"x1": (-1.5, 1.5), "x2": (-1.5, 1.5)}, 3, "bell", "paired", "linear")
     fitted, history = fit_gradient(df, start, "y", "huber", Adam(0.05), steps=10)
     return _steps(spark, history)
@@ -221,7 +222,7 @@ def _(spark, d):
 
 @query("g12_momentum_training")
 def _(spark, d):
-    df = points(spark, d).select("x1", "x2", "y").persist()
+    df = stage(points(spark, d).select("x1", "x2", "y"))
     start = spaced_model({"x1": (-1.5, 1.5), "x2": (-1.5, 1.5)}, 2, "gauss", "grid", "sugeno")
     fitted, _history = fit_gradient(df, start, "y", "mse", Momentum(0.05, 0.5), steps=8)
     return _fit_view(spark, d, fitted, df)
@@ -249,7 +250,7 @@ def _(spark, d):
 
 @query("g14_hybrid_training")
 def _(spark, d):
-    df = points(spark, d).select("x1", "x2", "y").persist()
+    df = stage(points(spark, d).select("x1", "x2", "y"))
     start = spaced_model({"x1": (-1.7, 1.7), "x2": (-1.7, 1.7)}, 2)
     _fitted, errors = fit_hybrid(df, start, "y", epochs=3)
     return _steps(spark, errors)
@@ -286,6 +287,6 @@ def _(spark, d):
 def _(spark, d):
     df = lag_embed(daily(spark, d), DAILY, "total", 4, 6)
     cols = ["lag_18", "lag_12", "lag_6", "lag_0"]
-    df = df.where("target IS NOT NULL").select("slot", *cols, "target").persist()
-    fitted, _sse = fit_consequents(df.where("slot % 2 = 0"), init_from_data(df, cols, 2), "target")
+    df = stage(df.where("target IS NOT NULL").select("slot", *cols, "target"))
+    fitted, _sse = fit_consequents(df.where("slot < 500"), init_from_data(df, cols, 2), "target")
     return predict(df, fitted).select("slot", "target", "prediction")

@@ -9,6 +9,7 @@ from sensorweave.operators import assign as A
 from sensorweave.operators import codebook as C
 from sensorweave.operators import novelty as V
 from sensorweave.operators.diagnostics import centroid, centroid_spread, dispersion
+from sensorweave.sources.stage import stage
 from sensorweave.plans.som_training import TrainingParams, fit, sweep, update_one
 
 NEAR2_SQL = NEAR_SQL + """, near2 AS (SELECT vec_id, max(bmu) FILTER (k = 1) AS b1, max(bmu) FILTER (k = 2) AS b2,
@@ -306,7 +307,7 @@ def _(spark, d):
 
 @query("n29_grid_size_sweep")
 def _(spark, d):
-    rows = emb(spark, d).select("features").persist()
+    rows = stage(emb(spark, d).select("features"))
     starts = {g: C.random_codebook(g, g, 64, "unit", seed=g) for g in (3, 5, 8, 12)}
     return sweep(rows, starts, TrainingParams(epochs=3, kernel="exp", sigma=1.0, lr=0.5))
 

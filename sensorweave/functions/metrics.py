@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorweave.operators.quantiles import range_buckets
+
 
 def huber_loss(error: Column, delta: float = 1.0) -> Column:
     """Quadratic up to ``delta``, linear beyond."""
@@ -53,7 +55,7 @@ def binary_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
         "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
-def average_precision(df: DataFrame, actual: str, score: str, buckets: int = 256) -> DataFrame:
+def average_precision(df: DataFrame, actual: str, score: str) -> DataFrame:
     """Sum over score thresholds of (recall step) x precision.
 
     Positives and negatives are counted per distinct score, then per score range; running totals
@@ -62,15 +64,13 @@ def average_precision(df: DataFrame, actual: str, score: str, buckets: int = 256
     y = F.col(actual)
     per_score = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("_s")).agg(
         F.sum((y == 1).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    edges = per_score.agg(F.percentile_approx("_s", [i / buckets for i in range(1, buckets)], 1000).alias("_edges"))
-    ranged = per_score.crossJoin(F.broadcast(edges)).withColumn(
-        "_b", F.size(F.filter("_edges", lambda e: e < F.col("_s")))).drop("_edges")
-    higher = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
+    ranged = range_buckets(per_score, "_s")
+    higher = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)  # at most 1024 rows
     whole = Window.partitionBy()
-    totals = ranged.groupBy("_b").agg(F.sum("_p").alias("_bp"), F.sum("_n").alias("_bn")).select(
-        "_b", F.coalesce(F.sum("_bp").over(higher), F.lit(0)).alias("_p0"),
+    totals = ranged.groupBy("_bucket").agg(F.sum("_p").alias("_bp"), F.sum("_n").alias("_bn")).select(
+        "_bucket", F.coalesce(F.sum("_bp").over(higher), F.lit(0)).alias("_p0"),
         F.coalesce(F.sum("_bn").over(higher), F.lit(0)).alias("_n0"), F.sum("_bp").over(whole).alias("_all"))
-    inside = Window.partitionBy("_b").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = ranged.join(F.broadcast(totals), "_b").select(
+    inside = Window.partitionBy("_bucket").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = ranged.join(F.broadcast(totals), "_bucket").select(
         "_p", "_all", ((F.sum("_p").over(inside) + F.col("_p0")) / (F.sum("_n").over(inside) + F.col("_n0"))).alias("_prec"))
     return steps.agg(F.sum(F.try_divide(F.col("_p"), F.col("_all")) * F.col("_prec")).alias("average_precision"))

@@ -152,6 +152,6 @@ def resample_months(df: DataFrame, spec: SeriesSpec, aggs: Mapping[str, Column])
     sums = df.groupBy(*keys, month).agg(*[a.alias(n) for n, a in aggs.items()])
     span = sums.groupBy(*keys).agg(F.min("month_end").alias("_a"), F.max("month_end").alias("_b"))
     first = F.trunc("_a", "month")
-    grid = span.select(*keys, F.last_day(F.explode(F.sequence(first, F.col("_b"), F.expr("interval 1 month"))))
-                       .alias("month_end"))
+    months = span.select(*keys, F.explode(F.sequence(first, F.col("_b"), F.expr("interval 1 month"))).alias("_m"))
+    grid = months.select(*keys, F.last_day("_m").alias("month_end"))
     return grid.join(sums, [*keys, "month_end"], "left")

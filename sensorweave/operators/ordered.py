@@ -58,10 +58,12 @@ def _time_bucket(spec: SeriesSpec, seconds: int) -> Column:
     return F.floor(micros(spec.ts) / (seconds * MICROS))
 
 
-def add_slot(df: DataFrame, spec: SeriesSpec, bucket_seconds: int = 86_400) -> DataFrame:
+def add_slot(df: DataFrame, spec: SeriesSpec, bucket_seconds: int = 3600) -> DataFrame:
     """0-based row position inside each series, for rows that sit on no grid.
 
-    Rows are numbered inside time buckets; the bucket counts, summed per series, give the offset.
+    Rows are numbered inside time buckets; the bucket counts, summed per series, give the offset. One
+    task sorts one bucket of one series, so choose narrower buckets for denser data; the summary
+    has one row per non-empty bucket.
     """
     df = df.withColumn("_bucket", _time_bucket(spec, bucket_seconds))
     keys = list(spec.keys)
@@ -78,7 +80,7 @@ def add_slot(df: DataFrame, spec: SeriesSpec, bucket_seconds: int = 86_400) -> D
     )
 
 
-def previous_time(df: DataFrame, spec: SeriesSpec, out: str, bucket_seconds: int = 86_400) -> DataFrame:
+def previous_time(df: DataFrame, spec: SeriesSpec, out: str, bucket_seconds: int = 3600) -> DataFrame:
     """Timestamp of the row before, null on the first row of a series."""
     df = df.withColumn("_bucket", _time_bucket(spec, bucket_seconds))
     keys = list(spec.keys)

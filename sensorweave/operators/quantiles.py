@@ -7,27 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EDGES = 64
+_STEP = 32
+BUCKETS = _STEP * _STEP
+
+
+def range_buckets(values: DataFrame, col: str, by: Sequence[str] = (), salts: int = 16) -> DataFrame:
+    """Add ``_bucket``: which of 1024 roughly equal ranges of ``col`` (per group) the value lies in.
+
+    The range edges come from a mergeable sketch of bounded size; groups are salted, so a group that
+    holds most values is still spread over many tasks. Equal values share a bucket.
+    """
+    by = list(by)
+    marks = [i / BUCKETS for i in range(1, BUCKETS)]
+    edges = values.groupBy(*by).agg(F.percentile_approx(col, marks, 10_000).alias("_edges"))
+    edges = edges.withColumn("_coarse", F.filter("_edges", lambda e, i: (i + 1) % _STEP == 0))
+    edges = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = values.withColumn("_salt", F.pmod(F.xxhash64(col), F.lit(salts)).cast("int"))
+    out = salted.join(edges, [*by, "_salt"])
+    below = F.size(F.filter("_coarse", lambda e: e < F.col(col)))
+    out = out.withColumn("_part", below)
+    fine = F.slice("_edges", F.col("_part") * _STEP + 1, F.lit(_STEP - 1))
+    out = out.withColumn("_bucket", F.col("_part") * _STEP + F.size(F.filter(fine, lambda e: e < F.col(col))))
+    return out.select(*values.columns, "_bucket")
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles of ``col`` per group: ``by, p, q``.
 
-    Values are counted (a map-side combine, so ties cost one row), cut into buckets at approximate
-    quantiles, and ranked inside the buckets with the bucket totals as offsets. Neither a group nor
-    its distinct values ever meet in one task.
+    Values are counted (a map-side combine, so ties cost one row), cut into ranges, and ranked inside
+    the ranges with the range totals as offsets. Neither a group nor its distinct values ever meet in
+    one task.
     """
     by = list(by)
     df = df.select(*by, F.col(col).cast("double").alias("_x")).where("_x IS NOT NULL")
-    counts = df.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n"))
-    marks = [i / EDGES for i in range(1, EDGES)]
-    edges = counts.groupBy(*by).agg(F.percentile_approx("_x", marks, 1000).alias("_edges"))
-    salted = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    counts = counts.withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(16)).cast("int"))
-    counts = counts.join(salted, [*by, "_salt"]).withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col("_x"))))
-    counts = counts.select(*by, "_x", "_n", "_bucket")
-    ordered = Window.partitionBy(*by).orderBy("_bucket")
+    counts = range_buckets(df.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n")), "_x", by)
+    ordered = Window.partitionBy(*by).orderBy("_bucket")  # at most 1024 rows per group
     totals = (
         counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_t"), F.min("_x").alias("_min"))
         .select(*by, "_bucket", F.sum("_t").over(Window.partitionBy(*by)).alias("_all"),

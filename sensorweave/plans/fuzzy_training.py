@@ -6,7 +6,7 @@ model alone.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sensorweave.functions.membership import evaluate, partials
 from sensorweave.functions.scaling import fold_stats
+from sensorweave.sources.stage import stage as stage_table
 from sensorweave.operators.fuzzy import HIGH, LOW, FuzzyModel, start_coef
 
 
@@ -292,14 +293,16 @@ def score_candidates(df: DataFrame, candidates: Sequence[FuzzyModel], target: st
 
 
 def evaluate_folds(df: DataFrame, fold: str, model: FuzzyModel, target: str, ridge: float = 1e-3,
-                   folds_per_pass: int = 64) -> DataFrame:
+                   folds_per_pass: int = 64, stage: Callable[[DataFrame], DataFrame] = stage_table) -> DataFrame:
     """Leave one fold out (G18): scale by the other folds, fit on them, score the fold, undo the scaling.
 
     ``model`` holds sets for standardised inputs. One pass fits up to ``folds_per_pass`` folds at
-    once and one pass scores all of them, so the rows are never copied once per fold. Output: fold,
-    ``error_sum``, ``error_avg``, ``error_max``, ``n_rows``.
+    once and one pass scores all of them, so the rows are never copied once per fold. The columns
+    needed are staged first, since they are read three times. Output: fold, ``error_sum``,
+    ``error_avg``, ``error_max``, ``n_rows``.
     """
     inputs, cols = list(model.inputs), [*model.inputs, target]
+    df = stage(df.select(fold, *dict.fromkeys(cols)))
     stats: dict[int, dict[str, tuple[float, float]]] = {}
     for r in fold_stats(df, fold, list(dict.fromkeys(cols)), ddof=1).collect():  # folds x columns rows
         stats.setdefault(int(r[fold]), {})[r["column"]] = (r["mean"], r["std"] or 1.0)

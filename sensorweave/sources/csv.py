@@ -12,6 +12,7 @@ ZONES = ("raw", "interim", "processed")
 
 # Fixed value: the text form of a time column.
 TIME_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
 def zone_path(root: str, zone: str, name: str) -> str:
@@ -28,6 +29,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, *, head
     Spaces around values are ignored and empty fields are null.
     """
     reader = (spark.read.schema(schema).option("sep", separator).option("header", header)
+              .option("timestampNTZFormat", TIME_FORMAT)
               .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True))
     df = reader.csv(path)
     if names is not None:
@@ -38,12 +40,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, *, head
 def find_csv(spark: SparkSession, root: str, name: str, schema: T.StructType | str, **options) -> DataFrame:
     """Read the files called ``name`` anywhere below ``root`` (S3)."""
     reader = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    return reader.options(**{"header": True, **options}).csv(root)
+    return reader.options(**{"header": True, "timestampNTZFormat": TIME_FORMAT, **options}).csv(root)
 
 
 def write_csv(df: DataFrame, path: str, *, header: bool = True, partition_by: Sequence[str] = (), mode: str = "errorifexists") -> None:
     """Write CSV, one folder per segment instead of one file per segment when partitioned."""
-    writer = df.write.mode(mode).option("header", header)
+    writer = df.write.mode(mode).option("header", header).option("timestampNTZFormat", TIME_FORMAT)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)
