@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from sensorweave.catalog.base import (
     DAILY, DAILY_SQL, R, SEG, SEGMENTED_SQL, SENS, SENSORS, complete_sens, daily, query, rnd, segmented,
 )
-from sensorweave.catalog.calendar import WORK_SQL, work
+from sensorweave.catalog.calendar import WORK_SQL
 from sensorweave.catalog.cleaning import interpolate_sql
-from sensorweave.operators.calendar import day_slots, number_days
+from sensorweave.operators.calendar import day_slots, numbered_working_days
 from sensorweave.operators.dayshape import best_lag, elapsed, lag_corr, mean_over_days, period_hours, spectrum
 from sensorweave.operators.features import lag_embed, lead_target, smooth, windows
 from sensorweave.operators.segments import interpolate
 from sensorweave.plans.dayreport import day_report
+from sensorweave.sources.stage import stage
 from sensorweave.plans.supervised import SupervisedParams, supervised
 
 
@@ -119,8 +120,7 @@ def _(spark, d):
 SELECT day_id, slot, {R('target')} AS target, len(wc)::INTEGER AS length, {R('list_sum(wc)')} AS sum_click,
   {R('wc[1]')} AS oldest_click, {R('we[7]')} AS newest_error FROM win WHERE len(wc) = 7""")
 def _(spark, d):
-    days = day_slots(number_days(work(spark, d), SENS), SENS)
-    out = windows(days, SENS.within("day_id"), ["click", "error"], "view", 7)
+    out = windows(days_of(spark, d), SENS.within("day_id"), ["click", "error"], "view", 7)
     clicks = F.transform("window", lambda r: r[0])
     return out.select(
         "day_id", "slot", rnd("view").alias("target"), F.size("window").alias("length"),
@@ -129,7 +129,7 @@ def _(spark, d):
 
 
 def days_of(spark, d):
-    return day_slots(number_days(work(spark, d), SENS), SENS)
+    return day_slots(numbered_working_days(complete_sens(spark, d), SENS, "05:00", "17:30", stage), SENS)
 
 
 XS = ["click", "error", "purchase"]

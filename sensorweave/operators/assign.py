@@ -36,14 +36,35 @@ def distances(x: np.ndarray, w: np.ndarray, metric: str = "euclidean") -> np.nda
 
 def nearest(x: np.ndarray, w: np.ndarray, k: int, metric: str = "euclidean") -> tuple[np.ndarray, np.ndarray]:
     """Indices and distances of the ``k`` closest rows of ``w``, ties to the lowest index."""
-    if metric == "euclidean":
-        d, root = distances(x, w, "sqeuclidean"), True
-    else:
-        d, root = distances(x, w, metric), False
+    if metric != "euclidean" or k + 1 >= len(w):
+        return _nearest_direct(x, w, k, metric)
+    # One matrix product finds the candidates; their distances are then computed from differences,
+    # and rows whose order the product cannot decide are done over in full.
+    squares = np.einsum("md,md->m", w, w)
+    rough = squares - 2.0 * (x @ w.T)
+    slack = 1e-12 * w.shape[1] * (np.einsum("nd,nd->n", x, x) + squares.max())
     if k == 1:
-        idx = d.argmin(axis=1)[:, None]
+        idx = rough.argmin(axis=1)
+        limit = np.take_along_axis(rough, idx[:, None], axis=1)[:, 0] + slack
+        unsure = np.count_nonzero(rough <= limit[:, None], axis=1) > 1
+        idx = idx[:, None]
     else:
-        idx = np.argsort(d, axis=1, kind="stable")[:, :k]
+        part = np.argpartition(rough, k, axis=1)[:, : k + 1]
+        values = np.take_along_axis(rough, part, axis=1)
+        order = np.argsort(values, axis=1)
+        idx = np.take_along_axis(part, order, axis=1)[:, :k]
+        unsure = (np.diff(np.take_along_axis(values, order, axis=1), axis=1) <= slack[:, None]).any(axis=1)
+    diff = x[:, None, :] - w[idx]
+    dist = np.sqrt(np.einsum("nkd,nkd->nk", diff, diff))
+    if unsure.any():
+        idx[unsure], dist[unsure] = _nearest_direct(x[unsure], w, k, metric)
+    return idx, dist
+
+
+def _nearest_direct(x: np.ndarray, w: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    root = metric == "euclidean"
+    d = distances(x, w, "sqeuclidean" if root else metric)
+    idx = d.argmin(axis=1)[:, None] if k == 1 else np.argsort(d, axis=1, kind="stable")[:, :k]
     d = np.take_along_axis(d, idx, axis=1)
     return idx, np.sqrt(d) if root else d
 

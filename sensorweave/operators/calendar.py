@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,6 +86,21 @@ def number_days(df: DataFrame, spec: SeriesSpec, out: str = "day_id") -> DataFra
     return df.join(days, [*keys, "_day"]).drop("_day")
 
 
+def numbered_working_days(df: DataFrame, spec: SeriesSpec, start: str = "04:32", end: str = "18:30",
+                          stage: Callable[[DataFrame], DataFrame] = lambda df: df, out: str = "day_id") -> DataFrame:
+    """``working_days`` and ``number_days`` in one: a single day table decides what stays and its number.
+
+    The filtered rows are read twice (to count days, then to keep them); ``stage`` may write them once.
+    """
+    keys = list(spec.keys)
+    rows = stage(weekdays_only(between_time(df, spec, start, end), spec)).withColumn("_day", F.to_date(spec.ts))
+    whole = Window.partitionBy(*keys)
+    days = rows.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    days = days.withColumn("_most", F.max("_n").over(whole)).where("_n = _most")
+    days = days.select(*keys, "_day", (F.row_number().over(whole.orderBy("_day")) - 1).cast("int").alias(out))
+    return rows.join(days, [*keys, "_day"]).drop("_day")
+
+
 def day_slots(df: DataFrame, spec: SeriesSpec, day: str = "day_id") -> DataFrame:
     """Row position inside each day (W24). A day on a grid has at most 86 400 / step rows."""
     w = Window.partitionBy(*spec.keys, day).orderBy(*spec.order)

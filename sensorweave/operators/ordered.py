@@ -14,17 +14,18 @@ from pyspark.sql import functions as F
 
 from sensorweave.spec import MICROS, SeriesSpec, micros
 
+# Rows of a gridded series that one window sort takes at once.
 CHUNK_ROWS = 4096
 
 _ALL_BEFORE = (Window.unboundedPreceding, -1)
 _UP_TO_HERE = (Window.unboundedPreceding, 0)
 
 
-def with_chunk(df: DataFrame, spec: SeriesSpec, rows: int = CHUNK_ROWS) -> DataFrame:
+def with_chunk(df: DataFrame, spec: SeriesSpec, rows: int | None = None) -> DataFrame:
     """Add the chunk column to a gridded table unless it is there already."""
     if spec.chunk in df.columns:
         return df
-    return df.withColumn(spec.chunk, F.expr(f"`{spec.slot}` div {int(rows)}"))
+    return df.withColumn(spec.chunk, F.expr(f"`{spec.slot}` div {int(rows or CHUNK_ROWS)}"))
 
 
 def join_keys(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -147,14 +148,14 @@ def nearest_known(df: DataFrame, spec: SeriesSpec, values: Mapping[str, Column])
     return df.withColumns(found).drop(*scratch)
 
 
-def with_halo(df: DataFrame, spec: SeriesSpec, back: int, ahead: int, rows: int = CHUNK_ROWS) -> DataFrame:
+def with_halo(df: DataFrame, spec: SeriesSpec, back: int, ahead: int, rows: int | None = None) -> DataFrame:
     """Copy edge rows into the neighbouring chunk so fixed-offset frames see all the rows they need.
 
     Adds ``_home`` (the chunk a row belongs to) and ``_frame`` (the chunk it is copied into). Frames
     partitioned by ``keys + _frame`` then reach ``back`` rows behind and ``ahead`` rows in front;
     keep the rows with ``_home = _frame`` afterwards (``drop_halo``).
     """
-    rows = max(int(rows), back, ahead, 1)
+    rows = max(int(rows or CHUNK_ROWS), back, ahead, 1)
     slot = F.col(spec.slot)
     df = df.withColumn("_home", F.expr(f"`{spec.slot}` div {rows}"))
     home = F.col("_home")

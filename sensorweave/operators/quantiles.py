@@ -44,17 +44,19 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     ordered = Window.partitionBy(*by).orderBy("_bucket")  # at most 1024 rows per group
     totals = (
         counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_t"), F.min("_x").alias("_min"))
-        .select(*by, "_bucket", F.sum("_t").over(Window.partitionBy(*by)).alias("_all"),
+        .select(*by, "_bucket", "_t", F.sum("_t").over(Window.partitionBy(*by)).alias("_all"),
                 F.coalesce(F.sum("_t").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
                 F.lead("_min").over(ordered).alias("_next_min"))
     )
-    inner = Window.partitionBy(*by, "_bucket").orderBy("_x")
+    # Only the ranges that hold a wanted rank are read any further.
+    totals = totals.withColumn("p", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    totals = totals.withColumn("_rank", F.col("p") * (F.col("_all") - 1))
+    low = F.floor("_rank")
+    totals = totals.where((low >= F.col("_off")) & (low < F.col("_off") + F.col("_t")))
+    inner = Window.partitionBy(*by, "p", "_bucket").orderBy("_x")
     ranked = counts.join(totals, [*by, "_bucket"]).withColumns({
         "_hi": F.sum("_n").over(inner.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_off"),
         "_after": F.coalesce(F.lead("_x").over(inner), F.col("_next_min"))})
-    wanted = F.explode(F.array(*[F.lit(float(q)) for q in qs]))
-    ranked = ranked.withColumn("p", wanted).withColumn("_rank", F.col("p") * (F.col("_all") - 1))
-    low = F.floor("_rank")
     # The value covers the 0-based ranks [_hi - _n, _hi - 1]; it holds the lower neighbour of the rank.
     ranked = ranked.where((low >= F.col("_hi") - F.col("_n")) & (low < F.col("_hi")))
     upper = F.when(low + 1 < F.col("_hi"), F.col("_x")).otherwise(F.coalesce("_after", "_x"))

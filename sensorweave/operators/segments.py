@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorweave.operators import ordered
 from sensorweave.operators.ordered import (
-    CHUNK_ROWS, attach_by_chunk, chunk_bounds, nearest_known, spread_over_chunks, with_chunk,
+    attach_by_chunk, chunk_bounds, nearest_known, spread_over_chunks, with_chunk,
 )
 from sensorweave.spec import MICROS, SeriesSpec, from_micros, micros
 
@@ -76,7 +77,7 @@ def grid_segments(df: DataFrame, spec: SeriesSpec, step_s: int, max_gap_s: float
         raise ValueError("max_gap_s must be at least step_s")
     keys = list(spec.keys)
     step = int(step_s * MICROS)
-    bins_per_cell = CHUNK_ROWS if max_gap_s is None else int(max_gap_s // step_s)
+    bins_per_cell = ordered.CHUNK_ROWS if max_gap_s is None else int(max_gap_s // step_s)
     timed = df.withColumn("_t", micros(spec.ts)).withColumn("_bin", F.floor(F.col("_t") / step))
     grid = timed.groupBy(*keys, "_bin").agg(*[v.alias(n) for n, v in values.items()])
 
@@ -90,11 +91,11 @@ def grid_segments(df: DataFrame, spec: SeriesSpec, step_s: int, max_gap_s: float
         *keys, SEGMENT, bin_of("_start").alias("_origin"),
         F.coalesce(bin_of("_before") + 1, bin_of("_first")).alias("_lo"), bin_of("_last").alias("_hi"))
     # Two steps, so that a long empty stretch never becomes one huge array.
-    first, last = F.floor(F.col("_lo") / CHUNK_ROWS), F.floor(F.col("_hi") / CHUNK_ROWS)
+    first, last = F.floor(F.col("_lo") / ordered.CHUNK_ROWS), F.floor(F.col("_hi") / ordered.CHUNK_ROWS)
     pieces = cells.withColumn("_piece", F.explode(F.sequence(first, last)))
     dense = pieces.select(*keys, SEGMENT, "_origin", F.explode(F.sequence(
-        F.greatest(F.col("_lo"), F.col("_piece") * CHUNK_ROWS),
-        F.least(F.col("_hi"), F.col("_piece") * CHUNK_ROWS + (CHUNK_ROWS - 1)))).alias("_bin"))
+        F.greatest(F.col("_lo"), F.col("_piece") * ordered.CHUNK_ROWS),
+        F.least(F.col("_hi"), F.col("_piece") * ordered.CHUNK_ROWS + (ordered.CHUNK_ROWS - 1)))).alias("_bin"))
     dense = dense.withColumn(spec.slot, F.col("_bin") - F.col("_origin"))
     return (
         dense.join(grid, [*keys, "_bin"], "left")
@@ -127,7 +128,7 @@ def align_rate(df: DataFrame, spec: SeriesSpec, every: int, cols: Sequence[str],
 
 
 def _wide_chunks(df: DataFrame, spec: SeriesSpec, every: int) -> DataFrame:
-    return with_chunk(df.drop(spec.chunk), spec, int(every) * CHUNK_ROWS)
+    return with_chunk(df.drop(spec.chunk), spec, int(every) * ordered.CHUNK_ROWS)
 
 
 def phase_nulls(df: DataFrame, spec: SeriesSpec, every: int, cols: Sequence[str]) -> DataFrame:
@@ -194,7 +195,7 @@ def attach_parts(df: DataFrame, spec: SeriesSpec, parts: DataFrame) -> DataFrame
     """Keep the rows that lie in one of ``parts`` and add its ``part_id``."""
     df = with_chunk(df, spec)
     spread = spread_over_chunks(
-        parts.withColumns({"_a": F.expr(f"part_id div {CHUNK_ROWS}"), "_b": F.expr(f"_hi_slot div {CHUNK_ROWS}")}),
+        parts.withColumns({"_a": F.expr(f"part_id div {ordered.CHUNK_ROWS}"), "_b": F.expr(f"_hi_slot div {ordered.CHUNK_ROWS}")}),
         spec, "_a", "_b")
     return (
         df.join(spread, [*spec.keys, spec.chunk])
