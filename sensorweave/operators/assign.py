@@ -88,7 +88,7 @@ def assign(df: DataFrame, codebook: Codebook, features: str = "features", k: int
     k = min(k, codebook.size)
     out_type = "bmus array<int>, dists array<double>" if k > 1 else "bmu int, dmin double"
 
-    def match(column):
+    def match(column: pa.Array) -> pa.Array:
         # Null feature arrays are left out of the matrix and put back as nulls.
         known = np.asarray(column.is_valid())
         idx = np.zeros((len(column), k), dtype=np.int32)
@@ -110,7 +110,7 @@ def assign(df: DataFrame, codebook: Codebook, features: str = "features", k: int
              pa.ListArray.from_arrays(ends, pa.array(dist.ravel(), pa.float64()), mask=mask)],
             names=["bmus", "dists"])
 
-    match = F.arrow_udf(match, out_type, F.ArrowUDFType.SCALAR)
+    match = F.arrow_udf(match, out_type)
     df = df.withColumn("_match", match(F.col(features)))
     if k > 1:
         return df.withColumns({"bmus": F.col("_match.bmus"), "dists": F.col("_match.dists")}).drop("_match")
@@ -143,7 +143,7 @@ def distance_table(df: DataFrame, codebook: Codebook, features: str = "features"
     """Every row against every neuron (J8, N27): ``bmu``, ``dist``; map size times the input, for inspection."""
     w, dim = codebook.weights, codebook.dim
 
-    def measure(column):
+    def measure(column: pa.Array) -> pa.Array:
         known = np.asarray(column.is_valid())
         dist = np.zeros((len(column), len(w)))
         if known.any():
@@ -151,7 +151,7 @@ def distance_table(df: DataFrame, codebook: Codebook, features: str = "features"
         ends = pa.array(np.arange(len(column) + 1) * len(w), pa.int32())
         return pa.ListArray.from_arrays(ends, pa.array(dist.ravel()), mask=pa.array(~known))
 
-    measure = F.arrow_udf(measure, "array<double>", F.ArrowUDFType.SCALAR)
+    measure = F.arrow_udf(measure, "array<double>")
     # Materialised before the explode so the distances of a row are computed once.
     return df.withColumn("_all", measure(F.col(features))).select(*df.columns, F.posexplode("_all").alias("bmu", "dist"))
 
