@@ -121,7 +121,9 @@ def align_rate(df: DataFrame, spec: SeriesSpec, every: int, cols: Sequence[str],
     # Chunks of every * CHUNK_ROWS old slots are chunks of CHUNK_ROWS new ones.
     return (
         attach_by_chunk(_wide_chunks(df, spec, every), best, spec)
-        .where(slot % every == F.col("phase"))
+        # Written as a difference so it stays a filter: as an equality it would become a join key and
+        # cost a shuffle of its own.
+        .where((slot - F.col("phase")) % every == 0)
         .withColumn(spec.slot, F.expr(f"(`{spec.slot}` - phase) div {int(every)}"))
         .drop("phase")
     )
