@@ -9,8 +9,9 @@ from sensorweave.operators import assign as A
 from sensorweave.operators import codebook as C
 from sensorweave.operators import novelty as V
 from sensorweave.operators.diagnostics import centroid, centroid_spread, dispersion
+from sensorweave.plans.novelty_run import NoveltyRun, working_hours_novelty
 from sensorweave.sources.stage import stage
-from sensorweave.plans.som_training import TrainingParams, fit, sweep, update_one
+from sensorweave.plans.som_training import TrainingParams, fit, fit_many, sweep, update_one
 
 NEAR2_SQL = NEAR_SQL + """, near2 AS (SELECT vec_id, max(bmu) FILTER (k = 1) AS b1, max(bmu) FILTER (k = 2) AS b2,
   max(d) FILTER (k = 1) AS d1, max(d) FILTER (k = 2) AS d2 FROM ranked GROUP BY vec_id)"""
@@ -229,6 +230,36 @@ SELECT b.bmu, {R(f'sum(n * ({_kernel_sql(_kind)}))')} AS pull FROM hits JOIN cb
         return pull.groupBy("bmu").agg(rnd(F.sum(F.col("hits") * F.col("h"))).alias("pull"))
 
 
+@query("n9_grid_distance_of_two_best", f"""WITH {NEAR2_SQL} SELECT abs(b1 // 5 - b2 // 5) + abs(b1 % 5 - b2 % 5) AS cityblock,
+  {R('sqrt(pow(b1 // 5 - b2 // 5, 2) + pow(b1 % 5 - b2 % 5, 2))')} AS euclidean, count(*) AS n FROM near2 GROUP BY ALL""")
+def _(spark, d):
+    book = code25(spark, d)
+    city, euclid = C.grid_distance(book), C.grid_distance(book, "euclidean")
+    pairs = [(i, j, int(city[i, j]), float(euclid[i, j])) for i in range(book.size) for j in range(book.size)]
+    grid = spark.createDataFrame(pairs, "b1 int, b2 int, cityblock int, euclidean double")
+    two = A.assign(emb(spark, d), book, k=2).select(F.col("bmus")[0].alias("b1"), F.col("bmus")[1].alias("b2"))
+    out = two.join(F.broadcast(grid), ["b1", "b2"]).groupBy("cityblock", rnd("euclidean").alias("euclidean"))
+    return out.agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("n12_schedules_compared")
+def _(spark, d):
+    rows = stage(emb(spark, d).select("features"))
+    kinds = ["exp", "linear", "mix", "inv", "constant", "step_ratio", "asymptotic"]
+    start = code25(spark, d)
+    params = {i: TrainingParams(epochs=3, kernel="exp", schedule=k, sigma=1.0, lr=0.5) for i, k in enumerate(kinds)}
+    _books, history = fit_many(rows, {i: start for i in params}, params)
+    out = [(kinds[i], t, e) for t, errors in enumerate(history) for i, e in errors.items()]
+    return spark.createDataFrame(out, "schedule string, epoch int, mean_squared_distance double")
+
+
+@query("n32_working_hours_novelty")
+def _(spark, d):
+    params = NoveltyRun(rows=6, cols=6, start="05:00", end="17:30",
+                        training=TrainingParams(epochs=4, kernel="ceil", max_distance=3, lr=0.5))
+    return working_hours_novelty(complete_sens(spark, d), SENS, SENSORS, ["slot"], params)
+
+
 @query("n13_single_row_update", f"""WITH {NEAR_SQL}, x AS (SELECT features, near.bmu AS hit FROM emb JOIN near USING (vec_id) ORDER BY round(d, 9) DESC, vec_id LIMIT 1),
 hit AS (SELECT x.features AS x, cb.r, cb.c FROM x JOIN cb ON cb.bmu = x.hit),
 upd AS (SELECT b.bmu, list_transform(list_zip(b.w, a.x), lambda p: p[1] + 0.5 * exp(-pow(abs(a.r - b.r) + abs(a.c - b.c), 2) / (2 * 0.8 * 0.8)) * (p[2] - p[1])) AS w

@@ -84,7 +84,7 @@ def fold_stats(df: DataFrame, fold: str, cols: Sequence[str], ddof: int = 1) ->
     rest = sums.join(total, "column").select(
         fold, "column", "m", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_s") - F.col("s")).alias("s"),
         (F.col("all_q") - F.col("q")).alias("q"))
-    var = F.try_divide(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.col("n") - ddof)
+    var = F.try_divide(F.col("q") - F.try_divide(F.col("s") * F.col("s"), F.col("n")), F.col("n") - ddof)
     return rest.select(fold, "column", (F.col("m") + F.try_divide("s", "n")).alias("mean"),
                        F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
 

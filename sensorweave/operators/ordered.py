@@ -104,12 +104,15 @@ def minute_gaps(df: DataFrame, spec: SeriesSpec, out: str = "gap_min", **options
     return df.withColumn(out, (micros(spec.ts) - micros("_prev_ts")) / (60.0 * MICROS)).drop("_prev_ts")
 
 
-def nearest_known(df: DataFrame, spec: SeriesSpec, values: Mapping[str, Column]) -> DataFrame:
+def nearest_known(df: DataFrame, spec: SeriesSpec, values: Mapping[str, Column],
+                  cluster: Sequence[str] | None = None) -> DataFrame:
     """For each named nullable value: the closest known one at or before, and at or after, the row.
 
     Adds ``<name>_prev``, ``<name>_prev_slot``, ``<name>_next``, ``<name>_next_slot``. Needs the slot
-    and chunk columns. One shuffle on ``keys + chunk`` (none if the table is already partitioned
-    so); runs of nulls may span any number of chunks.
+    and chunk columns. One shuffle on ``keys + chunk``; runs of nulls may span any number of chunks.
+
+    ``cluster`` names the keys, fewer than the series keys, that a table already partitioned by
+    ``cluster + chunk`` is partitioned by; that shuffle is then reused.
     """
     keys = [*spec.keys, spec.chunk]
     slot = F.col(spec.slot)
@@ -134,7 +137,17 @@ def nearest_known(df: DataFrame, spec: SeriesSpec, values: Mapping[str, Column])
             F.last(f"_fv_{name}", True).over(backward).alias(f"_cnv_{name}"),
             F.last(f"_fs_{name}", True).over(backward).alias(f"_cns_{name}"),
         ]
-    df = df.join(df.groupBy(*keys).agg(*edges).select(*carried), keys)
+    carry = df.groupBy(*keys).agg(*edges).select(*carried)
+    if cluster is None:
+        df = df.join(carry, keys)
+    else:
+        # The other keys are matched as a range: an equality would join, and shuffle, by them too.
+        rest = [k for k in spec.keys if k not in cluster]
+        carry = carry.withColumnsRenamed({k: f"_c_{k}" for k in rest})
+        df = df.join(carry, [*cluster, spec.chunk])
+        for k in rest:
+            df = df.where(F.col(k).between(F.col(f"_c_{k}"), F.col(f"_c_{k}")))
+        df = df.drop(*[f"_c_{k}" for k in rest])
     up = Window.partitionBy(*keys).orderBy(spec.slot).rowsBetween(*_UP_TO_HERE)
     down = Window.partitionBy(*keys).orderBy(F.desc(spec.slot)).rowsBetween(*_UP_TO_HERE)
     found, scratch = {}, []

@@ -93,6 +93,8 @@ def grid_segments(df: DataFrame, spec: SeriesSpec, step_s: int, max_gap_s: float
     # Two steps, so that a long empty stretch never becomes one huge array.
     first, last = F.floor(F.col("_lo") / ordered.CHUNK_ROWS), F.floor(F.col("_hi") / ordered.CHUNK_ROWS)
     pieces = cells.withColumn("_piece", F.explode(F.sequence(first, last)))
+    # The cells of a series left its window in one task; the points they stand for should not.
+    pieces = pieces.repartition(*keys, "_piece")
     dense = pieces.select(*keys, SEGMENT, "_origin", F.explode(F.sequence(
         F.greatest(F.col("_lo"), F.col("_piece") * ordered.CHUNK_ROWS),
         F.least(F.col("_hi"), F.col("_piece") * ordered.CHUNK_ROWS + (ordered.CHUNK_ROWS - 1)))).alias("_bin"))
@@ -225,11 +227,14 @@ def keep_long(df: DataFrame, spec: SeriesSpec, min_rows: int) -> DataFrame:
     return attach_by_chunk(df, long, spec)
 
 
-def interpolate(df: DataFrame, spec: SeriesSpec, cols: Sequence[str]) -> DataFrame:
-    """Linear interpolation by row position (W8): leading nulls stay, trailing nulls repeat the last value."""
+def interpolate(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], cluster: Sequence[str] | None = None) -> DataFrame:
+    """Linear interpolation by row position (W8): leading nulls stay, trailing nulls repeat the last value.
+
+    ``cluster`` as in ``nearest_known``.
+    """
     order = df.columns
     df = with_chunk(df, spec)
-    df = nearest_known(df, spec, {c: F.col(c) for c in cols})
+    df = nearest_known(df, spec, {c: F.col(c) for c in cols}, cluster)
     slot = F.col(spec.slot)
 
     def filled(c: str) -> Column:

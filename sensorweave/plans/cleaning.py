@@ -44,5 +44,5 @@ def clean(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], target: str,
     aligned = align_rate(grid, seg, params.every, cols, best)
     parts = null_free_parts(aligned, seg, target, params.max_null_run)
     parts = stage(parts.where(F.col("_hi_slot") - F.col("part_id") + 1 > params.min_rows))
-    out = interpolate(attach_parts(aligned, seg, parts), part, cols)
+    out = interpolate(attach_parts(aligned, seg, parts), part, cols, cluster=seg.keys)
     return out.select(*part.keys, (F.col(spec.slot) - F.col("part_id")).alias(spec.slot), spec.ts, *cols)

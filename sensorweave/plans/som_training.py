@@ -108,7 +108,7 @@ def fit_many(df: DataFrame, starts: Mapping[int, Codebook], params: Mapping[int,
                     sq += r["s"][dim]
             if n.sum() == 0:
                 raise ValueError("no rows to train on")
-            errors[c] = sq / n.sum()
+            errors[c] = float(sq / n.sum())
             sigma, lr = schedule(p.schedule, p.sigma, p.lr, sigma_decay=p.sigma_decay, lr_decay=p.lr_decay)(t, p.epochs)
             h = neighbourhood(book, p.kernel, sigma, metric=p.metric, max_distance=p.max_distance)
             books[c] = _moved(book, n, sums, h, lr)

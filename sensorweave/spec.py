@@ -51,8 +51,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # Rows already partitioned by (series, chunk) need no new shuffle for joins on (series, part, chunk).
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # Joins on (series, chunk) must shuffle by both: by series alone, a long series meets in one task.
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     return spark
 
