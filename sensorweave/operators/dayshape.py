@@ -25,30 +25,59 @@ def day_arrays(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], day: str =
     return packed.select(*spec.keys, day, *[F.col(f"_rows.{c}").alias(c) for c in cols])
 
 
-def _signal(cell) -> np.ndarray:
-    return np.array([np.nan if v is None else v for v in cell.as_py()], dtype=float)
+def _signals(batch, name: str) -> list[np.ndarray]:
+    """The arrays of one column of a batch, nulls as NaN, without a Python object per value."""
+    column = batch.column(batch.schema.get_field_index(name))
+    flat = column.values.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    ends = column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def shifted_corr(x: np.ndarray, y: np.ndarray, max_shift: int, circular: bool) -> list[float | None]:
-    """Pearson correlation of ``x`` moved ``shift`` rows later with ``y``, pairs with a null left out."""
+    """Pearson correlation of ``x`` moved ``shift`` rows later with ``y``, pairs with a null left out.
+
+    The sums for all shifts come from matrix products; shifts whose variance the sums cannot tell
+    from zero are done over from the pairs themselves.
+    """
     n = len(x)
+    x_known, y_known = ~np.isnan(x), ~np.isnan(y)
+    if not (x_known.any() and y_known.any()):
+        return [None] * max_shift
+    x0 = np.where(x_known, x - x[x_known].mean(), 0.0)
+    y0 = np.where(y_known, y - y[y_known].mean(), 0.0)
+    at = np.arange(n)[None, :] - np.arange(max_shift)[:, None]
+    inside = np.ones(at.shape, bool) if circular else at >= 0
+    at = at % n
+    lag_known = x_known[at] & inside
+    lag = np.where(lag_known, x0[at], 0.0)
+    target = np.column_stack([y_known.astype(float), y0, y0 * y0])
+    count, sy, syy = (lag_known.astype(float) @ target).T
+    sx, sxy, _ = (lag @ target).T
+    sxx = (lag * lag) @ target[:, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        vx, vy = sxx - sx * sx / count, syy - sy * sy / count
+        corr = (sxy - sx * sy / count) / np.sqrt(vx * vy)
+    weak = ~((vx > 1e-8 * sxx) & (vy > 1e-8 * syy))
     out: list[float | None] = []
     for shift in range(max_shift):
-        if circular:
-            a, b = np.roll(x, shift), y
-        else:
-            a, b = x[: max(n - shift, 0)], y[shift:]
-        both = ~(np.isnan(a) | np.isnan(b))
-        a, b = a[both], b[both]
-        if len(a) < 2:
+        if count[shift] < 2:
             out.append(None)
-            continue
-        a, b = a - a.mean(), b - b.mean()
-        scale = np.sqrt((a * a).sum() * (b * b).sum())
-        out.append(float((a * b).sum() / scale) if scale > 0 else None)
+        elif weak[shift]:
+            out.append(_pair_corr(x[at[shift]][inside[shift]], y[inside[shift]]))
+        else:
+            out.append(float(corr[shift]))
     return out
 
 
+def _pair_corr(a: np.ndarray, b: np.ndarray) -> float | None:
+    both = ~(np.isnan(a) | np.isnan(b))
+    a, b = a[both], b[both]
+    if len(a) < 2 or (a == a[0]).all() or (b == b[0]).all():
+        return None
+    a, b = a - a.mean(), b - b.mean()
+    return float((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))
+
+
 def _key_fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [df.schema[n] for n in names]
 
@@ -68,11 +97,11 @@ def lag_corr(df: DataFrame, spec: SeriesSpec, xs: Sequence[str], y: str, max_shi
     def run(batches):
         for batch in batches:
             index, shifts, signals, values = [], [], [], []
-            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in [*names, y]}
+            columns = {c: _signals(batch, c) for c in [*names, y]}
             for i in range(batch.num_rows):
-                target = _signal(columns[y][i])
+                target = columns[y][i]
                 for name in names:
-                    corr = shifted_corr(_signal(columns[name][i]), target, max_shift, circular)
+                    corr = shifted_corr(columns[name][i], target, max_shift, circular)
                     index += [i] * max_shift
                     shifts += range(max_shift)
                     signals += [name] * max_shift
@@ -111,9 +140,7 @@ def spectrum(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], rate_hz: floa
         for batch in batches:
             index, signals, ks, freqs, mags = [], [], [], [], []
             for name in names:
-                column = batch.column(batch.schema.get_field_index(name))
-                for i in range(batch.num_rows):
-                    x = _signal(column[i])
+                for i, x in enumerate(_signals(batch, name)):
                     n = len(x)
                     freq = np.arange(n // 2) * rate_hz / n if n else np.zeros(0)
                     freq = freq[freq < max_hz]

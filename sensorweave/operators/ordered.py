@@ -59,6 +59,21 @@ def _time_bucket(spec: SeriesSpec, seconds: int) -> Column:
     return F.floor(micros(spec.ts) / (seconds * MICROS))
 
 
+def bucket_width(df: DataFrame, spec: SeriesSpec, max_rows: int = 2_000_000,
+                 widths: Sequence[int] = (86_400, 3600, 600, 60, 10, 1)) -> int:
+    """The widest time bucket in seconds that holds at most ``max_rows`` rows of any one series.
+
+    Runs one small aggregate job per width tried, widest first; the narrowest is returned if none
+    fits. For ``bucket_seconds`` of ``add_slot``, ``previous_time`` and ``minute_gaps``.
+    """
+    for seconds in widths:
+        counts = df.groupBy(*spec.keys, _time_bucket(spec, seconds).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+        most = counts.agg(F.max("_n")).first()[0]
+        if most is None or most <= max_rows:
+            return seconds
+    return widths[-1]
+
+
 def add_slot(df: DataFrame, spec: SeriesSpec, bucket_seconds: int = 3600) -> DataFrame:
     """0-based row position inside each series, for rows that sit on no grid.
 

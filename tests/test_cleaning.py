@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorweave import SeriesSpec
-from sensorweave.operators.ordered import add_slot, minute_gaps, run_lengths
+from sensorweave.operators.ordered import add_slot, bucket_width, minute_gaps, run_lengths
 from sensorweave.operators.segments import (
     align_rate, grid_segments, interpolate, keep_long, largest_segment, resample, segment_by_gap, segments,
     split_on_null_runs,
@@ -178,6 +178,16 @@ def test_minute_gaps_and_positions_across_buckets(spark):
     assert series(out, ["ts", "id"], "slot") == list(range(200))
 
 
+def test_bucket_width_adapts_to_a_burst(spark):
+    burst = raw(spark, [T0 + dt.timedelta(seconds=i / 10) for i in range(600)] + minutes(5, 4000))
+    assert bucket_width(burst, RAW, 1000) == 86_400
+    assert bucket_width(burst, RAW, 150) == 10
+    assert bucket_width(burst, RAW, 1) == 1
+    out = minute_gaps(burst, RAW, bucket_seconds=10)
+    assert out.where("gap_min IS NULL").count() == 1
+    assert np.isclose(out.agg(F.sum("gap_min")).first()[0], 4000)
+
+
 def reference_clean(times, x, y, p):
     """The cleaning steps one after the other in pandas, for a single series."""
     df = pd.DataFrame({"x": x, "y": y}, index=pd.DatetimeIndex(times))

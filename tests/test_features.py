@@ -182,6 +182,25 @@ def test_shift_beyond_the_series_is_null():
     assert shifted_corr(np.arange(3.0), np.arange(3.0), 5, False)[2:] == [None, None, None]
 
 
+@pytest.mark.parametrize("circular", [False, True])
+def test_shifted_correlation_with_many_nulls_and_flat_stretches(circular):
+    rng = np.random.default_rng(9)
+    for trial in range(30):
+        x, y = rng.normal(size=25).round(1) + 1e3, rng.normal(size=25).round(1)
+        x[rng.random(25) < 0.4] = np.nan
+        x[8:20] = 7.0 if trial % 2 else x[8:20]
+        y[rng.random(25) < 0.3] = np.nan
+        y[:20] = 1.0 if trial % 3 == 0 else y[:20]
+        px, py = pd.Series(x), pd.Series(y)
+        for s, got in enumerate(shifted_corr(x, y, 30, circular)):
+            moved = pd.Series(np.roll(x, s)) if circular else px.shift(s)
+            pair = pd.DataFrame({"a": moved, "b": py}).dropna()
+            if len(pair) < 2 or pair.a.nunique() < 2 or pair.b.nunique() < 2:
+                assert got is None
+            else:
+                assert np.isclose(got, np.corrcoef(pair.a, pair.b)[0, 1], atol=1e-8)
+
+
 def test_spectrum_matches_fft(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(50, 2))
