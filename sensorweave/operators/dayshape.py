@@ -78,7 +78,10 @@ def _pair_corr(a: np.ndarray, b: np.ndarray) -> float | None:
     return float((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))
 
 
-def _key_fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
+def _key_fields(df: DataFrame, names: Sequence[str], outputs: Sequence[str]) -> list[T.StructField]:
+    clash = set(names) & set(outputs)
+    if clash:
+        raise ValueError(f"key columns clash with output columns: {', '.join(sorted(clash))}")
     return [df.schema[n] for n in names]
 
 
@@ -90,7 +93,7 @@ def lag_corr(df: DataFrame, spec: SeriesSpec, xs: Sequence[str], y: str, max_shi
     """
     packed = day_arrays(df, spec, [*xs, y], day)
     ids = [*spec.keys, day]
-    schema = T.StructType([*_key_fields(packed, ids), T.StructField("shift", T.IntegerType()),
+    schema = T.StructType([*_key_fields(packed, ids, ["shift", "signal", "corr"]), T.StructField("shift", T.IntegerType()),
                            T.StructField("signal", T.StringType()), T.StructField("corr", T.DoubleType())])
     names = list(xs)
 
@@ -131,7 +134,7 @@ def spectrum(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], rate_hz: floa
     """
     packed = day_arrays(df, spec, cols, day)
     ids = [*spec.keys, day]
-    schema = T.StructType([*_key_fields(packed, ids), T.StructField("signal", T.StringType()),
+    schema = T.StructType([*_key_fields(packed, ids, ["signal", "k", "freq", "mag"]), T.StructField("signal", T.StringType()),
                            T.StructField("k", T.IntegerType()), T.StructField("freq", T.DoubleType()),
                            T.StructField("mag", T.DoubleType())])
     names = list(cols)

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_STEP = 32
-BUCKETS = _STEP * _STEP
+BUCKETS = 1024
 
 
 def range_buckets(values: DataFrame, col: str, by: Sequence[str] = (), salts: int = 16) -> DataFrame:
@@ -19,15 +18,16 @@ def range_buckets(values: DataFrame, col: str, by: Sequence[str] = (), salts: in
     """
     by = list(by)
     marks = [i / BUCKETS for i in range(1, BUCKETS)]
-    edges = values.groupBy(*by).agg(F.percentile_approx(col, marks, 10_000).alias("_edges"))
-    edges = edges.withColumn("_coarse", F.filter("_edges", lambda e, i: (i + 1) % _STEP == 0))
+    edges = values.groupBy(*by).agg(F.percentile_approx(col, marks, 4 * BUCKETS).alias("_edges"))
     edges = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = values.withColumn("_salt", F.pmod(F.xxhash64(col), F.lit(salts)).cast("int"))
-    out = salted.join(edges, [*by, "_salt"])
-    below = F.size(F.filter("_coarse", lambda e: e < F.col(col)))
-    out = out.withColumn("_part", below)
-    fine = F.slice("_edges", F.col("_part") * _STEP + 1, F.lit(_STEP - 1))
-    out = out.withColumn("_bucket", F.col("_part") * _STEP + F.size(F.filter(fine, lambda e: e < F.col(col))))
+    out = salted.join(edges, [*by, "_salt"]).withColumn("_bucket", F.lit(0))
+    # Bisection over the 1023 edges, one comparison per step; the result counts the edges below the value.
+    step = BUCKETS // 2
+    while step:
+        below = F.get("_edges", F.col("_bucket") + (step - 1)) < F.col(col)
+        out = out.withColumn("_bucket", F.col("_bucket") + F.when(below, step).otherwise(0))
+        step //= 2
     return out.select(*values.columns, "_bucket")
 
 
