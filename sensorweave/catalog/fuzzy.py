@@ -10,11 +10,11 @@ from sensorweave.functions.metrics import abs_error_summary, regression_summary,
 from sensorweave.operators.features import lag_embed
 from sensorweave.operators.fuzzy import (
     FuzzyModel, grid_rules, init_from_data, mean_activation, membership_curves, normalised, paired_rules, predict,
-    predict_many, spaced_model, strengths,
+    predict_many, random_model, spaced_model, strengths,
 )
 from sensorweave.sources.stage import stage
 from sensorweave.plans.fuzzy_training import (
-    Adam, Momentum, evaluate_folds, fit_consequents, fit_gradient, fit_hybrid, score_candidates,
+    Adam, Momentum, evaluate_folds, evaluate_folds_with, fit_consequents, fit_gradient, fit_hybrid, score_candidates,
 )
 
 _KEY = ", ".join(LINE_KEY)
@@ -263,6 +263,20 @@ def _(spark, d):
     return evaluate_folds(df, "fold", start, "y")
 
 
+@query("g18_hybrid_folds")
+def _(spark, d):
+    df = points(spark, d).withColumn("fold", (F.col("l_orderkey") % 3).cast("int"))
+    start = spaced_model({"x1": (-1.5, 1.5), "x2": (-1.5, 1.5)}, 2)
+    return evaluate_folds_with(df, "fold", start, "y", lambda rows, m: fit_hybrid(rows, m, "y", epochs=1)[0])
+
+
+@query("g12_random_start_training")
+def _(spark, d):
+    df = stage(points(spark, d).select("x1", "x2", "y"))
+    _fitted, history = fit_gradient(df, random_model(["x1", "x2"], 6, "bell", "linear"), "y", "huber", Adam(0.05), steps=6)
+    return _steps(spark, history)
+
+
 # With one rule the model is a straight plane, whose fold errors SQL can fit with regr_* functions.
 @query("g18_one_rule_folds", f"""WITH {IN_SQL}, f AS (SELECT *, (l_orderkey % 7)::INTEGER AS fold FROM inp),
 fit AS (SELECT k::INTEGER AS fold, regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM f, range(7) t(k) WHERE f.fold <> k GROUP BY k)

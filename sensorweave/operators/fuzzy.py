@@ -97,6 +97,28 @@ def init_from_data(df: DataFrame, cols: Sequence[str], n_sets: int, kind: str =
     return spaced_model({c: (float(row[c][0]), float(row[c][1])) for c in cols}, n_sets, kind, rules, output)
 
 
+def random_model(inputs: Sequence[str], n_rules: int, kind: str = "gauss", output: str = "proportional",
+                 how: str = "uniform", seed: int = 0) -> FuzzyModel:
+    """Random paired-rule start for standardised inputs; ``init_from_data`` is the safer choice.
+
+    ``normal`` draws everything around 0, which leaves widths near 0: bell sets are unstable then.
+    """
+    # Uniform ranges of centres, widths and slopes, rule outputs; std of the normal draw.
+    centre, width, result, spread = (-1.5, 1.5), (0.7, 1.3), (-2.0, 2.0), 0.1
+    rng = np.random.default_rng(seed)
+
+    def draw(shape, bounds):
+        return rng.uniform(*bounds, size=shape) if how == "uniform" else rng.normal(0.0, spread, size=shape)
+
+    if how not in ("uniform", "normal"):
+        raise ValueError(f"unknown start {how}")
+    bounds = {"mu": centre, "c": centre, "sigma": width, "a": width, "b": width, "gamma": width}
+    sets = tuple(np.column_stack([draw(n_rules, bounds[p]) for p in PARAMS[kind]]) for _ in inputs)
+    coef, bias = start_coef(output, n_rules, len(inputs))
+    return FuzzyModel(tuple(inputs), kind, sets, paired_rules(n_rules, len(inputs)), output, draw(coef.shape, result),
+                      None if bias is None else draw(bias.shape, result))
+
+
 # --- scoring ---------------------------------------------------------------------------------------
 
 def set_memberships(model: FuzzyModel, cols: Sequence[Column] | None = None) -> list[list[Column]]:

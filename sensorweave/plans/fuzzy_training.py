@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorweave.functions.membership import evaluate, partials
-from sensorweave.functions.scaling import fold_stats
+from sensorweave.functions.scaling import Scaler, fold_stats
 from sensorweave.sources.stage import stage as stage_table
-from sensorweave.operators.fuzzy import HIGH, LOW, FuzzyModel, start_coef
+from sensorweave.operators.fuzzy import HIGH, LOW, FuzzyModel, predict, start_coef
 
 
 def _matrix(batch, names: Sequence[str]) -> np.ndarray:
@@ -244,15 +244,19 @@ def fit_hybrid(df: DataFrame, model: FuzzyModel, target: str, epochs: int = 5, r
     """Least squares for the rule outputs, then one gradient step on the sets, per epoch (G14): two jobs each.
 
     The step is ``rate`` divided by the size of the summed gradient. A step that leaves the sets
-    unusable (a width that is not positive) keeps that parameter as it was.
+    unusable (a width that is not positive) keeps that parameter as it was. Returns the best model met
+    and the sum of squared errors after every least-squares step.
     """
     errors: list[float] = []
     n_premise = sum(s.size for s in model.sets)
-    for _ in range(epochs):
+    best: tuple[float, FuzzyModel] | None = None
+    for epoch in range(epochs + 1):
         model, sse = fit_consequents(df, model, target, ridge)
         errors.append(sse)
-        if sse < tolerance:
-            return model, errors
+        if best is None or sse < best[0]:
+            best = sse, model
+        if epoch == epochs or sse < tolerance:
+            break
         _, grad, _ = total_gradient(df, model, target, "sse")
         grad = grad[:n_premise]
         rate = adapt_rate(rate, errors)
@@ -269,8 +273,7 @@ def fit_hybrid(df: DataFrame, model: FuzzyModel, target: str, epochs: int = 5, r
                 sets.append(new)
             moved = replace(moved, sets=tuple(sets))
         model = moved
-    model, sse = fit_consequents(df, model, target, ridge)
-    return model, [*errors, sse]
+    return best[1], errors
 
 
 def score_candidates(df: DataFrame, candidates: Sequence[FuzzyModel], target: str) -> DataFrame:
@@ -348,3 +351,29 @@ def evaluate_folds(df: DataFrame, fold: str, model: FuzzyModel, target: str, rid
     rows = df.select(F.col(fold).cast("double").alias("_fold"), *cols).mapInArrow(score, f"{fold} int, e double")
     return rows.groupBy(fold).agg(F.sum("e").alias("error_sum"), F.avg("e").alias("error_avg"),
                                   F.max("e").alias("error_max"), F.count("e").alias("n_rows"))
+
+
+def evaluate_folds_with(df: DataFrame, fold: str, model: FuzzyModel, target: str,
+                        fit: Callable[[DataFrame, FuzzyModel], FuzzyModel],
+                        stage: Callable[[DataFrame], DataFrame] = stage_table) -> DataFrame:
+    """``evaluate_folds`` for any training routine: ``fit(scaled training rows, model)`` runs once per fold.
+
+    One fold after the other, each fit distributed; for gradient or hybrid training of a few folds.
+    """
+    cols = list(dict.fromkeys([*model.inputs, target]))
+    df = stage(df.select(fold, *cols).dropna())
+    stats: dict[int, dict[str, tuple[float, float]]] = {}
+    for r in fold_stats(df, fold, cols, ddof=1).collect():  # folds x columns rows
+        stats.setdefault(int(r[fold]), {})[r["column"]] = (r["mean"], r["std"] or 1.0)
+    out = None
+    for f in sorted(stats):
+        scaler = Scaler(stats[f])
+        fitted = fit(scaler.transform(df.where(F.col(fold) != f)), model)
+        mean, std = stats[f][target]
+        test = predict(scaler.transform(df.where(F.col(fold) == f)), fitted)
+        test = test.select(fold, (F.col(target) * std + mean).alias("_y"), (F.col("prediction") * std + mean).alias("_p"))
+        e = F.abs(F.col("_y") - F.col("_p"))
+        part = test.groupBy(fold).agg(F.sum(e).alias("error_sum"), F.avg(e).alias("error_avg"),
+                                      F.max(e).alias("error_max"), F.count(e).alias("n_rows"))
+        out = part if out is None else out.unionByName(part)
+    return out

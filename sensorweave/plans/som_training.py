@@ -30,6 +30,7 @@ class TrainingParams:
     lr: float = 1.0
     sigma_decay: float = 0.1
     lr_decay: float = 0.1
+    max_iter: int | None = None  # length some schedules decay over; the number of epochs if not given
 
 
 def _partial_sums(df: DataFrame, features: str, books: Mapping[int, Codebook]) -> DataFrame:
@@ -109,7 +110,8 @@ def fit_many(df: DataFrame, starts: Mapping[int, Codebook], params: Mapping[int,
             if n.sum() == 0:
                 raise ValueError("no rows to train on")
             errors[c] = float(sq / n.sum())
-            sigma, lr = schedule(p.schedule, p.sigma, p.lr, sigma_decay=p.sigma_decay, lr_decay=p.lr_decay)(t, p.epochs)
+            sigma, lr = schedule(p.schedule, p.sigma, p.lr, sigma_decay=p.sigma_decay, lr_decay=p.lr_decay,
+                                 max_iter=p.max_iter)(t, p.epochs)
             h = neighbourhood(book, p.kernel, sigma, metric=p.metric, max_distance=p.max_distance)
             books[c] = _moved(book, n, sums, h, lr)
         history.append(errors)

@@ -144,6 +144,30 @@ def test_folds_equal_one_fit_per_fold(rows, per_pass):
         close([got[f].error_sum, got[f].error_avg, got[f].error_max], [e.sum(), e.mean(), e.max()], 1e-7)
 
 
+def test_folds_with_any_fit_agree_with_the_one_pass_form(rows):
+    m = Z.spaced_model({"a": (-1.5, 1.5), "b": (-1.5, 1.5)}, 2)
+    one = {r.f: r for r in T.evaluate_folds(rows, "f", m, "y").collect()}
+    each = {r.f: r for r in T.evaluate_folds_with(rows, "f", m, "y", lambda df, m: T.fit_consequents(df, m, "y")[0]).collect()}
+    for f in range(5):
+        close(list(one[f][1:]), list(each[f][1:]), 1e-7)
+
+
+def test_hybrid_returns_the_best_model_met(rows):
+    start = Z.init_from_data(rows, ["a", "b"], 2)
+    best, errors = T.fit_hybrid(rows, start, "y", epochs=6, rate=5.0)
+    assert np.isclose(((T.forward(X, best)[0] - Y) ** 2).sum(), min(errors), rtol=1e-4)
+
+
+def test_random_starts():
+    for kind in ("gauss", "bell", "sigmoid"):
+        for output in ("proportional", "linear", "sugeno"):
+            m = Z.random_model(["a", "b"], 4, kind, output, seed=1)
+            assert np.isfinite(T.forward(X, m)[0]).all() and len(T.pack(m)) > 0
+    assert abs(Z.random_model(["a"], 50, how="normal").sets[0]).max() < 1
+    with pytest.raises(ValueError):
+        Z.random_model(["a"], 2, how="other")
+
+
 # --- metrics -----------------------------------------------------------------------------------------------
 
 def test_huber_golden(spark):
