@@ -278,42 +278,58 @@ def _book_view(t):
                     rnd(F.aggregate("w", F.lit(0.0), lambda a, b: a + b)).alias("total"))
 
 
-def _epoch_sql(cb: str, out: str, lr: float, sigma: float) -> str:
+_P = "(pow(r - hr, 2) + pow(c - hc, 2))"
+_TRAIN_KERNELS = {
+    "exp": lambda s, step: f"exp(-pow(abs(r - hr) + abs(c - hc), 2) / (2 * {s} * {s}))",
+    "ceil": lambda s, step: f"(abs(r - hr) + abs(c - hc) <= ceil({s} * {step}))::DOUBLE",
+    "gaussian": lambda s, step: f"exp(-{_P} / (2 * {s} * {s}))",
+    "mexican_hat": lambda s, step: f"exp(-{_P} / (2 * {s} * {s})) * (1 - {_P} / ({s} * {s}))",
+    "bubble": lambda s, step: f"(abs(r - hr) < {s} AND abs(c - hc) < {s})::DOUBLE",
+    "triangle": lambda s, step: f"greatest({s} - abs(r - hr), 0) * greatest({s} - abs(c - hc), 0)",
+    "fixed_gaussian": lambda s, step: f"exp(-{_P} / ({s} * {s}))",
+    "square": lambda s, step: (f"exp(-{_P} / 2 / {s}) * (r - hr >= -{step} AND r - hr < {step} "
+                               f"AND c - hc >= -{step} AND c - hc < {step})::DOUBLE"),
+    "density": lambda s, step: f"{s} * exp(-pow({_P}, 2) / 2) / sqrt(2 * pi())",
+}
+
+
+def _epoch_sql(cb: str, out: str, lr: float, h: str) -> str:
+    """One batch epoch from map ``cb``: sums per neuron, kernel-weighted means, a step of ``lr`` towards them."""
     return f""", {out}_pairs AS (SELECT vec_id, features, bmu, list_distance(features, w) AS d FROM emb, {cb}),
 {out}_near AS (SELECT vec_id, features, arg_min(bmu, d) AS bmu FROM {out}_pairs GROUP BY vec_id, features),
 {out}_dims AS (SELECT bmu, i, sum(features[i]) AS s, count(*) AS n FROM {out}_near, range(1, 65) t(i) GROUP BY ALL),
-{out}_mix AS (SELECT b.bmu, b.r, b.c, i, sum(h * s) / sum(h * n) AS m FROM (SELECT x.*, {cb}.r AS hr, {cb}.c AS hc FROM {out}_dims x JOIN {cb} USING (bmu)) x,
-  LATERAL (SELECT bmu, r, c, exp(-pow(abs(r - hr) + abs(c - hc), 2) / (2 * {sigma} * {sigma})) AS h FROM {cb}) b GROUP BY ALL),
-{out} AS (SELECT o.bmu, o.r, o.c, list(o.w[i] + {lr} * (m - o.w[i]) ORDER BY i) AS w FROM {cb} o JOIN {out}_mix USING (bmu) GROUP BY ALL)"""
+{out}_pull AS (SELECT bmu, r, c, hit, {h} AS h FROM {cb}, (SELECT bmu AS hit, r AS hr, c AS hc FROM {cb})),
+{out}_mix AS (SELECT p.bmu, i, CASE WHEN abs(sum(h * n)) > 1e-12 THEN sum(h * s) / sum(h * n) END AS m
+  FROM {out}_pull p JOIN {out}_dims x ON x.bmu = p.hit GROUP BY ALL),
+{out} AS (SELECT o.bmu, o.r, o.c, list(coalesce(o.w[i] + {lr} * (m - o.w[i]), o.w[i]) ORDER BY i) AS w
+  FROM {cb} o JOIN {out}_mix USING (bmu) GROUP BY ALL)"""
 
 
-@query("n14_one_batch_epoch", f"WITH {CB_SQL} {_epoch_sql('cb', 'e1', 0.5, 0.8)} "
-       f"SELECT bmu, {R('w[1]', 6)} AS w1, {R('w[32]', 6)} AS w32, {R('list_sum(w)')} AS total FROM e1")
-def _(spark, d):
-    params = TrainingParams(epochs=1, kernel="exp", schedule="constant", sigma=0.8, lr=0.5)
-    return _book_view(fit(emb(spark, d), code25(spark, d), params)[0].table(spark))
-
-
-@query("n14_two_batch_epochs", f"WITH {CB_SQL} {_epoch_sql('cb', 'e1', 0.5, 0.8)} {_epoch_sql('e1', 'e2', 0.25, 0.4)} "
-       f"SELECT bmu, {R('w[1]', 6)} AS w1, {R('w[32]', 6)} AS w32, {R('list_sum(w)')} AS total FROM e2")
-def _(spark, d):
-    params = TrainingParams(epochs=2, kernel="exp", schedule="linear", sigma=0.8, lr=0.5)
-    return _book_view(fit(emb(spark, d), code25(spark, d), params)[0].table(spark))
+def _training_sql(p: TrainingParams) -> str:
+    at = C.schedule(p.schedule, p.sigma, p.lr, sigma_decay=p.sigma_decay, lr_decay=p.lr_decay)
+    sql, book = CB_SQL, "cb"
+    for t in range(p.epochs):
+        sigma, lr = (float(v) for v in at(t, p.epochs))
+        sql += _epoch_sql(book, f"e{t}", lr, _TRAIN_KERNELS[p.kernel](sigma, p.max_distance))
+        book = f"e{t}"
+    return (f"WITH {sql} SELECT bmu, {R('w[1]', 6)} AS w1, {R('w[32]', 6)} AS w32, {R('list_sum(w)')} AS total FROM {book}")
 
 
 for _name, _params in {
-    "n15_fixed_gaussian_trainer": TrainingParams(epochs=3, kernel="fixed_gaussian", sigma=1.5, lr=0.6, schedule="mix"),
-    "n15_square_step_trainer": TrainingParams(epochs=3, kernel="square", max_distance=3, sigma=1.0, lr=0.5, schedule="exp"),
-    "n15_density_trainer": TrainingParams(epochs=3, kernel="density", sigma=1.0, lr=0.5, schedule="exp"),
-    "n11_gaussian_asymptotic_trainer": TrainingParams(epochs=3, kernel="gaussian", sigma=1.0, lr=0.5, schedule="asymptotic"),
-    "n11_mexican_hat_trainer": TrainingParams(epochs=2, kernel="mexican_hat", sigma=0.7, lr=0.3, schedule="constant"),
-    "n11_bubble_trainer": TrainingParams(epochs=3, kernel="bubble", sigma=2.0, lr=0.5, schedule="constant"),
-    "n11_triangle_trainer": TrainingParams(epochs=3, kernel="triangle", sigma=2.0, lr=0.5, schedule="inv"),
+    "n14_one_batch_epoch": TrainingParams(epochs=1, kernel="exp", schedule="constant", sigma=0.8, lr=0.5),
+    "n14_two_batch_epochs": TrainingParams(epochs=2, kernel="exp", schedule="linear", sigma=0.8, lr=0.5),
+    "n14_disc_kernel_epochs": TrainingParams(epochs=2, kernel="ceil", schedule="linear", sigma=1.0, lr=0.5, max_distance=2.0),
+    "n15_fixed_gaussian_trainer": TrainingParams(epochs=2, kernel="fixed_gaussian", sigma=1.5, lr=0.6, schedule="mix"),
+    "n15_square_step_trainer": TrainingParams(epochs=2, kernel="square", max_distance=2, sigma=1.0, lr=0.5, schedule="exp"),
+    "n15_density_trainer": TrainingParams(epochs=2, kernel="density", sigma=1.0, lr=0.5, schedule="exp"),
+    "n11_gaussian_asymptotic_trainer": TrainingParams(epochs=2, kernel="gaussian", sigma=1.0, lr=0.5, schedule="asymptotic"),
+    "n11_mexican_hat_trainer": TrainingParams(epochs=1, kernel="mexican_hat", sigma=0.7, lr=0.3, schedule="constant"),
+    "n11_bubble_trainer": TrainingParams(epochs=2, kernel="bubble", sigma=2.0, lr=0.5, schedule="constant"),
+    "n11_triangle_trainer": TrainingParams(epochs=2, kernel="triangle", sigma=2.0, lr=0.5, schedule="inv"),
 }.items():
-    @query(_name)
+    @query(_name, _training_sql(_params))
     def _(spark, d, params=_params):
-        book, _history = fit(emb(spark, d), C.random_codebook(5, 5, 64, "unit", seed=1), params)
-        return A.quantization_error(A.assign(emb(spark, d), book))
+        return _book_view(fit(emb(spark, d), code25(spark, d), params)[0].table(spark))
 
 
 @query("n6_random_start")
@@ -362,6 +378,24 @@ def _(spark, d):
                                 *[F.lit(float(s)).alias(f"share{k + 1}") for k, s in enumerate(share)])
 
 
+@query("n30_two_column_components", """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate,
+  l_quantity AS u, l_extendedprice / 1000.0 AS v FROM lineitem),
+m AS (SELECT avg(u) AS mu, avg(v) AS mv, var_samp(u) AS a, var_samp(v) AS c, covar_samp(u, v) AS b FROM x),
+e AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS top FROM m),
+f AS (SELECT *, (top - c) / sqrt(pow(top - c, 2) + b * b) AS ax, b / sqrt(pow(top - c, 2) + b * b) AS ay FROM e)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, """ + R("(u - mu) * ax + (v - mv) * ay") + " AS pc1, "
+       + R("top / (a + c)", 6) + " AS share1 FROM x, f")
+def _(spark, d):
+    from sensorweave.catalog.base import LINE_KEY, lineitem
+
+    pair = [F.col("l_quantity"), F.col("l_extendedprice") / 1000.0]
+    df = lineitem(spark, d).select(*LINE_KEY, F.array(*pair).alias("features"))
+    mean, cov, _n = C.covariance(df, "features", 2)
+    axes, share = C.principal_axes(cov, 1)
+    pc1 = sum((F.col("features")[i] - float(mean[i])) * float(axes[i, 0]) for i in range(2))
+    return df.select(*LINE_KEY, rnd(pc1).alias("pc1"), rnd(F.lit(float(share[0])), 6).alias("share1"))
+
+
 @query("n30_projection_variance", """WITH e AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings)
 SELECT (round(sum(v) + 1e-7, 4) + 0.0) AS total_variance FROM (SELECT i, var_samp(x) AS v FROM e GROUP BY i)""")
 def _(spark, d):

@@ -164,22 +164,32 @@ def null_free_parts(df: DataFrame, spec: SeriesSpec, target: str, max_run: int)
     chunks = df.groupBy(*keys, spec.chunk).agg(
         F.min(spec.slot).alias("_lo"), F.max(spec.slot).alias("_hi"),
         F.sort_array(F.collect_list(F.when(F.col(target).isNotNull(), F.col(spec.slot)))).alias("_known"))
+    # Only cuts and edges go on to the per-series windows; the slots themselves stay behind.
+    last = F.size("_known") - 1
+    chunks = chunks.select(
+        *keys, "_lo", "_hi", spec.chunk, F.get("_known", F.lit(0)).alias("_from"), F.get("_known", last).alias("_to"),
+        F.filter(F.arrays_zip(F.slice("_known", F.lit(1), F.greatest(last, F.lit(0))).alias("a"),
+                              F.slice("_known", F.lit(2), F.greatest(last, F.lit(0))).alias("b")),
+                 lambda p: p["b"] - p["a"] - 1 > max_run).alias("_inner"))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy(spec.chunk).rowsBetween(Window.unboundedPreceding, -1)
     behind = whole.orderBy(F.desc(spec.chunk)).rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumns({
         "_first": F.min("_lo").over(whole), "_last": F.max("_hi").over(whole),
-        "_seen": F.last(F.array_max("_known"), True).over(before),
+        "_seen": F.last("_to", True).over(before),
     })
     none = F.array().cast("array<bigint>")
+
+    def cut(left: Column, right: Column, applies: Column) -> Column:
+        pair = F.array(F.struct(left.alias("a"), right.alias("b")))
+        return F.when(applies & (right - left - 1 > max_run), pair).otherwise(
+            F.array().cast("array<struct<a:bigint,b:bigint>>"))
+
     # Just outside the series counts as known, so runs at both ends are runs like any other.
-    points = F.concat(
-        F.array(F.coalesce(F.col("_seen"), F.col("_first") - 1)), F.col("_known"),
-        F.when(F.col("_hi") == F.col("_last"), F.array(F.col("_last") + 1)).otherwise(none))
-    chunks = chunks.withColumn("_points", points).withColumn("_cuts", F.filter(
-        F.arrays_zip(F.expr("slice(_points, 1, size(_points) - 1)").alias("a"),
-                     F.expr("slice(_points, 2, size(_points) - 1)").alias("b")),
-        lambda p: p["b"] - p["a"] - 1 > max_run))
+    seen = F.coalesce(F.col("_seen"), F.col("_first") - 1)
+    chunks = chunks.withColumn("_cuts", F.concat(
+        cut(seen, F.col("_from"), F.col("_from").isNotNull()), F.col("_inner"),
+        cut(F.coalesce(F.col("_to"), seen), F.col("_last") + 1, F.col("_hi") == F.col("_last"))))
     chunks = chunks.withColumn("_next", F.last(F.expr("get(_cuts, 0).a"), True).over(behind))
     start = F.when(F.col("_lo") == F.col("_first"), F.array(F.col("_first"))).otherwise(none)
     chunks = chunks.withColumn("_starts", F.concat(start, F.expr("_cuts.b"))).withColumn(
