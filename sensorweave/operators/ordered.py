@@ -74,13 +74,14 @@ def bucket_width(df: DataFrame, spec: SeriesSpec, max_rows: int = 2_000_000,
     return widths[-1]
 
 
-def add_slot(df: DataFrame, spec: SeriesSpec, bucket_seconds: int = 3600) -> DataFrame:
+def add_slot(df: DataFrame, spec: SeriesSpec, bucket_seconds: int | None = 3600) -> DataFrame:
     """0-based row position inside each series, for rows that sit on no grid.
 
     Rows are numbered inside time buckets; the bucket counts, summed per series, give the offset. One
     task sorts one bucket of one series, so choose narrower buckets for denser data; the summary
-    has one row per non-empty bucket.
+    has one row per non-empty bucket. ``None`` measures the data first (``bucket_width``).
     """
+    bucket_seconds = bucket_seconds or bucket_width(df, spec)
     df = df.withColumn("_bucket", _time_bucket(spec, bucket_seconds))
     keys = list(spec.keys)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*_ALL_BEFORE)
@@ -96,8 +97,9 @@ def add_slot(df: DataFrame, spec: SeriesSpec, bucket_seconds: int = 3600) -> Dat
     )
 
 
-def previous_time(df: DataFrame, spec: SeriesSpec, out: str, bucket_seconds: int = 3600) -> DataFrame:
-    """Timestamp of the row before, null on the first row of a series."""
+def previous_time(df: DataFrame, spec: SeriesSpec, out: str, bucket_seconds: int | None = 3600) -> DataFrame:
+    """Timestamp of the row before, null on the first row of a series. ``bucket_seconds`` as in ``add_slot``."""
+    bucket_seconds = bucket_seconds or bucket_width(df, spec)
     df = df.withColumn("_bucket", _time_bucket(spec, bucket_seconds))
     keys = list(spec.keys)
     across = Window.partitionBy(*keys).orderBy("_bucket")

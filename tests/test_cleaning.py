@@ -186,6 +186,7 @@ def test_bucket_width_adapts_to_a_burst(spark):
     out = minute_gaps(burst, RAW, bucket_seconds=10)
     assert out.where("gap_min IS NULL").count() == 1
     assert np.isclose(out.agg(F.sum("gap_min")).first()[0], 4000)
+    assert sorted(minute_gaps(burst, RAW, bucket_seconds=None).collect()) == sorted(out.collect())
 
 
 def reference_clean(times, x, y, p):
