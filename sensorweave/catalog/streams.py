@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from sensorweave.catalog.base import EV, EV1, R, code25, emb, events, query, rnd, table
+from sensorweave.catalog.base import CB_SQL, EV, R, code25, emb, events, query, rnd, table
 from sensorweave.catalog.fuzzy import IN_SQL, SUGENO, _G, _GRID, _SUGENO_NUM, model, weights_sql
-from sensorweave.catalog.maps import SPLIT_SQL, _knn_sql, _qe_sql, train
+from sensorweave.catalog.maps import SPLIT_SQL, _TRAIN_KERNELS, _epoch_sql, _knn_sql, _qe_sql, train
 from sensorweave.operators.assign import assign, quantization_error
 from sensorweave.operators.novelty import training_stats
 from sensorweave.sources.models import read_codebook
@@ -66,7 +66,11 @@ def _(spark, d):
     return _run(spark, scored.select("vec_id", "knn"), "knn").select("vec_id", rnd("knn").alias("knn"))
 
 
-@query("x4_n16_online_map_update")
+# All files arrive in one micro-batch, so the stream makes one batch step.
+@query("x4_n16_online_map_update", f"""WITH {CB_SQL} {_epoch_sql('cb', 'e0', 0.5, _TRAIN_KERNELS['exp'](0.5, 0))},
+q AS (SELECT -1 AS version, vec_id, min(list_distance(features, w)) AS d FROM emb, cb GROUP BY vec_id
+  UNION ALL SELECT 0, vec_id, min(list_distance(features, w)) FROM emb, e0 GROUP BY vec_id)
+SELECT version, {R('avg(d)', 6)} AS quantization_error FROM q GROUP BY 1""")
 def _(spark, d):
     path = new_path(spark, "codebook")
     book = code25(spark, d)
@@ -76,7 +80,8 @@ def _(spark, d):
     rows = emb(spark, d)
     versions = quantization_error(assign(rows, book)).select(F.lit(-1).alias("version"), "quantization_error")
     after = quantization_error(assign(rows, read_codebook(spark, f"{path}/version=0")))
-    return versions.unionByName(after.select(F.lit(0).alias("version"), "quantization_error"))
+    out = versions.unionByName(after.select(F.lit(0).alias("version"), "quantization_error"))
+    return out.select("version", rnd("quantization_error", 6).alias("quantization_error"))
 
 
 _LINE_IDS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"

@@ -133,10 +133,8 @@ def nearest_known(df: DataFrame, spec: SeriesSpec, values: Mapping[str, Column],
     """
     keys = [*spec.keys, spec.chunk]
     slot = F.col(spec.slot)
-    for name, value in values.items():
-        df = df.withColumn(f"_v_{name}", value).withColumn(
-            f"_s_{name}", F.when(F.col(f"_v_{name}").isNotNull(), slot)
-        )
+    df = df.withColumns({f"_v_{name}": value for name, value in values.items()})
+    df = df.withColumns({f"_s_{name}": F.when(F.col(f"_v_{name}").isNotNull(), slot) for name in values})
     edges = []
     for name in values:
         v, s = f"_v_{name}", f"_s_{name}"
