@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sensorweave.catalog.base import QUERIES, SENSORS, complete_sens, lineitem, SENS
+from sensorweave.catalog.base import QUERIES, SENS, lineitem
 from sensorweave.catalog.features import XS, days_of
 from sensorweave.functions.scaling import Scaler
 from sensorweave.operators.assign import assign, quantization_error

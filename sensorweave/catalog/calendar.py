@@ -5,8 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from sensorweave.catalog.base import (
-    COMPLETE_SQL, DENSE_SQL, EV, EV1, R, SEG, SEGMENTED_SQL, SENS, SENSORS, SENS_SQL, complete_sens, dense_sens,
-    events, query, rnd, segmented, sens, table, wide_events,
+    COMPLETE_SQL, DENSE_SQL, EV, EV1, R, SEG, SEGMENTED_SQL, SENS, SENSORS, complete_sens, dense_sens,
+    events, query, rnd, segmented, table,
 )
 from sensorweave.operators.calendar import (
     between_time, calendar_parts, drop_days, mean_by, month_weekday_matrix, nth_day, number_days,

@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from sensorweave.catalog.base import (
-    COMPLETE_SQL, DENSE_SQL, EV, EV1, R, SEG, SEGMENTED_SQL, SENS, SENSORS, STEP, dense_sens, events,
+    EV, R, SEG, SEGMENTED_SQL, SENS, SENSORS, STEP, events,
     query, rnd, segmented, wide_events,
 )
-from sensorweave.operators.ordered import minute_gaps, run_lengths, with_chunk
+from sensorweave.operators.ordered import minute_gaps, run_lengths
 from sensorweave.operators.segments import (
     align_rate, best_phase, interpolate, keep_long, largest_segment, phase_nulls, segment_by_gap,
     segments, split_on_null_runs,

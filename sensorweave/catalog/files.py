@@ -2,11 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from sensorweave.catalog.base import LINE_KEY, R, code25, emb, events, lineitem, query, rnd
+from sensorweave.catalog.base import CB_SQL, R, code25, emb, events, query, rnd
 from sensorweave.catalog.cleaning import _GAP_SQL, EV
 from sensorweave.catalog.fuzzy import IN_SQL, SUGENO, _G, _GRID, _SUGENO_NUM, model, points, weights_sql
 from sensorweave.catalog.maps import NEAR_SQL, _book_view
-from sensorweave.catalog.base import CB_SQL
 from sensorweave.operators.assign import assign
 from sensorweave.operators.fuzzy import predict
 from sensorweave.operators.segments import segment_by_gap

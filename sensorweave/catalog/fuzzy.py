@@ -3,8 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sensorweave.catalog.base import DAILY, LINE_KEY, R, complete_sens, daily, lineitem, query, rnd, table
-from sensorweave.catalog.features import SUP_SQL, supervised_set
+from sensorweave.catalog.base import DAILY, LINE_KEY, R, daily, lineitem, query, rnd
+from sensorweave.catalog.features import supervised_set
 from sensorweave.functions.membership import membership
 from sensorweave.functions.metrics import abs_error_summary, regression_summary, residuals
 from sensorweave.operators.features import lag_embed

@@ -3,12 +3,12 @@
 from pyspark.sql import functions as F
 
 from sensorweave.catalog.base import (
-    CB_SQL, COMPLETE_SQL, EMB_SQL, NEAR_SQL, R, SENS, SENSORS, code25, complete_sens, emb, query, rnd, table,
+    CB_SQL, COMPLETE_SQL, EMB_SQL, NEAR_SQL, R, SENS, SENSORS, code25, complete_sens, emb, query, rnd,
 )
 from sensorweave.operators import assign as A
 from sensorweave.operators import codebook as C
 from sensorweave.operators import novelty as V
-from sensorweave.operators.diagnostics import centroid, centroid_spread, dispersion
+from sensorweave.operators.diagnostics import centroid_spread, dispersion
 from sensorweave.plans.novelty_run import NoveltyRun, working_hours_novelty
 from sensorweave.sources.stage import stage
 from sensorweave.plans.som_training import TrainingParams, fit, fit_many, sweep, update_one

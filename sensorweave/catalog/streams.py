@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sensorweave.catalog.base import CB_SQL, EV, R, code25, emb, events, query, rnd, table
+from sensorweave.catalog.base import CB_SQL, EV, R, code25, emb, query, rnd, table
 from sensorweave.catalog.fuzzy import IN_SQL, SUGENO, _G, _GRID, _SUGENO_NUM, model, weights_sql
 from sensorweave.catalog.maps import SPLIT_SQL, _TRAIN_KERNELS, _epoch_sql, _knn_sql, _qe_sql, train
 from sensorweave.operators.assign import assign, quantization_error

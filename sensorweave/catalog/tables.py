@@ -1,14 +1,11 @@
 """Reports, scaling and metrics on whole tables."""
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from sensorweave.catalog.base import (
     DENSE_SQL, LINE, LINE_KEY, R, SEG, SEGMENTED_SQL, SENSORS, dense_sens, emb, lineitem, query, rnd, segmented, table,
 )
 from sensorweave.catalog.cleaning import runs_sql
-from sensorweave.catalog.features import supervised_set, SUP_SQL
 from sensorweave.catalog.maps import _BIN_SQL, _binary
 from sensorweave.functions import metrics as M
 from sensorweave.functions.scaling import (

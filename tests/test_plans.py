@@ -15,7 +15,7 @@ from sensorweave.operators.segments import (
     align_rate, attach_parts, grid_segments, interpolate, null_free_parts, segment_by_gap,
 )
 from sensorweave.sources.stage import stage
-from tests.helpers import T0, gridded, with_gaps
+from tests.helpers import gridded, with_gaps
 
 K = SeriesSpec(keys=("k",))
 
