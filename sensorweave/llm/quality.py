@@ -46,8 +46,8 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     hashes = F.transform(words, lambda w: F.xxhash64(w))
 
     def windows(h):
-        return F.transform(F.sequence(F.lit(0), F.size(h) - window),
-                           lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(window)]))
+        keys = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, window)]))
+        return F.slice(keys, 1, F.size(h) - (window - 1))
 
     def cover(keys):
         pairs = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
@@ -107,9 +107,8 @@ def default_rules(text: str = "text") -> list[Rule]:
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 12 * n)),
         Rule("exclamation", 10 * count_of(t, "!") > 3 * n),
         Rule("duplicate_lines", 2 * F.col("n_dup_lines") > lines),
-        Rule("upper_case", 2 * count_of(t, r"\p{Lu}") > count_of(t, r"\p{L}")),
-        Rule("letters", 10 * count_of(t, r"\p{L}") < 4 * F.col("word_chars")),
-        Rule("wordless", 10 * F.size(F.filter(words_of(t), lambda w: w.rlike(r"\p{L}"))) < 4 * n),
+        Rule("upper_case", 2 * count_of(t, r"\p{Lu}") > F.col("word_chars")),
+        Rule("marks", 10 * count_of(t, r"!-@\[-`{-~") > 6 * F.col("word_chars")),
     ]
 
 
