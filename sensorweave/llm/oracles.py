@@ -52,15 +52,14 @@ c AS (
   SELECT rid, doc_id, text, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
-    length(regexp_replace(text, '[^!]+', '', 'g')) AS marks, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS upper,
-    length(regexp_replace(text, '[^!-@\[-`{{-~]+', '', 'g')) AS signs FROM d),
+    length(regexp_replace(text, '[^!]+', '', 'g')) AS marks, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS upper FROM d),
 b AS (
   SELECT c.*, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM c LEFT JOIN rep USING (rid)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
-    OR 10 * marks > 3 * n_words OR 2 * n_dup_lines > len(lines) OR 2 * upper > word_chars OR 10 * signs > 6 * word_chars) AS kept
+    OR 10 * marks > 3 * n_words OR 2 * n_dup_lines > len(lines) OR 2 * upper > word_chars) AS kept
 FROM v"""
 
 OP9 = r"""

@@ -70,23 +70,24 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 
 def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``.
+    """Add ``n_words``, ``word_chars``, ``n_symbols``, ``n_lines``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``.
 
     A null text has no words and counts zero throughout, so it fails the base. Columns of the input
     with one of these names are replaced.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumn("_words", words_of(F.col(text)))
+    df = df.withColumns({"_words": words_of(F.col(text)), "_lines": lines})
     df = df.withColumns({
+        "n_lines": F.size("_lines").cast("long"),
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.char_length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_words")),
     })
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return df.drop("_words").withColumn("base_failed", failed)
+    return df.drop("_words", "_lines").withColumn("base_failed", failed)
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -101,14 +102,12 @@ def default_rules(text: str = "text") -> list[Rule]:
     """
     t = F.col(text)
     n = F.col("n_words")
-    lines = F.size(F.filter(F.split(F.coalesce(t, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return [
         Rule("symbols", 10 * F.col("n_symbols") > 3 * n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 12 * n)),
         Rule("exclamation", 10 * count_of(t, "!") > 3 * n),
-        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > lines),
+        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
         Rule("upper_case", 2 * count_of(t, r"\p{Lu}") > F.col("word_chars")),
-        Rule("marks", 10 * count_of(t, r"!-@\[-`{-~") > 6 * F.col("word_chars")),
     ]
 
 
