@@ -28,7 +28,7 @@ from sensorweave.llm.common import tokenizer_file
 SPACE = "▁"
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 #: Characters of the texts whose lattices are built and sampled together.
-BATCH_CHARS = 3_000_000
+BATCH_CHARS = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -170,39 +170,39 @@ class Lattices:
             value = logp[arcs] + back[end[arcs]]
             top = np.maximum.reduceat(value, cut)
             back[s] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, w)), cut))
-        self.state, self.end, self.piece, self.first = state, end, piece, first
+        self.end, self.piece, self.first = end.astype(np.int32), piece.astype(np.int32), first
         self.logp = logp + back[end] - back[state]
         share = np.exp(self.logp)
         total = np.cumsum(share)
-        self.upto = total - np.concatenate([[0.0], total])[first[self.state]]
+        self.upto = (total - np.concatenate([[0.0], total])[first[state]]).astype(np.float32)
         self.upto[first[1:][width > 0] - 1] = 2.0  # rounding never passes the last arc
 
     def draw(self, units: np.ndarray, noise) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each unit a segmentation: arcs, sorted by the place of their unit in ``units``, that place, and
-        the log-probability per unit. ``noise(places, step)`` gives numbers in (0, 1)."""
+        """For each unit a segmentation: all arcs in the sequence of the units, arcs per unit, and the
+        log-probability per unit. ``noise(places, step)`` gives numbers in (0, 1)."""
         total = np.zeros(len(units))
+        sizes = np.zeros(len(units), np.int64)
         where = np.arange(len(units))
         state = self.begin[units]
-        arcs, places = [], []
-        step = 0
+        drawn = []
         while len(where):
-            u = noise(where, step)
+            u = noise(where, len(drawn))
             arc = self.first[state]
             over = np.flatnonzero(u >= self.upto[arc])
             while len(over):
                 arc[over] += 1
                 over = over[u[over] >= self.upto[arc[over]]]
             total[where] += self.logp[arc]
-            arcs.append(arc)
-            places.append(where)
+            drawn.append((where, arc))
+            sizes[where] = len(drawn)
             state = self.end[arc]
-            more = self.first[state + 1] > self.first[state]
+            more = np.flatnonzero(self.first[state + 1] > self.first[state])
             where, state = where[more], state[more]
-            step += 1
-        place = np.concatenate(places) if places else np.zeros(0, np.int64)
-        order = np.argsort(place, kind="stable")
-        arc = np.concatenate(arcs)[order] if arcs else np.zeros(0, np.int64)
-        return arc, place[order], total
+        start = np.cumsum(sizes) - sizes
+        arcs = np.empty(int(sizes.sum()), np.int64)
+        for step, (where, arc) in enumerate(drawn):
+            arcs[start[where] + step] = arc
+        return arcs, sizes, total
 
     def ids(self, arcs: np.ndarray, byte_ids: np.ndarray) -> np.ndarray:
         """Piece ids of arcs, spelled characters as their bytes."""
@@ -394,8 +394,7 @@ def _draw_all(lattices: Lattices, jobs: list[tuple], salt: int) -> None:
         return
     parts = [r.units[at + (first is not None):] for r, _, at, _, _, first in jobs]
     units = np.concatenate(parts)
-    owner = np.repeat(np.arange(len(jobs)), [len(p) for p in parts])
-    seeds = np.array([j[0].seed for j in jobs], np.uint64)[owner]
+    seeds = np.repeat(np.array([j[0].seed for j in jobs], np.uint64), [len(p) for p in parts])
     spot = np.concatenate([np.arange(j[2] + (j[5] is not None), j[2] + (j[5] is not None) + len(p)) for j, p in zip(jobs, parts)])
     start = _mix(seeds + spot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.full(1, salt, np.uint64))
 
@@ -404,8 +403,7 @@ def _draw_all(lattices: Lattices, jobs: list[tuple], salt: int) -> None:
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
-    arcs, place, logp = lattices.draw(units, noise)
-    sizes = np.bincount(place, minlength=len(units))
+    arcs, sizes, logp = lattices.draw(units, noise)
     unit_cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     arc_cuts = np.concatenate([[0], np.cumsum(sizes)])
     for j, (r, base, at, head, score, first) in enumerate(jobs):
