@@ -19,6 +19,8 @@ BITS = 64
 BLOCK = 65_536
 #: Signatures with more members than this are linked by shared neighbours in place of pairs.
 CROWD = 32
+#: Signatures of three members and more are broadcast up to this many (16 bytes each); Spark joins beyond it.
+BROADCAST_SIGNATURES = 500_000
 
 
 def shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -92,7 +94,9 @@ def links(fps: DataFrame, label: str = "simhash") -> DataFrame:
     near = distance(F.col("a"), F.col("b")) <= 2
     twos = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(near)
 
-    several = stage(keyed.join(buckets.where("n > 2").select("key", "n"), "key"), label)
+    more = buckets.where("n > 2").select("key", "n")
+    small = F.broadcast if more.count() <= BROADCAST_SIGNATURES else (lambda x: x)
+    several = stage(keyed.join(small(more), "key"), label)
     few = several.where(F.col("n") <= CROWD)
     pairs = (few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key")
              .where((F.col("a") < F.col("b")) & near).select("a", "b"))
