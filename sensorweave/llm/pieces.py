@@ -139,8 +139,10 @@ class Lattices:
         self.spelled = [chars[i].encode() for i in odd.tolist()]
         state.append(odd)
         end.append(odd + 1)
-        piece.append(-1 - np.arange(len(odd)))  # below zero: a spelled character
-        rare = v.rarest * np.array([len(x) for x in self.spelled], np.float64)
+        length = np.array([len(x) for x in self.spelled], np.int64)
+        single = np.array([v.byte_ids[x[0]] for x in self.spelled], np.int64)
+        piece.append(np.where(length == 1, single, -1 - np.arange(len(odd))))  # below zero: a spelled character
+        rare = v.rarest * length
         # longest pieces first: mostly the likeliest of a state, which the draw looks at first
         odd_piece, odd_state, odd_end = piece.pop(), state.pop(), end.pop()
         piece = np.concatenate([*piece[::-1], odd_piece])
@@ -230,8 +232,7 @@ def uniform(seeds: np.ndarray, a: np.ndarray | int, b: int) -> np.ndarray:
 
 def _below(location, bound, u):
     """Gumbel noise at ``location`` given that it is below ``bound``."""
-    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        return location - np.logaddexp(location - bound, np.log(-np.log(u)))
+    return location - np.logaddexp(location - bound, np.log(-np.log(u)))
 
 
 class _Number(dict):
@@ -260,12 +261,12 @@ def _extend(row: _Row, base: dict | None, at: int, head: float, score: float, ar
     was left out at each drawn unit as one open set per path (largest first found by ``_best``)."""
     n = len(logps)
     run = head + np.concatenate([[0.0], np.cumsum(logps)])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rest = run[:-1] + np.log(-np.expm1(np.minimum(logps, 0.0)))
-        rest[logps > -1e-12] = -np.inf
-    u = uniform(np.full(n, row.seed, np.uint64), np.arange(at, at + n), salt)
-    left = _below(rest, score, u)
-    left[np.isneginf(rest)] = -np.inf
+    rest = np.full(n, -np.inf)
+    free = np.flatnonzero(logps < -1e-12)
+    rest[free] = run[free] + np.log(-np.expm1(logps[free]))
+    u = uniform(np.full(1, row.seed, np.uint64), np.arange(at, at + n), salt)
+    left = np.full(n, -np.inf)
+    left[free] = _below(rest[free], score, u[free])
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     sample = {"base": base, "at": at, "arcs": arcs, "cuts": cuts, "run": run, "score": score, "logp": float(run[-1]),
               "left": left, "taken": {}}
@@ -296,18 +297,29 @@ def _path(s: dict, upto: int | None = None) -> list[np.ndarray]:
     return [*parts, s["arcs"][:s["cuts"][end]]]
 
 
+def _chance(seed: int, a: int, b: int) -> float:
+    """``uniform`` for one number."""
+    mask = (1 << 64) - 1
+    x = (seed + a * 0x9E3779B97F4A7C15 + b * 0xD6E8FEB86659FD93) & mask
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+    return (((x ^ (x >> 31)) >> 11) + 0.5) / (1 << 53)
+
+
 def _branch_unit(lattices: Lattices, unit: int, banned: set, seed: int, salt: int) -> tuple[np.ndarray, float]:
     """A segmentation of one unit other than the banned ones: drawn until one is new."""
-    tries = 0
-    one = np.array([unit])
-    while True:
-        noise = lambda places, step: uniform(np.full(len(places), seed, np.uint64), np.full(len(places), tries), salt + 7919 * step)
-        arc, _, logp = lattices.draw(one, noise)
-        if tuple(arc.tolist()) not in banned:
-            return arc, float(logp[0])
-        tries += 1
-        if tries >= 64:
-            return _rest_unit(lattices, unit, banned, uniform(np.array([seed], np.uint64), 0, salt)[0])
+    first, upto = lattices.first, lattices.upto
+    for tries in range(64):
+        state, path = int(lattices.begin[unit]), []
+        while (arc := int(first[state])) < first[state + 1]:
+            u = _chance(seed, tries, salt + 7919 * len(path))
+            while u >= upto[arc]:
+                arc += 1
+            path.append(arc)
+            state = int(lattices.end[arc])
+        if tuple(path) not in banned:
+            return np.array(path, np.int64), float(lattices.logp[path].sum())
+    return _rest_unit(lattices, unit, banned, _chance(seed, 0, salt))
 
 
 def _rest_unit(lattices: Lattices, unit: int, banned: set, u: float) -> tuple[np.ndarray, float]:
@@ -326,7 +338,7 @@ def _rest_unit(lattices: Lattices, unit: int, banned: set, u: float) -> tuple[np
         pick = min(pick, len(arcs) - 1)
         while share[pick] <= 0 and pick:
             pick -= 1
-        u = float(uniform(np.array([int(u * (1 << 53))], np.uint64), len(path), 3)[0])
+        u = _chance(int(u * (1 << 53)), len(path), 3)
         path.append(int(arcs[pick]))
         total += float(lattices.logp[arcs[pick]])
         state = int(lattices.end[arcs[pick]])
@@ -349,7 +361,7 @@ def sample(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k: int, s
     jobs = []
     for r in rows:
         if len(r.units):
-            u = float(uniform(np.array([r.seed], np.uint64), 0, 1)[0])
+            u = _chance(r.seed, 0, 1)
             jobs.append((r, None, 0, 0.0, -np.log(-np.log(u)), None))
         else:
             r.samples.append({"base": None, "at": 0, "arcs": np.zeros(0, np.int64), "cuts": np.zeros(1, np.int64),
@@ -371,7 +383,7 @@ def sample(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k: int, s
             # what is still left out at this unit, below the score just taken
             mass = sum(np.exp(sum(float(lattices.logp[a]) for a in b)) for b in banned)
             rest = s["run"][i] + np.log1p(-mass) if mass < 1 - 1e-9 else -np.inf
-            u = uniform(np.array([r.seed], np.uint64), at, 1000 * round_ + 17)[0]
+            u = _chance(r.seed, at, 1000 * round_ + 17)
             s["left"][i] = _below(rest, score, u) if rest > -np.inf else -np.inf
             jobs.append((r, s, at, float(s["run"][i]), score, (arc, logp)))
         everything(jobs, 10 + 1000 * round_)
