@@ -2,13 +2,16 @@
 
 A suffix matters only through its first ``length`` bytes, its window. Windows that start next to each
 other choose the same sample byte string (the one with the smallest hash in the window), so the sort
-carries one row per run of such windows. Three most-significant-digit passes follow, each over the
-survivors of the one before:
+carries one row per run of such windows. Most-significant-digit passes follow, each over the survivors of
+the one before:
 
 1. the sample string itself: a run whose sample occurs once holds no repeated window;
-2. all bytes the run's windows cover: runs that agree here repeat window for window;
-3. single windows at full depth, for the first of each group of pass 2 that shares its sample with
-   another group: the places where a repeat starts or ends.
+2. all bytes the run's windows cover: runs that agree here repeat window for window, and only the first
+   of each such group goes on, if another group shares its sample;
+3. the bytes that blocks of eight neighbouring windows (by their offset to the sample) have in common: a
+   block whose common bytes occur once holds no repeated window;
+4. all bytes the block's windows cover, as in pass 2;
+5. single windows at full depth: the places where a repeat starts or ends.
 
 Equal windows choose equal samples at equal offsets, so they always meet; groups that stay equal through
 the last pass are exactly the repeated windows.
@@ -62,8 +65,9 @@ class Sampler:
         h ^= h >> np.uint64(29)
         return h
 
-    def runs(self, data: bytes) -> Iterator[tuple[int, int, int]]:
-        """(start, windows, sample hash) of each run, in order, for a text of at least ``length`` bytes."""
+    def runs(self, data: bytes) -> Iterator[tuple[int, int, int, int]]:
+        """(start, windows, sample hash, sample's offset in the first window) of each run, in order, for a
+        text of at least ``length`` bytes."""
         last = len(data) - self.length + 1
         for at in range(0, last, BLOCK):
             n = min(BLOCK, last - at)
@@ -80,35 +84,81 @@ class Sampler:
             cuts = np.flatnonzero(np.diff(place)) + 1
             starts = np.concatenate([[0], cuts])
             ends = np.concatenate([cuts, [n]])
-            for s, e, h in zip(starts.tolist(), ends.tolist(), hashes[place[starts]].view(np.int64).tolist()):
-                yield at + s, e - s, h
+            spots = place[starts]
+            for s, e, h, a in zip(starts.tolist(), ends.tolist(), hashes[spots].view(np.int64).tolist(), spots.tolist()):
+                yield at + s, e - s, h, a - s
 
 
-_RUN = [("h", pa.int64()), ("c", pa.int64()), ("p", pa.int64()), ("n", pa.int32())]
+_RUN = [("h", pa.int64()), ("c", pa.int64()), ("p", pa.int64()), ("n", pa.int32()), ("o", pa.int32())]
+#: Neighbouring windows that pass 3 tests together.
+STEP = 8
 
 
 def _runs(rows: DataFrame, length: int) -> DataFrame:
-    """``doc``, ``tie`` and every run: sample hash ``h``, hash of the run's bytes ``c``, start ``p``, windows ``n``."""
+    """``doc``, ``tie`` and every run: sample hash ``h``, hash of the run's bytes ``c``, start ``p``, windows ``n``, offset ``o``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(length)
         for b in batches:
-            owner, h, c, p, n = [], [], [], [], []
+            owner, h, c, p, n, o = [], [], [], [], [], []
             for i, value in enumerate(b.column("data")):
                 data = value.as_py() or b""
                 if len(data) < length:
                     continue
-                for start, windows, code in sampler.runs(data):
+                for start, windows, code, offset in sampler.runs(data):
                     owner.append(i)
                     h.append(code)
                     c.append(xxh3_64_intdigest(data[start:start + windows + length - 1]) - (1 << 63))
                     p.append(start)
                     n.append(windows)
+                    o.append(offset)
             own = pa.array(owner, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc").take(own), b.column("tie").take(own),
-                 *[pa.array(v, t) for v, (_, t) in zip((h, c, p, n), _RUN)]], names=["doc", "tie", *[x for x, _ in _RUN]])
+                 *[pa.array(v, t) for v, (_, t) in zip((h, c, p, n, o), _RUN)]], names=["doc", "tie", *[x for x, _ in _RUN]])
 
-    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, tie long, h long, c long, p long, n int")
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, tie long, h long, c long, p long, n int, o int")
+
+
+def blocks_of(data: bytes, start: int, windows: int, offset: int, length: int) -> Iterator[tuple[int, ...]]:
+    """A run's blocks: number, hash of the bytes common to its windows, start, windows, offset, hash of all its bytes.
+
+    A block is the windows with sample offsets from ``STEP * j`` to ``STEP * j + STEP - 1``; a run may own a part.
+    """
+    i = 0
+    while i < windows:
+        at = offset - i
+        j = at // STEP
+        n = min(windows - i, at - STEP * j + 1)
+        sample = start + offset
+        core = data[sample - STEP * j:sample - STEP * j - STEP + 1 + length]
+        hull = data[start + i:start + i + n - 1 + length]
+        yield j, xxh3_64_intdigest(core) - (1 << 63), start + i, n, at, xxh3_64_intdigest(hull) - (1 << 63)
+        i += n
+
+
+_BLOCK = [("h", pa.int64()), ("j", pa.int32()), ("core", pa.int64()), ("p", pa.int64()), ("n", pa.int32()),
+          ("o", pa.int32()), ("c", pa.int64())]
+
+
+def _blocks(rows: DataFrame, length: int) -> DataFrame:
+    """The blocks of the listed runs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, made = [], []
+            for i in range(b.num_rows):
+                data = b.column("data")[i].as_py() or b""
+                for r in b.column("_runs")[i].as_py():
+                    for x in blocks_of(data, r["p"], r["n"], r["o"], length):
+                        owner.append(i)
+                        made.append((r["h"], *x))
+            own = pa.array(owner, pa.int32())
+            cols = list(zip(*made)) if made else [[]] * len(_BLOCK)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc").take(own), b.column("tie").take(own), *[pa.array(v, t) for v, (_, t) in zip(cols, _BLOCK)]],
+                names=["doc", "tie", *[x for x, _ in _BLOCK]])
+
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, tie long, h long, j int, core long, "
+                                "p long, n int, o int, c long")
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
@@ -139,24 +189,36 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ``rows`` has ``doc``, ``tie`` (both order the documents) and ``data`` (binary). Ranges may overlap.
     """
-    runs = stage(_runs(rows, length), "substrings-runs")
-    # pass 1: first digit
-    shared = runs.groupBy("h").agg(F.count(F.lit(1)).alias("_k"), (F.min("c") != F.max("c")).alias("mixed")).where("_k > 1")
-    left = stage(runs.join(shared.select("h", "mixed"), "h"), "substrings-left")
-    discard(runs)
-    # pass 2: the whole run
-    groups = stage(left.groupBy("h", "c").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("_k"),
-                                              F.max("n").alias("n"), F.max("mixed").alias("mixed")), "substrings-groups")
-    copies = (left.join(groups.where("_k > 1").select("h", "c", "first"), ["h", "c"])
-              .where(_place() != F.col("first")).select("doc", "tie", F.col("p").alias("a"), (F.col("p") + F.col("n") + length - 1).alias("b")))
-    # pass 3: windows one by one where groups of one sample differ
-    edges = groups.where("mixed").select("first.*", "n").groupBy("doc", "tie").agg(F.collect_list(F.struct("p", "n")).alias("_runs"))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("doc", "tie")]
-    texts = rows.alias("l").join(edges.alias("r"), same[0] & same[1]).select("l.doc", "l.tie", "data", "_runs")
-    windows = stage(_windows(texts, length), "substrings-windows")
+
+    def texts(listed: DataFrame, *cols: str) -> DataFrame:
+        """The texts that the listed runs are in, with their runs (at most one per byte of the text)."""
+        per = listed.groupBy("doc", "tie").agg(F.collect_list(F.struct(*cols)).alias("_runs"))
+        return rows.alias("l").join(per.alias("r"), same[0] & same[1]).select("l.doc", "l.tie", "data", "_runs")
+
+    def split(found: DataFrame, digit: list[str], whole: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+        """Two passes: rows whose ``digit`` occurs again, then ``whole`` among them. Gives the ranges of all but
+        the first of each group, and the firsts of groups that share their digit with another group."""
+        again = stage(found.groupBy(*digit).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k"), f"{label}-digit")
+        left = stage(found.join(again, digit), f"{label}-left")
+        key = [*digit, *whole]
+        groups = stage(left.groupBy(*key).agg(F.min(_place("o")).alias("first"), F.count(F.lit(1)).alias("_k"),
+                                              F.max("n").alias("_n")), f"{label}-groups")
+        later = (left.join(groups.where("_k > 1").select(*key, "first"), key)
+                 .where(_place("o") != F.col("first")).select("doc", "tie", F.col("p").alias("a"), (F.col("p") + F.col("n") + length - 1).alias("b")))
+        later = stage(later, f"{label}-ranges")
+        discard(left)
+        mixed = groups.groupBy(*digit).agg(F.count(F.lit(1)).alias("_g")).where("_g > 1").drop("_g")
+        return later, groups.join(mixed, digit).select("first.*", F.col("_n").alias("n"), "h")
+
+    copies, edges = split(_runs(rows, length), ["h"], ["c"], "substrings-runs")
+    found = stage(_blocks(texts(edges, "p", "n", "o", "h"), length), "substrings-blocks")
+    more, ends = split(found, ["h", "j", "core"], ["o", "n", "c"], "substrings-blocks")
+    discard(found)
+    windows = stage(_windows(texts(ends, "p", "n"), length), "substrings-windows")
     first = windows.groupBy("w").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
-    later = windows.join(first.select("w", "first"), "w").where(_place() != F.col("first"))
-    return copies.union(later.select("doc", "tie", F.col("p").alias("a"), (F.col("p") + length).alias("b")))
+    single = windows.join(first.select("w", "first"), "w").where(_place() != F.col("first"))
+    return copies.union(more).union(single.select("doc", "tie", F.col("p").alias("a"), (F.col("p") + length).alias("b")))
 
 
 def cut(data: bytes, ranges: list[dict]) -> tuple[list[bytes], int, int]:
