@@ -28,7 +28,7 @@ from sensorweave.llm.common import tokenizer_file
 SPACE = "▁"
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 #: Characters of the texts whose lattices are built and sampled together.
-BATCH_CHARS = 5_000_000
+BATCH_CHARS = 2_000_000
 
 
 @dataclass(frozen=True)
