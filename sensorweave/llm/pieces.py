@@ -112,7 +112,7 @@ class Lattices:
     def __init__(self, vocabulary: Vocabulary, units: list[str], sharpness: float):
         v = vocabulary
         sizes = np.fromiter(map(len, units), np.int64, len(units)) + 1
-        chars = ("\n".join(units) + "\n").replace(" ", SPACE)
+        chars = "".join(u + "\n" for u in units).replace(" ", SPACE)
         codes = np.frombuffer(chars.encode("utf-32-le"), np.uint32).astype(np.uint64)
         after = np.cumsum(sizes)
         self.begin = after - sizes
