@@ -164,6 +164,18 @@ def test_toxicity_separates_held_out(spark):
     assert {r.score for r in flat} == {0.0} and len(flat) == 602
 
 
+def paths(text):
+    """Segmentations of a text, counted over its whole lattice."""
+    known = pieces.Vocabulary(pieces.Params.model).pieces
+    s = (" " + text).replace(" ", pieces.SPACE) if text else ""
+    ways = [1] + [0] * len(s)
+    for j in range(1, len(s) + 1):
+        ways[j] = sum(ways[i] for i in range(max(0, j - 16), j) if s[i:j] in known)
+        if s[j - 1] not in known:
+            ways[j] += ways[j - 1]
+    return ways[-1]
+
+
 def test_pieces_round_trip_and_order(spark):
     texts = ODD + ["  two  spaces\n\nline ", " ".join(words(2, 3000)), "字" * 40, "x" * 300]
     rows = pieces.decode(pieces.encode(docs(spark, texts), p=pieces.Params(k=3))).collect()
@@ -173,7 +185,7 @@ def test_pieces_round_trip_and_order(spark):
     for i, t in enumerate(texts):
         own = sorted(by[i], key=lambda r: r.sample)
         assert own and all(r.text == (t or "") for r in own)
-        assert len({tuple(r.ids) for r in own}) == len(own) and len(own) == (3 if (t or "").strip() not in ("", "x") else len(own))
+        assert len({tuple(r.ids) for r in own}) == len(own) == min(3, paths(t or ""))
         assert all(a.score >= b.score for a, b in zip(own, own[1:]))
 
 
@@ -280,7 +292,7 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
 def test_pipeline_decisions(spark, tmp_path):
     import corpus_pipeline
 
-    item = " ".join(words(9, 30))
+    item = "which of the following rivers crosses the border of three countries before it reaches the wide northern sea in spring"
     good = " ".join(words(1, 200))
     texts = [good, good, "too short", f"{' '.join(words(3, 60))} {item}", " ".join(words(4, 80)) + " token = abcdefgh1234"]
     docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
