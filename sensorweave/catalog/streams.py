@@ -76,7 +76,7 @@ def _(spark, d):
     book = code25(spark, d)
     started = stream_update_som(_vectors(spark, d).select("features"), path, book, new_path(spark, "codebook-checkpoint"),
                                 sigma=0.5, lr=0.5)
-    started.awaitTermination(600)
+    started.awaitTermination()
     rows = emb(spark, d)
     versions = quantization_error(assign(rows, book)).select(F.lit(-1).alias("version"), "quantization_error")
     after = quantization_error(assign(rows, read_codebook(spark, f"{path}/version=0")))

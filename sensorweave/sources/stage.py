@@ -10,28 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
-def stage_root(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names; a temporary one only in local mode; else none."""
+def stage_root(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a temporary one only in local mode, where driver and tasks share it."""
     root = spark.conf.get(SETTING, None)
-    if root is None and spark.conf.get("spark.master", "").startswith("local"):
+    if root is None:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sensorweave-stage-")
         spark.conf.set(SETTING, root)
     return root
 
 
-def new_path(spark: SparkSession, label: str) -> str | None:
-    root = stage_root(spark)
-    return root and f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{stage_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet and read it back (runs a job); returns ``df`` itself if no folder is known.
+    """Write ``df`` as Parquet and read it back (runs a job).
 
     Later readers scan only the columns they need, and Spark knows the size of a staged table, so it
     can choose a broadcast join for a small one.
     """
     path = new_path(df.sparkSession, label)
-    if path is None:
-        return df
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

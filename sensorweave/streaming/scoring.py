@@ -67,11 +67,9 @@ def stream_update_som(sdf: DataFrame, path: str, start: Codebook, checkpoint: st
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def run_to_table(sdf: DataFrame, path: str, checkpoint: str, timeout_s: int = 600) -> DataFrame:
+def run_to_table(sdf: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a streaming table over all data there is now, write it as Parquet, and read it back."""
     query = (sdf.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
-    if not query.awaitTermination(timeout_s):
-        query.stop()
-        raise TimeoutError(f"stream still running after {timeout_s} s")
+    query.awaitTermination()
     return sdf.sparkSession.read.schema(sdf.schema).parquet(path)
