@@ -14,6 +14,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _next_hash(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of strings one character longer."""
+    return _mix(hashes * np.uint64(0x9E3779B97F4A7C15) + codes + np.uint64(1))
+
+
+_TOP_BITS = 17
+_TOP = np.uint64(64 - _TOP_BITS)
+
+
+def _find(keys: np.ndarray, below: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``hashes`` of those that are in ``keys``, in order, and their places in ``keys``."""
+    top = (hashes >> _TOP).astype(np.int64)
+    spot, end = below[top], below[top + 1]
+    at = np.flatnonzero(spot < end)
+    spot, end, wanted = spot[at], end[at], hashes[at]
+    hit = keys[spot] == wanted
+    open_ = np.flatnonzero(~hit & (spot + 1 < end))
+    while len(open_):
+        spot[open_] += 1
+        hit[open_] = keys[spot[open_]] == wanted[open_]
+        open_ = open_[~hit[open_] & (spot[open_] + 1 < end[open_])]
+    return at[hit], spot[hit]
+
+
 class Vocabulary:
     """Pieces as numbers: hashes of their characters, log-probabilities, and bytes for the rest.
 
@@ -85,19 +111,23 @@ class Vocabulary:
         self.out = [b"" if special[i] else bytes([int(t[3:-1], 16)]) if byte[i] else t.replace(SPACE, " ").encode()
                     for i, t in enumerate(self.text)]
 
-    def _prefixes(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Per length: sorted hashes of what pieces begin with, and the piece it is by itself (or -1)."""
-        found: list[dict[int, int]] = [{} for _ in range(max(map(len, self.pieces)))]
-        for text, i in self.pieces.items():
-            h = np.zeros(1, np.uint64)
-            for size, c in enumerate(text):
-                h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(ord(c) + 1))
-                found[size].setdefault(int(h[0]), -1)
-            found[len(text) - 1][int(h[0])] = i
-        out = []
-        for level in found:
-            keys = np.array(sorted(level), np.uint64)
-            out.append((keys, np.array([level[int(x)] for x in keys], np.int64)))
+    def _prefixes(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per length: sorted hashes of what pieces begin with, the piece each is by itself (or -1), and for
+        each value of a hash's first ``_TOP_BITS`` bits how many of the hashes lie below it."""
+        texts, ids = list(self.pieces), np.fromiter(self.pieces.values(), np.int64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        start = np.cumsum(sizes) - sizes
+        hashes, live, out = np.zeros(len(texts), np.uint64), np.arange(len(texts)), []
+        for size in range(int(sizes.max())):
+            live = live[sizes[live] > size]
+            hashes[live] = _next_hash(hashes[live], codes[start[live] + size])
+            keys = np.unique(hashes[live])
+            own = np.full(len(keys), -1, np.int64)
+            whole = live[sizes[live] == size + 1]
+            own[np.searchsorted(keys, hashes[whole])] = ids[whole]
+            tops = np.bincount((keys >> _TOP).astype(np.int64), minlength=1 << _TOP_BITS)
+            out.append((keys, own, np.concatenate([[0], np.cumsum(tops)]).astype(np.int32)))
         return out
 
     def decode(self, ids) -> str:
@@ -106,6 +136,12 @@ class Vocabulary:
         return text[1:] if text[:1] == " " else text
 
 
+@lru_cache(maxsize=2)
+def vocabulary_of(path: str) -> Vocabulary:
+    """The vocabulary of a model file, read once per Python worker."""
+    return Vocabulary(path)
+
+
 class Lattices:
     """Lattices of different units, flat: states are positions in units, arcs are pieces."""
 
@@ -122,17 +158,16 @@ class Lattices:
         known[after - 1] = True
         hashes = np.zeros(len(at), np.uint64)
         state, end, piece = [], [], []
-        for size, (prefixes, ids) in enumerate(v.prefixes, 1):
+        for size, (prefixes, ids, below) in enumerate(v.prefixes, 1):
             inside = at + size <= last[at]
             at, hashes = at[inside], hashes[inside]
-            hashes = _mix(hashes * np.uint64(0x9E3779B97F4A7C15) + codes[at + size - 1] + np.uint64(1))
-            spot = np.minimum(np.searchsorted(prefixes, hashes), len(prefixes) - 1)
-            found = prefixes[spot] == hashes
-            at, hashes, spot = at[found], hashes[found], spot[found]
-            whole = ids[spot] >= 0
+            hashes = _next_hash(hashes, codes[at + size - 1])
+            found, spot = _find(prefixes, below, hashes)
+            at, hashes, own = at[found], hashes[found], ids[spot]
+            whole = own >= 0
             state.append(at[whole])
             end.append(at[whole] + size)
-            piece.append(ids[spot[whole]])
+            piece.append(own[whole])
             if size == 1:
                 known[at[whole]] = True
         odd = np.flatnonzero(~known)
@@ -160,18 +195,21 @@ class Lattices:
         back = np.zeros(n)
         # states by their distance to the end of the unit, nearest first: all arcs go nearer
         left = last - np.arange(n)
-        near = np.argsort(left, kind="stable")
+        near = np.argsort(left.astype(np.int16) if left.max(initial=0) < 1 << 15 else left, kind="stable")
         sizes = np.bincount(left)
         at = sizes[0] if len(sizes) else 0
-        for size in sizes[1:]:
+        for size in sizes[1:].tolist():
             s = near[at:at + size]
             at += size
             w = width[s]
             cut = np.cumsum(w) - w
-            arcs = np.repeat(first[s] - cut, w) + np.arange(w.sum())
-            value = logp[arcs] + back[end[arcs]]
+            arcs = np.repeat(first[s] - cut, w)
+            arcs += np.arange(len(arcs))
+            value = logp[arcs]
+            value += back[end[arcs]]
             top = np.maximum.reduceat(value, cut)
-            back[s] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, w)), cut))
+            value -= np.repeat(top, w)
+            back[s] = top + np.log(np.add.reduceat(np.exp(value, out=value), cut))
         self.end, self.piece, self.first = end.astype(np.int32), piece.astype(np.int32), first
         self.logp = logp + back[end] - back[state]
         share = np.exp(self.logp)
@@ -235,14 +273,6 @@ def _below(location, bound, u):
     return location - np.logaddexp(location - bound, np.log(-np.log(u)))
 
 
-class _Number(dict):
-    """Numbers keys in the order they come."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
 class _Row:
     """Search state of one text: its units, its samples, and the open sets it may branch from."""
 
@@ -352,9 +382,11 @@ def sample(vocabulary: Vocabulary, texts: list[str], seeds: list[int], k: int, s
     probability is among the first ``k``, given the next score below (1 where no further one exists).
     """
     split = [UNIT.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-    number = _Number()
+    distinct = list(dict.fromkeys(chain.from_iterable(split)))
+    number = dict(zip(distinct, range(len(distinct))))
     coded = [np.fromiter(map(number.__getitem__, units), np.int64, len(units)) for units in split]
-    lattices = Lattices(vocabulary, list(number), sharpness)
+    lattices = Lattices(vocabulary, distinct, sharpness)
+    del split, number, distinct
     rows = [_Row(c, s) for c, s in zip(coded, seeds)]
     everything = lambda jobs, salt: _draw_all(lattices, jobs, salt)
 
@@ -459,7 +491,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", p: Params = P
             names=[key, *cols])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held, size = Vocabulary(p.model), [], 0
+        vocabulary, held, size = vocabulary_of(p.model), [], 0
         for b in batches:
             for one, t, name in zip(b.column("_key"), b.column("_text"), b.column("_name")):
                 t = t.as_py() or ""
@@ -481,7 +513,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "text", model: str = Para
     schema = StructType(rows.schema.fields + StructType.fromDDL(f"`{out}` string").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model)
+        vocabulary = vocabulary_of(model)
         for b in batches:
             texts = [None if x.as_py() is None else vocabulary.decode(x.as_py()) for x in b.column(ids)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*names, out])
