@@ -3,10 +3,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sensorweave.catalog.base import DAILY, LINE_KEY, R, daily, lineitem, query, rnd
+from sensorweave.catalog.base import DAILY, LINE_KEY, R, SENS, daily, lineitem, query, rnd
 from sensorweave.catalog.features import supervised_set
 from sensorweave.functions.membership import membership
 from sensorweave.functions.metrics import abs_error_summary, regression_summary, residuals
+from sensorweave.operators.calendar import number_days
 from sensorweave.operators.features import lag_embed
 from sensorweave.operators.fuzzy import (
     FuzzyModel, grid_rules, init_from_data, mean_activation, membership_curves, normalised, paired_rules, predict,
@@ -72,7 +73,7 @@ def _(spark, d):
 
 @query("g3_triangle_trapezoid", f"""WITH {IN_SQL} SELECT {_KEY},
   {R("CASE WHEN x1 > -1.03 AND x1 <= 0.21 THEN (x1 + 1.03) / (0.21 + 1.03) WHEN x1 > 0.21 AND x1 <= 1.37 THEN (1.37 - x1) / (1.37 - 0.21) ELSE 0.0 END", 5)} AS tri,
-  {R("CASE WHEN x1 > -1.03 AND x1 <= -0.41 THEN (x1 + 1.03) / (-0.41 + 1.03) WHEN x1 > -0.41 AND x1 < 0.33 THEN 1.0 WHEN x1 >= 0.33 AND x1 < 1.37 THEN (1.37 - x1) / (1.37 - 0.33) ELSE 0.0 END", 5)} AS trap
+  {R("greatest(least((x1 + 1.03) / (-0.41 + 1.03), (1.37 - x1) / (1.37 - 0.33), 1.0), 0.0)", 5)} AS trap
   FROM inp""")
 def _(spark, d):
     x = F.col("x1")
@@ -292,7 +293,8 @@ def _(spark, d):
 
 @query("g18_leave_one_day_out")
 def _(spark, d):
-    days = supervised_set(spark, d)
+    # days count over the whole series: those of a segment begin at 0 again in the next one
+    days = number_days(supervised_set(spark, d).drop("day_id"), SENS)
     start = spaced_model({"click": (-1.5, 1.5), "view": (-1.5, 1.5)}, 2)
     return evaluate_folds(days, "day_id", start, "target_ahead")
 

@@ -186,8 +186,8 @@ def _(spark, d):
 
 
 _SQUARE = "abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND a.bmu <> b.bmu"
-_HEX = ("((a.c % 2 = 0 AND (b.r - a.r, b.c - a.c) IN ((0, 1), (1, 0), (0, -1), (-1, -1), (-1, 0), (-1, 1))) OR "
-        "(a.c % 2 = 1 AND (b.r - a.r, b.c - a.c) IN ((1, 1), (1, 0), (1, -1), (0, -1), (-1, 0), (0, 1))))")
+# Columns lie sqrt(3)/2 apart, every second one half a cell lower; neighbours are one cell away.
+_HEX = "a.bmu <> b.bmu AND 0.75 * (b.c - a.c) ** 2 + (b.r - a.r + 0.5 * (b.c % 2 - a.c % 2)) ** 2 < 1.5"
 for _name, _cond, _agg, _args in [
     ("n25_u_matrix_mean", _SQUARE, "avg", ("mean", "rectangular")),
     ("n25_u_matrix_sum", _SQUARE, "sum", ("sum", "rectangular")),

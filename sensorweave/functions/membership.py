@@ -52,14 +52,10 @@ def membership(x: Column, kind: str, params: Sequence[float]) -> Column:
         a, b, c, d = p
         if not a <= b <= c <= d:
             raise ValueError("trapezoid needs a <= b <= c <= d")
-        out = F.when(x.isNull(), F.lit(None).cast("double"))
-        if a < b:
-            out = out.when((x > a) & (x <= b), (x - a) / (b - a))
-        if b < c:
-            out = out.when((x > b) & (x < c), 1.0)
-        if c < d:
-            out = out.when((x >= c) & (x < d), (d - x) / (d - c))
-        return out.otherwise(0.0)
+        # A vertical side does not belong to the set, unless the other side's top stands on it.
+        up = (x >= b if b == c < d else x > b).cast("double") if a == b else (x - a) / (b - a)
+        down = (x <= c if a < b == c else x < c).cast("double") if c == d else (d - x) / (d - c)
+        return F.when(F.isnan(x), 0.0).when(x.isNotNull(), F.greatest(F.least(up, down, F.lit(1.0)), F.lit(0.0)))
     raise ValueError(f"unknown membership {kind}")
 
 

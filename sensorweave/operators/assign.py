@@ -80,12 +80,13 @@ def assign(df: DataFrame, codebook: Codebook, features: str = "features", k: int
            metric: str = "euclidean") -> DataFrame:
     """Add the nearest neuron of each row: ``bmu``, ``row``, ``col``, ``dmin``.
 
-    With ``k > 1`` adds arrays ``bmus`` and ``dists`` (N2, J9). A narrow step: the codebook travels
+    With ``k > 1`` adds arrays ``bmus`` and ``dists`` of length ``k`` (N2, J9), nulls at their end where the
+    map has fewer neurons. A narrow step: the codebook travels
     with the task, the rows stay where they are. Rows with null features get nulls.
     """
     w, cols = codebook.weights, codebook.cols
     dim = codebook.dim
-    k = min(k, codebook.size)
+    there = min(k, codebook.size)
     out_type = "bmus array<int>, dists array<double>" if k > 1 else "bmu int, dmin double"
 
     def match(column: pa.Array) -> pa.Array:
@@ -95,9 +96,9 @@ def assign(df: DataFrame, codebook: Codebook, features: str = "features", k: int
         dist = np.zeros((len(column), k))
         if known.any():
             x = array_matrix(column, dim)
-            found = [nearest(part, w, k, metric) for part in blocks(x, w)]
-            idx[known] = np.concatenate([f[0] for f in found])
-            dist[known] = np.concatenate([f[1] for f in found])
+            found = [nearest(part, w, there, metric) for part in blocks(x, w)]
+            idx[known, :there] = np.concatenate([f[0] for f in found])
+            dist[known, :there] = np.concatenate([f[1] for f in found])
         absent = ~known
         if k == 1:
             return pa.StructArray.from_arrays(
@@ -105,9 +106,10 @@ def assign(df: DataFrame, codebook: Codebook, features: str = "features", k: int
                 names=["bmu", "dmin"])
         ends = pa.array(np.arange(len(column) + 1) * k, pa.int32())
         mask = pa.array(absent)
+        beyond = np.tile(np.arange(k) >= there, len(column))
         return pa.StructArray.from_arrays(
-            [pa.ListArray.from_arrays(ends, pa.array(idx.ravel(), pa.int32()), mask=mask),
-             pa.ListArray.from_arrays(ends, pa.array(dist.ravel(), pa.float64()), mask=mask)],
+            [pa.ListArray.from_arrays(ends, pa.array(idx.ravel(), pa.int32(), mask=beyond), mask=mask),
+             pa.ListArray.from_arrays(ends, pa.array(dist.ravel(), pa.float64(), mask=beyond), mask=mask)],
             names=["bmus", "dists"])
 
     match = F.arrow_udf(match, out_type)
@@ -244,21 +246,20 @@ def members(assigned: DataFrame, row_key: str) -> DataFrame:
 def u_matrix(codebook: Codebook, spark, scaling: str = "mean", topology: str = "rectangular") -> DataFrame:
     """Mean or sum of the distances to the grid neighbours, divided by the largest such value.
 
-    A self-join of the small codebook table on neighbour offsets.
+    Neighbours on the square grid are the cells around a cell. On the hexagonal grid columns lie half the
+    square root of three apart and every second one half a cell lower: neighbours are one cell away.
     """
-    # Neighbour offsets (row, col); on a hexagonal grid by parity of the column.
-    square = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
-    hex_odd = [(1, 1), (1, 0), (1, -1), (0, -1), (-1, 0), (0, 1)]
-    hex_even = [(0, 1), (1, 0), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
+    near = codebook.table(spark)
+    b = near.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("w").alias("_w"))
+    for c in ("_dr", "_dc"):
+        near = near.withColumn(c, F.explode(F.sequence(F.lit(-1), F.lit(1))))
     if topology == "rectangular":
-        offsets = [(p, r, c) for p in (0, 1) for r, c in square]
+        away = F.greatest(F.abs("_dr"), F.abs("_dc")).cast("double")
     else:
-        offsets = [(1, r, c) for r, c in hex_odd] + [(0, r, c) for r, c in hex_even]
-    steps = spark.createDataFrame(offsets, "parity int, dr int, dc int")
-    a = codebook.table(spark)
-    b = a.select(F.col("bmu").alias("_b"), F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("w").alias("_w"))
-    near = a.join(F.broadcast(steps), F.col("col") % 2 == F.col("parity")).select(
-        "bmu", "row", "col", "w", (F.col("row") + F.col("dr")).alias("_r"), (F.col("col") + F.col("dc")).alias("_c"))
+        lower = (F.pmod(F.col("col") + F.col("_dc"), F.lit(2)) - F.pmod(F.col("col"), F.lit(2))) / 2
+        away = F.hypot(F.col("_dc") * F.sqrt(F.lit(0.75)), F.col("_dr") + lower)
+    near = near.where((away > 0.5) & (away < 1.5)).select(
+        "bmu", "row", "col", "w", (F.col("row") + F.col("_dr")).alias("_r"), (F.col("col") + F.col("_dc")).alias("_c"))
     sq = F.zip_with("w", "_w", lambda x, y: (x - y) * (x - y))
     dist = F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, v: s + v))
     how = F.avg(dist) if scaling == "mean" else F.sum(dist)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorweave.operators.ordered import join_keys
-from sensorweave.spec import DAY_MICROS, SeriesSpec
+from sensorweave.spec import DAY_MICROS, SeriesSpec, null_safe
 
 
 def time_range(df: DataFrame, spec: SeriesSpec, start: dt.datetime, end: dt.datetime,
@@ -47,6 +47,7 @@ def weekdays_only(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return df.where(F.weekday(spec.ts) < 5)
 
 
+@null_safe
 def weekday_blocks(df: DataFrame, spec: SeriesSpec, out: str = "block_id") -> DataFrame:
     """Drop weekends and number the weekday stretches between them, from 0 per series.
 
@@ -62,6 +63,7 @@ def weekday_blocks(df: DataFrame, spec: SeriesSpec, out: str = "block_id") -> Da
     return df.join(days, [*keys, "_day"]).drop("_day")
 
 
+@null_safe
 def full_days(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Keep days that have as many rows as the fullest day of the series."""
     keys = list(spec.keys)
@@ -77,6 +79,7 @@ def working_days(df: DataFrame, spec: SeriesSpec, start: str = "04:32", end: str
     return full_days(weekdays_only(between_time(df, spec, start, end), spec), spec)
 
 
+@null_safe
 def number_days(df: DataFrame, spec: SeriesSpec, out: str = "day_id") -> DataFrame:
     """Dense 0-based number over the days that occur in the series."""
     keys = list(spec.keys)
@@ -86,6 +89,7 @@ def number_days(df: DataFrame, spec: SeriesSpec, out: str = "day_id") -> DataFra
     return df.join(days, [*keys, "_day"]).drop("_day")
 
 
+@null_safe
 def numbered_working_days(df: DataFrame, spec: SeriesSpec, start: str = "04:32", end: str = "18:30",
                           stage: Callable[[DataFrame], DataFrame] = lambda df: df, out: str = "day_id") -> DataFrame:
     """``working_days`` and ``number_days`` in one: a single day table decides what stays and its number.
@@ -107,6 +111,7 @@ def day_slots(df: DataFrame, spec: SeriesSpec, day: str = "day_id") -> DataFrame
     return df.withColumn(spec.slot, (F.row_number().over(w) - 1).cast("long"))
 
 
+@null_safe
 def nth_day(df: DataFrame, spec: SeriesSpec, n: int, day: str = "day_id") -> DataFrame:
     """The ``n``-th day of each series; negative ``n`` counts from the last day (T4)."""
     if n >= 0:
@@ -146,6 +151,7 @@ def resample_aggregates(col: str, ts: str) -> dict[str, Column]:
     }
 
 
+@null_safe
 def resample_days(df: DataFrame, spec: SeriesSpec, days: int, aggs: Mapping[str, Column]) -> DataFrame:
     """Bins of ``days`` days counted from the first day of the series, empty bins kept as nulls (A5)."""
     keys = list(spec.keys)
@@ -160,6 +166,7 @@ def resample_days(df: DataFrame, spec: SeriesSpec, days: int, aggs: Mapping[str,
     return grid.join(sums, [*keys, "bin"], "left")
 
 
+@null_safe
 def resample_months(df: DataFrame, spec: SeriesSpec, aggs: Mapping[str, Column]) -> DataFrame:
     """Calendar months labelled by their last day, empty months kept as nulls."""
     keys = list(spec.keys)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorweave.operators.ordered import add_slot, minute_gaps, run_lengths
 from sensorweave.operators.quantiles import exact_quantiles
-from sensorweave.spec import MICROS, SeriesSpec, micros
+from sensorweave.spec import MICROS, SERIES, SeriesSpec, micros, null_safe, pack, unpack
 
 
 def gap_histogram(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -19,6 +19,7 @@ def gap_histogram(df: DataFrame, spec: SeriesSpec) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+@null_safe
 def context_rows(df: DataFrame, spec: SeriesSpec, min_gap: float, reach: int) -> DataFrame:
     """Rows ``[hit - reach, hit + reach)`` around each row that follows a gap of more than ``min_gap`` minutes.
 
@@ -61,6 +62,8 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def dispersion(df: DataFrame, features: str, by: Sequence[str] = ()) -> DataFrame:
     """Variance, std (population), interquartile range and range over all cells of ``features``."""
     by = list(by)
+    if by and by != [SERIES]:  # null groups are groups
+        return unpack(dispersion(pack(df.select(*by, features), by), features, [SERIES]), by)
     cells = df.select(*by, F.explode(features).alias("_cell"))
     stats = cells.groupBy(*by).agg(F.var_pop("_cell").alias("variance"), F.stddev_pop("_cell").alias("std"),
                                    (F.max("_cell") - F.min("_cell")).alias("range"))

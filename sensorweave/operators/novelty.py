@@ -32,7 +32,11 @@ def knn_novelty(df: DataFrame, codebook: Codebook, features: str = "features", k
     Rows are counted on ``df`` itself, or on ``count_on`` (training rows) if given.
     """
     counted = assign(df if count_on is None else count_on, codebook, features)
-    nodes = allowed_nodes(codebook, counted, min_hits)
+    return knn_score(df, allowed_nodes(codebook, counted, min_hits), features, k, out)
+
+
+def knn_score(df: DataFrame, nodes: Codebook, features: str, k: int, out: str = "knn") -> DataFrame:
+    """Mean distance of each row, arriving or stored, to the ``k`` nearest of ``nodes``."""
     if nodes.size < k:
         raise ValueError(f"{k} neighbours asked for, {nodes.size} neurons allowed")
     if k == 1:

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorweave.spec import MICROS, SeriesSpec, micros
+from sensorweave.spec import MICROS, SeriesSpec, micros, null_safe
 
 # Rows of a gridded series that one window sort takes at once.
 CHUNK_ROWS = 4096
@@ -29,7 +29,7 @@ def with_chunk(df: DataFrame, spec: SeriesSpec, rows: int | None = None) -> Data
 
 
 def join_keys(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on key columns, nulls equal; a cross join with a one-row table when ``on`` is empty."""
+    """Equi-join on (packed) key columns; a cross join with a one-row table when ``on`` is empty."""
     on = list(on)
     if not on:
         return df.crossJoin(F.broadcast(other))
@@ -74,6 +74,7 @@ def bucket_width(df: DataFrame, spec: SeriesSpec, max_rows: int = 2_000_000,
     return widths[-1]
 
 
+@null_safe
 def add_slot(df: DataFrame, spec: SeriesSpec, bucket_seconds: int | None = 3600) -> DataFrame:
     """0-based row position inside each series, for rows that sit on no grid.
 
@@ -97,6 +98,7 @@ def add_slot(df: DataFrame, spec: SeriesSpec, bucket_seconds: int | None = 3600)
     )
 
 
+@null_safe
 def previous_time(df: DataFrame, spec: SeriesSpec, out: str, bucket_seconds: int | None = 3600) -> DataFrame:
     """Timestamp of the row before, null on the first row of a series. ``bucket_seconds`` as in ``add_slot``."""
     bucket_seconds = bucket_seconds or bucket_width(df, spec)
@@ -115,12 +117,14 @@ def previous_time(df: DataFrame, spec: SeriesSpec, out: str, bucket_seconds: int
     )
 
 
+@null_safe
 def minute_gaps(df: DataFrame, spec: SeriesSpec, out: str = "gap_min", **options) -> DataFrame:
     """Minutes since the row before."""
     df = previous_time(df, spec, "_prev_ts", **options)
     return df.withColumn(out, (micros(spec.ts) - micros("_prev_ts")) / (60.0 * MICROS)).drop("_prev_ts")
 
 
+@null_safe(unless="cluster")
 def nearest_known(df: DataFrame, spec: SeriesSpec, values: Mapping[str, Column],
                   cluster: Sequence[str] | None = None) -> DataFrame:
     """For each named nullable value: the closest known one at or before, and at or after, the row.
@@ -203,6 +207,7 @@ def drop_halo(df: DataFrame) -> DataFrame:
     return df.where("_home = _frame").drop("_home", "_frame")
 
 
+@null_safe
 def run_lengths(df: DataFrame, spec: SeriesSpec, flag: Column) -> DataFrame:
     """Runs of equal flag values along the slots (W5): ``run_start`` slot and ``run_len`` rows.
 
@@ -221,11 +226,3 @@ def run_lengths(df: DataFrame, spec: SeriesSpec, flag: Column) -> DataFrame:
         .drop("_flag", "_before", "_after", *[f"{n}_{e}" for n in ("_open", "_close")
                                                for e in ("prev", "prev_slot", "next", "next_slot")])
     )
-
-
-def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], row_key: Sequence[str],
-                salts: int = 32, how: str = "inner") -> DataFrame:
-    """Equi-join where one key may hold a large share of ``big``: that key is split over ``salts`` tasks."""
-    big = big.withColumn("_salt", F.pmod(F.xxhash64(*row_key), F.lit(salts)))
-    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return big.join(small, [*on, "_salt"], how).drop("_salt")

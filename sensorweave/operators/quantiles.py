@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorweave.spec import SERIES, pack, unpack
+
 BUCKETS = 1024
 
 
@@ -40,6 +42,8 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     """
     by = list(by)
     df = df.select(*by, F.col(col).cast("double").alias("_x")).where("_x IS NOT NULL")
+    if by and by != [SERIES]:  # null groups are groups
+        return unpack(exact_quantiles(pack(df, by), "_x", qs, [SERIES]), by)
     counts = range_buckets(df.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n")), "_x", by)
     ordered = Window.partitionBy(*by).orderBy("_bucket")  # at most 1024 rows per group
     totals = (

@@ -11,7 +11,7 @@ from sensorweave.operators import ordered
 from sensorweave.operators.ordered import (
     attach_by_chunk, chunk_bounds, nearest_known, spread_over_chunks, with_chunk,
 )
-from sensorweave.spec import MICROS, SeriesSpec, from_micros, micros
+from sensorweave.spec import MICROS, SeriesSpec, from_micros, micros, null_safe
 
 SEGMENT = "segment_id"
 
@@ -36,6 +36,7 @@ def _cells(df: DataFrame, spec: SeriesSpec, max_gap_s: float | None) -> DataFram
     })
 
 
+@null_safe
 def segment_by_gap(df: DataFrame, spec: SeriesSpec, max_gap_s: float) -> DataFrame:
     """Number the stretches between gaps longer than ``max_gap_s`` seconds.
 
@@ -61,6 +62,7 @@ def segments(df: DataFrame, spec: SeriesSpec, max_gap_s: float) -> DataFrame:
     )
 
 
+@null_safe
 def grid_segments(df: DataFrame, spec: SeriesSpec, step_s: int, max_gap_s: float | None,
                   values: Mapping[str, Column]) -> DataFrame:
     """Gap segmentation and a dense regular grid inside each segment.
@@ -110,12 +112,14 @@ def resample(df: DataFrame, spec: SeriesSpec, step_s: int, values: Mapping[str,
     return grid_segments(df, spec, step_s, None, values).drop(SEGMENT)
 
 
+@null_safe(unless="best")
 def align_rate(df: DataFrame, spec: SeriesSpec, every: int, cols: Sequence[str],
                best: DataFrame | None = None) -> DataFrame:
     """Keep every ``every``-th slot, from the phase with the fewest null cells.
 
     Ties go to the lowest phase; null totals are not normalised by row count. ``slot`` is renumbered.
-    ``best`` may pass in the result of ``best_phase``.
+    ``best`` may pass in the result of ``best_phase``; the keys are then matched as they are, so pack
+    them first (``spec.pack``) where they may be null.
     """
     if best is None:
         best = best_phase(df, spec, every, cols)
@@ -206,7 +210,7 @@ def null_free_parts(df: DataFrame, spec: SeriesSpec, target: str, max_run: int)
 
 
 def attach_parts(df: DataFrame, spec: SeriesSpec, parts: DataFrame) -> DataFrame:
-    """Keep the rows that lie in one of ``parts`` and add its ``part_id``."""
+    """Keep the rows that lie in one of ``parts`` and add its ``part_id``. Null keys as in ``align_rate`` with ``best``."""
     df = with_chunk(df, spec)
     spread = spread_over_chunks(
         parts.withColumns({"_a": F.expr(f"part_id div {ordered.CHUNK_ROWS}"), "_b": F.expr(f"_hi_slot div {ordered.CHUNK_ROWS}")}),
@@ -218,6 +222,7 @@ def attach_parts(df: DataFrame, spec: SeriesSpec, parts: DataFrame) -> DataFrame
     )
 
 
+@null_safe
 def split_on_null_runs(df: DataFrame, spec: SeriesSpec, target: str, max_run: int) -> DataFrame:
     """Drop runs of more than ``max_run`` nulls in ``target`` and split there.
 
@@ -227,6 +232,7 @@ def split_on_null_runs(df: DataFrame, spec: SeriesSpec, target: str, max_run: in
     return attach_parts(df, spec, null_free_parts(df, spec, target, max_run))
 
 
+@null_safe
 def keep_long(df: DataFrame, spec: SeriesSpec, min_rows: int) -> DataFrame:
     """Keep series with strictly more than ``min_rows`` rows."""
     df = with_chunk(df, spec)
@@ -237,6 +243,7 @@ def keep_long(df: DataFrame, spec: SeriesSpec, min_rows: int) -> DataFrame:
     return attach_by_chunk(df, long, spec)
 
 
+@null_safe(unless="cluster")
 def interpolate(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], cluster: Sequence[str] | None = None) -> DataFrame:
     """Linear interpolation by row position (W8): leading nulls stay, trailing nulls repeat the last value.
 

@@ -12,12 +12,12 @@ from sensorweave.operators.segments import (
     SEGMENT, align_rate, attach_parts, best_phase, grid_segments, interpolate, null_free_parts,
 )
 from sensorweave.sources.stage import stage as stage_table
-from sensorweave.spec import SeriesSpec
+from sensorweave.spec import SeriesSpec, null_safe
 
 
 @dataclass(frozen=True)
 class CleaningParams:
-    """The defaults the published building study used (minutes, rows)."""
+    """One-minute grid, half-hour gaps and null runs, every second row, a thousand rows at least."""
 
     step_s: int = 60
     max_gap_s: int = 30 * 60
@@ -26,6 +26,7 @@ class CleaningParams:
     min_rows: int = 1000
 
 
+@null_safe
 def clean(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], target: str,
           params: CleaningParams = CleaningParams(),
           stage: Callable[[DataFrame], DataFrame] = stage_table) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sensorweave.operators.assign import assign
 from sensorweave.operators.codebook import Codebook, neighbourhood
 from sensorweave.operators.fuzzy import FuzzyModel, predict
-from sensorweave.operators.novelty import allowed_nodes, qe_novelty
+from sensorweave.operators.novelty import allowed_nodes, knn_score, qe_novelty
 from sensorweave.plans.som_training import _moved, _partial_sums
 from sensorweave.sources.models import read_codebook, write_codebook
 
@@ -24,8 +23,7 @@ def stream_knn_novelty(sdf: DataFrame, codebook: Codebook, train: DataFrame, fea
                        k: int = 3, min_hits: int = 1) -> DataFrame:
     """Nearest-node score of each arriving row, nodes counted on training rows."""
     nodes = allowed_nodes(codebook, assign(train, codebook, features), min_hits)
-    near = assign(sdf, nodes, features, max(k, 2))
-    return near.withColumn("knn", F.aggregate(F.slice("dists", 1, k), F.lit(0.0), lambda s, v: s + v) / k).drop("bmus", "dists")
+    return knn_score(sdf, nodes, features, k)
 
 
 def stream_predict(sdf: DataFrame, model: FuzzyModel, out: str = "prediction") -> DataFrame:
