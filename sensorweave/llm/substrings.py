@@ -65,9 +65,9 @@ class Sampler:
         h ^= h >> np.uint64(29)
         return h
 
-    def runs(self, data: bytes) -> Iterator[tuple[int, int, int, int]]:
-        """(start, windows, sample hash, sample's offset in the first window) of each run, in order, for a
-        text of at least ``length`` bytes."""
+    def runs(self, data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Starts, windows, sample hashes and samples' offsets in the first window of all runs, in order and
+        block by block, for a text of at least ``length`` bytes."""
         last = len(data) - self.length + 1
         for at in range(0, last, BLOCK):
             n = min(BLOCK, last - at)
@@ -85,8 +85,7 @@ class Sampler:
             starts = np.concatenate([[0], cuts])
             ends = np.concatenate([cuts, [n]])
             spots = place[starts]
-            for s, e, h, a in zip(starts.tolist(), ends.tolist(), hashes[spots].view(np.int64).tolist(), spots.tolist()):
-                yield at + s, e - s, h, a - s
+            yield at + starts, ends - starts, hashes[spots].view(np.int64), spots - starts
 
 
 _RUN = [("h", pa.int64()), ("c", pa.int64()), ("p", pa.int64()), ("n", pa.int32()), ("o", pa.int32())]
@@ -99,26 +98,41 @@ def _runs(rows: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(length)
         for b in batches:
-            owner, h, c, p, n, o = [], [], [], [], [], []
+            owner, cols = [np.zeros(0, np.int64)], [[np.zeros(0, np.int64)] for _ in _RUN]
             for i, value in enumerate(b.column("data")):
                 data = value.as_py() or b""
                 if len(data) < length:
                     continue
                 for start, windows, code, offset in sampler.runs(data):
-                    owner.append(i)
-                    h.append(code)
-                    c.append(xxh3_64_intdigest(data[start:start + windows + length - 1]) - (1 << 63))
-                    p.append(start)
-                    n.append(windows)
-                    o.append(offset)
-            own = pa.array(owner, pa.int32())
+                    ends = start + windows + (length - 1)
+                    whole = np.fromiter((xxh3_64_intdigest(data[x:y]) for x, y in zip(start.tolist(), ends.tolist())),
+                                        np.uint64, len(start))
+                    owner.append(np.full(len(start), i))
+                    for col, part in zip(cols, (code, whole.view(np.int64), start, windows, offset)):
+                        col.append(part)
+            own = pa.array(np.concatenate(owner))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc").take(own), b.column("tie").take(own),
-                 *[pa.array(v, t) for v, (_, t) in zip((h, c, p, n, o), _RUN)]], names=["doc", "tie", *[x for x, _ in _RUN]])
+                 *[pa.array(np.concatenate(v)).cast(t) for v, (_, t) in zip(cols, _RUN)]], names=["doc", "tie", *[x for x, _ in _RUN]])
 
     return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, tie long, h long, c long, p long, n int, o int")
 
 
+def _samples(rows: DataFrame, length: int) -> DataFrame:
+    """The sample hashes ``h`` of all runs, alone: what the first pass counts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(length)
+        for b in batches:
+            codes = [np.zeros(0, np.int64)]
+            for value in b.column("data"):
+                data = value.as_py() or b""
+                if len(data) >= length:
+                    codes += [code for _, _, code, _ in sampler.runs(data)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes))], names=["h"])
+
+    return rows.select("data").mapInArrow(run, "h long")
+
+
 def blocks_of(data: bytes, start: int, windows: int, offset: int, length: int) -> Iterator[tuple[int, ...]]:
     """A run's blocks: number, hash of the bytes common to its windows, start, windows, offset, hash of all its bytes.
 
@@ -196,10 +210,11 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         per = listed.groupBy("doc", "tie").agg(F.collect_list(F.struct(*cols)).alias("_runs"))
         return rows.alias("l").join(per.alias("r"), same[0] & same[1]).select("l.doc", "l.tie", "data", "_runs")
 
-    def split(found: DataFrame, digit: list[str], whole: list[str], label: str) -> tuple[DataFrame, DataFrame]:
-        """Two passes: rows whose ``digit`` occurs again, then ``whole`` among them. Gives the ranges of all but
-        the first of each group, and the firsts of groups that share their digit with another group."""
-        again = stage(found.groupBy(*digit).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k"), f"{label}-digit")
+    def split(digits: DataFrame, found: DataFrame, digit: list[str], whole: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+        """Two passes: rows whose ``digit`` occurs again (``digits`` has those of all rows), then ``whole`` among
+        them. Gives the ranges of all but the first of each group, and the firsts of groups that share their
+        digit with another group."""
+        again = stage(digits.groupBy(*digit).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k"), f"{label}-digit")
         left = stage(found.join(again, digit), f"{label}-left")
         key = [*digit, *whole]
         groups = stage(left.groupBy(*key).agg(F.min(_place("o")).alias("first"), F.count(F.lit(1)).alias("_k"),
@@ -211,9 +226,9 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         mixed = groups.groupBy(*digit).agg(F.count(F.lit(1)).alias("_g")).where("_g > 1").drop("_g")
         return later, groups.join(mixed, digit).select("first.*", F.col("_n").alias("n"), "h")
 
-    copies, edges = split(_runs(rows, length), ["h"], ["c"], "substrings-runs")
+    copies, edges = split(_samples(rows, length), _runs(rows, length), ["h"], ["c"], "substrings-runs")
     found = stage(_blocks(texts(edges, "p", "n", "o", "h"), length), "substrings-blocks")
-    more, ends = split(found, ["h", "j", "core"], ["o", "n", "c"], "substrings-blocks")
+    more, ends = split(found, found, ["h", "j", "core"], ["o", "n", "c"], "substrings-blocks")
     discard(found)
     windows = stage(_windows(texts(ends, "p", "n"), length), "substrings-windows")
     first = windows.groupBy("w").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("_k")).where("_k > 1")
