@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from sensorweave.llm.common import free_name, stage
+from sensorweave.llm.common import discard, free_name, stage
 from sensorweave.llm.components import components
 
 SEED = 42
@@ -131,8 +132,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     return fps.join(classes, "fp").select(F.col(name).alias(key), "fp", "component_id")
 
 
-#: Fingerprints of a text's longer words, which find candidates, and of its shingles, which decide.
-TABLES, CHECKS = 4, 4
+#: Fingerprints of a text's longer words, which find candidates.
+TABLES = 4
 #: Words of fewer bytes say little about a text; they count only where it has no longer ones.
 LONG_WORD = 6
 
@@ -152,49 +153,76 @@ def _fingerprints(hashes: np.ndarray, n: int, salt: int) -> list[int]:
     return out
 
 
-def text_fingerprints(text: bytes | None, size: int = 5) -> list[int]:
-    """``TABLES`` SimHashes of the distinct longer words, then ``CHECKS`` of the distinct ``size``-word shingles."""
+def text_fingerprints(text: bytes | None) -> list[int]:
+    """``TABLES`` SimHashes of the distinct longer words."""
     words = (text or b"").lower().split()
     long = {w for w in words if len(w) >= LONG_WORD} or set(words)
-    runs = {xxh64_intdigest(s, SEED) for at in range(0, max(len(words) - size + 1, 1), BLOCK)
-            for s in shingles(words[at:at + BLOCK + size - 1], size)}
     named = np.fromiter((xxh64_intdigest(w, SEED) for w in long), np.uint64, len(long))
-    return _fingerprints(named, TABLES, 1) + _fingerprints(np.fromiter(runs, np.uint64, len(runs)), CHECKS, 100)
+    return _fingerprints(named, TABLES, 1)
 
 
-def bits_at(similarity: float) -> int:
-    """Differing bits, of ``64 * CHECKS``, that sets of this Jaccard similarity are expected to stay within.
+def runs_of(text: bytes | None, size: int = 5) -> np.ndarray:
+    """Hashes of the distinct ``size``-word shingles of a text, ascending."""
+    words = (text or b"").lower().split()
+    total = max(len(words) - size + 1, 1) if words else 0
+    parts = []
+    for at in range(0, total, BLOCK):
+        part = shingles(words[at:at + BLOCK + size - 1], size)
+        parts.append(np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part))))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
-    A set bit's angle follows the cosine ``2 s / (1 + s)`` of two sets of like size; one standard deviation
-    is added, so that pairs at the limit are mostly found.
-    """
-    n = BITS * CHECKS
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(round(n * share + np.sqrt(n * share * (1 - share))))
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    cuts = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` whose texts' exact Jaccard similarity over ``size``-word shingles is high enough."""
+    pairs = stage(pairs, "similar-pairs")
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "similar-wanted")
+    small = F.broadcast if wanted.count() <= BROADCAST_SIGNATURES else (lambda x: x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key"), _lists([runs_of(t.as_py(), size) for t in b.column("_bytes")])], names=["key", "runs"])
+
+    sets = stage(rows.join(small(wanted), "key", "left_semi").mapInArrow(run, "key long, runs array<long>"), "similar-sets")
+    both = (pairs.join(sets.withColumnsRenamed({"key": "a", "runs": "_ra"}), "a")
+            .join(sets.withColumnsRenamed({"key": "b", "runs": "_rb"}), "b"))
+    shared = both.select("a", "b", F.size(F.array_intersect("_ra", "_rb")).alias("_n"),
+                         (F.size("_ra") + F.size("_rb")).alias("_m"))
+    out = stage(shared.where(F.col("_n") / (F.col("_m") - F.col("_n")) >= similarity).select("a", "b"), "similar-links")
+    discard(sets)
+    return out
 
 
 def similar_groups(df: DataFrame, key: str = "place", text: str = "text", size: int = 5,
                    similarity: float = 0.8) -> DataFrame:
     """``key`` (a unique long) and ``root``: the smallest key of the texts linked to it.
 
-    Texts are linked when their ``size``-word shingles are estimated at ``similarity`` or more. Such texts
+    Texts are linked when the exact Jaccard similarity of their ``size``-word shingle sets is ``similarity`` or
+    more. Such texts
     share nearly all words, so the fingerprints of their longer words differ in few bits, and in some
     half of one by at most one bit: all halves are indexed with each wildcard bit. In a signature, sorted by
     the other half, each member is compared with the one before it and with the first, which compares all
     pairs of three members and joins larger ones by chains; a text stands in ``64 * TABLES`` signatures.
-    The shingle fingerprints verify every pair.
+    The shingle sets themselves verify every pair.
     """
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").cast("binary").alias("_bytes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [text_fingerprints(t.as_py(), size) for t in b.column("_bytes")]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(fps, pa.list_(pa.int64()))], names=["key", "fps"])
+            fps = [text_fingerprints(t.as_py()) for t in b.column("_bytes")]
+            names = [sha256(runs_of(t.as_py(), size).tobytes()).digest() for t in b.column("_bytes")]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(names, pa.binary()), pa.array(fps, pa.list_(pa.int64()))],
+                                             names=["key", "name", "fps"])
 
-    named = stage(rows.mapInArrow(run, "key long, fps array<long>"), "similar-fps")
-    nodes = stage(named.groupBy("fps").agg(F.min("key").alias("node")), "similar-nodes")
+    named = stage(rows.mapInArrow(run, "key long, name binary, fps array<long>"), "similar-fps")
+    nodes = stage(named.groupBy("name").agg(F.min("key").alias("node"), F.min_by("fps", "key").alias("fps")), "similar-nodes")
     half = BITS // 2
-    one = nodes.select("node", F.posexplode(F.slice("fps", 1, TABLES)).alias("_t", "fp"))
+    one = nodes.select("node", F.posexplode("fps").alias("_t", "fp"))
     one = one.select("node", "_t", "fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("_s"))
     one = one.select("node", "_t", "_s", F.explode(F.sequence(F.lit(0), F.lit(half - 1))).alias("_w"),
                      F.expr(f"shiftrightunsigned(fp, _s * {half}) & {(1 << half) - 1}L").alias("_part"),
@@ -205,13 +233,9 @@ def similar_groups(df: DataFrame, key: str = "place", text: str = "text", size:
     met = signed.select("node", F.lag("node").over(inside).alias("_near"), F.first("node").over(inside).alias("_first"))
     pairs = (met.where("_near is not null").select("node", F.explode(F.array_distinct(F.array("_near", "_first"))).alias("_with"))
              .select(F.least("node", "_with").alias("a"), F.greatest("node", "_with").alias("b")).distinct())
-    checks = nodes.select("node", F.slice("fps", TABLES + 1, CHECKS).alias("_f"))
-    both = (pairs.join(checks.withColumnsRenamed({"node": "a", "_f": "_fa"}), "a")
-            .join(checks.withColumnsRenamed({"node": "b", "_f": "_fb"}), "b"))
-    apart = sum((distance(F.get("_fa", F.lit(i)), F.get("_fb", F.lit(i))) for i in range(CHECKS)), F.lit(0))
-    roots = components(both.where(apart <= bits_at(similarity)).select("a", "b"), "similar-components")
+    roots = components(_verified(pairs, rows, size, similarity), "similar-components")
     rooted = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-    return named.join(rooted.select("fps", F.coalesce("root", "node").alias("root")), "fps").select(
+    return named.select("key", "name").join(rooted.select("name", F.coalesce("root", "node").alias("root")), "name").select(
         F.col("key").alias(key), "root")
 
 

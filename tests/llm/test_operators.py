@@ -89,6 +89,35 @@ def test_keep_one_of_near_copies(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, texts, [9, 4, 5, 6])).collect()) == [4, 5]
 
 
+def similar_by_brute_force(texts, similarity=0.8):
+    """Smallest index reachable over all pairs of texts whose five-word shingle sets are similar enough."""
+    sets = [{tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            shared = len(sets[a] & sets[b])
+            if root[a] != root[b] and shared >= similarity * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    return root
+
+
+def similar_roots(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "place long, text string")
+    got = {r.place: r.root for r in simhash.similar_groups(df).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_similar_groups_decide_by_the_exact_similarity(spark):
+    texts = []
+    for i in range(40):  # one block replaced: similarities from 0.64 to 0.82
+        base, k = words(i, 200, 10 ** 6), 15 + i % 4 * 8
+        texts += [" ".join(base), " ".join([*base[:60], *words(1000 + i, k, 10 ** 6), *base[60 + k:]])]
+    want = similar_by_brute_force(texts)
+    assert all(r in (w, i) for i, (r, w) in enumerate(zip(similar_roots(spark, texts), want)))
+    assert len(set(want)) == 70
+
+
 def test_substrings_against_brute_force(spark):
     rng = random.Random(1)
     block = " ".join(words(3, 40))
