@@ -7,7 +7,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -132,33 +132,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     return fps.join(classes, "fp").select(F.col(name).alias(key), "fp", "component_id")
 
 
-#: Fingerprints of a text's longer words, which find candidates.
-TABLES = 4
-#: Words of fewer bytes say little about a text; they count only where it has no longer ones.
-LONG_WORD = 6
-
-
-def _fingerprints(hashes: np.ndarray, n: int, salt: int) -> list[int]:
-    """``n`` independent SimHashes of a set of 64-bit hashes."""
-    out = []
-    for i in range(n):
-        ones = np.zeros(BITS, np.int64)
-        for at in range(0, len(hashes), BLOCK):
-            x = hashes[at:at + BLOCK] + np.full(1, (salt + i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0]))
-    return out
-
-
-def text_fingerprints(text: bytes | None) -> list[int]:
-    """``TABLES`` SimHashes of the distinct longer words."""
-    words = (text or b"").lower().split()
-    long = {w for w in words if len(w) >= LONG_WORD} or set(words)
-    named = np.fromiter((xxh64_intdigest(w, SEED) for w in long), np.uint64, len(long))
-    return _fingerprints(named, TABLES, 1)
+#: Runs that a sample of one text in ``SAMPLE`` holds ``OFTEN`` times come last in the order of runs; at most ``COMMON`` (8 bytes each).
+SAMPLE, OFTEN, COMMON = 8, 6, 2_000_000
 
 
 def runs_of(text: bytes | None, size: int = 5) -> np.ndarray:
@@ -172,11 +147,37 @@ def runs_of(text: bytes | None, size: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def prefix_of(runs: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first runs of a text, common ones last: texts at ``similarity`` or more share one of theirs.
+
+    Of ``n`` runs at least ``similarity * n`` are shared, so the first shared one in any order that holds for
+    all texts has at most ``n`` less that many before it.
+    """
+    late = np.zeros(len(runs), bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, runs), len(common) - 1)] == runs
+    n = len(runs) - int(np.ceil(similarity * len(runs) - 1e-9)) + 1 if len(runs) else 0
+    return np.concatenate([runs[~late], runs[late]])[:n]
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     cuts = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
+def _common_runs(rows: DataFrame, size: int) -> np.ndarray:
+    """Runs that many texts hold, by a sample of the texts. They set the order of runs alone: any order is right."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [runs_of(t.as_py(), size) for t in b.column("_bytes")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*made, np.zeros(0, np.uint64)]).view(np.int64))], names=["run"])
+
+    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("_bytes").mapInArrow(run, "run long")
+    often = some.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    got = often.orderBy(F.desc("n"), "run").limit(COMMON).select("run").toArrow()["run"].to_numpy()
+    return np.sort(got.astype(np.int64).view(np.uint64))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs ``a``, ``b`` whose texts' exact Jaccard similarity over ``size``-word shingles is high enough."""
     pairs = stage(pairs, "similar-pairs")
@@ -198,43 +199,55 @@ def _verified(pairs: DataFrame, rows: DataFrame, size: int, similarity: float) -
     return out
 
 
+def _reach(before: Column, after: Column, sizes: Column, similarity: float) -> Column:
+    """Whether texts that share a run, with so many runs before and after it, may share enough of them."""
+    return before + 1 + after >= similarity / (1 + similarity) * sizes - 1e-6
+
+
+def _ordered(tokens: DataFrame, other: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of the rows of both tables that share a run and may be similar, the smaller node as ``a``."""
+    a, b = (t.select("run", *[F.col(c).alias(f"{c}{i}") for c in t.columns if c != "run"])
+            for i, t in enumerate((tokens, other)))
+    fits = _reach(F.least("at0", "at1"), F.least(F.col("n0") - F.col("at0"), F.col("n1") - F.col("at1")) - 1,
+                  F.col("n0") + F.col("n1"), similarity)
+    return a.join(b, "run").where(fits & (F.col("node0") < F.col("node1"))).select(
+        F.least("node0", "node1").alias("a"), F.greatest("node0", "node1").alias("b"))
+
+
 def similar_groups(df: DataFrame, key: str = "place", text: str = "text", size: int = 5,
                    similarity: float = 0.8) -> DataFrame:
     """``key`` (a unique long) and ``root``: the smallest key of the texts linked to it.
 
-    Texts are linked when the exact Jaccard similarity of their ``size``-word shingle sets is ``similarity`` or
-    more. Such texts
-    share nearly all words, so the fingerprints of their longer words differ in few bits, and in some
-    half of one by at most one bit: all halves are indexed with each wildcard bit. In a signature, sorted by
-    the other half, each member is compared with the one before it and with the first, which compares all
-    pairs of three members and joins larger ones by chains; a text stands in ``64 * TABLES`` signatures.
-    The shingle sets themselves verify every pair.
+    Texts are linked when the exact Jaccard similarity of their ``size``-word shingle sets is ``similarity``
+    or more. Equal sets are one node. Similar texts share a run of their prefixes (``prefix_of``), so an equality
+    join on prefix runs finds every such pair. All texts that share a run are compared.
     """
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").cast("binary").alias("_bytes"))
+    common = df.sparkSession.sparkContext.broadcast(_common_runs(rows, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [text_fingerprints(t.as_py()) for t in b.column("_bytes")]
-            names = [sha256(runs_of(t.as_py(), size).tobytes()).digest() for t in b.column("_bytes")]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(names, pa.binary()), pa.array(fps, pa.list_(pa.int64()))],
-                                             names=["key", "name", "fps"])
-
-    named = stage(rows.mapInArrow(run, "key long, name binary, fps array<long>"), "similar-fps")
-    nodes = stage(named.groupBy("name").agg(F.min("key").alias("node"), F.min_by("fps", "key").alias("fps")), "similar-nodes")
-    half = BITS // 2
-    one = nodes.select("node", F.posexplode("fps").alias("_t", "fp"))
-    one = one.select("node", "_t", "fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("_s"))
-    one = one.select("node", "_t", "_s", F.explode(F.sequence(F.lit(0), F.lit(half - 1))).alias("_w"),
-                     F.expr(f"shiftrightunsigned(fp, _s * {half}) & {(1 << half) - 1}L").alias("_part"),
-                     F.expr(f"shiftrightunsigned(fp, (1 - _s) * {half}) & {(1 << half) - 1}L").alias("_other"))
-    key_ = F.expr(f"shiftleft(cast((_t * 2 + _s) * {half} + _w as long), {half}) | (_part & ~shiftleft(1L, _w))")
-    signed = one.select(key_.alias("key"), "_other", "node")
-    inside = Window.partitionBy("key").orderBy("_other", "node")
-    met = signed.select("node", F.lag("node").over(inside).alias("_near"), F.first("node").over(inside).alias("_first"))
-    pairs = (met.where("_near is not null").select("node", F.explode(F.array_distinct(F.array("_near", "_first"))).alias("_with"))
-             .select(F.least("node", "_with").alias("a"), F.greatest("node", "_with").alias("b")).distinct())
-    roots = components(_verified(pairs, rows, size, similarity), "similar-components")
-    rooted = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+            made = [runs_of(t.as_py(), size) for t in b.column("_bytes")]
+            names = pa.array([sha256(r.tobytes()).digest() for r in made], pa.binary())
+            sizes = pa.array([len(r) for r in made], pa.int64())
+            first = _lists([prefix_of(r, common.value, similarity) for r in made])
+            yield pa.RecordBatch.from_arrays([b.column("key"), names, sizes, first], names=["key", "name", "n", "first"])
+
+    named = stage(rows.mapInArrow(run, "key long, name binary, n long, first array<long>"), "similar-runs")
+    nodes = stage(named.groupBy("name").agg(F.min("key").alias("node")), "similar-nodes")
+    firsts = stage(named.join(nodes.select(F.col("node").alias("key")), "key", "left_semi").select(
+        F.col("key").alias("node"), "n", "first"), "similar-firsts")
+    tokens = firsts.select("node", "n", F.posexplode("first").alias("at", "run"))
+    groups = stage(tokens.groupBy("run").agg(
+        F.count(F.lit(1)).alias("members"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("at").alias("_at"),
+        F.min(F.col("n") - F.col("at") - 1).alias("_after"), F.sum("n").alias("_n")).where("members > 1"), "similar-groups")
+    twos = groups.where("members = 2").where(_reach(F.col("_at"), F.col("_after"), F.col("_n"), similarity)).select("a", "b")
+    more = groups.where("members > 2").select("run", "members")
+    small = F.broadcast if more.count() <= BROADCAST_SIGNATURES else (lambda x: x)
+    several = stage(tokens.join(small(more), "run"), "similar-several")
+    pairs = twos.union(_ordered(several.drop("members"), several.drop("members"), similarity)).distinct()
+    reached = components(_verified(pairs, rows, size, similarity), "similar-components")
+    rooted = nodes.join(reached.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     return named.select("key", "name").join(rooted.select("name", F.coalesce("root", "node").alias("root")), "name").select(
         F.col("key").alias(key), "root")
 

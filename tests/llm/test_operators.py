@@ -118,6 +118,17 @@ def test_similar_groups_decide_by_the_exact_similarity(spark):
     assert len(set(want)) == 70
 
 
+def test_similar_groups_find_every_pair(spark):
+    texts = []
+    for i in range(30):
+        base = words(i, 200, 10 ** 6)
+        texts += [" ".join(base), " ".join(base + words(500 + i, 20 + i % 3 * 10, 10 ** 6))]
+        short = words(2000 + i, 60, 10 ** 6)
+        texts += [" ".join(short), " ".join(short[25:]), " ".join([*short[:58], "something"])]
+    want = similar_by_brute_force(texts)
+    assert similar_roots(spark, texts) == want and len(set(want)) == 90
+
+
 def test_substrings_against_brute_force(spark):
     rng = random.Random(1)
     block = " ".join(words(3, 40))
