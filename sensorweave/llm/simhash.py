@@ -132,6 +132,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     return fps.join(classes, "fp").select(F.col(name).alias(key), "fp", "component_id")
 
 
+#: Members of a prefix run's group that are all compared; larger groups are linked by centres first.
+PAIRED = 32
 #: Runs that a sample of one text in ``SAMPLE`` holds ``OFTEN`` times come last in the order of runs; at most ``COMMON`` (8 bytes each).
 SAMPLE, OFTEN, COMMON = 8, 6, 2_000_000
 
@@ -210,7 +212,8 @@ def _ordered(tokens: DataFrame, other: DataFrame, similarity: float) -> DataFram
             for i, t in enumerate((tokens, other)))
     fits = _reach(F.least("at0", "at1"), F.least(F.col("n0") - F.col("at0"), F.col("n1") - F.col("at1")) - 1,
                   F.col("n0") + F.col("n1"), similarity)
-    return a.join(b, "run").where(fits & (F.col("node0") < F.col("node1"))).select(
+    apart = F.col("root0") != F.col("root1") if "root" in tokens.columns else F.col("node0") < F.col("node1")
+    return a.join(b, "run").where(fits & apart).select(
         F.least("node0", "node1").alias("a"), F.greatest("node0", "node1").alias("b"))
 
 
@@ -220,7 +223,9 @@ def similar_groups(df: DataFrame, key: str = "place", text: str = "text", size:
 
     Texts are linked when the exact Jaccard similarity of their ``size``-word shingle sets is ``similarity``
     or more. Equal sets are one node. Similar texts share a run of their prefixes (``prefix_of``), so an equality
-    join on prefix runs finds every such pair. All texts that share a run are compared.
+    join on prefix runs finds every such pair. Up to ``PAIRED`` texts that share a run are all compared. In a
+    larger group all are compared with a few centres; texts that this joins need no comparison with each
+    other, and those outside the group's largest component are compared with all of other components.
     """
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").cast("binary").alias("_bytes"))
     common = df.sparkSession.sparkContext.broadcast(_common_runs(rows, size))
@@ -245,8 +250,24 @@ def similar_groups(df: DataFrame, key: str = "place", text: str = "text", size:
     more = groups.where("members > 2").select("run", "members")
     small = F.broadcast if more.count() <= BROADCAST_SIGNATURES else (lambda x: x)
     several = stage(tokens.join(small(more), "run"), "similar-several")
-    pairs = twos.union(_ordered(several.drop("members"), several.drop("members"), similarity)).distinct()
-    reached = components(_verified(pairs, rows, size, similarity), "similar-components")
+    few = several.where(F.col("members") <= PAIRED).drop("members")
+    crowd = several.where(F.col("members") > PAIRED).drop("members")
+    lot = F.xxhash64("node", F.pmod("run", F.lit(4)))  # four orders of the nodes: runs share their centres
+    centres = crowd.groupBy("run").agg(F.min_by("node", lot).alias("_with"))
+    stars = crowd.join(centres, "run").where("node <> _with").select(
+        F.least("node", "_with").alias("a"), F.greatest("node", "_with").alias("b"))
+    close = _verified(twos.union(_ordered(few, few, similarity)).union(stars).distinct(), rows, size, similarity)
+
+    reached = components(close, "similar-components")
+    if not crowd.isEmpty():
+        held = stage(crowd.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-crowd")
+        roots = held.groupBy("run", "root").agg(F.count(F.lit(1)).alias("_k"))
+        main = roots.groupBy("run").agg(F.count(F.lit(1)).alias("_roots"), F.max_by("root", F.struct("_k", "root")).alias("_main"))
+        split = stage(main.where("_roots > 1").drop("_roots"), "similar-split")
+        left = held.join(split, "run").where("root <> _main").drop("_main")
+        between = _verified(_ordered(left, held, similarity).distinct(), rows, size, similarity)
+        if not between.isEmpty():
+            reached = components(close.union(between), "similar-components")
     rooted = nodes.join(reached.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     return named.select("key", "name").join(rooted.select("name", F.coalesce("root", "node").alias("root")), "name").select(
         F.col("key").alias(key), "root")

@@ -129,6 +129,34 @@ def test_similar_groups_find_every_pair(spark):
     assert similar_roots(spark, texts) == want and len(set(want)) == 90
 
 
+def test_similar_groups_in_a_family_of_equal_long_words(spark):
+    rng = random.Random(4)
+    frame = "Application Department Reference concerning provisions regulation".split()
+    texts = []
+    for i in range(60):  # told apart by numbers alone
+        w = [x for k in range(60) for x in ([frame[k // 10]] if k % 10 == 0 else []) + [str(rng.randrange(10 ** 5))]]
+        texts += [" ".join(w), " ".join([*w[:-1], "0"])]
+    rng.shuffle(texts)
+    want = similar_by_brute_force(texts)
+    assert similar_roots(spark, texts) == want and len(set(want)) == 60
+
+
+def test_similar_groups_of_crowded_runs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRED", 3)
+    rng = random.Random(6)
+    texts = []
+    for family in range(3):
+        copies = [words(70 + family, 80)]
+        for _ in range(40):  # copies of copies: some links bridge texts that no centre is close to
+            w = list(rng.choice(copies))
+            at = rng.randrange(80)
+            w[at:at + 2] = [f"new{rng.randrange(10 ** 6)}", f"new{rng.randrange(10 ** 6)}"]
+            copies.append(w)
+        texts += [" ".join(w) for w in copies]
+    rng.shuffle(texts)
+    assert similar_roots(spark, texts) == similar_by_brute_force(texts)
+
+
 def test_substrings_against_brute_force(spark):
     rng = random.Random(1)
     block = " ".join(words(3, 40))
