@@ -29,11 +29,14 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-#: What is no secret though it looks random: digests by their length, UUIDs, numbers, paths of words.
+#: What is no secret though it looks random: digests by their length, UUIDs, numbers.
 DIGEST = re.compile(r"(?:sha(?:1|224|256|384|512)[-_:=]?|md5[-_:=]?)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}"
                     r"|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|sha(?:1|224|256|384|512)-[A-Za-z0-9+/]+={0,2}")
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-PLAIN = re.compile(r"[0-9+/_=-]+|[A-Za-z+/_=-]+|(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+))*[+/_=-]*")
+NUMBER = re.compile(r"[0-9+/_=-]+")
+#: Letters, and groups of letters or of digits: words and paths, judged by their runs of letters alone.
+PLAIN = re.compile(r"[A-Za-z+/_=-]+|(?:[A-Za-z]+|[0-9]+)(?:[+/_=-]+(?:[A-Za-z]+|[0-9]+))*[+/_=-]*")
+LETTERS = re.compile(r"[A-Za-z]+")
 
 
 @dataclass(frozen=True)
@@ -62,8 +65,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def known(s: str) -> bool:
-    """Digests, UUIDs, pure numbers, pure letters, and words or numbers joined by separators."""
-    return bool(PLAIN.fullmatch(s) or UUID.fullmatch(s) or DIGEST.fullmatch(s))
+    """Digests, UUIDs and pure numbers."""
+    return bool(NUMBER.fullmatch(s) or UUID.fullmatch(s) or DIGEST.fullmatch(s))
+
+
+def dense(s: str, encode, ratio: float) -> bool:
+    """Whether a token covers less than ``ratio`` characters of ``s``.
+
+    Of letters, and of groups of letters or digits, only the runs of letters count, each in the better of its own
+    and lower case: numbers between words and capitals do not make a path random.
+    """
+    if PLAIN.fullmatch(s):
+        runs = LETTERS.findall(s)
+        return sum(map(len, runs)) < ratio * sum(min(len(encode(r)), len(encode(r.lower()))) for r in runs)
+    return len(s) < ratio * len(encode(s))
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], encode, ratio: float) -> list[tuple[int, int, int]]:
@@ -73,7 +88,7 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], encode, ratio: fl
         s, a, b = m[0], m.start(), m.end()
         if known(s) or any(x < b and a < y for x, _, y in taken):
             continue
-        if len(s) < ratio * len(encode(s)):
+        if dense(s, encode, ratio):
             out.append((a, 3, b))
     return out
 

@@ -192,6 +192,15 @@ def test_secrets(spark):
     assert base.base_sha256 == secrets.sha256_of(got[0].base_spans)
 
 
+def test_secrets_of_letters_and_groups(spark):
+    keys = ["kQvZpXrLwTfBmYcHdNsGjKaReWq", "qzxkvjwpyfhgbmtrqzlxnvkd", "QZXKV-83921-PLMWR-44017-TTGZX"]
+    plain = ["internationalization", "getUserNameFromDatabase", "CONFIDENTIAL-INTERNAL-DOCUMENT", "docs/release/2024/01/15/notes",
+             "2024-01-15-10-30-00-123", "=" * 30, "d41d8cd98f00b204e9800998ecf8427e".upper()]
+    got = {r.doc_id: r.spans for r in secrets.scan(docs(spark, [f"see {x} here" for x in keys + plain])).collect()}
+    assert [got[i] for i in range(3)] == [f"random:4:{4 + len(k)}" for k in keys]
+    assert [got[i] for i in range(3, 10)] == [""] * 7
+
+
 def test_decontamination(spark):
     item = "a train travels 60 km in 2 hours toward the northern station before sunset how fast does it travel then"
     same = f"Intro words here. {item} and more words follow after that."
