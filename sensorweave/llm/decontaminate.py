@@ -27,12 +27,13 @@ SLOTS = {"<number>": 1, "<name>": 2, "<unit>": 3}
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEED = 17
 BLOCK = 1 << 16
+BITS = 20
 
 
 @dataclass(frozen=True)
 class Params:
-    """``window`` tokens a template window has, at least ``literals`` of them no slots; a document is a hit of
-    an item when matched windows in one alignment cover ``share`` of the item's tokens."""
+    """``window`` tokens a window has, at least ``literals`` of them no slots where slots may differ; a document is a
+    hit of an item when matched windows in near alignments cover ``share`` of the item's tokens."""
 
     window: int = 8
     literals: int = 5
@@ -46,6 +47,10 @@ class _Canon(dict):
 
     limit = 200_000
 
+    @staticmethod
+    def literal(token: str) -> int:
+        return xxh64_intdigest(token.lower(), SEED) | 8
+
     def __missing__(self, token: str) -> int:
         first = token[0]
         if first.isdigit():
@@ -55,7 +60,7 @@ class _Canon(dict):
         elif first.isupper() and len(token) > 1:
             code = SLOTS["<name>"]
         else:
-            code = xxh64_intdigest(token.lower(), SEED) | 8
+            code = self.literal(token)
         if len(self) >= self.limit:
             self.clear()
         self[token] = code
@@ -78,8 +83,31 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def windows_of(text: str, p: Params, canon: _Canon, size: int | None = None, wanted: np.ndarray | None = None):
-    """(position, hash, slot values) of each window with enough literals; only ``wanted`` hashes if given."""
+def with_bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and a table of their leading bits, for ``held``."""
+    bits = np.zeros(1 << BITS, bool)
+    bits[(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
+    return hashes, bits
+
+
+def held(wanted: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash is a wanted one; most are settled by the table."""
+    known, bits = wanted
+    out = bits[(hashes >> np.uint64(64 - BITS)).astype(np.int64)]
+    near = np.flatnonzero(out)
+    if len(near):
+        spot = np.minimum(np.searchsorted(known, hashes[near]), len(known) - 1)
+        out[near] = known[spot] == hashes[near]
+    return out
+
+
+def windows_of(text: str, p: Params, canon: _Canon, size: int | None = None,
+               wanted: tuple[np.ndarray, np.ndarray] | None = None):
+    """(position, hash, slot values) of each window; only ``wanted`` hashes if given.
+
+    Each window comes out by its words in lower case, without slots, and once more by its template if it
+    has slots and enough literals.
+    """
     tokens = tokens_of(text)
     size = size or p.window
     out = []
@@ -88,10 +116,18 @@ def windows_of(text: str, p: Params, canon: _Canon, size: int | None = None, wan
         codes = np.fromiter(map(canon.__getitem__, part), np.uint64, len(part))
         hashes = window_hashes(codes, size)
         slots = np.concatenate([[0], np.cumsum(codes < 8)])
-        fits = slots[size:] - slots[:-size] <= max(size - p.literals, 0)
+        typed = np.flatnonzero(codes < 8)
+        exact = hashes
+        if len(typed):
+            literal = codes.copy()
+            literal[typed] = np.fromiter((canon.literal(part[j]) for j in typed), np.uint64, len(typed))
+            exact = window_hashes(literal, size)
+        n_slots = slots[size:] - slots[:-size]
+        fits = (n_slots > 0) & (n_slots <= max(size - p.literals, 0))
         if wanted is not None:
-            spot = np.searchsorted(wanted, hashes)
-            fits &= wanted[np.minimum(spot, len(wanted) - 1)] == hashes if len(wanted) else False
+            fits &= held(wanted, hashes)
+        for i in np.flatnonzero(held(wanted, exact)) if wanted is not None else range(len(exact)):
+            out.append((at + int(i), int(exact[i].view(np.int64)), []))
         for i in np.flatnonzero(fits):
             values = [part[j].lower() for j in range(i, i + size) if codes[j] < 8]
             out.append((at + int(i), int(hashes[i].view(np.int64)), values))
@@ -112,6 +148,7 @@ def _windows(df: DataFrame, key: str, text: str, p: Params, sizes: tuple[int, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = _Canon()
+        known = {size: with_bits(hashes) for size, hashes in shared.value.items()} if shared else {}
         for b in batches:
             owner, made = [], []
             for row, value in enumerate(b.column("_text")):
@@ -121,7 +158,7 @@ def _windows(df: DataFrame, key: str, text: str, p: Params, sizes: tuple[int, ..
                     n = len(tokens_of(t))
                     own = (min(n, p.window),) if n else ()
                 for size in own:
-                    found, n = windows_of(t, p, canon, size, shared.value[size] if shared else None)
+                    found, n = windows_of(t, p, canon, size, known.get(size))
                     owner += [row] * len(found)
                     made += [{"pos": i, "hash": h, "slots": s, "size": size, "n_tokens": n} for i, h, s in found]
             if made:
@@ -136,10 +173,12 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
             item_text: str = "text", p: Params = Params()) -> DataFrame:
     """One row per document and item it holds: ``key``, ``item``, ``n_windows``, ``share``, ``kind``.
 
-    Windows meet by an equality join on their template hash. Matched windows of one alignment (document
-    position less item position) must agree in their slots: an item's value stands for one value of the
-    document throughout; where it does not, only windows that repeat the item's own values count. ``share`` is the part of the item's tokens that the agreeing windows of the best
-    alignment cover; ``kind`` is ``exact`` where all slot values are the item's own, else ``template``.
+    Windows meet by an equality join on the hash of their words in lower case, or of their template. Matched
+    windows of one alignment (document position less item position) must agree in their slots: an item's
+    value stands for one value of the document throughout; where it does not, only windows that repeat the
+    item's own words count. ``share`` is the part of the item's tokens that the agreeing windows of near
+    alignments cover, which inserted and dropped words shift against each other; alignments half the
+    item's length apart always count together. ``kind`` is ``exact`` where all words are the item's own, else ``template``.
     Items of fewer tokens than a window are matched whole. Null and empty texts have no windows, rows with
     a null key come out with a null key; documents that repeat a key count as one; an empty table gives
     no rows. Only matched windows are shuffled; the item side is broadcast while it is small to Spark.
@@ -167,10 +206,19 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         F.array_distinct(F.flatten(F.collect_set(bound))).alias("_bound"))
     one_value = F.size(F.array_distinct(F.transform("_bound", lambda x: x["a"]))) == F.size("_bound")
     aligned = aligned.withColumn("_pos", F.when(one_value, F.col("_all")).otherwise(F.col("_same")))
+    # each alignment by itself, and in two overlapping grids with the near ones
+    width = F.col("n_tokens") + p.window
+    cell = lambda grid, at: F.struct(F.lit(grid).alias("grid"), at.cast("long").alias("at"))
+    cells = F.array(cell(0, F.col("_shift")), cell(1, F.floor(F.col("_shift") / width)), cell(2, F.floor(F.col("_shift") / width + 0.5)))
+    joint = aligned.where(F.size("_pos") > 0).withColumn("_bound", F.when(one_value, F.col("_bound")).otherwise(F.slice("_bound", 1, 0)))
+    joint = joint.withColumn("_cell", F.explode(cells)).groupBy("_key", "_item", "_cell", "size", "n_tokens").agg(
+        *[F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("_pos", "_same")],
+        F.array_distinct(F.flatten(F.collect_list("_bound"))).alias("_bound"))
+    joint = joint.withColumn("_pos", F.when(one_value, F.col("_pos")).otherwise(F.col("_same")))
     cover = F.aggregate(
         F.transform("_pos", lambda x, i: F.least(F.col("size"), F.coalesce(F.get("_pos", i + 1) - x, F.col("size")))),
         F.lit(0), lambda a, x: a + x)
-    scored = aligned.where(F.size("_pos") > 0).select(
+    scored = joint.where(F.size("_pos") > 0).select(
         "_key", "_item", F.struct((cover / F.col("n_tokens")).alias("share"),
                                   (F.col("_pos") == F.col("_same")).alias("exact"),
                                   F.size("_pos").cast("long").alias("n")).alias("_s"))

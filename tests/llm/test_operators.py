@@ -215,6 +215,24 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontaminate.without_leaks(d, items).collect()) == [2, 3, 4, 6]
 
 
+def test_exact_copies_without_literals_and_shifted_copies(spark):
+    plain = "which of the following rivers crosses the border of three countries before it reaches the sea"
+    numbers = "add 12 and 15 and 18 to 21 then 24 less 27 and 30 by 33"
+    names = "did Anna Berta Clara Dora Emma Frieda Gerda Hanna meet Ida Julia Klara Lena"
+    long = " ".join(words(11, 45))
+    w = long.split()
+    edited = " ".join([*w[:15], "extra", *w[15:30], "two", "more", *w[30:]])
+    items = spark.createDataFrame(list(enumerate([plain, numbers, names, "What is 2 + 2", long])), "item_id long, text string")
+    around = "some words before {} and a few words after".format
+    d = docs(spark, [around(plain.upper()), around(numbers), around(names), around("what is 2 + 2"), around(edited),
+                     around(numbers.replace("15", "16").replace("27", "28")), around(plain.title())])
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(d, items).collect()}
+    assert {k: r.kind for k, r in got.items()} == {(i, i): "exact" for i in range(5)} | {(6, 0): "exact"}
+    assert all(r.share == 1 for r in got.values())
+    unfiltered = decontaminate.matches(d, items, p=decontaminate.Params(filter_windows=0)).collect()
+    assert {(r.doc_id, r.item_id): r for r in unfiltered} == got
+
+
 def test_inconsistent_slots_are_no_leak(spark):
     item = "from 5 to 5 plus x gives y and from 5 to 5 minus x gives z in the end of it all"
     broken = item.replace("from 5 to 5", "from 8 to 9")
