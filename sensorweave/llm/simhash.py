@@ -133,9 +133,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
 
 
 #: Members of a prefix run's group that are all compared; larger groups are linked by centres first.
-PAIRED = 32
+PAIRED = 4
 #: Runs that a sample of one text in ``SAMPLE`` holds ``OFTEN`` times come last in the order of runs; at most ``COMMON`` (8 bytes each).
 SAMPLE, OFTEN, COMMON = 8, 6, 2_000_000
+#: Longs of a text's sketch: bits that its runs set. A bit that one of two texts lacks is a run that it lacks.
+SKETCH = 16
 
 
 def runs_of(text: bytes | None, size: int = 5) -> np.ndarray:
@@ -162,6 +164,13 @@ def prefix_of(runs: np.ndarray, common: np.ndarray, similarity: float) -> np.nda
     return np.concatenate([runs[~late], runs[late]])[:n]
 
 
+def sketch_of(runs: np.ndarray) -> np.ndarray:
+    """Bits that the leading bits of the runs name."""
+    bits = np.zeros(SKETCH * 64, np.uint8)
+    bits[(runs >> np.uint64(64 - (SKETCH * 64 - 1).bit_length())).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     cuts = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
@@ -180,9 +189,22 @@ def _common_runs(rows: DataFrame, size: int) -> np.ndarray:
     return np.sort(got.astype(np.int64).view(np.uint64))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
+def _possible(pairs: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sketches allow the similarity: no similar pair is lost, and few others stay."""
+    slim = firsts.select("node", "n", "sketch")
+    both = (pairs.join(slim.withColumnsRenamed({"node": "a", "n": "na", "sketch": "sa"}), "a")
+            .join(slim.withColumnsRenamed({"node": "b", "n": "nb", "sketch": "sb"}), "b"))
+    lacks = lambda x, y: F.aggregate(
+        F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda t, v: t + v)
+    most = F.least(F.col("na") - lacks("sa", "sb"), F.col("nb") - lacks("sb", "sa"))
+    return both.where(_reach(F.lit(0), most - 1, F.col("na") + F.col("nb"), similarity)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs ``a``, ``b`` whose texts' exact Jaccard similarity over ``size``-word shingles is high enough."""
-    pairs = stage(pairs, "similar-pairs")
+    met = stage(pairs, "similar-met")
+    pairs = stage(_possible(met, firsts, similarity), "similar-pairs")
+    discard(met)
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "similar-wanted")
     small = F.broadcast if wanted.count() <= BROADCAST_SIGNATURES else (lambda x: x)
 
@@ -224,7 +246,7 @@ def similar_groups(df: DataFrame, key: str = "place", text: str = "text", size:
     Texts are linked when the exact Jaccard similarity of their ``size``-word shingle sets is ``similarity``
     or more. Equal sets are one node. Similar texts share a run of their prefixes (``prefix_of``), so an equality
     join on prefix runs finds every such pair. Up to ``PAIRED`` texts that share a run are all compared. In a
-    larger group all are compared with a few centres; texts that this joins need no comparison with each
+    larger group all are compared with its smallest; texts that this joins need no comparison with each
     other, and those outside the group's largest component are compared with all of other components.
     """
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").cast("binary").alias("_bytes"))
@@ -236,12 +258,16 @@ def similar_groups(df: DataFrame, key: str = "place", text: str = "text", size:
             names = pa.array([sha256(r.tobytes()).digest() for r in made], pa.binary())
             sizes = pa.array([len(r) for r in made], pa.int64())
             first = _lists([prefix_of(r, common.value, similarity) for r in made])
-            yield pa.RecordBatch.from_arrays([b.column("key"), names, sizes, first], names=["key", "name", "n", "first"])
+            sketches = _lists([sketch_of(r) for r in made])
+            yield pa.RecordBatch.from_arrays([b.column("key"), names, sizes, first, sketches],
+                                             names=["key", "name", "n", "first", "sketch"])
 
-    named = stage(rows.mapInArrow(run, "key long, name binary, n long, first array<long>"), "similar-runs")
+    made = stage(rows.mapInArrow(run, "key long, name binary, n long, first array<long>, sketch array<long>"), "similar-runs")
+    named = stage(made.select("key", "name"), "similar-names")
     nodes = stage(named.groupBy("name").agg(F.min("key").alias("node")), "similar-nodes")
-    firsts = stage(named.join(nodes.select(F.col("node").alias("key")), "key", "left_semi").select(
-        F.col("key").alias("node"), "n", "first"), "similar-firsts")
+    firsts = stage(made.join(nodes.select(F.col("node").alias("key")), "key", "left_semi").select(
+        F.col("key").alias("node"), "n", "first", "sketch"), "similar-firsts")
+    discard(made)
     tokens = firsts.select("node", "n", F.posexplode("first").alias("at", "run"))
     groups = stage(tokens.groupBy("run").agg(
         F.count(F.lit(1)).alias("members"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("at").alias("_at"),
@@ -252,12 +278,12 @@ def similar_groups(df: DataFrame, key: str = "place", text: str = "text", size:
     several = stage(tokens.join(small(more), "run"), "similar-several")
     few = several.where(F.col("members") <= PAIRED).drop("members")
     crowd = several.where(F.col("members") > PAIRED).drop("members")
-    lot = F.xxhash64("node", F.pmod("run", F.lit(4)))  # four orders of the nodes: runs share their centres
-    centres = crowd.groupBy("run").agg(F.min_by("node", lot).alias("_with"))
+    centres = crowd.groupBy("run").agg(F.min("node").alias("_with"))  # the same for most runs of a family
     stars = crowd.join(centres, "run").where("node <> _with").select(
         F.least("node", "_with").alias("a"), F.greatest("node", "_with").alias("b"))
-    close = _verified(twos.union(_ordered(few, few, similarity)).union(stars).distinct(), rows, size, similarity)
+    close = _verified(twos.union(_ordered(few, few, similarity)).union(stars).distinct(), firsts, rows, size, similarity)
 
+    discard(groups)
     reached = components(close, "similar-components")
     if not crowd.isEmpty():
         held = stage(crowd.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-crowd")
@@ -265,11 +291,11 @@ def similar_groups(df: DataFrame, key: str = "place", text: str = "text", size:
         main = roots.groupBy("run").agg(F.count(F.lit(1)).alias("_roots"), F.max_by("root", F.struct("_k", "root")).alias("_main"))
         split = stage(main.where("_roots > 1").drop("_roots"), "similar-split")
         left = held.join(split, "run").where("root <> _main").drop("_main")
-        between = _verified(_ordered(left, held, similarity).distinct(), rows, size, similarity)
+        between = _verified(_ordered(left, held, similarity).distinct(), firsts, rows, size, similarity)
         if not between.isEmpty():
             reached = components(close.union(between), "similar-components")
     rooted = nodes.join(reached.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-    return named.select("key", "name").join(rooted.select("name", F.coalesce("root", "node").alias("root")), "name").select(
+    return named.join(rooted.select("name", F.coalesce("root", "node").alias("root")), "name").select(
         F.col("key").alias(key), "root")
 
 
