@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -132,185 +131,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     return fps.join(classes, "fp").select(F.col(name).alias(key), "fp", "component_id")
 
 
-#: Members of a prefix run's group that are all compared; larger groups are linked by centres first.
-PAIRED = 4
-#: Runs that a sample of one text in ``SAMPLE`` holds ``OFTEN`` times come last in the order of runs; at most ``COMMON`` (8 bytes each).
-SAMPLE, OFTEN, COMMON = 8, 6, 2_000_000
-#: Longs of a text's sketch: bits that its runs set. A bit that one of two texts lacks is a run that it lacks.
-SKETCH = 16
-
-
-def runs_of(text: bytes | None, size: int = 5) -> np.ndarray:
-    """Hashes of the distinct ``size``-word shingles of a text, ascending."""
-    words = (text or b"").lower().split()
-    total = max(len(words) - size + 1, 1) if words else 0
-    parts = []
-    for at in range(0, total, BLOCK):
-        part = shingles(words[at:at + BLOCK + size - 1], size)
-        parts.append(np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in part), np.uint64, len(part))))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
-def prefix_of(runs: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first runs of a text, common ones last: texts at ``similarity`` or more share one of theirs.
-
-    Of ``n`` runs at least ``similarity * n`` are shared, so the first shared one in any order that holds for
-    all texts has at most ``n`` less that many before it.
-    """
-    late = np.zeros(len(runs), bool)
-    if len(common):
-        late = common[np.minimum(np.searchsorted(common, runs), len(common) - 1)] == runs
-    n = len(runs) - int(np.ceil(similarity * len(runs) - 1e-9)) + 1 if len(runs) else 0
-    return np.concatenate([runs[~late], runs[late]])[:n]
-
-
-def sketch_of(runs: np.ndarray) -> np.ndarray:
-    """Bits that the leading bits of the runs name."""
-    bits = np.zeros(SKETCH * 64, np.uint8)
-    bits[(runs >> np.uint64(64 - (SKETCH * 64 - 1).bit_length())).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").view(np.uint64)
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    cuts = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
-
-
-def _common_runs(rows: DataFrame, size: int) -> np.ndarray:
-    """Runs that many texts hold, by a sample of the texts. They set the order of runs alone: any order is right."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [runs_of(t.as_py(), size) for t in b.column("_bytes")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*made, np.zeros(0, np.uint64)]).view(np.int64))], names=["run"])
-
-    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select("_bytes").mapInArrow(run, "run long")
-    often = some.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
-    got = often.orderBy(F.desc("n"), "run").limit(COMMON).select("run").toArrow()["run"].to_numpy()
-    return np.sort(got.astype(np.int64).view(np.uint64))
-
-
-def _possible(pairs: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sketches allow the similarity: no similar pair is lost, and few others stay."""
-    slim = firsts.select("node", "n", "sketch")
-    both = (pairs.join(slim.withColumnsRenamed({"node": "a", "n": "na", "sketch": "sa"}), "a")
-            .join(slim.withColumnsRenamed({"node": "b", "n": "nb", "sketch": "sb"}), "b"))
-    lacks = lambda x, y: F.aggregate(
-        F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda t, v: t + v)
-    most = F.least(F.col("na") - lacks("sa", "sb"), F.col("nb") - lacks("sb", "sa"))
-    return both.where(_reach(F.lit(0), most - 1, F.col("na") + F.col("nb"), similarity)).select("a", "b")
-
-
-def _verified(pairs: DataFrame, firsts: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs ``a``, ``b`` whose texts' exact Jaccard similarity over ``size``-word shingles is high enough."""
-    met = stage(pairs, "similar-met")
-    pairs = stage(_possible(met, firsts, similarity), "similar-pairs")
-    discard(met)
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "similar-wanted")
-    small = F.broadcast if wanted.count() <= BROADCAST_SIGNATURES else (lambda x: x)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), _lists([runs_of(t.as_py(), size) for t in b.column("_bytes")])], names=["key", "runs"])
-
-    sets = stage(rows.join(small(wanted), "key", "left_semi").mapInArrow(run, "key long, runs array<long>"), "similar-sets")
-    both = (pairs.join(sets.withColumnsRenamed({"key": "a", "runs": "_ra"}), "a")
-            .join(sets.withColumnsRenamed({"key": "b", "runs": "_rb"}), "b"))
-    shared = both.select("a", "b", F.size(F.array_intersect("_ra", "_rb")).alias("_n"),
-                         (F.size("_ra") + F.size("_rb")).alias("_m"))
-    out = stage(shared.where(F.col("_n") / (F.col("_m") - F.col("_n")) >= similarity).select("a", "b"), "similar-links")
-    discard(sets)
-    return out
-
-
-def _reach(before: Column, after: Column, sizes: Column, similarity: float) -> Column:
-    """Whether texts that share a run, with so many runs before and after it, may share enough of them."""
-    return before + 1 + after >= similarity / (1 + similarity) * sizes - 1e-6
-
-
-def _ordered(tokens: DataFrame, other: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of the rows of both tables that share a run and may be similar, the smaller node as ``a``."""
-    a, b = (t.select("run", *[F.col(c).alias(f"{c}{i}") for c in t.columns if c != "run"])
-            for i, t in enumerate((tokens, other)))
-    fits = _reach(F.least("at0", "at1"), F.least(F.col("n0") - F.col("at0"), F.col("n1") - F.col("at1")) - 1,
-                  F.col("n0") + F.col("n1"), similarity)
-    apart = F.col("root0") != F.col("root1") if "root" in tokens.columns else F.col("node0") < F.col("node1")
-    return a.join(b, "run").where(fits & apart).select(
-        F.least("node0", "node1").alias("a"), F.greatest("node0", "node1").alias("b"))
-
-
-def similar_groups(df: DataFrame, key: str = "place", text: str = "text", size: int = 5,
-                   similarity: float = 0.8) -> DataFrame:
-    """``key`` (a unique long) and ``root``: the smallest key of the texts linked to it.
-
-    Texts are linked when the exact Jaccard similarity of their ``size``-word shingle sets is ``similarity``
-    or more. Equal sets are one node. Similar texts share a run of their prefixes (``prefix_of``), so an equality
-    join on prefix runs finds every such pair. Up to ``PAIRED`` texts that share a run are all compared. In a
-    larger group all are compared with its smallest; texts that this joins need no comparison with each
-    other, and those outside the group's largest component are compared with all of other components.
-    """
-    rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").cast("binary").alias("_bytes"))
-    common = df.sparkSession.sparkContext.broadcast(_common_runs(rows, size))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [runs_of(t.as_py(), size) for t in b.column("_bytes")]
-            names = pa.array([sha256(r.tobytes()).digest() for r in made], pa.binary())
-            sizes = pa.array([len(r) for r in made], pa.int64())
-            first = _lists([prefix_of(r, common.value, similarity) for r in made])
-            sketches = _lists([sketch_of(r) for r in made])
-            yield pa.RecordBatch.from_arrays([b.column("key"), names, sizes, first, sketches],
-                                             names=["key", "name", "n", "first", "sketch"])
-
-    made = stage(rows.mapInArrow(run, "key long, name binary, n long, first array<long>, sketch array<long>"), "similar-runs")
-    named = stage(made.select("key", "name"), "similar-names")
-    nodes = stage(named.groupBy("name").agg(F.min("key").alias("node")), "similar-nodes")
-    firsts = stage(made.join(nodes.select(F.col("node").alias("key")), "key", "left_semi").select(
-        F.col("key").alias("node"), "n", "first", "sketch"), "similar-firsts")
-    discard(made)
-    tokens = firsts.select("node", "n", F.posexplode("first").alias("at", "run"))
-    groups = stage(tokens.groupBy("run").agg(
-        F.count(F.lit(1)).alias("members"), F.min("node").alias("a"), F.max("node").alias("b"), F.min("at").alias("_at"),
-        F.min(F.col("n") - F.col("at") - 1).alias("_after"), F.sum("n").alias("_n")).where("members > 1"), "similar-groups")
-    twos = groups.where("members = 2").where(_reach(F.col("_at"), F.col("_after"), F.col("_n"), similarity)).select("a", "b")
-    more = groups.where("members > 2").select("run", "members")
-    small = F.broadcast if more.count() <= BROADCAST_SIGNATURES else (lambda x: x)
-    several = stage(tokens.join(small(more), "run"), "similar-several")
-    few = several.where(F.col("members") <= PAIRED).drop("members")
-    crowd = several.where(F.col("members") > PAIRED).drop("members")
-    centres = crowd.groupBy("run").agg(F.min("node").alias("_with"))  # the same for most runs of a family
-    stars = crowd.join(centres, "run").where("node <> _with").select(
-        F.least("node", "_with").alias("a"), F.greatest("node", "_with").alias("b"))
-    close = _verified(twos.union(_ordered(few, few, similarity)).union(stars).distinct(), firsts, rows, size, similarity)
-
-    discard(groups)
-    reached = components(close, "similar-components")
-    if not crowd.isEmpty():
-        held = stage(crowd.join(reached, "node", "left").withColumn("root", F.coalesce("root", "node")), "similar-crowd")
-        roots = held.groupBy("run", "root").agg(F.count(F.lit(1)).alias("_k"))
-        main = roots.groupBy("run").agg(F.count(F.lit(1)).alias("_roots"), F.max_by("root", F.struct("_k", "root")).alias("_main"))
-        split = stage(main.where("_roots > 1").drop("_roots"), "similar-split")
-        left = held.join(split, "run").where("root <> _main").drop("_main")
-        between = _verified(_ordered(left, held, similarity).distinct(), firsts, rows, size, similarity)
-        if not between.isEmpty():
-            reached = components(close.union(between), "similar-components")
-    rooted = nodes.join(reached.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-    return named.join(rooted.select("name", F.coalesce("root", "node").alias("root")), "name").select(
-        F.col("key").alias(key), "root")
-
-
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The row with the smallest key of every group of similar texts, with the columns it came with.
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
+    """The row with the smallest key of every component of ``near_duplicates``, with the columns it came with.
 
     A null key gives way to any other. Of rows that share the smallest key the first one written stays.
-    Texts without words are alike; an empty table stays empty.
+    Texts without words are alike; an empty table stays empty. Lists of places alone are shuffled and
+    grouped, so a component of a third of all rows costs one partial aggregate per task.
     """
     row = free_name(df, "_row")
     tagged = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row),
                        F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
     # the place of a row is fixed by writing it
-    rows = stage(tagged.withColumn("place", F.monotonically_increasing_id()), "similar-rows")
-    groups = similar_groups(rows, "place", "_text", size, similarity)
-    order = F.struct(F.col("_key").isNull(), "_key", "place")
-    chosen = rows.select("place", "_key").join(groups, "place").groupBy("root").agg(F.min(order).alias("_best"))
-    return rows.join(chosen.select(F.col("_best.place").alias("place")), "place", "left_semi").select(f"{row}.*")
+    rows = stage(tagged.withColumn("_place", F.monotonically_increasing_id()), "simhash-rows")
+    groups = near_duplicates(rows, "_place", "_text", size).select("_place", "component_id")
+    order = F.struct(F.col("_key").isNull(), "_key", "_place")
+    chosen = rows.select("_place", "_key").join(groups, "_place").groupBy("component_id").agg(F.min(order).alias("_best"))
+    return rows.join(chosen.select(F.col("_best._place").alias("_place")), "_place", "left_semi").select(f"{row}.*")
