@@ -96,4 +96,40 @@ q AS (SELECT *, least(39, ((2 * upto - size) * 40) // (2 * whole))::INTEGER AS s
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
   (row_number() OVER (PARTITION BY shard ORDER BY r) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM q"""
 
-ORACLES = {"op2_url_filter": OP2, "op4_substrings": OP4, "op7_quality": OP7, "op9_warc": OP9, "op10_sharding": OP10}
+#: Prefixes are named by a chain of digests; totals come from each node's path, taken from its smallest member.
+OP12 = r"""
+WITH RECURSIVE steps(n, c, k) AS (
+  SELECT n, n, 0 FROM (SELECT unnest(range(256))::BIGINT AS n)
+  UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM steps WHERE k = 8),
+own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 5 AS base, conv_id::VARCHAR AS s FROM (SELECT DISTINCT conv_id FROM own)),
+h AS (
+  SELECT conv_id, base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(s)), lambda i: ascii(s[i + 1])::BIGINT)),
+    lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 9 AS h FROM ids, crc),
+built AS (
+  SELECT h.conv_id, pos, role, text FROM h JOIN own ON own.conv_id = h.base WHERE pos < h
+  UNION ALL
+  SELECT h.conv_id, pos - h + least(h, coalesce(n, 0)), role, text
+  FROM h JOIN own USING (conv_id) LEFT JOIN (SELECT conv_id AS base, count(*) AS n FROM own GROUP BY conv_id) USING (base) WHERE pos >= h),
+chain(conv_id, d, id, up, bytes) AS (
+  SELECT conv_id, 0::BIGINT, '', NULL::VARCHAR, 0::BIGINT FROM h
+  UNION ALL
+  SELECT c.conv_id, d + 1, sha256(id || strlen(role)::VARCHAR || ':' || role || text), id, strlen(text)::BIGINT
+  FROM chain c JOIN built b ON b.conv_id = c.conv_id AND b.pos = c.d),
+long AS (SELECT conv_id, max(d) AS n FROM chain GROUP BY conv_id),
+node AS (SELECT id, min(conv_id) AS conv_id, min(d) AS depth, min(up) AS up, count(*) AS n_convs, min(bytes) AS bytes FROM chain GROUP BY id),
+kids AS (SELECT up AS id, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up),
+fact AS (SELECT node.*, coalesce(n, 0) AS n_children, (n_convs - 1) * bytes AS saved FROM node LEFT JOIN kids USING (id)),
+total AS (
+  SELECT c.id, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved FROM fact f JOIN chain c ON c.conv_id = f.conv_id AND c.d <= f.depth
+  GROUP BY c.id),
+ends AS (SELECT id, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS s FROM chain JOIN long USING (conv_id) WHERE d = n GROUP BY id)
+SELECT f.conv_id::BIGINT AS conv_id, f.depth::BIGINT AS depth, p.conv_id::BIGINT AS parent_conv_id, f.n_convs::BIGINT AS n_convs,
+  f.n_children::BIGINT AS n_children, t.n_leaves::BIGINT AS n_leaves, t.saved::BIGINT AS saved_tokens, sha256(coalesce(ends.s, '')) AS ends_sha256
+FROM fact f JOIN total t USING (id) LEFT JOIN node p ON p.id = f.up LEFT JOIN ends ON ends.id = f.id"""
+
+ORACLES = {"op12_prefix_trie": OP12, "op2_url_filter": OP2, "op4_substrings": OP4, "op7_quality": OP7, "op9_warc": OP9, "op10_sharding": OP10}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorweave.llm import (decontaminate, pieces, quality, secrets, sharding, simhash, substrings, toxicity, urls,
-                             warc)
+from sensorweave.llm import (decontaminate, pieces, prefix_trie, pu_quality, quality, secrets, sharding, simhash,
+                             substrings, toxicity, urls, warc, whitening)
 from sensorweave.llm.common import table
 from sensorweave.llm.oracles import ORACLES
 
@@ -77,6 +77,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 32 whitened coordinates of every embedding, one row each."""
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select(F.col("_row.vec_id").alias("vec_id"), "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("node")
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pu_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -85,4 +101,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_simhash, op4_substrings, op5_secrets, op6_toxicity,
-                            op7_quality, op8_decontamination, op9_warc, op10_sharding, pipeline)}
+                            op7_quality, op8_decontamination, op9_warc, op10_sharding, op11_whitening,
+                            op12_prefix_trie, op13_quality_classifier, pipeline)}
