@@ -28,7 +28,7 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: Fixed value: how the rank files' vocabularies cut text before they merge.
 CUT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}(?![A-Za-z0-9+/_=-])"
 #: What is no secret though it looks random: digests by their length, UUIDs, numbers.
 DIGEST = re.compile(r"(?:sha(?:1|224|256|384|512)[-_:=]?|md5[-_:=]?)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}"
                     r"|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})|sha(?:1|224|256|384|512)-[A-Za-z0-9+/]+={0,2}")
@@ -41,9 +41,11 @@ LETTERS = re.compile(r"[A-Za-z]+")
 
 @dataclass(frozen=True)
 class Params:
-    """``ratio``: characters per token below which a candidate counts as random."""
+    """``ratio``: characters per token below which a candidate counts as random. Candidates, and what base spans
+    leave of one, have at least ``least`` characters: shorter strings hold too few tokens to tell."""
 
     ratio: float = 2.0
+    least: int = 20
     vocabulary: str = tokenizer_file("byte_bpe_50k.tiktoken")
 
 
@@ -81,15 +83,31 @@ def dense(s: str, encode, ratio: float) -> bool:
     return len(s) < ratio * len(encode(s))
 
 
-def random_spans(text: str, taken: list[tuple[int, int, int]], encode, ratio: float) -> list[tuple[int, int, int]]:
-    """Candidates outside the base spans that a token covers less than ``ratio`` characters of."""
+def outside(a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a..b that no taken span covers."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        s, a, b = m[0], m.start(), m.end()
-        if known(s) or any(x < b and a < y for x, _, y in taken):
+    for x, _, y in sorted(taken):
+        if x < b and a < y:
+            if a < x:
+                out.append((a, x))
+            a = max(a, y)
+    return out + [(a, b)] if a < b else out
+
+
+def random_spans(text: str, taken: list[tuple[int, int, int]], encode, p: Params, pattern: re.Pattern) -> list[tuple[int, int, int]]:
+    """Candidates that a token covers less than ``ratio`` characters of.
+
+    Of a candidate that base spans touch, what they leave is judged as one string, and its parts are reported
+    beside the base spans.
+    """
+    out = []
+    for m in pattern.finditer(text):
+        if known(m[0]):
             continue
-        if dense(s, encode, ratio):
-            out.append((a, 3, b))
+        parts = outside(m.start(), m.end(), taken) if taken else [m.span()]
+        s = "".join(text[a:b] for a, b in parts)
+        if len(s) >= p.least and not known(s) and dense(s, encode, p.ratio):
+            out += [(a, 3, b) for a, b in parts]
     return out
 
 
@@ -124,7 +142,7 @@ def scan(df: DataFrame, text: str = "text", params: Params = Params()) -> DataFr
     extra = StructType.fromDDL(added)
     schema = StructType(rows.schema.fields + extra.fields)
     shared = df.sparkSession.sparkContext.broadcast(table)
-    ratio, source = params.ratio, text
+    source, pattern = text, re.compile(CANDIDATE % params.least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tiktoken.Encoding("ranks", pat_str=CUT, mergeable_ranks=shared.value, special_tokens={})
@@ -133,7 +151,7 @@ def scan(df: DataFrame, text: str = "text", params: Params = Params()) -> DataFr
             for value in b.column(source):
                 t = value.as_py()
                 base = base_spans(t or "")
-                spans = sorted(base + random_spans(t or "", base, encoder.encode_ordinary, ratio))
+                spans = sorted(base + random_spans(t or "", base, encoder.encode_ordinary, params, pattern))
                 made["secrets"].append([{"kind": KINDS[k], "start": a, "end": e} for a, k, e in spans])
                 made["base_spans"].append(joined(base))
                 made["spans"].append(joined(spans))

@@ -143,13 +143,14 @@ def test_decontamination(spark):
     same = f"Intro words here. {item} and more words follow after that."
     other = same.replace("60", "75").replace("2 hours", "3 hours")
     torn = "Numbers 60 60 60 60 60 60 60 60 and plain talk about nothing in particular for a while."
-    items = spark.createDataFrame([(1, item), (2, "short one"), (3, None)], "item_id long, text string")
-    d = docs(spark, [same, other, torn, None, "", "a short one indeed", " ".join(words(4, 20_000))])
+    items = spark.createDataFrame([(1, item), (2, "rather a short one"), (3, None), (4, "Yes"), (5, "of course")], "item_id long, text string")
+    d = docs(spark, [same, other, torn, None, "", "this is rather a short one indeed", " ".join(words(4, 20_000)), "well yes of course"])
     got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.matches(d, items).collect()}
     assert got == {(0, 1): "exact", (1, 1): "template", (5, 2): "exact"}
+    assert {(r.item_id, r.n_tokens) for r in decontaminate.unsearchable(items).collect()} == {(3, 0), (4, 1), (5, 2)}
     unfiltered = decontaminate.matches(d, items, p=decontaminate.Params(filter_windows=0)).collect()
     assert {(r.doc_id, r.item_id): r.kind for r in unfiltered} == got
-    assert sorted(r.doc_id for r in decontaminate.without_leaks(d, items).collect()) == [2, 3, 4, 6]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(d, items).collect()) == [2, 3, 4, 6, 7]
 
 
 def test_exact_copies_without_literals_and_shifted_copies(spark):
