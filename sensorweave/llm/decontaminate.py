@@ -33,9 +33,11 @@ BITS = 20
 @dataclass(frozen=True)
 class Params:
     """``window`` tokens a window has, at least ``literals`` of them no slots where slots may differ; a document is a
-    hit of an item when matched windows in near alignments cover ``share`` of the item's tokens."""
+    hit of an item when matched windows in near alignments cover ``share`` of the item's tokens. Items of fewer than
+    ``least`` tokens are not searched for: ordinary texts hold them by chance (``unsearchable`` lists them)."""
 
     window: int = 8
+    least: int = 4
     literals: int = 5
     share: float = 0.5
     #: Item windows whose hashes go along with the tasks to drop other windows early: 8 bytes each.
@@ -156,7 +158,7 @@ def _windows(df: DataFrame, key: str, text: str, p: Params, sizes: tuple[int, ..
                 own = sizes
                 if whole_short:
                     n = len(tokens_of(t))
-                    own = (min(n, p.window),) if n else ()
+                    own = (min(n, p.window),) if n >= p.least else ()
                 for size in own:
                     found, n = windows_of(t, p, canon, size, known.get(size))
                     owner += [row] * len(found)
@@ -179,10 +181,12 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     item's own words count. ``share`` is the part of the item's tokens that the agreeing windows of near
     alignments cover, which inserted and dropped words shift against each other; alignments half the
     item's length apart always count together. ``kind`` is ``exact`` where all words are the item's own, else ``template``.
-    Items of fewer tokens than a window are matched whole. Null and empty texts have no windows, rows with
+    Items of fewer tokens than a window, but ``p.least`` or more, are matched whole. Null and empty texts have no windows, rows with
     a null key come out with a null key; documents that repeat a key count as one; an empty table gives
     no rows. Only matched windows are shuffled; the item side is broadcast while it is small to Spark.
     """
+    if item.lower() == key.lower():
+        raise ValueError(f"documents and items both call their key {key!r}: rename one, both come out")
     given = items.select(F.col(f"`{item}`").alias("_item"), F.col(f"`{item_text}`").alias("_body"))
     index = stage(_windows(given, "_item", "_body", p, (), True, None), "decontaminate-index")
     sizes = tuple(sorted(r[0] for r in index.select("size").distinct().collect()))  # at most ``window`` values
@@ -228,6 +232,18 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                        F.when(F.col("_s.exact"), F.lit("exact")).otherwise(F.lit("template")).alias("kind"))
 
 
+def unsearchable(items: DataFrame, item: str = "item_id", item_text: str = "text", p: Params = Params()) -> DataFrame:
+    """``item`` and ``n_tokens`` of the items that are too short to look for; null and empty texts are among them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pa.array([len(tokens_of(t.as_py() or "")) for t in b.column("_text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(item), n], names=[item, "n_tokens"])
+
+    rows = items.select(F.col(f"`{item}`"), F.col(f"`{item_text}`").cast("string").alias("_text"))
+    schema = StructType([rows.schema[item], *StructType.fromDDL("n_tokens long").fields])
+    return rows.mapInArrow(run, schema).where(F.col("n_tokens") < p.least)
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item, with the columns they came with.
 
