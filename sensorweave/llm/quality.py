@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -9,12 +10,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorweave.llm.common import let, words_of
+from sensorweave.llm.common import discard, free_name, let, stage, words_of
 
 WINDOW = 8
 #: Rows that order the rules; they never decide about a document.
 SAMPLE_ROWS = 300
-SAMPLE_REPEATS = 5
+#: A rule runs over the sample again and again until a run takes this long, so that the job itself hardly counts.
+LONG_S, MOST_REPEATS = 0.2, 8192
 
 
 @dataclass(frozen=True)
@@ -33,8 +35,12 @@ class RuleStat:
 
     @property
     def rate(self) -> float:
-        """Rejected share per second of work: what the cascade sorts by."""
-        return self.rejected / max(self.seconds, 1e-4)
+        """Rejected share per second of work on a row: what the cascade sorts by.
+
+        Costs count in powers of two, and nothing costs less than a few steps of generated code, so that rules
+        that cost the same keep their order from run to run.
+        """
+        return self.rejected / 2.0 ** round(math.log2(max(self.seconds, 5e-8)))
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -77,17 +83,18 @@ def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
     """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumns({"_words": words_of(F.col(text)), "_lines": lines})
+    words_, lines_ = free_name(df, "_words"), free_name(df, "_lines")
+    df = df.withColumns({words_: words_of(F.col(text)), lines_: lines})
     df = df.withColumns({
-        "n_lines": F.size("_lines").cast("long"),
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.char_length(F.array_join("_words", "")).cast("long"),
+        "n_lines": F.size(lines_).cast("long"),
+        "n_words": F.size(words_).cast("long"),
+        "word_chars": F.char_length(F.array_join(words_, "")).cast("long"),
         "n_symbols": F.char_length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")),
+        "n_dup_lines": (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long"),
+        "n_repeat_words": repeated_words(F.col(words_)),
     })
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return df.drop("_words", "_lines").withColumn("base_failed", failed)
+    return df.drop(words_, lines_).withColumn("base_failed", failed)
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -111,38 +118,53 @@ def default_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def estimate(df: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS, repeats: int = SAMPLE_REPEATS,
-             seed: int = 7) -> list[RuleStat]:
-    """Cost and selectivity of each rule on at most ``rows`` rows (the bound of the sample).
+def estimate(df: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS, seed: int = 7) -> list[RuleStat]:
+    """Seconds per row and selectivity of each rule on at most ``rows`` rows (the bound of the sample).
 
     The rows are a tenth of the first partitions that hold enough of them, so a large table is not read
-    through. Each rule runs ``repeats`` times over the sample; an empty table gives zeros.
+    through; they are written, not collected. A rule runs over the sample, repeated until a run is long enough,
+    and the time of a run of equal length without a rule is taken off; the least of three counts. An empty
+    table gives zeros.
     """
-    spark = df.sparkSession
-    taken = df.sample(0.1, seed).limit(rows).collect() or df.limit(rows).collect()
-    if not taken:
+    sample = stage(df.sample(0.1, seed).limit(rows), "quality-sample")
+    n = sample.count()
+    if not n:
+        discard(sample)
+        sample = stage(df.limit(rows), "quality-sample")
+        n = sample.count()
+    if not n:
         return [RuleStat(r.name, 0.0, 0.0) for r in rules]
-    sample = spark.createDataFrame(taken, df.schema)
-    again = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    one = sample.coalesce(1)
 
-    def run(test: Column) -> tuple[float, float]:
+    def run(test: Column, repeats: int) -> tuple[float, float]:
+        again = one.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+        hit = again.agg(F.sum(F.coalesce(test, F.lit(False)).cast("long")))
         began = time.perf_counter()
-        share = again.agg(F.avg(F.coalesce(test, F.lit(False)).cast("double"))).first()[0]
-        return time.perf_counter() - began, share
+        hits = hit.first()[0]
+        return time.perf_counter() - began, hits / (n * repeats)
 
-    run(F.lit(False))
-    idle = run(F.lit(False))[0]
+    nothing = F.col("base_failed").isNull() if "base_failed" in df.columns else F.lit(False)
+    run(nothing, 1)
+    idle: dict[int, float] = {}
     out = []
     for r in rules:
-        seconds, share = run(r.rejects)
-        out.append(RuleStat(r.name, max(0.0, seconds - idle), share))
+        repeats = 8
+        took, share = run(r.rejects, repeats)
+        while took < LONG_S and repeats < MOST_REPEATS:
+            repeats *= 8
+            took, share = run(r.rejects, repeats)
+        if repeats not in idle:
+            idle[repeats] = min(run(nothing, repeats)[0] for _ in range(3))
+        took = min(took, *[run(r.rejects, repeats)[0] for _ in range(2)])
+        out.append(RuleStat(r.name, max(0.0, took - idle[repeats]) / (n * repeats), share))
+    discard(sample)
     return out
 
 
 def ordered(rules: Sequence[Rule], stats: Sequence[RuleStat]) -> list[Rule]:
-    """Most rejections per second first; ties keep the given order."""
-    rate = {s.name: s.rate for s in stats}
-    return sorted(rules, key=lambda r: -rate[r.name])
+    """Most rejections per second first; rules that reject nothing by their cost; ties keep the given order."""
+    by = {s.name: s for s in stats}
+    return sorted(rules, key=lambda r: (-by[r.name].rate, round(math.log2(max(by[r.name].seconds, 5e-8)))))
 
 
 def cascade(rules: Sequence[Rule]) -> Column:
