@@ -63,18 +63,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM v"""
 
 OP9 = r"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
 v AS (
-  SELECT page_id, html, strlen(html)::BIGINT AS n, sha1(html) AS s, max(page_id) OVER (PARTITION BY html) AS newest FROM p),
+  SELECT page_id, url, html, strlen(html)::BIGINT AS n, sha1(html) AS s, max(page_id) OVER (PARTITION BY html) AS newest FROM p),
 g AS (
   SELECT *, list_transform(range(8), lambda k: list_sum(list_transform(range(5),
     lambda j: (strpos('0123456789abcdef', s[k * 5 + j + 1]) - 1) * (1 << (4 * (4 - j)))))::BIGINT) AS v5 FROM v)
-SELECT page_id, n AS payload_bytes,
-  array_to_string(list_transform(range(32), lambda j:
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v5[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31) + 1]), '') AS payload_digest,
-  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id = newest THEN NULL ELSE newest END AS refers_to
-FROM g"""
+r AS (
+  SELECT *, array_to_string(list_transform(range(32), lambda j:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v5[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31) + 1]), '') AS digest, page_id = newest AS own,
+    chr(13) || chr(10) AS nl FROM g)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN own THEN NULL ELSE newest END AS refers_to,
+  sha256('WARC/1.1' || nl || 'WARC-Type: ' || CASE WHEN own THEN 'response' ELSE 'revisit' END || nl || 'WARC-Record-ID: <urn:page:' || page_id
+    || '>' || nl || 'WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A') || nl || 'WARC-Payload-Digest: sha1:' || digest || nl
+    || CASE WHEN own THEN '' ELSE 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || nl
+      || 'WARC-Refers-To: <urn:page:' || newest || '>' || nl END
+    || 'Content-Type: text/html' || nl || 'Content-Length: ' || CASE WHEN own THEN n ELSE 0 END || nl || nl
+    || CASE WHEN own THEN html ELSE '' END || nl || nl) AS record_sha256
+FROM r"""
 
 #: The checksum steps through the bytes with the table of its polynomial, which is made bit by bit.
 OP10 = r"""

@@ -110,18 +110,31 @@ def read(spark: SparkSession, archive: Archive) -> DataFrame:
 def round_trip(pages: DataFrame, label: str = "warc", **options) -> DataFrame:
     """Write ``pages`` to a new archive in the shared folder and read it back."""
     spark = pages.sparkSession
-    path = new_path(spark, label)
-    if path is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return read(spark, write(pages, path, **options))
+    return read(spark, write(pages, new_path(spark, label), **options))
+
+
+def parts(record: Column) -> tuple[Column, Column]:
+    """Header block (with its empty line) and body of a whole record."""
+    head = F.concat(F.substring_index(record.cast("string"), "\r\n\r\n", 1), F.lit("\r\n\r\n"))
+    size = F.octet_length(head)
+    return head, F.substring(record, size + 1, F.octet_length(record) - size - 4)
 
 
 def digest_columns(records: DataFrame) -> DataFrame:
-    """One row per record, taken from its own header and payload bytes."""
-    header = F.col("header")
+    """One row per record, taken from the rebuilt bytes of the record.
+
+    ``record_sha256`` is the digest of all its bytes. The read fails where a record's parts do not fit: a body
+    that is not as long as its header says, or a response that does not have the digest its header names.
+    Only the payload of a revisit, which its record does not hold, comes from the join.
+    """
+    head, body = parts(F.col("record"))
+    rows = records.select(F.col("key").alias("page_id"), head.alias("head"), body.alias("body"), "payload", "record")
+    header = F.col("head")
+    kind, digest = field(header, "WARC-Type"), F.substring(field(header, "WARC-Payload-Digest"), 6, 32)
+    whole = F.when(kind == "revisit", F.col("payload")).otherwise(F.col("body"))
+    fits = (field(header, "Content-Length").try_cast("long") == F.octet_length("body")) & (base32_sha1(whole) == digest)
     refers = F.regexp_extract(field(header, "WARC-Refers-To"), r"<urn:page:(.*)>", 1)
-    return records.select(
-        F.col("key").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.substring(field(header, "WARC-Payload-Digest"), 6, 32).alias("payload_digest"),
-        field(header, "WARC-Type").alias("record_type"),
-        refers.try_cast("long").alias("refers_to"))
+    return rows.select(
+        "page_id", F.octet_length(whole).cast("long").alias("payload_bytes"),
+        F.when(fits, digest).otherwise(F.raise_error(F.concat(F.lit("damaged record "), header))).alias("payload_digest"),
+        kind.alias("record_type"), refers.try_cast("long").alias("refers_to"), F.sha2("record", 256).alias("record_sha256"))
