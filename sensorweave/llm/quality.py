@@ -15,6 +15,7 @@ from sensorweave.llm.common import discard, free_name, let, stage, words_of
 WINDOW = 8
 #: Rows that order the rules; they never decide about a document.
 SAMPLE_ROWS = 300
+SAMPLE_BYTES = 100_000
 #: A rule runs over the sample again and again until a run takes this long, so that the job itself hardly counts.
 LONG_S, MOST_REPEATS = 0.2, 8192
 
@@ -118,22 +119,20 @@ def default_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def estimate(df: DataFrame, rules: Sequence[Rule], rows: int = SAMPLE_ROWS, seed: int = 7) -> list[RuleStat]:
+def estimate(df: DataFrame, rules: Sequence[Rule], text: str = "text", rows: int = SAMPLE_ROWS, seed: int = 7) -> list[RuleStat]:
     """Seconds per row and selectivity of each rule on at most ``rows`` rows (the bound of the sample).
 
     The rows are a tenth of the first partitions that hold enough of them, so a large table is not read
-    through; they are written, not collected. A rule runs over the sample, repeated until a run is long enough,
+    through; texts of more than ``SAMPLE_BYTES`` stay out of the sample, which bounds it. A rule runs over the sample, repeated until a run is long enough,
     and the time of a run of equal length without a rule is taken off; the least of three counts. An empty
     table gives zeros.
     """
-    sample = stage(df.sample(0.1, seed).limit(rows), "quality-sample")
-    n = sample.count()
-    if not n:
-        discard(sample)
-        sample = stage(df.limit(rows), "quality-sample")
-        n = sample.count()
-    if not n:
+    short = df.where(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) <= SAMPLE_BYTES)
+    taken = short.sample(0.1, seed).limit(rows).collect() or short.limit(rows).collect()
+    if not taken:
         return [RuleStat(r.name, 0.0, 0.0) for r in rules]
+    n = len(taken)
+    sample = stage(df.sparkSession.createDataFrame(taken, df.schema), "quality-sample")
     one = sample.coalesce(1)
 
     def run(test: Column, repeats: int) -> tuple[float, float]:
@@ -183,7 +182,7 @@ def judge(df: DataFrame, text: str = "text", rules: Sequence[Rule] | None = None
     """
     rules = default_rules(text) if rules is None else list(rules)
     based = base_columns(df, text)
-    stats = estimate(based, rules)
+    stats = estimate(based, rules, text)
     first = F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(ordered(rules, stats)))
     return based.withColumn("rejected_by", first).withColumn("kept", F.col("rejected_by").isNull())
 
