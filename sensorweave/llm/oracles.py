@@ -68,7 +68,7 @@ v AS (
   SELECT page_id, url, html, strlen(html)::BIGINT AS n, sha1(html) AS s, max(page_id) OVER (PARTITION BY html) AS newest FROM p),
 g AS (
   SELECT *, list_transform(range(8), lambda k: list_sum(list_transform(range(5),
-    lambda j: (strpos('0123456789abcdef', s[k * 5 + j + 1]) - 1) * (1 << (4 * (4 - j)))))::BIGINT) AS v5 FROM v)
+    lambda j: (strpos('0123456789abcdef', s[k * 5 + j + 1]) - 1) * (1 << (4 * (4 - j)))))::BIGINT) AS v5 FROM v),
 r AS (
   SELECT *, array_to_string(list_transform(range(32), lambda j:
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v5[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31) + 1]), '') AS digest, page_id = newest AS own,
