@@ -136,10 +136,10 @@ def _(spark, d):
     return hits.join(F.broadcast(maps), "bmu").select("vec_id", "bmu", rnd("dmax").alias("dmax"))
 
 
-@query("a28_unused_neurons", f"""WITH {NEAR_SQL}, h AS (SELECT cb.bmu, count(vec_id) FILTER (d > 0.9) AS n FROM cb LEFT JOIN near USING (bmu) GROUP BY 1)
+@query("a28_unused_neurons", f"""WITH {NEAR_SQL}, h AS (SELECT cb.bmu, count(vec_id) AS n FROM cb LEFT JOIN near USING (bmu) GROUP BY 1)
 SELECT {R('100 * avg((n = 0)::INTEGER)')} AS unused_pct FROM h""")
 def _(spark, d):
-    hits = A.hit_map(hits25(spark, d).where("dmin > 0.9"), code25(spark, d).table(spark))
+    hits = A.hit_map(hits25(spark, d), code25(spark, d).table(spark))
     return A.unused_percent(hits).select(rnd("unused_pct").alias("unused_pct"))
 
 
@@ -494,20 +494,18 @@ def _matches(spark, d):
     hist = complete_sens(spark, d)
     novel = hist.where("view > 25 OR click > 25").select(
         F.col("slot").alias("q_slot"), *[(F.col(s) + 0.01).alias(s) for s in SENSORS])
-    return V.nearest_record(hist, novel, SENSORS, "ts", "q_slot")
+    return V.nearest_record(hist, novel, SENSORS, "ts", "q_slot", digits=9)
 
 
-@query("j4_t2_nearest_record", f"WITH {MATCH_SQL} SELECT q_slot, {R('dist')} AS dist FROM match")
+@query("j4_t2_nearest_record", f"WITH {MATCH_SQL} SELECT q_slot, match_ts, {R('dist')} AS dist FROM match")
 def _(spark, d):
-    return _matches(spark, d).select("q_slot", rnd("dist").alias("dist"))
+    return _matches(spark, d).select("q_slot", "match_ts", rnd("dist").alias("dist"))
 
 
-@query("j5_n31_matched_day_rows", f"""WITH {MATCH_SQL} SELECT slot, ts FROM full_sens WHERE ts::DATE IN
-  (SELECT match_ts::DATE FROM match WHERE q_slot = (SELECT min(q_slot) FROM match))""")
+@query("j5_n31_matched_day_rows", f"""WITH {MATCH_SQL} SELECT q_slot, match_ts, slot, ts FROM full_sens JOIN match ON ts::DATE = match_ts::DATE""")
 def _(spark, d):
-    m = _matches(spark, d)
-    first = m.agg(F.min_by("match_ts", "q_slot").alias("match_ts"))
-    return V.matched_days(complete_sens(spark, d), "ts", first).select("slot", "ts")
+    found = V.day_context(complete_sens(spark, d), "ts", _matches(spark, d), "q_slot")
+    return found.select("q_slot", "match_ts", "slot", "ts")
 
 
 @query("j6_identical_rows", "SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE (l_quantity, l_discount) IN (SELECT (l_quantity, l_discount) FROM lineitem WHERE l_tax > 0.07 AND l_quantity < 3)")

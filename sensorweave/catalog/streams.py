@@ -1,5 +1,8 @@
 """Streaming forms, run to completion over the files and read back."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorweave.catalog.base import CB_SQL, EV, R, code25, emb, query, rnd, table
@@ -7,14 +10,15 @@ from sensorweave.catalog.fuzzy import IN_SQL, SUGENO, _G, _GRID, _SUGENO_NUM, mo
 from sensorweave.catalog.maps import SPLIT_SQL, _TRAIN_KERNELS, _epoch_sql, _knn_sql, _qe_sql, train
 from sensorweave.operators.assign import assign, quantization_error
 from sensorweave.operators.novelty import training_stats
-from sensorweave.sources.models import read_codebook
 from sensorweave.sources.stage import new_path
 from sensorweave.streaming.scoring import (
     run_to_table, stream_knn_novelty, stream_predict, stream_qe_novelty, stream_update_som,
 )
-from sensorweave.streaming.series import stream_grid, stream_segments
+from sensorweave.spec import from_micros, micros
+from sensorweave.streaming.open_state import bin_intervals, run_bounded, segment_intervals
+from sensorweave.streaming.versions import MapVersions
 
-LATE_US = 3_600_000_000
+LATE = "1 hour"
 
 
 def stream(spark, d, name):
@@ -26,26 +30,27 @@ def _run(spark, sdf, label):
     return run_to_table(sdf, new_path(spark, label), new_path(spark, f"{label}-checkpoint"))
 
 
-# Append mode emits what the watermark (last event time minus one hour) has passed.
+# Closed by timer or still open when the run ends: together the batch result.
 @query("x1_stream_segments", f"""
 WITH b AS (SELECT event_type, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts, event_id)
   > 5400000000 THEN 1 ELSE 0 END AS brk FROM events),
-s AS (SELECT event_type, ts, sum(brk) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM b),
-o AS (SELECT event_type, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_rows FROM s GROUP BY event_type, g)
-SELECT * FROM o WHERE epoch_us(end_ts) + 5400000000 + 1 <= ((SELECT max(epoch_us(ts)) FROM events) // 1000) * 1000 - {LATE_US}""")
+s AS (SELECT event_type, ts, sum(brk) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM b)
+SELECT event_type, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_rows FROM s GROUP BY event_type, g""")
 def _(spark, d):
     sdf = stream(spark, d, "events").select("event_type", "ts")
-    return _run(spark, stream_segments(sdf, EV, 5400), "segments")
+    out = run_bounded(segment_intervals(sdf, EV, 5400, LATE), EV, new_path(spark, "segments"), new_path(spark, "segments-checkpoint"))
+    return out.all().select("event_type", "start_ts", "end_ts", "n_rows")
 
 
 @query("x2_stream_grid", f"""
-WITH g AS (SELECT event_type, epoch_us(ts) // 600000000 * 600000000 AS t, avg(value) AS value, count(*) AS n FROM events GROUP BY ALL)
-SELECT event_type, make_timestamp(t) AS ts, {R('value')} AS value, n FROM g
-WHERE t + 600000000 <= ((SELECT max(epoch_us(ts)) FROM events) // 1000) * 1000 - {LATE_US}""")
+SELECT event_type, make_timestamp(epoch_us(ts) // 600000000 * 600000000) AS ts, {R('avg(value)')} AS value, count(*) AS n
+FROM events GROUP BY ALL""")
 def _(spark, d):
     sdf = stream(spark, d, "events").select("event_type", "ts", "value")
-    out = _run(spark, stream_grid(sdf, EV, 600, {"value": F.avg("value"), "n": F.count(F.lit(1))}), "grid")
-    return out.select("event_type", "ts", rnd("value").alias("value"), "n")
+    out = run_bounded(bin_intervals(sdf, EV, 600, LATE, ["value"]), EV, new_path(spark, "grid"), new_path(spark, "grid-checkpoint"))
+    start = from_micros(F.floor(micros("start_ts") / 600_000_000) * 600_000_000)
+    return out.all().select("event_type", start.alias("ts"), rnd(F.col("value_sum") / F.col("value_known")).alias("value"),
+                            F.col("n_rows").alias("n"))
 
 
 def _vectors(spark, d):
@@ -66,22 +71,26 @@ def _(spark, d):
     return _run(spark, scored.select("vec_id", "knn"), "knn").select("vec_id", rnd("knn").alias("knn"))
 
 
-# All files arrive in one micro-batch, so the stream makes one batch step.
-@query("x4_n16_online_map_update", f"""WITH {CB_SQL} {_epoch_sql('cb', 'e0', 0.5, _TRAIN_KERNELS['exp'](0.5, 0))},
+def _part_sql(k):
+    return _epoch_sql("cb" if k == 0 else f"e{k - 1}", f"e{k}", 0.5, _TRAIN_KERNELS["exp"](0.5, 0)).replace(
+        "FROM emb,", f"FROM (SELECT * FROM emb WHERE vec_id % 3 = {k}),")
+
+
+# Three files, one micro-batch and one step each.
+@query("x4_n16_online_map_update", f"""WITH {CB_SQL} {_part_sql(0)} {_part_sql(1)} {_part_sql(2)},
 q AS (SELECT -1 AS version, vec_id, min(list_distance(features, w)) AS d FROM emb, cb GROUP BY vec_id
-  UNION ALL SELECT 0, vec_id, min(list_distance(features, w)) FROM emb, e0 GROUP BY vec_id)
+  {"".join(f"UNION ALL SELECT {k}, vec_id, min(list_distance(features, w)) FROM emb, e{k} GROUP BY vec_id " for k in range(3))})
 SELECT version, {R('avg(d)', 6)} AS quantization_error FROM q GROUP BY 1""")
 def _(spark, d):
-    path = new_path(spark, "codebook")
-    book = code25(spark, d)
-    started = stream_update_som(_vectors(spark, d).select("features"), path, book, new_path(spark, "codebook-checkpoint"),
-                                sigma=0.5, lr=0.5)
-    started.awaitTermination()
+    path, src = new_path(spark, "codebook"), new_path(spark, "arrivals")
     rows = emb(spark, d)
-    versions = quantization_error(assign(rows, book)).select(F.lit(-1).alias("version"), "quantization_error")
-    after = quantization_error(assign(rows, read_codebook(spark, f"{path}/version=0")))
-    out = versions.unionByName(after.select(F.lit(0).alias("version"), "quantization_error"))
-    return out.select("version", rnd("quantization_error", 6).alias("quantization_error"))
+    for k in range(3):
+        rows.where(F.col("vec_id") % 3 == k).select("features").coalesce(1).write.mode("append").parquet(src)
+    arrivals = spark.readStream.schema(rows.select("features").schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream_update_som(arrivals, path, code25(spark, d), new_path(spark, "codebook-checkpoint"), sigma=0.5, lr=0.5).awaitTermination()
+    log = MapVersions(spark, path)
+    parts = [quantization_error(assign(rows, log.read(v))).select(F.lit(v).alias("version"), "quantization_error") for v in log.versions()]
+    return reduce(DataFrame.unionByName, parts).select("version", rnd("quantization_error", 6).alias("quantization_error"))
 
 
 _LINE_IDS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate"

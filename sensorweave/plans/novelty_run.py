@@ -52,8 +52,7 @@ def working_hours_novelty(df: DataFrame, spec: SeriesSpec, cols: Sequence[str],
         F.array(*[F.col(c) for c in cols]).alias("features")))
     train, test = vectors.where("is_train").drop("is_train"), vectors.where("NOT is_train").drop("is_train")
     book, _ = fit(train, random_codebook(params.rows, params.cols, len(cols), seed=params.seed), params.training)
-    stats = training_stats(train, book, "worst").withColumnRenamed("dmax", "worst").join(
-        training_stats(train, book, "by_bmu").drop("mean_dist"), "bmu")
+    stats = training_stats(train, book, "both")
     knn = knn_novelty(test, book, k=params.neighbours)
     scored = assign(knn, book).join(F.broadcast(stage(stats)), "bmu", "left")  # one row per neuron
     return scored.withColumns({

@@ -10,7 +10,7 @@ from sensorweave.operators.codebook import Codebook, neighbourhood
 from sensorweave.operators.fuzzy import FuzzyModel, predict
 from sensorweave.operators.novelty import allowed_nodes, knn_score, qe_novelty
 from sensorweave.plans.som_training import _moved, _partial_sums
-from sensorweave.sources.models import read_codebook, write_codebook
+from sensorweave.streaming.versions import MapVersions
 
 
 def stream_qe_novelty(sdf: DataFrame, codebook: Codebook, stats: DataFrame, features: str = "features",
@@ -45,21 +45,23 @@ def online_update(book: Codebook, rows: DataFrame, features: str, *, sigma: floa
 
 
 def stream_update_som(sdf: DataFrame, path: str, start: Codebook, checkpoint: str, features: str = "features", *,
-                      sigma: float, lr: float, kernel: str = "exp", trigger: dict | None = None):
-    """Keep a map up to date with a stream (X4): one step per micro-batch, a version per batch id.
+                      sigma: float, lr: float, kernel: str = "exp", keep: int = 8, trigger: dict | None = None):
+    """Keep a map up to date with a stream (X4): one step per micro-batch, the last ``keep`` versions stay.
 
-    Version ``n`` under ``path`` is the map after batch ``n``; version -1 is the start. A batch that
-    is replayed after a failure reads the version before it and overwrites its own, so it counts once.
-    Returns the started query.
+    Version ``n`` of the log below ``path`` (``MapVersions``) is the map after batch ``n``; version -1 is the start.
+    A batch that is replayed after a failure finds its version committed, or the one before it as it was, so
+    it counts once. A start again from the same checkpoint goes on from the last version. Returns the started query.
     """
-    spark = sdf.sparkSession
-    write_codebook(start.table(spark), f"{path}/version=-1")
+    log = MapVersions(sdf.sparkSession, path)
+    if log.last() is None:
+        log.commit(-1, start)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        book = read_codebook(session, f"{path}/version={batch_id - 1}")
-        book = online_update(book, batch, features, sigma=sigma, lr=lr, kernel=kernel)
-        write_codebook(book.table(session), f"{path}/version={batch_id}")
+        log = MapVersions(batch.sparkSession, path)
+        if log.last() >= batch_id:
+            return
+        log.commit(batch_id, online_update(log.read(), batch, features, sigma=sigma, lr=lr, kernel=kernel))
+        log.compact(keep)
 
     writer = sdf.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

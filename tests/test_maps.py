@@ -239,6 +239,70 @@ def test_nearest_record_in_batches_with_ties(spark):
         assert series(got, ["q"], "match_ts") == want
 
 
+def nearest_by_hand(h, q):
+    d = np.sqrt(((q[:, None] - h[None]) ** 2).sum(axis=2))
+    return d.argmin(axis=1), d.min(axis=1)
+
+
+def history(spark, h):
+    import datetime as dt
+
+    return spark.createDataFrame([(T0 + dt.timedelta(minutes=i), *map(float, r)) for i, r in enumerate(h)],
+                                 "ts timestamp_ntz, a double, b double, c double")
+
+
+def test_nearest_record_prunes_most_cells(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.uniform(0, 1000, (40, 3))
+    h = np.repeat(centres, 60, axis=0) + rng.normal(size=(2400, 3))
+    q = centres[rng.integers(0, 40, 300)] + rng.normal(size=(300, 3))
+    monkeypatch.setattr(V, "ROWS", 50)  # several blocks a cell
+    index = V.pivot_index(history(spark, h).repartition(6), ["a", "b", "c"], "ts")
+    assert len(index.pivots) == 49 and index.count.sum() == 2400
+    asked = spark.createDataFrame([(i % 290, *map(float, r)) for i, r in enumerate(q)], "q int, a double, b double, c double")
+    got = V.nearest_record(None, asked, ["a", "b", "c"], "ts", "q", 7, index=index)
+    at, dist = nearest_by_hand(h, q)
+    import datetime as dt
+
+    want = sorted((i % 290, T0 + dt.timedelta(minutes=int(k)), round(float(d), 9)) for i, (k, d) in enumerate(zip(at, dist)))
+    assert sorted((r.q, r.match_ts, round(r.dist, 9)) for r in got.collect()) == want
+    own = A.nearest(q, index.pivots, 1)[0][:, 0]
+    assert index.reachable(q, own, dist).sum() < 0.1 * len(q) * len(index.pivots)
+
+
+def test_nearest_record_with_a_hot_row_and_odd_queries(spark):
+    import datetime as dt
+
+    h = np.vstack([np.ones((300, 3)), np.random.default_rng(1).normal(size=(100, 3))])
+    hist = history(spark, h)
+    asked = spark.createDataFrame([(1, 1.0, 1.0, 1.0), (1, 1.0, None, 1.0), (None, 1.0, 1.0, 1.1)], "q int, a double, b double, c double")
+    got = V.nearest_record(hist, asked, ["a", "b", "c"], "ts", "q").collect()
+    assert sorted((str(r.q), r.match_ts, round(r.dist, 6)) for r in got) == [("1", T0, 0.0), ("None", T0, 0.1)]
+    assert V.nearest_record(hist.limit(0), asked, ["a", "b", "c"], "ts", "q").count() == 0
+    one = V.pivot_index(hist, ["a", "b", "c"], "ts", pivots=1)
+    assert V.nearest_record(hist, asked, ["a", "b", "c"], "ts", "q", index=one).count() == 2
+    days = V.day_context(hist, "ts", V.nearest_record(hist, asked, ["a", "b", "c"], "ts", "q"), "q")
+    assert days.count() == 2 * 400 and {r.match_ts for r in days.collect()} == {T0} and T0.date() == (T0 + dt.timedelta(minutes=399)).date()
+
+
+def test_ties_within_digits_go_to_the_earliest(spark):
+    h = np.array([[1.0, 0, 0], [1.0 + 1e-12, 0, 0], [-1.0, 0, 0], [5.0, 0, 0]])
+    asked = spark.createDataFrame([(0, 0.0, 0.0, 0.0)], "q int, a double, b double, c double")
+    shifted = history(spark, h[[1, 0, 2, 3]])
+    assert V.nearest_record(shifted, asked, ["a", "b", "c"], "ts", "q", digits=9).first().match_ts == T0
+    assert V.nearest_record(shifted, asked, ["a", "b", "c"], "ts", "q").first().match_ts > T0
+
+
+def test_training_stats_in_one_pass(spark, rows):
+    both = {r.bmu: r for r in V.training_stats(rows, BOOK, "both").collect()}
+    d = brute(X, BOOK.weights)
+    own, low = d.argmin(axis=1), d.min(axis=1)
+    for i in range(12):
+        mine = low[own == i]
+        assert np.isclose(both[i].mean_dist, low.mean()) and np.isclose(both[i].worst, low.max())
+        assert both[i].dmax is None if not len(mine) else np.isclose(both[i].dmax, mine.max())
+
+
 def test_shared_rows_treat_nulls_as_equal(spark):
     a = spark.createDataFrame([(1, None), (1, 2.0), (3, 4.0)], "a int, b double")
     b = spark.createDataFrame([(1, None), (3, 4.0), (3, 4.0)], "a int, b double")

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ from sensorweave.sources import csv as S
 from sensorweave.sources import models as M
 from sensorweave.sources.stage import stage
 from sensorweave.streaming.scoring import run_to_table, stream_qe_novelty, stream_update_som
+from sensorweave.streaming.open_state import Rule, bin_intervals, merged, run_bounded, segment_intervals
 from sensorweave.streaming.series import stream_grid, stream_segments
+from sensorweave.streaming.versions import MapVersions
 from tests.helpers import T0, close, minutes, series
 from tests.test_fuzzy import random_model
 
@@ -74,11 +77,105 @@ def test_online_map_versions_and_replay(spark, tmp_path):
     for i in range(3):
         sdf = as_stream(spark, df, src)
     start = C.random_codebook(3, 3, 2, "uniform", 0)
-    stream_update_som(sdf, path, start, str(tmp_path / "cp"), sigma=0.5, lr=0.5).awaitTermination(120)
-    books = [M.read_codebook(spark, f"{path}/version={i}") for i in (-1, 0, 1, 2)]
-    errors = [quantization_error(assign(df, b)).first()[0] for b in books]
+    log = MapVersions(spark, path)
+    run = lambda **o: stream_update_som(sdf, path, start, str(tmp_path / "cp"), sigma=0.5, lr=0.5, **o).awaitTermination(120)
+    run()
+    assert log.versions() == [-1, 0, 1, 2] and log.last() == 2
+    errors = [quantization_error(assign(df, log.read(v))).first()[0] for v in log.versions()]
     assert errors == sorted(errors, reverse=True)
-    np.testing.assert_allclose(books[0].weights, start.weights)
+    np.testing.assert_allclose(log.read(-1).weights, start.weights)
+    # batch 2 ran and was committed, but the stream did not hear of it
+    after = log.read(2).weights
+    (tmp_path / "cp" / "commits" / "2").unlink()
+    (tmp_path / "cp" / "commits" / ".2.crc").unlink(missing_ok=True)
+    run()
+    assert log.last() == 2 and (log.read().weights == after).all()
+    as_stream(spark, df, src)
+    run(keep=2)
+    assert log.versions() == [2, 3] and sum(n.startswith("version=") for n in os.listdir(path)) == 2
+
+
+def test_half_written_versions_are_not_seen(spark, tmp_path):
+    book = C.random_codebook(2, 2, 3, "normal", 1)
+    log = MapVersions(spark, str(tmp_path / "m"))
+    assert log.last() is None
+    with pytest.raises(ValueError):
+        log.read()
+    assert log.commit(0, book) and not log.commit(0, book)
+    M.write_codebook(C.random_codebook(2, 2, 3, "normal", 2).table(spark), str(tmp_path / "m" / "version=1-torn"))
+    assert log.versions() == [0] and (log.read().weights == book.weights).all()
+    log.compact(1)
+    assert not (tmp_path / "m" / "version=1-torn").exists() and log.versions() == [0]
+    with pytest.raises(ValueError):
+        log.compact(0)
+
+
+# --- state of our own -------------------------------------------------------------------------------------
+
+KEYED = SeriesSpec(keys=("k", "room"))
+
+
+def keyed(spark, rows):
+    return spark.createDataFrame([(k, r, T0 + dt.timedelta(minutes=m) if m is not None else None, x) for k, r, m, x in rows],
+                                 "k string, room long, ts timestamp_ntz, x double")
+
+
+def runs_of(spark, batches, tmp_path, make):
+    """One micro-batch per list of rows, in order, in one run."""
+    src = str(tmp_path / "in")
+    for rows in batches:
+        sdf = as_stream(spark, keyed(spark, rows), src)
+    return run_bounded(make(sdf), KEYED, str(tmp_path / "out"), str(tmp_path / "cp"))
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.select("k", "room", "start_ts", "end_ts", "n_rows").collect()), key=str)
+
+
+def test_closed_and_open_segments_equal_the_batch(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k, room in (("a", 1), ("a", None), (None, 1), ("b", 2)):
+        t = np.cumsum(rng.choice([1.0, 5.0, 30.0, 31.0, 90.0], 120))
+        rows += [(k, room, float(m), float(i) if i % 3 else None) for i, m in enumerate(t)]
+    rows.sort(key=lambda r: r[2])
+    at = [0, 100, 101, 250, 400, len(rows)]
+    batches = [rows[a:b] for a, b in zip(at, at[1:])]
+    for b in batches[1:4]:  # out of order within the hour
+        rng.shuffle(b)
+    got = runs_of(spark, batches, tmp_path, lambda s: segment_intervals(s, KEYED, 1800, "3 hours", ["x"]))
+    want = segments(keyed(spark, rows), KEYED, 1800)
+    whole = {(r.k, r.room, r.start_ts, r.end_ts) for r in want.collect()}
+    assert {x[:4] for x in rows_of(got.all())} == whole and got.late.count() == 0
+    assert got.closed.count() > 40 and got.open.count() >= 1  # the series that ends last is open
+    total = got.all().agg(F.sum("n_rows"), F.sum("x_sum"), F.sum("x_known"), F.max("x_max")).first()
+    known = [r[3] for r in rows if r[3] is not None]
+    assert tuple(total) == (len(rows), sum(known), len(known), max(known))
+
+
+def test_late_rows_go_aside_and_open_bins_close_later(spark, tmp_path):
+    make = lambda s: bin_intervals(s, KEYED, 600, "5 minutes", ["x"])
+    got = runs_of(spark, [[("a", 1, 0, 1.0), ("a", 1, 1, 2.0), ("a", 1, 600, 3.0)], [("a", 1, 601, 4.0)],
+                          [("a", 1, 2, 9.0), ("a", 1, 598, 5.0), ("a", 1, None, 7.0)]], tmp_path, make)
+    assert [(r.n_rows, r.x_sum) for r in got.closed.orderBy("start_ts").collect()] == [(2, 3.0)]
+    assert [(r.start_ts, r.x_sum) for r in got.late.collect()] == [(T0 + dt.timedelta(minutes=2), 9.0)]
+    assert [(r.n_rows, r.x_sum) for r in got.open.orderBy("start_ts").collect()] == [(1, 5.0), (2, 7.0)]
+    # the same checkpoint again: what was open goes on
+    more = runs_of(spark, [[("a", 1, 603, 1.0), ("b", 1, 900, 1.0)]], tmp_path, make)
+    assert [(r.n_rows, r.x_sum) for r in more.closed.orderBy("start_ts").collect()] == [(2, 3.0), (1, 5.0), (3, 8.0)]
+    assert [(r.k, r.n_rows) for r in more.open.collect()] == [("b", 1)]
+
+
+def test_merging_intervals_is_associative():
+    rng = np.random.default_rng(0)
+    t = np.unique(rng.integers(0, 100_000, 400))
+    whole = pd.DataFrame({"lo": t, "hi": t, "n": 1})
+    for rule in (Rule(gap=300), Rule(step=700)):
+        want = merged(whole, rule, []).values.tolist()
+        for _ in range(5):
+            part = rng.integers(0, 6, len(t))
+            pieces = pd.concat([merged(whole[part == i], rule, []) for i in range(6)])
+            assert merged(pieces, rule, []).values.tolist() == want
 
 
 # --- files ----------------------------------------------------------------------------------------------
@@ -96,9 +193,9 @@ def test_csv_round_trip_with_and_without_header(spark, tmp_path):
 def test_headerless_series_file(spark, tmp_path):
     path = tmp_path / "raw" / "deep" / "series.txt"
     path.parent.mkdir(parents=True)
-    path.write_text("0,  1.200000\n1,  1.085805\n2,\n")
+    path.write_text("0,  2.500000\n1,  0.750000\n2,\n")
     df = S.find_csv(spark, str(tmp_path), "series.txt", "t BIGINT, x DOUBLE", header=False, ignoreLeadingWhiteSpace=True)
-    assert [r[:] for r in df.orderBy("t").collect()] == [(0, 1.2), (1, 1.085805), (2, None)]
+    assert [r[:] for r in df.orderBy("t").collect()] == [(0, 2.5), (1, 0.75), (2, None)]
 
 
 def test_zones(tmp_path):
