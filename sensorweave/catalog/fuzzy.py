@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sensorweave.catalog.base import DAILY, LINE_KEY, R, SENS, daily, lineitem, query, rnd
-from sensorweave.catalog.features import supervised_set
+from sensorweave.catalog.features import SUP_SQL, _EMBED_SQL, supervised_set
 from sensorweave.functions.membership import membership
 from sensorweave.functions.metrics import abs_error_summary, regression_summary, residuals
 from sensorweave.operators.calendar import number_days
@@ -15,7 +15,8 @@ from sensorweave.operators.fuzzy import (
 )
 from sensorweave.sources.stage import stage
 from sensorweave.plans.fuzzy_training import (
-    Adam, Momentum, evaluate_folds, evaluate_folds_with, fit_consequents, fit_gradient, fit_hybrid, score_candidates,
+    Adam, Momentum, evaluate_folds, evaluate_folds_with, fit_consequents, fit_gradient, fit_hybrid, fit_outputs,
+    score_candidates,
 )
 
 _KEY = ", ".join(LINE_KEY)
@@ -257,11 +258,51 @@ def _(spark, d):
     return _steps(spark, errors)
 
 
-@query("g18_leave_one_fold_out")
+def fold_sql(source: str, fold: str, x1: str, x2: str, y: str, others: bool = True) -> str:
+    """Leave one fold out with two constant rules, as text: scale, normal equations of two unknowns, errors of the fold."""
+    def g(x, mu, sigma):
+        return f"exp(-0.5 * pow(({x} - ({mu})) / ({sigma} + 1e-12), 2))"
+
+    w = [f"{g('z1', *GAUSS[0][j])} * {g('z2', *GAUSS[1][j])}" for j in (0, 1)]
+    scale = ", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}" for i, c in enumerate((x1, x2, y)))
+    fit = f"SELECT k, {scale} FROM src, ids WHERE {fold} <> k GROUP BY k" if others else f"SELECT k, t.* FROM ids, (SELECT {scale} FROM src) t"
+    z = ", ".join(f"({c} - m{i}) / s{i} AS z{i + 1}" for i, c in enumerate((x1, x2, y)))
+    return f"""src AS (SELECT * FROM {source}), ids AS (SELECT DISTINCT {fold} AS k FROM src), sc AS ({fit}),
+zz AS (SELECT k, {fold} AS f, m2, s2, {y} AS y, {z} FROM src, sc WHERE {x1} IS NOT NULL AND {x2} IS NOT NULL AND {y} IS NOT NULL),
+ww AS (SELECT *, {w[0]} AS w0, {w[1]} AS w1 FROM zz),
+sh AS (SELECT *, w0 / least(greatest(w0 + w1, 1e-12), 1e12) AS a, w1 / least(greatest(w0 + w1, 1e-12), 1e12) AS b FROM ww),
+ne AS (SELECT k, sum(a * a) + 1e-3 AS aa, sum(a * b) AS ab, sum(b * b) + 1e-3 AS bb, sum(a * z3) AS ay, sum(b * z3) AS byy FROM sh WHERE f <> k GROUP BY k),
+co AS (SELECT k, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS c0, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS c1 FROM ne),
+er AS (SELECT f, abs((c0 * a + c1 * b) * s2 + m2 - y) AS e FROM sh JOIN co USING (k) WHERE f = k)
+SELECT f::INTEGER AS {{name}}, {R('sum(e)', 2)} AS error_sum, {R('avg(e)')} AS error_avg, {R('max(e)')} AS error_max, count(*) AS n_rows FROM er GROUP BY f"""
+
+
+def _fold_view(out, name):
+    return out.select(name, rnd("error_sum", 2).alias("error_sum"), rnd("error_avg").alias("error_avg"),
+                      rnd("error_max").alias("error_max"), "n_rows")
+
+
+def _sevenths(spark, d):
+    return points(spark, d).withColumn("fold", (F.col("l_orderkey") % 7).cast("int"))
+
+
+_SEVENTHS = "(SELECT *, (l_orderkey % 7)::INTEGER AS fold FROM inp)"
+
+
+@query("g18_leave_one_fold_out", f"WITH {IN_SQL}, " + fold_sql(_SEVENTHS, "fold", "x1", "x2", "y").format(name="fold"))
 def _(spark, d):
-    df = points(spark, d).withColumn("fold", (F.col("l_orderkey") % 7).cast("int"))
-    start = spaced_model({"x1": (-1.5, 1.5), "x2": (-1.5, 1.5)}, 2)
-    return evaluate_folds(df, "fold", start, "y")
+    return _fold_view(evaluate_folds(_sevenths(spark, d), "fold", model(coef=[0.0, 0.0]), "y"), "fold")
+
+
+# One scale for all folds: the factors of all but one come from merges.
+@query("g18_merged_folds", f"WITH {IN_SQL}, " + fold_sql(_SEVENTHS, "fold", "x1", "x2", "y", others=False).format(name="fold"))
+def _(spark, d):
+    return _fold_view(evaluate_folds(_sevenths(spark, d), "fold", model(coef=[0.0, 0.0]), "y", scaling="whole"), "fold")
+
+
+@query("g18_sugeno_folds")
+def _(spark, d):
+    return evaluate_folds(_sevenths(spark, d), "fold", spaced_model({"x1": (-1.5, 1.5), "x2": (-1.5, 1.5)}, 2), "y")
 
 
 @query("g18_hybrid_folds")
@@ -291,18 +332,55 @@ def _(spark, d):
                       rnd("error_max").alias("error_max"), "n_rows")
 
 
-@query("g18_leave_one_day_out")
+@query("g18_leave_one_day_out", f"""WITH {SUP_SQL}, nd AS (SELECT *, dense_rank() OVER (ORDER BY ts::DATE) - 1 AS day_no FROM sup), """
+       + fold_sql("nd", "day_no", "click", '"view"', "target_ahead").format(name="day_id"))
 def _(spark, d):
     # days count over the whole series: those of a segment begin at 0 again in the next one
     days = number_days(supervised_set(spark, d).drop("day_id"), SENS)
-    start = spaced_model({"click": (-1.5, 1.5), "view": (-1.5, 1.5)}, 2)
-    return evaluate_folds(days, "day_id", start, "target_ahead")
+    two = FuzzyModel(("click", "view"), "gauss", GAUSS, paired_rules(2, 2), "proportional", np.zeros(2))
+    return _fold_view(evaluate_folds(days, "day_id", two, "target_ahead"), "day_id")
+
+
+# Two outputs of two constant rules each, from one factor.
+@query("g13_two_outputs", f"""WITH {IN_SQL.replace(" AS y,", " AS y, l_tax,")}, {weights_sql(_G, _PAIRED)}, a AS (SELECT w0 / den AS a, w1 / den AS b, y, l_tax FROM ws),
+s AS (SELECT sum(a * a) + 1e-3 AS aa, sum(a * b) AS ab, sum(b * b) + 1e-3 AS bb, sum(a * y) AS ay, sum(b * y) AS byy, sum(a * l_tax) AS atax, sum(b * l_tax) AS btax FROM a)
+SELECT 'y' AS target, {R('(ay * bb - byy * ab) / (aa * bb - ab * ab)')} AS c0, {R('(byy * aa - ay * ab) / (aa * bb - ab * ab)')} AS c1 FROM s
+UNION ALL SELECT 'l_tax', {R('(atax * bb - btax * ab) / (aa * bb - ab * ab)')}, {R('(btax * aa - atax * ab) / (aa * bb - ab * ab)')} FROM s""")
+def _(spark, d):
+    df = lineitem(spark, d).select(
+        "l_tax", (F.col("l_extendedprice") / 10000.0).alias("y"), ((F.col("l_quantity") - 25.5) / 14.5).alias("x1"),
+        ((F.col("l_discount") - 0.05) / 0.03).alias("x2"))
+    fitted = fit_outputs(df, model(coef=[0.0, 0.0]), ["y", "l_tax"])
+    out = spark.createDataFrame([(t, *map(float, m.coef)) for t, (m, _) in fitted.items()], "target string, c0 double, c1 double")
+    return out.select("target", rnd("c0").alias("c0"), rnd("c1").alias("c1"))
+
+
+# The default output kind: one sum per rule and one of the biases are all that a prediction depends on.
+@query("g13_linear_outputs", f"""WITH {IN_SQL}, {weights_sql(_G, [[0, 0]])}, a AS (SELECT w0 / den AS a, 1 / den AS b, y FROM ws),
+s AS (SELECT sum(a * a) + 1e-3 AS aa, sum(a * b) AS ab, sum(b * b) + 1e-3 AS bb, sum(a * y) AS ay, sum(b * y) AS byy FROM a)
+SELECT {R('(ay * bb - byy * ab) / (aa * bb - ab * ab)', 3)} AS rule_sum, {R('(byy * aa - ay * ab) / (aa * bb - ab * ab)', 5)} AS bias_sum FROM s""")
+def _(spark, d):
+    one = FuzzyModel(("x1", "x2"), "gauss", tuple(s[:1] for s in GAUSS), paired_rules(1, 2), "linear", np.zeros((1, 1)), np.zeros(1))
+    fitted, _sse = fit_consequents(points(spark, d), one, "y")
+    out = spark.createDataFrame([(float(fitted.coef.sum()), float(fitted.bias.sum()))], "c double, b double")
+    return out.select(rnd("c", 3).alias("rule_sum"), rnd("b", 5).alias("bias_sum"))
+
+
+_LAGS = ["lag_18", "lag_12", "lag_6", "lag_0"]
+_SPANS = ", ".join(f"min({c}) AS lo{i}, max({c}) AS hi{i}" for i, c in enumerate(_LAGS))
+_SERIES_W = [" * ".join(f"exp(-0.5 * pow(({c} - {side}{i}) / ((hi{i} - lo{i}) / 2 + 1e-12), 2))" for i, c in enumerate(_LAGS)) for side in ("lo", "hi")]
 
 
-@query("g11_series_prediction")
+# Two constant rules at the ends of every lag's range.
+@query("g11_series_prediction", f"""WITH {_EMBED_SQL}, rows_ AS (SELECT * FROM emb4 WHERE target IS NOT NULL AND lag_18 IS NOT NULL),
+sp AS (SELECT {_SPANS} FROM rows_), ww AS (SELECT *, {_SERIES_W[0]} AS w0, {_SERIES_W[1]} AS w1 FROM rows_, sp),
+sh AS (SELECT *, w0 / least(greatest(w0 + w1, 1e-12), 1e12) AS a, w1 / least(greatest(w0 + w1, 1e-12), 1e12) AS b FROM ww),
+ne AS (SELECT sum(a * a) + 1e-3 AS aa, sum(a * b) AS ab, sum(b * b) + 1e-3 AS bb, sum(a * target) AS ay, sum(b * target) AS byy FROM sh)
+SELECT slot, {R('target', 2)} AS target, {R('((ay * bb - byy * ab) * a + (byy * aa - ay * ab) * b) / (aa * bb - ab * ab)', 2)} AS prediction FROM sh, ne""")
 def _(spark, d):
     df = lag_embed(daily(spark, d), DAILY, "total", 4, 6)
-    cols = ["lag_18", "lag_12", "lag_6", "lag_0"]
-    df = stage(df.where("target IS NOT NULL").select("slot", *cols, "target"))
-    fitted, _sse = fit_consequents(df.where("slot < 500"), init_from_data(df, cols, 2), "target")
-    return predict(df, fitted).select("slot", "target", "prediction")
+    df = stage(df.where("target IS NOT NULL AND lag_18 IS NOT NULL").select("slot", *_LAGS, "target"))
+    ends = init_from_data(df, _LAGS, 2)
+    two = FuzzyModel(tuple(_LAGS), "gauss", ends.sets, paired_rules(2, 4), "proportional", np.zeros(2))
+    fitted, _sse = fit_consequents(df, two, "target")
+    return predict(df, fitted).select("slot", rnd("target", 2).alias("target"), rnd("prediction", 2).alias("prediction"))

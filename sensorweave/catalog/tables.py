@@ -9,7 +9,7 @@ from sensorweave.catalog.cleaning import runs_sql
 from sensorweave.catalog.maps import _BIN_SQL, _binary
 from sensorweave.functions import metrics as M
 from sensorweave.functions.scaling import (
-    Scaler, fold_stats, hash_split, inverse_standard, leave_one_out, minmax_given, standard_given,
+    Scaler, fold_stats, hash_split, inverse_standard, leave_one_out, leave_one_out_stats, minmax_given, standard_given,
 )
 from sensorweave.operators import assign as A
 from sensorweave.operators.diagnostics import column_stats, corr_matrix, corr_with, missing_report, segment_report
@@ -137,8 +137,16 @@ _FOLD = "(l_orderkey % 7)::INTEGER"
   FROM lineitem, range(7) t(f) GROUP BY ALL""")
 def _(spark, d):
     df = lineitem(spark, d).withColumn("k", (F.col("l_orderkey") % 7).cast("int"))
-    out = leave_one_out(df, "k", range(7)).groupBy("fold", "is_test")
-    return out.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("l_quantity")).alias("q"))
+    out = leave_one_out_stats(df, "k", ["l_quantity"])
+    return out.select(F.col("k").alias("fold"), "is_test", "n", rnd("mean").alias("q"))
+
+
+@query("f14_copied_folds", f"""SELECT f::INTEGER AS fold, {_FOLD} = f AS is_test, count(*) AS n, {R('avg(l_tax)', 5)} AS q
+  FROM lineitem, range(3) t(f) GROUP BY ALL""")
+def _(spark, d):
+    df = lineitem(spark, d).withColumn("k", (F.col("l_orderkey") % 7).cast("int"))
+    out = leave_one_out(df, "k", range(3)).groupBy("fold", "is_test")
+    return out.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("l_tax"), 5).alias("q"))
 
 
 @query("f15_fold_scaling", " UNION ALL ".join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,28 +65,37 @@ class Scaler:
         return df.withColumns({c: F.col(c) * s + a for c, (a, s) in self.params.items()})
 
 
-def fold_stats(df: DataFrame, fold: str, cols: Sequence[str], ddof: int = 1) -> DataFrame:
-    """Mean and std of every fold's training rows, i.e. all rows outside the fold.
+def leave_one_out_stats(df: DataFrame, fold: str, cols: Sequence[str], ddof: int = 1) -> DataFrame:
+    """Count, mean and std of every fold's own rows and of all rows outside it (F14, F15), long form.
 
-    One pass: sums per fold, then "all minus this fold" on that small table; the rows are never
-    copied once per fold. Long form: fold, ``column``, ``mean``, ``std``.
+    Rows: fold, ``is_test``, ``column``, ``n`` (known values), ``mean``, ``std``. One scan makes one mergeable row per
+    fold; what lies outside a fold is the sum of what lies before and behind it, so nothing is copied per fold
+    and no large sum is taken away from another. A null fold is a fold.
     """
-    # Centring on the column mean first keeps the difference of squares accurate.
-    centre = df.agg(*[F.avg(c).alias(c) for c in cols])
-    shifted = df.crossJoin(F.broadcast(centre.select(*[F.col(c).alias(f"_m_{c}") for c in cols])))
-    shifted = shifted.select(fold, *[F.struct(F.col(f"_m_{c}").alias("m"), (F.col(c) - F.col(f"_m_{c}")).alias("x")).alias(c)
-                                     for c in cols])
-    long = shifted.select(fold, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"{c}.m").alias("m"), F.col(f"{c}.x").alias("x")) for c in cols])))
-    sums = long.groupBy(fold, "column").agg(
-        F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.max("m").alias("m"))
-    total = sums.groupBy("column").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("q").alias("all_q"))
-    rest = sums.join(total, "column").select(
-        fold, "column", "m", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_s") - F.col("s")).alias("s"),
-        (F.col("all_q") - F.col("q")).alias("q"))
-    var = F.try_divide(F.col("q") - F.try_divide(F.col("s") * F.col("s"), F.col("n")), F.col("n") - ddof)
-    return rest.select(fold, "column", (F.col("m") + F.try_divide("s", "n")).alias("mean"),
-                       F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
+    cols = list(cols)
+    own = df.groupBy(fold).agg(*[f(c).alias(f"{name}{i}") for i, c in enumerate(cols)
+                                 for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))])
+    long = own.select(fold, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.coalesce(f"m{i}", F.lit(0.0)).alias("m"), F.coalesce(f"v{i}", F.lit(0.0)).alias("v"))
+        for i, c in enumerate(cols)])))
+    # moments about the common mean, one row per fold and column
+    every = Window.partitionBy("column")
+    centred = long.withColumn("c", F.try_divide(F.sum(F.col("n") * F.col("m")).over(every), F.sum("n").over(every))).withColumns({
+        "s": F.col("n") * (F.col("m") - F.col("c")), "q": F.col("n") * (F.col("v") + (F.col("m") - F.col("c")) ** 2)})
+    before = every.orderBy(fold).rowsBetween(Window.unboundedPreceding, -1)
+    behind = every.orderBy(fold).rowsBetween(1, Window.unboundedFollowing)
+    outside = [(F.coalesce(F.sum(x).over(before), F.lit(0)) + F.coalesce(F.sum(x).over(behind), F.lit(0))).alias(f"o_{x}") for x in ("n", "s", "q")]
+    both = centred.select(fold, "column", "c", "n", "s", "q", *outside).select(fold, "column", "c", F.inline(F.array(
+        F.struct(F.lit(True).alias("is_test"), F.col("n"), F.col("s"), F.col("q")),
+        F.struct(F.lit(False).alias("is_test"), F.col("o_n").alias("n"), F.col("o_s").alias("s"), F.col("o_q").alias("q")))))
+    shift = F.try_divide("s", "n")
+    var = F.try_divide(F.col("q") - shift * F.col("s"), F.col("n") - ddof)
+    return both.select(fold, "is_test", "column", "n", (F.col("c") + shift).alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
+
+
+def fold_stats(df: DataFrame, fold: str, cols: Sequence[str], ddof: int = 1) -> DataFrame:
+    """Mean and std of every fold's training rows, i.e. all rows outside the fold (F15): fold, ``column``, ``mean``, ``std``."""
+    return leave_one_out_stats(df, fold, cols, ddof).where("NOT is_test").select(fold, "column", "mean", "std")
 
 
 def hash_split(df: DataFrame, key: Sequence[str], train_percent: int = 80, seed: int = 42) -> DataFrame:
@@ -97,7 +106,7 @@ def hash_split(df: DataFrame, key: Sequence[str], train_percent: int = 80, seed:
 def leave_one_out(df: DataFrame, fold: str, folds: Sequence[int]) -> DataFrame:
     """The rows once per fold in ``folds``, ``is_test`` where the row belongs to that fold.
 
-    The output is ``len(folds)`` times the input; prefer ``fold_stats`` and one filter per fold for fitting.
+    The output is ``len(folds)`` times the input; ``leave_one_out_stats`` gives its statistics from one scan.
     """
     numbers = F.explode(F.array(*[F.lit(int(f)) for f in folds]))
     return df.withColumn("fold", numbers).withColumn("is_test", F.col(fold) == F.col("fold"))

@@ -18,6 +18,7 @@ from sensorweave.functions.membership import evaluate, partials
 from sensorweave.functions.scaling import Scaler, fold_stats
 from sensorweave.sources.stage import stage as stage_table
 from sensorweave.operators.fuzzy import HIGH, LOW, FuzzyModel, predict, start_coef
+from sensorweave.operators.triangular import all_but_one, factors, solved
 
 
 def _matrix(batch, names: Sequence[str]) -> np.ndarray:
@@ -188,45 +189,62 @@ def fit_gradient(df: DataFrame, model: FuzzyModel, target: str, loss: str = "mse
 
 
 def _design(x: np.ndarray, model: FuzzyModel) -> np.ndarray:
-    """Rows whose product with the flat rule coefficients is the prediction."""
+    """Rows whose product with the free rule coefficients is the prediction.
+
+    A ``linear`` output depends on the sums of its coefficients and of its biases alone: one column per rule and one more.
+    """
     _, (_, _, w, _, den, _) = forward(x, model)
     share = w / den[:, None]
     if model.output == "proportional":
         return share
-    if model.output == "sugeno":
-        plus = np.column_stack([x, np.ones(len(x))])
-        return (share[:, :, None] * plus[:, None, :]).reshape(len(x), -1)
-    raise ValueError("least squares needs proportional or sugeno outputs")
+    if model.output == "linear":
+        return np.column_stack([share, 1 / den])
+    plus = np.column_stack([x, np.ones(len(x))])
+    return (share[:, :, None] * plus[:, None, :]).reshape(len(x), -1)
 
 
-def _normal_sums(x: np.ndarray, y: np.ndarray, model: FuzzyModel) -> np.ndarray:
-    a = _design(x, model)
-    return np.concatenate([(a.T @ a).ravel(), a.T @ y, [y @ y, len(y)]])
+def _free(model: FuzzyModel) -> int:
+    """Columns of the design."""
+    return model.n_rules + 1 if model.output == "linear" else model.coef.size
 
 
-def _solve(sums: np.ndarray, model: FuzzyModel, ridge: float) -> tuple[np.ndarray, float, int]:
-    p = model.coef.size
-    ata, aty = sums[:p * p].reshape(p, p), sums[p * p:p * p + p]
-    coef = np.linalg.solve(ata + ridge * np.eye(p), aty)
-    sse = sums[-2] - 2 * coef @ aty + coef @ ata @ coef
-    return coef.reshape(model.coef.shape), max(float(sse), 0.0), int(sums[-1])
+def _with_solution(model: FuzzyModel, c: np.ndarray) -> FuzzyModel:
+    """The model with the coefficients of its design; sums that a ``linear`` output needs are spread evenly."""
+    m = model.n_rules
+    if model.output == "linear":
+        return model.with_coef(np.repeat(c[:m, None] / m, m, axis=1), np.full(m, c[m] / m))
+    return model.with_coef(c.reshape(model.coef.shape))
 
 
-def fit_consequents(df: DataFrame, model: FuzzyModel, target: str, ridge: float = 1e-3) -> tuple[FuzzyModel, float]:
-    """Least squares for the rule outputs with the sets held fixed (G13): one job. Returns the sum of squared errors.
+def fit_outputs(df: DataFrame, model: FuzzyModel, targets: Sequence[str], ridge: float = 1e-3) -> dict[str, tuple[FuzzyModel, float]]:
+    """Least squares for the rule outputs of several targets in one pass, the sets held fixed.
 
-    The ridge matches a recursive estimator started at 1000 times the identity.
+    Per target the model and its sum of squared errors. Each task reduces its rows to a triangular factor and a tree
+    of tasks merges them; one small factor reaches the driver. Rows with a null input or target are left out.
     """
-    p = model.coef.size
+    targets = list(targets)
+    n, k = len(model.inputs), len(targets)
+    width = _free(model) + k
 
-    def fn(x):
-        return _normal_sums(x[:, :-1], x[:, -1], model)
+    def design(x):
+        return {0.0: np.column_stack([_design(x[:, at[:n]], model), x[:, at[n:]]])}
 
-    sums = _dense(_summed(df, [*model.inputs, target], fn), p * p + p + 2)
-    if sums[-1] == 0:
+    cols = [*model.inputs, *targets]
+    names = list(dict.fromkeys(cols))
+    at = np.array([names.index(c) for c in cols])
+    got = factors(df, names, width, design).collect()  # one row
+    if not got:
         raise ValueError("no complete rows to train on")
-    coef, sse, _ = _solve(sums, model, ridge)
-    return model.with_coef(coef), sse
+    coef, sse = solved(np.array(got[0]["r"]).reshape(width, width), k, ridge)
+    return {t: (_with_solution(model, coef[:, i]), float(sse[i])) for i, t in enumerate(targets)}
+
+
+def fit_consequents(df: DataFrame, model: FuzzyModel, target: str, ridge: float = 1e-3) -> tuple[FuzzyModel, float]:
+    """``fit_outputs`` of one target: the model and the sum of squared errors.
+
+    The ridge matches a recursive estimator started at 1000 times the identity.
+    """
+    return fit_outputs(df, model, [target], ridge)[target]
 
 
 def adapt_rate(rate: float, errors: Sequence[float]) -> float:
@@ -240,10 +258,10 @@ def adapt_rate(rate: float, errors: Sequence[float]) -> float:
 
 
 def fit_hybrid(df: DataFrame, model: FuzzyModel, target: str, epochs: int = 5, rate: float = 0.01,
-               ridge: float = 1e-3, tolerance: float = 1e-5) -> tuple[FuzzyModel, list[float]]:
+               ridge: float = 1e-3, tolerance: float = 1e-12) -> tuple[FuzzyModel, list[float]]:
     """Least squares for the rule outputs, then one gradient step on the sets, per epoch (G14): two jobs each.
 
-    The step is ``rate`` divided by the size of the summed gradient. A step that leaves the sets
+    The step is ``rate`` long in the direction of the gradient; training ends below ``tolerance`` squared error per row. A step that leaves the sets
     unusable (a width that is not positive) keeps that parameter as it was. Returns the best model met
     and the sum of squared errors after every least-squares step.
     """
@@ -255,12 +273,14 @@ def fit_hybrid(df: DataFrame, model: FuzzyModel, target: str, epochs: int = 5, r
         errors.append(sse)
         if best is None or sse < best[0]:
             best = sse, model
-        if epoch == epochs or sse < tolerance:
+        if epoch == epochs:
+            break
+        _, grad, n_rows = total_gradient(df, model, target, "sse")
+        if sse < tolerance * n_rows:
             break
-        _, grad, _ = total_gradient(df, model, target, "sse")
         grad = grad[:n_premise]
         rate = adapt_rate(rate, errors)
-        size = abs(grad.sum())
+        size = float(np.linalg.norm(grad))
         eta = rate / size if size > 0 else rate
         theta = pack(model)
         moved = unpack(model, np.concatenate([theta[:n_premise] - eta * grad, theta[n_premise:]]))
@@ -296,43 +316,56 @@ def score_candidates(df: DataFrame, candidates: Sequence[FuzzyModel], target: st
 
 
 def evaluate_folds(df: DataFrame, fold: str, model: FuzzyModel, target: str, ridge: float = 1e-3,
-                   folds_per_pass: int = 64, stage: Callable[[DataFrame], DataFrame] = stage_table) -> DataFrame:
-    """Leave one fold out (G18): scale by the other folds, fit on them, score the fold, undo the scaling.
-
-    ``model`` holds sets for standardised inputs. One pass fits up to ``folds_per_pass`` folds at
-    once and one pass scores all of them, so the rows are never copied once per fold. The columns
-    needed are staged first, since they are read three times. Output: fold, ``error_sum``,
-    ``error_avg``, ``error_max``, ``n_rows``.
+                   folds_per_pass: int = 64, scaling: str = "others",
+                   stage: Callable[[DataFrame], DataFrame] = stage_table) -> DataFrame:
+    """Leave one fold out (G18): scale, fit on the other folds, score the fold, undo the scaling.
+
+    ``model`` holds sets for standardised inputs. With ``scaling="others"`` each fold is scaled by the rows outside it, so
+    a row has another design for each fold: one pass makes the factors of up to ``folds_per_pass`` folds at once. With
+    ``"whole"`` all folds share the scale of the whole table and a row has one design: one pass makes one factor per
+    fold, whatever their number, and those of all but one come from merges (``all_but_one``). The rows are never
+    copied once per fold. Output: fold, ``error_sum``, ``error_avg``, ``error_max``, ``n_rows``.
     """
-    inputs, cols = list(model.inputs), [*model.inputs, target]
-    df = stage(df.select(fold, *dict.fromkeys(cols)))
+    if scaling not in ("others", "whole"):
+        raise ValueError(f"unknown scaling {scaling}")
+    inputs, cols = list(model.inputs), list(dict.fromkeys([*model.inputs, target]))
+    at = [cols.index(c) + 1 for c in [*inputs, target]]
+    df = stage(df.select(fold, *cols))
     stats: dict[int, dict[str, tuple[float, float]]] = {}
-    for r in fold_stats(df, fold, list(dict.fromkeys(cols)), ddof=1).collect():  # folds x columns rows
+    for r in fold_stats(df, fold, cols, ddof=1).collect():  # folds x columns rows
         stats.setdefault(int(r[fold]), {})[r["column"]] = (r["mean"], r["std"] or 1.0)
-    scale = {f: (np.array([s[c][0] for c in cols]), np.array([s[c][1] for c in cols])) for f, s in stats.items()}
+    scale = {f: (np.array([s[c][0] for c in [*inputs, target]]), np.array([s[c][1] for c in [*inputs, target]])) for f, s in stats.items()}
+    if scaling == "whole":
+        whole = Scaler.fit(df, cols, "standard", ddof=1).params
+        same = tuple(np.array([whole[c][i] for c in [*inputs, target]]) for i in (0, 1))
+        scale = dict.fromkeys(scale, same)
     coef, bias = start_coef(model.output, model.n_rules, len(inputs))
     blank = model.with_coef(coef, bias)
-    p = coef.size
-    size = p * p + p + 2
-    fitted: dict[int, FuzzyModel] = {}
+    width = _free(blank) + 1
+    numbered = df.select(F.col(fold).cast("double").alias("_fold"), *cols)
+
+    def rows_of(x, f):
+        z = (x[:, at] - scale[f][0]) / scale[f][1]
+        return np.column_stack([_design(z[:, :-1], blank), z[:, -1]])
+
     ids = sorted(scale)
-    for at in range(0, len(ids), folds_per_pass):
-        mine = ids[at:at + folds_per_pass]
-
-        def fn(x, mine=mine):
-            out = np.zeros(size * len(mine))
-            for k, f in enumerate(mine):
-                rest = x[x[:, 0] != f, 1:]
-                if len(rest):
-                    z = (rest - scale[f][0]) / scale[f][1]
-                    out[k * size:(k + 1) * size] = _normal_sums(z[:, :-1], z[:, -1], blank)
-            return out
-
-        sums = _dense(_summed(df.select(F.col(fold).cast("double").alias("_fold"), *cols), ["_fold", *cols], fn), size * len(mine))
-        for k, f in enumerate(mine):
-            part = sums[k * size:(k + 1) * size]
-            if part[-1]:
-                fitted[f] = blank.with_coef(_solve(part, blank, ridge)[0])
+    passes = []
+    if scaling == "whole":
+        own = factors(numbered, ["_fold", *cols], width, lambda x: {f: rows_of(x[x[:, 0] == f], int(f)) for f in np.unique(x[:, 0])})
+        passes.append(all_but_one(own, width))
+    else:
+        for start in range(0, len(ids), folds_per_pass):
+            mine = ids[start:start + folds_per_pass]
+
+            def design(x, mine=mine):
+                rest = {float(f): x[x[:, 0] != f] for f in mine}
+                return {f: rows_of(part, int(f)) for f, part in rest.items() if len(part)}
+
+            passes.append(factors(numbered, ["_fold", *cols], width, design))
+    fitted = {}
+    for part in passes:
+        for r in part.where("n > 0").toLocalIterator():  # one small factor per fold, one partition at a time
+            fitted[int(r["fold"])] = _with_solution(blank, solved(np.array(r["r"]).reshape(width, width), 1, ridge)[0][:, 0])
 
     def score(batches):
         for batch in batches:
@@ -343,12 +376,12 @@ def evaluate_folds(df: DataFrame, fold: str, model: FuzzyModel, target: str, rid
                 if m is not None:
                     hit = x[:, 0] == f
                     mu, sd = scale[int(f)]
-                    z = (x[hit, 1:] - mu) / sd
-                    error[hit] = np.abs(forward(z[:, :-1], m)[0] * sd[-1] + mu[-1] - x[hit, -1])
+                    z = (x[hit][:, at] - mu) / sd
+                    error[hit] = np.abs(forward(z[:, :-1], m)[0] * sd[-1] + mu[-1] - x[hit, at[-1]])
             ok = ~np.isnan(error)
             yield pa.RecordBatch.from_arrays([pa.array(x[ok, 0].astype(np.int32)), pa.array(error[ok])], names=[fold, "e"])
 
-    rows = df.select(F.col(fold).cast("double").alias("_fold"), *cols).mapInArrow(score, f"{fold} int, e double")
+    rows = numbered.mapInArrow(score, f"{fold} int, e double")
     return rows.groupBy(fold).agg(F.sum("e").alias("error_sum"), F.avg("e").alias("error_avg"),
                                   F.max("e").alias("error_max"), F.count("e").alias("n_rows"))
 

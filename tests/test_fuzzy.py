@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from sensorweave.functions import metrics as M
 from sensorweave.functions.membership import evaluate, membership, partials
 from sensorweave.operators import fuzzy as Z
+from sensorweave.functions.scaling import leave_one_out_stats
+from sensorweave.operators import triangular
 from sensorweave.plans import fuzzy_training as T
 from tests.helpers import close, series
 
@@ -105,6 +107,81 @@ def test_least_squares_leaves_an_orthogonal_residual(rows):
     assert np.isclose(sse, residual @ residual, rtol=1e-5)
 
 
+def test_factors_merge_in_rounds(spark, rows, monkeypatch):
+    monkeypatch.setattr(triangular, "FAN", 2)
+    monkeypatch.setattr(triangular, "GATHER", 7)
+    design = lambda x: {float(f): x[x[:, 2] == f] for f in np.unique(x[:, 2])}
+    df = rows.select("a", "b", F.col("f").cast("double").alias("f")).repartition(9)
+    one = triangular.factors(df, ["a", "b", "f"], 3, design)
+    data = np.column_stack([X, np.arange(240) % 5])
+    got = {r.fold: (np.array(r.r).reshape(3, 3), r.n) for r in one.collect()}
+    for f, (r, n) in got.items():
+        mine = data[data[:, 2] == f]
+        assert n == len(mine) == 48
+        np.testing.assert_allclose(r.T @ r, mine.T @ mine, atol=1e-9)
+    for blocks in (None, 1, 5):
+        rest = {r.fold: (np.array(r.r).reshape(3, 3), r.n) for r in triangular.all_but_one(one, 3, blocks).collect()}
+        for f in range(5):
+            others = data[data[:, 2] != f]
+            assert rest[f][1] == 192
+            np.testing.assert_allclose(rest[f][0].T @ rest[f][0], others.T @ others, atol=1e-9)
+
+
+def test_ill_conditioned_rows_keep_their_digits(spark):
+    """Columns that differ in the ninth digit: the normal equations are singular in doubles, the factor is not."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=400)
+    design = np.column_stack([a, a + 1e-9 * rng.normal(size=400)])
+    y = design @ [2.0, -1.0]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in np.column_stack([design, y])], "p double, q double, y double").repartition(4)
+    r = np.array(triangular.factors(df, ["p", "q", "y"], 3, lambda x: {0.0: x}).first().r).reshape(3, 3)
+    coef = triangular.solved(r)[0][:, 0]
+    assert np.abs(coef - [2, -1]).max() < 1e-4
+    ata = design.T @ design
+    assert np.linalg.cond(ata) > 1e15  # no digits left there
+
+
+def test_linear_outputs_and_several_targets(rows):
+    m = random_model("gauss", "grid", "linear")
+    both = T.fit_outputs(rows.withColumn("y2", 2 * F.col("y") - 1), m, ["y", "y2"], ridge=0.0)
+    for target, want in (("y", Y), ("y2", 2 * Y - 1)):
+        fitted, sse = both[target]
+        a = T._design(X, m)
+        best = np.linalg.lstsq(a, want, rcond=None)[0]
+        assert np.isclose(sse, ((a @ best - want) ** 2).sum(), rtol=1e-8)
+        assert np.isclose(((T.forward(X, fitted)[0] - want) ** 2).sum(), sse, rtol=1e-6)
+
+
+def test_folds_on_one_scale_equal_one_fit_per_fold(rows):
+    m = Z.spaced_model({"a": (-1.5, 1.5), "b": (-1.5, 1.5)}, 2)
+    got = {r.f: r for r in T.evaluate_folds(rows, "f", m, "y", scaling="whole").collect()}
+    ids = np.arange(240) % 5
+    mx, sx, my, sy = X.mean(0), X.std(0, ddof=1), Y.mean(), Y.std(ddof=1)
+    a, y = T._design((X - mx) / sx, m), (Y - my) / sy
+    for f in range(5):
+        rest = a[ids != f]
+        coef = np.linalg.solve(rest.T @ rest + 1e-3 * np.eye(a.shape[1]), rest.T @ y[ids != f])
+        e = np.abs(a[ids == f] @ coef * sy + my - Y[ids == f])
+        close([got[f].error_sum, got[f].error_avg, got[f].error_max], [e.sum(), e.mean(), e.max()], 1e-7)
+    with pytest.raises(ValueError):
+        T.evaluate_folds(rows, "f", m, "y", scaling="none")
+
+
+def test_statistics_outside_each_fold_from_one_scan(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 2)) + [1e6, 0]
+    fold = rng.integers(0, 6, 300)
+    data = [(None if f == 5 else int(f), float(r[0]), None if i % 7 == 0 else float(r[1])) for i, (f, r) in enumerate(zip(fold, x))]
+    df = spark.createDataFrame(data, "f int, a double, b double")
+    out = leave_one_out_stats(df, "f", ["a", "b"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 1
+    for r in out.collect():
+        at = 1 if r.column == "a" else 2
+        mine = np.array([t[at] for t in data if (t[0] == r.f) == r.is_test and t[at] is not None])
+        assert r.n == len(mine)
+        close([r["mean"], r["std"]], [mine.mean(), mine.std(ddof=1)], 1e-7)
+
+
 def test_gradient_training_lowers_the_loss(rows):
     m = Z.spaced_model({"a": (-2, 2), "b": (-2, 2)}, 3, "bell", "paired", "linear")
     for optimizer in (T.Adam(0.05), T.Momentum(0.01, 0.9)):
