@@ -84,19 +84,28 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
     only = sys.argv[1:]
-    times = {}
+
+    def timed(fn) -> float:
+        t0 = time.perf_counter()
+        fn(spark, d).write.format("noop").mode("overwrite").save()
+        return round(time.perf_counter() - t0, 3)
+
+    def control() -> list[float]:
+        """The same small query before and after all others: tells a slower session from a slower query."""
+        timed(BENCH["gap_segments"])
+        return [timed(BENCH["gap_segments"]) for _ in range(runs)]
+
+    first = control()
+    times, spread = {}, {}
     for name, fn in BENCH.items():
         if only and name not in only:
             continue
-        fn(spark, d).write.format("noop").mode("overwrite").save()  # warm up
-        taken = []
-        for _ in range(runs):
-            t0 = time.perf_counter()
-            fn(spark, d).write.format("noop").mode("overwrite").save()
-            taken.append(time.perf_counter() - t0)
-        times[name] = round(statistics.median(taken), 3)
+        timed(fn)  # warm up
+        taken = [timed(fn) for _ in range(runs)]
+        times[name], spread[name] = statistics.median(taken), [min(taken), max(taken)]
     print(json.dumps({"metric": "total_warm_median", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": os.path.basename(d.rstrip("/"))}))
+                      "queries": times, "sf": os.path.basename(d.rstrip("/")), "spread": spread,
+                      "control": {"first": first, "last": control()}}))
     spark.stop()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorweave.operators.ordered import add_slot, minute_gaps, run_lengths
-from sensorweave.operators.quantiles import exact_quantiles
+from sensorweave.operators.quantiles import column_quantiles, exact_quantiles
 from sensorweave.spec import MICROS, SERIES, SeriesSpec, micros, null_safe, pack, unpack
 
 
@@ -52,11 +52,13 @@ def segment_report(df: DataFrame, spec: SeriesSpec, target: str) -> DataFrame:
 
 def column_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Mean, median, population std, min and max of each column, one row per column."""
-    long = df.select(*cols).unpivot([], list(cols), "column", "value")
-    stats = long.groupBy("column").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
-                                       F.min("value").alias("min"), F.max("value").alias("max"))
-    medians = exact_quantiles(long, "value", [0.5], ["column"]).select("column", F.col("q").alias("median"))
-    return stats.join(F.broadcast(medians), "column")  # one row per column of the input
+    aggs = [f(c).alias(f"{name}{i}") for i, c in enumerate(cols)
+            for name, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
+    wide = df.agg(*aggs)
+    stats = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[
+        F.col(f"{name}{i}").cast("double").alias(name) for name in ("mean", "std", "min", "max")]) for i, c in enumerate(cols)])))
+    medians = column_quantiles(df, cols, [0.5]).select("column", F.col("q").alias("median"))
+    return stats.join(F.broadcast(medians), "column", "left")  # one row per column of the input
 
 
 def dispersion(df: DataFrame, features: str, by: Sequence[str] = ()) -> DataFrame:

@@ -55,16 +55,60 @@ def chunk_bounds(spec: SeriesSpec) -> list[Column]:
     return [F.min(spec.chunk).alias("_lo_chunk"), F.max(spec.chunk).alias("_hi_chunk")]
 
 
+#: Summary rows that one window orders: blocks of this many are carried by a summary of their own.
+FAN = 1 << 14
+
+
+def carry(df: DataFrame, keys: Sequence[str], at: str, values: Mapping[str, tuple[str, Column]], levels: int = 1,
+          backward: bool = False) -> DataFrame:
+    """What the blocks before a block hand on to it, by an associative scan of several levels.
+
+    ``df`` has one row per series (``keys``) and block (``at``, a long). ``values`` maps a new column to an operation and
+    a column of the block: ``sum``, ``max``, ``min``, or ``last`` (the nearest known value). A window orders the blocks of
+    one span of ``FAN`` only; each span is one row of the next level, which hands on to it in the same way, so with
+    ``levels`` of them no window grows with a series of up to ``FAN ** levels`` blocks. The last level is one window per
+    series. ``backward`` scans from the end.
+    """
+    keys = list(keys)
+    order = F.desc(at) if backward else F.asc(at)
+    over = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, True)}
+    both = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least, "last": lambda near, far: F.coalesce(near, far)}
+    temp = {name: f"_in{levels}_{i}" for i, name in enumerate(values)}
+    df = df.withColumns({temp[name]: c for name, (_, c) in values.items()})
+    if levels == 1:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(*_ALL_BEFORE)
+        return df.withColumns({name: over[op](temp[name]).over(before) for name, (op, _) in values.items()}).drop(*temp.values())
+    span = f"_span{levels}"
+    df = df.withColumn(span, F.floor(F.col(at) / FAN))
+    before = Window.partitionBy(*keys, span).orderBy(order).rowsBetween(*_ALL_BEFORE)
+    df = df.withColumns({name: over[op](temp[name]).over(before) for name, (op, _) in values.items()})
+
+    def total(op: str, c: str) -> Column:
+        if op != "last":
+            return over[op](c)
+        known = F.when(F.col(c).isNotNull(), F.col(at))
+        return (F.min_by if backward else F.max_by)(c, known)
+
+    far = {name: f"_far{levels}_{i}" for i, name in enumerate(values)}
+    spans = df.groupBy(*keys, span).agg(*[total(op, temp[name]).alias(f"_all{levels}_{i}") for i, (name, (op, _)) in enumerate(values.items())])
+    spans = carry(spans, keys, span, {far[name]: (op, F.col(f"_all{levels}_{i}")) for i, (name, (op, _)) in enumerate(values.items())}, levels - 1, backward)
+    spans = spans.select(*keys, span, *far.values())
+    # one row per span: the join spreads a long series by its spans
+    df = df.join(spans, [*keys, span])
+    return df.withColumns({name: both[op](F.col(name), F.col(far[name])) for name, (op, _) in values.items()}).drop(
+        span, *temp.values(), *far.values())
+
+
 def _time_bucket(spec: SeriesSpec, seconds: int) -> Column:
     return F.floor(micros(spec.ts) / (seconds * MICROS))
 
 
-def bucket_width(df: DataFrame, spec: SeriesSpec, max_rows: int = 2_000_000,
+def bucket_width(df: DataFrame, spec: SeriesSpec, max_rows: int = 250_000,
                  widths: Sequence[int] = (86_400, 3600, 600, 60, 10, 1)) -> int:
     """The widest time bucket in seconds that holds at most ``max_rows`` rows of any one series.
 
     Runs one small aggregate job per width tried, widest first; the narrowest is returned if none
-    fits. For ``bucket_seconds`` of ``add_slot``, ``previous_time`` and ``minute_gaps``.
+    fits. For ``bucket_seconds`` of ``add_slot``, ``previous_time`` and ``minute_gaps``, which measure where none is given.
     """
     for seconds in widths:
         counts = df.groupBy(*spec.keys, _time_bucket(spec, seconds).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
@@ -75,21 +119,18 @@ def bucket_width(df: DataFrame, spec: SeriesSpec, max_rows: int = 2_000_000,
 
 
 @null_safe
-def add_slot(df: DataFrame, spec: SeriesSpec, bucket_seconds: int | None = 3600) -> DataFrame:
+def add_slot(df: DataFrame, spec: SeriesSpec, bucket_seconds: int | None = None) -> DataFrame:
     """0-based row position inside each series, for rows that sit on no grid.
 
-    Rows are numbered inside time buckets; the bucket counts, summed per series, give the offset. One
-    task sorts one bucket of one series, so choose narrower buckets for denser data; the summary
-    has one row per non-empty bucket. ``None`` measures the data first (``bucket_width``).
+    Rows are numbered inside time buckets; a scan over the bucket counts (``carry``) gives the offset. One
+    task sorts one bucket of one series; its width is measured (``bucket_width``) unless given.
     """
     bucket_seconds = bucket_seconds or bucket_width(df, spec)
     df = df.withColumn("_bucket", _time_bucket(spec, bucket_seconds))
     keys = list(spec.keys)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*_ALL_BEFORE)
-    offsets = (
-        df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
+    counts = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = carry(counts, keys, "_bucket", {"_offset": ("sum", F.col("_n"))}, spec.levels).select(
+        *keys, "_bucket", F.coalesce("_offset", F.lit(0)).alias("_offset"))
     inner = Window.partitionBy(*keys, "_bucket").orderBy(*spec.order)
     return (
         df.join(offsets, [*keys, "_bucket"])
@@ -99,19 +140,16 @@ def add_slot(df: DataFrame, spec: SeriesSpec, bucket_seconds: int | None = 3600)
 
 
 @null_safe
-def previous_time(df: DataFrame, spec: SeriesSpec, out: str, bucket_seconds: int | None = 3600) -> DataFrame:
+def previous_time(df: DataFrame, spec: SeriesSpec, out: str, bucket_seconds: int | None = None) -> DataFrame:
     """Timestamp of the row before, null on the first row of a series. ``bucket_seconds`` as in ``add_slot``."""
     bucket_seconds = bucket_seconds or bucket_width(df, spec)
     df = df.withColumn("_bucket", _time_bucket(spec, bucket_seconds))
     keys = list(spec.keys)
-    across = Window.partitionBy(*keys).orderBy("_bucket")
-    carry = (
-        df.groupBy(*keys, "_bucket").agg(F.max(spec.ts).alias("_last"))
-        .select(*keys, "_bucket", F.lag("_last").over(across).alias("_carry"))
-    )
+    ends = df.groupBy(*keys, "_bucket").agg(F.max(spec.ts).alias("_last"))
+    before = carry(ends, keys, "_bucket", {"_carry": ("last", F.col("_last"))}, spec.levels).select(*keys, "_bucket", "_carry")
     inner = Window.partitionBy(*keys, "_bucket").orderBy(*spec.order)
     return (
-        df.join(carry, [*keys, "_bucket"])
+        df.join(before, [*keys, "_bucket"])
         .withColumn(out, F.coalesce(F.lag(spec.ts).over(inner), F.col("_carry")))
         .drop("_bucket", "_carry")
     )
@@ -146,24 +184,18 @@ def nearest_known(df: DataFrame, spec: SeriesSpec, values: Mapping[str, Column],
             F.min_by(v, s).alias(f"_fv_{name}"), F.min(s).alias(f"_fs_{name}"),
             F.max_by(v, s).alias(f"_lv_{name}"), F.max(s).alias(f"_ls_{name}"),
         ]
-    forward = Window.partitionBy(*spec.keys).orderBy(spec.chunk).rowsBetween(*_ALL_BEFORE)
-    backward = Window.partitionBy(*spec.keys).orderBy(F.desc(spec.chunk)).rowsBetween(*_ALL_BEFORE)
-    carried = [*keys]
-    for name in values:
-        carried += [
-            F.last(f"_lv_{name}", True).over(forward).alias(f"_cpv_{name}"),
-            F.last(f"_ls_{name}", True).over(forward).alias(f"_cps_{name}"),
-            F.last(f"_fv_{name}", True).over(backward).alias(f"_cnv_{name}"),
-            F.last(f"_fs_{name}", True).over(backward).alias(f"_cns_{name}"),
-        ]
-    carry = df.groupBy(*keys).agg(*edges).select(*carried)
+    chunks = df.groupBy(*keys).agg(*edges)
+    ahead = {f"_cpv_{n}": ("last", F.col(f"_lv_{n}")) for n in values} | {f"_cps_{n}": ("last", F.col(f"_ls_{n}")) for n in values}
+    behind = {f"_cnv_{n}": ("last", F.col(f"_fv_{n}")) for n in values} | {f"_cns_{n}": ("last", F.col(f"_fs_{n}")) for n in values}
+    chunks = carry(carry(chunks, spec.keys, spec.chunk, ahead, spec.levels), spec.keys, spec.chunk, behind, spec.levels, backward=True)
+    chunks = chunks.select(*keys, *ahead, *behind)
     if cluster is None:
-        df = df.join(carry, keys)
+        df = df.join(chunks, keys)
     else:
         # The other keys are matched as a range: an equality would join, and shuffle, by them too.
         rest = [k for k in spec.keys if k not in cluster]
-        carry = carry.withColumnsRenamed({k: f"_c_{k}" for k in rest})
-        df = df.join(carry, [*cluster, spec.chunk])
+        chunks = chunks.withColumnsRenamed({k: f"_c_{k}" for k in rest})
+        df = df.join(chunks, [*cluster, spec.chunk])
         for k in rest:
             df = df.where(F.col(k).between(F.col(f"_c_{k}"), F.col(f"_c_{k}")))
         df = df.drop(*[f"_c_{k}" for k in rest])

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorweave.operators import ordered
 from sensorweave.operators.ordered import (
-    attach_by_chunk, chunk_bounds, nearest_known, spread_over_chunks, with_chunk,
+    attach_by_chunk, carry, chunk_bounds, nearest_known, spread_over_chunks, with_chunk,
 )
 from sensorweave.spec import MICROS, SeriesSpec, from_micros, micros, null_safe
 
@@ -23,17 +23,19 @@ def _cells(df: DataFrame, spec: SeriesSpec, max_gap_s: float | None) -> DataFram
     a partial aggregate makes from the rows, have to be put in order.
     """
     keys = list(spec.keys)
-    ordered = Window.partitionBy(*keys).orderBy("_cell")
     cells = df.groupBy(*keys, "_cell").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
-    cells = cells.withColumn("_before", F.lag("_last").over(ordered))
+    cells = carry(cells, keys, "_cell", {"_before": ("max", F.col("_last"))}, spec.levels)
     opens = F.col("_before").isNull()
     if max_gap_s is not None:
         opens = opens | (F.col("_first") - F.col("_before") > int(round(max_gap_s * MICROS)))
+    cells = cells.withColumn("_opens", opens)
+    start = F.when(F.col("_opens"), F.col("_first"))
+    cells = carry(cells, keys, "_cell", {"_seen": ("sum", F.col("_opens").cast("long")), "_since": ("last", start)}, spec.levels)
     return cells.withColumns({
-        SEGMENT: F.sum(opens.cast("long")).over(ordered) - 1,
-        "_start": F.last(F.when(opens, F.col("_first")), True).over(ordered),
-        "_before": F.when(~opens, F.col("_before")),
-    })
+        SEGMENT: F.coalesce("_seen", F.lit(0)) + F.col("_opens").cast("long") - 1,
+        "_start": F.coalesce(start, "_since"),
+        "_before": F.when(~F.col("_opens"), F.col("_before")),
+    }).drop("_opens", "_seen", "_since")
 
 
 @null_safe
@@ -49,6 +51,7 @@ def segment_by_gap(df: DataFrame, spec: SeriesSpec, max_gap_s: float) -> DataFra
     return df.join(cells, [*spec.keys, "_cell"]).drop("_t", "_cell")
 
 
+@null_safe
 def segments(df: DataFrame, spec: SeriesSpec, max_gap_s: float) -> DataFrame:
     """One row per segment: ``start_ts``, ``end_ts``."""
     width = max(int(max_gap_s * MICROS), 1)
@@ -175,13 +178,10 @@ def null_free_parts(df: DataFrame, spec: SeriesSpec, target: str, max_run: int)
         F.filter(F.arrays_zip(F.slice("_known", F.lit(1), F.greatest(last, F.lit(0))).alias("a"),
                               F.slice("_known", F.lit(2), F.greatest(last, F.lit(0))).alias("b")),
                  lambda p: p["b"] - p["a"] - 1 > max_run).alias("_inner"))
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy(spec.chunk).rowsBetween(Window.unboundedPreceding, -1)
-    behind = whole.orderBy(F.desc(spec.chunk)).rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumns({
-        "_first": F.min("_lo").over(whole), "_last": F.max("_hi").over(whole),
-        "_seen": F.last("_to", True).over(before),
-    })
+    back = {"_seen": ("last", F.col("_to")), "_lo_before": ("min", F.col("_lo")), "_hi_before": ("max", F.col("_hi"))}
+    ahead = {"_lo_behind": ("min", F.col("_lo")), "_hi_behind": ("max", F.col("_hi"))}
+    chunks = carry(carry(chunks, keys, spec.chunk, back, spec.levels), keys, spec.chunk, ahead, spec.levels, backward=True)
+    chunks = chunks.withColumns({"_first": F.least("_lo", "_lo_before", "_lo_behind"), "_last": F.greatest("_hi", "_hi_before", "_hi_behind")})
     none = F.array().cast("array<bigint>")
 
     def cut(left: Column, right: Column, applies: Column) -> Column:
@@ -194,7 +194,7 @@ def null_free_parts(df: DataFrame, spec: SeriesSpec, target: str, max_run: int)
     chunks = chunks.withColumn("_cuts", F.concat(
         cut(seen, F.col("_from"), F.col("_from").isNotNull()), F.col("_inner"),
         cut(F.coalesce(F.col("_to"), seen), F.col("_last") + 1, F.col("_hi") == F.col("_last"))))
-    chunks = chunks.withColumn("_next", F.last(F.expr("get(_cuts, 0).a"), True).over(behind))
+    chunks = carry(chunks, keys, spec.chunk, {"_next": ("last", F.expr("get(_cuts, 0).a"))}, spec.levels, backward=True)
     start = F.when(F.col("_lo") == F.col("_first"), F.array(F.col("_first"))).otherwise(none)
     chunks = chunks.withColumn("_starts", F.concat(start, F.expr("_cuts.b"))).withColumn(
         "_ends", F.concat(F.expr("_cuts.a"), F.array(F.coalesce(F.col("_next"), F.col("_last")))))

@@ -22,6 +22,10 @@ class SeriesSpec:
     rows, ``tiebreak`` orders rows with equal ``ts``. Tables on a regular grid also carry ``slot``,
     the 0-based grid index inside the series, and ``chunk``, a coarse bucket of the slot that
     bounds how many rows one task sorts. ``packed`` says that the first key is a struct of all keys.
+
+    ``levels`` of the scans that carry facts from chunk to chunk and from time cell to time cell (``ordered.carry``): 1
+    orders a series' summary rows in one window, 2 and more bound that window for series of billions of rows, at
+    the price of a small join per level. The results are the same.
     """
 
     keys: tuple[str, ...] = ()
@@ -30,6 +34,7 @@ class SeriesSpec:
     slot: str = "slot"
     chunk: str = "chunk_id"
     packed: bool = False
+    levels: int = 1
 
     def within(self, *names: str) -> "SeriesSpec":
         """The same series cut further by ``names`` (segments, days, folds)."""

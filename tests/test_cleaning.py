@@ -1,4 +1,5 @@
 import datetime as dt
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorweave import SeriesSpec
+from sensorweave.operators import ordered
 from sensorweave.operators.ordered import add_slot, bucket_width, minute_gaps, run_lengths
 from sensorweave.operators.segments import (
     align_rate, grid_segments, interpolate, keep_long, largest_segment, resample, segment_by_gap, segments,
@@ -178,6 +180,32 @@ def test_minute_gaps_and_positions_across_buckets(spark):
     assert series(out, ["ts", "id"], "slot") == list(range(200))
 
 
+@pytest.mark.parametrize("levels", [2, 3])
+def test_scans_of_several_levels_equal_one_window(spark, monkeypatch, small_chunks, levels):
+    """Tiny spans, so that a short series crosses many of them; every operator that carries facts along a series."""
+    monkeypatch.setattr(ordered, "FAN", 3)
+    rng = np.random.default_rng(levels)
+    t = np.cumsum(rng.choice([1, 5, 31, 400], 160))
+    df = raw(spark, minutes(*t)).unionByName(raw(spark, minutes(*t[:50])).withColumn("k", F.lit(None).cast("string")))
+    long = replace(RAW, levels=levels)
+    grid = gridded(spark, with_gaps(rng, 300), key=(None,))
+    key, gkey = lambda r: str(r), SeriesSpec(keys=("k",))
+    for run in (lambda s, g: add_slot(df, s, 600), lambda s, g: minute_gaps(df, s, bucket_seconds=600), lambda s, g: segment_by_gap(df, s, 1800),
+                lambda s, g: segments(df, s, 1800), lambda s, g: grid_segments(df, s, 60, 1800, {"x": F.avg("x")}),
+                lambda s, g: split_on_null_runs(grid, g, "x", 3), lambda s, g: interpolate(grid, g, ["x"]),
+                lambda s, g: run_lengths(grid, g, F.col("x").isNull())):
+        one, many = run(RAW, gkey), run(long, replace(gkey, levels=levels))
+        assert sorted(one.collect(), key=key) == sorted(many.collect(), key=key)
+
+
+def test_no_window_orders_a_whole_series_at_two_levels(spark):
+    df = raw(spark, minutes(0, 1, 2))
+    plan = segment_by_gap(df, replace(RAW, levels=2), 1800)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window " in line]
+    assert windows and sum("_span2" in w for w in windows) >= 2  # the others order spans, not cells
+    assert all("_span2" in w for w in windows if "_cell" in w)
+
+
 def test_bucket_width_adapts_to_a_burst(spark):
     burst = raw(spark, [T0 + dt.timedelta(seconds=i / 10) for i in range(600)] + minutes(5, 4000))
     assert bucket_width(burst, RAW, 1000) == 86_400

@@ -14,7 +14,7 @@ from sensorweave.operators.calendar import (
 from sensorweave.operators.dayshape import best_lag, lag_corr, shifted_corr, spectrum
 from sensorweave.operators.diagnostics import column_stats, context_rows, corr_matrix, dispersion
 from sensorweave.operators.features import lag_embed, lead_target, smooth, windows
-from sensorweave.operators.quantiles import exact_quantiles
+from sensorweave.operators.quantiles import column_quantiles, exact_quantiles, sortable
 from tests.helpers import T0, close, gridded, minutes, series, with_gaps
 
 K = SeriesSpec(keys=("k",))
@@ -285,3 +285,39 @@ def test_fold_stats_leave_the_fold_out(spark):
     for f in range(4):
         rest = pdf[pdf.f != f].a
         assert np.isclose(got["mean"][f], rest.mean()) and np.isclose(got["std"][f], rest.std(), rtol=1e-6)
+
+
+def test_radix_selection_settles_every_bit(spark):
+    """Values that differ in their last bits, cross powers of two and zero, and hold infinities, NaN and denormals."""
+    rng = np.random.default_rng(11)
+    near = [float(np.nextafter(1.0, 2.0) if i % 2 else np.nextafter(1.0, 0.0)) for i in range(5)] + [1.0 + i * 2 ** -52 for i in range(40)]
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1e308, -1e308, float("inf"), float("-inf"), 2.0 ** 60, 2.0 ** 60 + 256, -(2.0 ** 60)]
+    cols = {"near": near * 3, "odd": odd * 12, "wide": (10.0 ** rng.uniform(-300, 300, 120) * rng.choice([-1, 1], 120)).tolist(),
+            "tied": [1.5] * 100 + [2.5] * 32}
+    n = max(map(len, cols.values()))
+    rows = [tuple(v[i] if i < len(v) else None for v in cols.values()) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(5)
+    qs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {(r.column, r.p): r.q for r in column_quantiles(df, list(cols), qs, salts=3).collect()}
+    for c, v in cols.items():
+        s = sorted(v)
+        for q in qs:
+            k = q * (len(s) - 1)
+            lo, hi = s[int(k)], s[min(int(k) + 1, len(s) - 1)]
+            want = lo if k == int(k) else lo + (hi - lo) * (k - int(k))
+            assert got[c, q] == want or abs(got[c, q] - want) <= 1e-12 * abs(want) or (np.isnan(want) and np.isnan(got[c, q])), (c, q, got[c, q], want)
+
+
+def test_nan_ranks_last_and_sortable_bits_round_trip(spark):
+    df = spark.createDataFrame([(v,) for v in (1.0, float("nan"), -2.0, None, 0.0)], "x double")
+    assert [r.q for r in column_quantiles(df, ["x"], [0.0, 1 / 3, 2 / 3]).orderBy("p").collect()] == [-2.0, 0.0, 1.0]
+    bits = df.where("x IS NOT NULL AND NOT isnan(x)").withColumn("s", sortable(F.col("x"))).orderBy("x").collect()
+    assert [r.s for r in bits] == sorted(r.s for r in bits)
+
+
+def test_quantiles_scan_the_rows_twice(spark, tmp_path):
+    spark.range(2000).select((F.col("id") * 1.7 % 13).alias("a"), F.sqrt("id").alias("b")).write.parquet(str(tmp_path / "t"))
+    out = column_quantiles(spark.read.parquet(str(tmp_path / "t")), ["a", "b"], [0.5])
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 2
