@@ -1,5 +1,7 @@
 """Self-organizing maps and novelty."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from sensorweave.catalog.base import (
@@ -11,7 +13,7 @@ from sensorweave.operators import novelty as V
 from sensorweave.operators.diagnostics import centroid_spread, dispersion
 from sensorweave.plans.novelty_run import NoveltyRun, working_hours_novelty
 from sensorweave.sources.stage import stage
-from sensorweave.plans.som_training import TrainingParams, fit, fit_many, sweep, update_one
+from sensorweave.plans.som_training import TrainingParams, fit, fit_many, sweep_summary, sweep_table, update_one
 
 NEAR2_SQL = NEAR_SQL + """, near2 AS (SELECT vec_id, max(bmu) FILTER (k = 1) AS b1, max(bmu) FILTER (k = 2) AS b2,
   max(d) FILTER (k = 1) AS d1, max(d) FILTER (k = 2) AS d2 FROM ranked GROUP BY vec_id)"""
@@ -305,11 +307,20 @@ def _epoch_sql(cb: str, out: str, lr: float, h: str) -> str:
   FROM {cb} o JOIN {out}_mix USING (bmu) GROUP BY ALL)"""
 
 
+#: Schedules as SQL text of the step ``t`` and the number of steps ``n``: what sigma and the rate are multiplied by.
+_DECAY_SQL = {
+    "constant": ("1.0", "1.0"), "linear": ("(1 - {t} / {n})", "(1 - {t} / {n})"), "exp": ("exp(-{t} * {ds})", "exp(-{t} * {dl})"),
+    "mix": ("exp(-{t} / {n})", "(1 - {t} / {n})"), "inv": ("(1 / ({t} + 1))", "(1 / ({t} + 1))"),
+    "asymptotic": ("(1 / (1 + {t} / ({n} / 2)))", "(1 / (1 + {t} / ({n} / 2)))"),
+    "step_ratio": ("pow(1 + {ds} / ({n} / 2), -{t})", "pow(1 + {dl} / ({n} / 2), -{t})"),
+}
+
+
 def _training_sql(p: TrainingParams) -> str:
-    at = C.schedule(p.schedule, p.sigma, p.lr, sigma_decay=p.sigma_decay, lr_decay=p.lr_decay)
     sql, book = CB_SQL, "cb"
     for t in range(p.epochs):
-        sigma, lr = (float(v) for v in at(t, p.epochs))
+        sigma, lr = (f"({base} * {text.format(t=float(t), n=float(p.epochs), ds=p.sigma_decay, dl=p.lr_decay)})"
+                     for base, text in zip((p.sigma, p.lr), _DECAY_SQL[p.schedule]))
         sql += _epoch_sql(book, f"e{t}", lr, _TRAIN_KERNELS[p.kernel](sigma, p.max_distance))
         book = f"e{t}"
     return (f"WITH {sql} SELECT bmu, {R('w[1]', 6)} AS w1, {R('w[32]', 6)} AS w32, {R('list_sum(w)')} AS total FROM {book}")
@@ -326,12 +337,28 @@ for _name, _params in {
     "n11_mexican_hat_trainer": TrainingParams(epochs=1, kernel="mexican_hat", sigma=0.7, lr=0.3, schedule="constant"),
     "n11_bubble_trainer": TrainingParams(epochs=2, kernel="bubble", sigma=2.0, lr=0.5, schedule="constant"),
     "n11_triangle_trainer": TrainingParams(epochs=2, kernel="triangle", sigma=2.0, lr=0.5, schedule="inv"),
+    "n12_step_ratio_schedule": TrainingParams(epochs=3, kernel="exp", sigma=0.9, lr=0.6, schedule="step_ratio"),
+    "n12_exponential_schedule": TrainingParams(epochs=3, kernel="exp", sigma=0.9, lr=0.6, schedule="exp"),
 }.items():
     @query(_name, _training_sql(_params))
     def _(spark, d, params=_params):
         return _book_view(fit(emb(spark, d), code25(spark, d), params)[0].table(spark))
 
 
+_SHIFT = "CASE WHEN (4 - {c}) % 2 = 0 THEN 0.5 ELSE 0 END"
+_HEX_P = f"(pow((r - {_SHIFT.format(c='c')}) - (hr - {_SHIFT.format(c='hc')}), 2) + pow(c - hc, 2))"
+
+# Hexagonal maps: the same epoch with the neurons in their places on the plane.
+for _name, _params, _h in [
+    ("n14_hexagonal_gaussian", TrainingParams(epochs=1, kernel="gaussian", schedule="constant", sigma=0.8, lr=0.5), f"exp(-{_HEX_P} / (2 * 0.8 * 0.8))"),
+    ("n14_hexagonal_mexican_hat", TrainingParams(epochs=1, kernel="mexican_hat", schedule="constant", sigma=0.7, lr=0.3),
+     f"exp(-{_HEX_P} / (2 * 0.7 * 0.7)) * (1 - 2 * {_HEX_P} / (2 * 0.7 * 0.7))"),
+]:
+    @query(_name, f"WITH {CB_SQL} {_epoch_sql('cb', 'e0', _params.lr, _h)} SELECT bmu, {R('w[1]', 6)} AS w1, {R('w[32]', 6)} AS w32, {R('list_sum(w)')} AS total FROM e0")
+    def _(spark, d, params=_params):
+        return _book_view(fit(emb(spark, d), replace(code25(spark, d), topology="hexagonal"), params)[0].table(spark))
+
+
 @query("n6_random_start")
 def _(spark, d):
     parts = None
@@ -342,7 +369,8 @@ def _(spark, d):
     return parts
 
 
-@query("n7_sampled_start")
+@query("n7_sampled_start", f"""WITH {EMB_SQL}, p AS (SELECT features, row_number() OVER (ORDER BY substr(md5('3,' || vec_id), 1, 8), vec_id) - 1 AS k FROM emb)
+SELECT k::INTEGER AS bmu, (k // 5)::INTEGER AS row, (k % 5)::INTEGER AS col, features AS w FROM p WHERE k < 25""")
 def _(spark, d):
     return C.sampled_codebook(emb(spark, d), "features", ["vec_id"], 5, 5, seed=3).table(spark)
 
@@ -352,11 +380,48 @@ def _(spark, d):
     return C.pca_codebook(emb(spark, d), "features", 64, 5, 5).table(spark)
 
 
-@query("n29_grid_size_sweep")
+_SIDES, _SHARES, _DISPERSIONS = (3, 5), (0.4, 0.9), (0.5, 2.0)
+
+
+def _literal_map(config, dim):
+    """A first map that SQL can write down too."""
+    weights = [[((b * 7 + i * 13) % 17) / 17.0 - 0.5 for i in range(1, dim + 1)] for b in range(config.side ** 2)]
+    return C.Codebook.from_rows(weights, config.side, config.side)
+
+
+def _sweep_sql():
+    """One epoch of every configuration from literal maps, then the neurons that no row of its sample hits."""
+    parts, rows = [EMB_SQL, "hs AS (SELECT *, (('0x' || substr(md5('42,' || vec_id), 1, 8))::BIGINT) / 4294967296.0 AS share FROM emb)"], []
+    for i, (s, d, g) in enumerate((s, d, g) for s in _SHARES for d in _DISPERSIONS for g in _SIDES):
+        parts.append(f"x{i} AS (SELECT vec_id, list_transform(features, lambda v: v * {d}) AS features FROM hs WHERE share < {s})")
+        parts.append(f"m{i} AS (SELECT b::INTEGER AS bmu, (b // {g})::INTEGER AS r, (b % {g})::INTEGER AS c, "
+                     f"list_transform(range(1, 65), lambda i: ((b * 7 + i * 13) % 17) / 17.0 - 0.5) AS w FROM range({g * g}) t(b))")
+        epoch = _epoch_sql(f"m{i}", f"o{i}", 0.5, _TRAIN_KERNELS["exp"](1.0, 0)).replace("FROM emb,", f"FROM x{i},")
+        parts.append(epoch.lstrip(", "))
+        parts.append(f"u{i} AS (SELECT count(DISTINCT bmu) AS n FROM (SELECT vec_id, arg_min(bmu, list_distance(features, w)) AS bmu FROM x{i}, o{i} GROUP BY vec_id))")
+        parts.append(f"ce{i} AS (SELECT list(v ORDER BY j) AS c FROM (SELECT j, avg(features[j]) AS v FROM x{i}, range(1, 65) t(j) GROUP BY j))")
+        rows.append(f"SELECT (SELECT count(*) FROM x{i}) AS size, {d}::DOUBLE AS disp, (SELECT {R('stddev_pop(v)', 6)} FROM (SELECT unnest(features) AS v FROM x{i})) AS std, "
+                    f"(SELECT {R('stddev_pop(list_distance(features, c))', 6)} FROM x{i}, ce{i}) AS centroid_std, {g}::INTEGER AS som_size, "
+                    f"{R(f'100.0 * ({g * g} - n) / {g * g}')} AS unused_pct FROM u{i}")
+    return ", ".join(parts), " UNION ALL ".join(rows)
+
+
+def _swept(spark, d):
+    return sweep_table(emb(spark, d), "features", ["vec_id"], _SHARES, _DISPERSIONS, _SIDES,
+                       TrainingParams(epochs=1, kernel="exp", sigma=1.0, lr=0.5, schedule="constant"), _literal_map)
+
+
+@query("n29_grid_size_sweep", "WITH {} {}".format(*_sweep_sql()))
 def _(spark, d):
-    rows = stage(emb(spark, d).select("features"))
-    starts = {g: C.random_codebook(g, g, 64, "unit", seed=g) for g in (3, 5, 8, 12)}
-    return sweep(rows, starts, TrainingParams(epochs=3, kernel="exp", sigma=1.0, lr=0.5))
+    return _swept(spark, d).select("size", "disp", rnd("std", 6).alias("std"), rnd("centroid_std", 6).alias("centroid_std"), "som_size",
+                                   rnd("unused_pct").alias("unused_pct"))
+
+
+@query("a29_unused_by_sample_size", "WITH {}, t AS ({}) SELECT size, {} AS mean_unused, {} AS max_unused, count(*) AS n FROM t GROUP BY size".format(
+    *_sweep_sql(), R("avg(unused_pct)"), R("max(unused_pct)")))
+def _(spark, d):
+    out = sweep_summary(_swept(spark, d))
+    return out.select("size", rnd("mean_unused").alias("mean_unused"), rnd("max_unused").alias("max_unused"), "n")
 
 
 _PCA_K = 2

@@ -120,7 +120,7 @@ def _(spark, d):
     return scaler.transform(df.where("l_orderkey % 5 = 4")).select(*LINE_KEY, *rounded(LINE, 5))
 
 
-@query("f12_hash_split")
+@query("f12_hash_split", """SELECT vec_id, 100 * ((('0x' || substr(md5('42,' || vec_id), 1, 8))::BIGINT) / 4294967296.0) < 80 AS is_train FROM embeddings""")
 def _(spark, d):
     return hash_split(emb(spark, d), ["vec_id"]).select("vec_id", "is_train")
 

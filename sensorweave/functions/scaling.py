@@ -98,9 +98,18 @@ def fold_stats(df: DataFrame, fold: str, cols: Sequence[str], ddof: int = 1) ->
     return leave_one_out_stats(df, fold, cols, ddof).where("NOT is_test").select(fold, "column", "mean", "std")
 
 
+def hash_share(key: Sequence[str], seed: int = 42) -> Column:
+    """A number in [0, 1) that depends on the row key alone: the leading 32 bits of the MD5 of seed and key, comma-joined.
+
+    Null parts of a key read as empty. Rows below a threshold are a sample; those below a larger one hold it.
+    """
+    text = F.concat_ws(",", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(float(2 ** 32))
+
+
 def hash_split(df: DataFrame, key: Sequence[str], train_percent: int = 80, seed: int = 42) -> DataFrame:
-    """Repeatable random split by row key: adds ``is_train``."""
-    return df.withColumn("is_train", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(100)) < train_percent)
+    """Repeatable random split by row key, the same on any engine: adds ``is_train``."""
+    return df.withColumn("is_train", hash_share(key, seed) * 100 < train_percent)
 
 
 def leave_one_out(df: DataFrame, fold: str, folds: Sequence[int]) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorweave.operators.codebook import Codebook, array_matrix
+from sensorweave.operators.codebook import Codebook, array_matrix, line_shift
 
 _BLOCK = 1 << 20
 
@@ -186,8 +186,8 @@ def topographic_error(two_best: DataFrame, cols: int, n_neurons: int, topology:
 
     (r1, c1), (r2, c2) = at(0), at(1)
     if topology == "hexagonal":
-        # Fixed layout: counted from the last grid line backwards, every second one moves by -0.5.
-        r1, r2 = [r - F.when((F.lit(cols - 1) - c) % 2 == 0, 0.5).otherwise(0.0) for r, c in ((r1, c1), (r2, c2))]
+        shift = F.array(*[F.lit(float(line_shift(i, cols))) for i in range(cols)])
+        r1, r2 = [r - F.get(shift, c.cast("int")) for r, c in ((r1, c1), (r2, c2))]
     apart = F.greatest(F.abs(r1 - r2), F.abs(c1 - c2)) > 1
     return two_best.agg(F.avg(apart.cast("double")).alias("topographic_error"))
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorweave.functions.scaling import hash_share
+
 SCHEMA = T.StructType([
     T.StructField("bmu", T.IntegerType(), False), T.StructField("row", T.IntegerType(), False),
     T.StructField("col", T.IntegerType(), False), T.StructField("w", T.ArrayType(T.DoubleType()), False)])
@@ -19,6 +21,9 @@ SCHEMA = T.StructType([
 class Codebook:
     """``weights`` is ``(rows * cols, dim)``; neuron ``bmu`` sits at ``(bmu // cols, bmu % cols)``.
 
+    On a ``hexagonal`` map every second grid line, counted from the last one backwards, lies half a cell lower
+    (``plane``); kernels, grid distances and the topographic error all measure there.
+
     Its size is set by the caller's grid, not by the data, so it may live on the driver and be
     shipped to every task.
     """
@@ -26,13 +31,18 @@ class Codebook:
     weights: np.ndarray
     rows: int
     cols: int
+    topology: str = "rectangular"
+
+    def __post_init__(self):
+        if self.topology not in ("rectangular", "hexagonal"):
+            raise ValueError(f"unknown topology {self.topology}")
 
     @classmethod
-    def from_rows(cls, vectors: Sequence[Sequence[float]], rows: int, cols: int) -> "Codebook":
+    def from_rows(cls, vectors: Sequence[Sequence[float]], rows: int, cols: int, topology: str = "rectangular") -> "Codebook":
         weights = np.asarray(vectors, dtype=float)
         if weights.shape[0] != rows * cols:
             raise ValueError(f"{rows} x {cols} map needs {rows * cols} vectors, got {weights.shape[0]}")
-        return cls(weights, rows, cols)
+        return cls(weights, rows, cols, topology)
 
     @property
     def dim(self) -> int:
@@ -46,8 +56,15 @@ class Codebook:
         flat = np.arange(self.size)
         return np.column_stack([flat // self.cols, flat % self.cols])
 
+    def plane(self) -> np.ndarray:
+        """Where the neurons lie: the grid positions, shifted lines on a hexagonal map."""
+        p = self.positions().astype(float)
+        if self.topology == "hexagonal":
+            p[:, 0] -= line_shift(p[:, 1], self.cols)
+        return p
+
     def with_weights(self, weights: np.ndarray) -> "Codebook":
-        return Codebook(weights, self.rows, self.cols)
+        return replace(self, weights=weights)
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, i // self.cols, i % self.cols, [float(v) for v in w]) for i, w in enumerate(self.weights)]
@@ -59,6 +76,11 @@ class Codebook:
         return cls.from_rows([r["w"] for r in rows], max(r["row"] for r in rows) + 1, max(r["col"] for r in rows) + 1)
 
 
+def line_shift(line, lines: int):
+    """Fixed layout of hexagonal maps: from the last grid line backwards, every second one moves by half a cell."""
+    return 0.5 * ((lines - 1 - line) % 2 == 0)
+
+
 def random_codebook(rows: int, cols: int, dim: int, kind: str = "uniform", seed: int = 0) -> Codebook:
     """Data-free start (N6): ``uniform`` [0, 1), ``normal``, ``sq_normal`` (square minus one), or
     ``unit`` (uniform [-1, 1) scaled to length one)."""
@@ -82,7 +104,7 @@ def sampled_codebook(df: DataFrame, features: str, row_key: Sequence[str], rows:
     """Start from data rows picked by key hash, repeatable whatever the partitioning (N7). Runs a job."""
     m = rows * cols
     # The map size bounds the result; each task keeps its m best rows only.
-    picked = df.orderBy(F.xxhash64(F.lit(seed), *row_key), *row_key).limit(m).select(features).collect()
+    picked = df.orderBy(hash_share(row_key, seed), *row_key).limit(m).select(features).collect()
     if not picked:
         raise ValueError("no rows to start from")
     return Codebook.from_rows([picked[i % len(picked)][0] for i in range(m)], rows, cols)
@@ -146,7 +168,7 @@ def array_matrix(column, dim: int) -> np.ndarray:
 
 def grid_distance(codebook: Codebook, metric: str = "cityblock") -> np.ndarray:
     """Distance between every two neurons on the grid (N9): ``cityblock`` or ``euclidean``."""
-    p = codebook.positions().astype(float)
+    p = codebook.plane()
     diff = np.abs(p[:, None, :] - p[None, :, :])
     if metric == "cityblock":
         return diff.sum(axis=2)
@@ -161,13 +183,13 @@ def neighbourhood(codebook: Codebook, kind: str, sigma: float, *, metric: str =
 
     ``ceil`` disc of radius ceil(sigma * max_distance); ``half`` 2^-d; ``exp`` exp(-d^2 / 2 sigma^2);
     ``mult`` sigma * d (grows with distance, as published); ``gaussian`` and ``mexican_hat`` on the
-    Euclidean grid; ``bubble`` and ``triangle`` per axis; ``fixed_gaussian`` exp(-d^2 / sigma^2);
+    Euclidean plane; ``bubble`` and ``triangle`` per axis of the grid, whatever the topology; ``fixed_gaussian`` exp(-d^2 / sigma^2);
     ``square`` Gaussian of squared radius ``sigma`` inside ``[-step, step)`` with step =
     ``max_distance``, the hit neuron alone once the squared radius is under 1e-3; ``density``
     sigma times the standard normal density of d^2.
     """
-    p = codebook.positions().astype(float)
-    step = p[None, :, :] - p[:, None, :]
+    p, cell = codebook.plane(), codebook.positions().astype(float)
+    step, cells = (v[None, :, :] - v[:, None, :] for v in (p, cell))
     sq = (step ** 2).sum(axis=2)
     if kind in ("ceil", "half", "exp", "mult"):
         d = grid_distance(codebook, metric)
@@ -184,9 +206,9 @@ def neighbourhood(codebook: Codebook, kind: str, sigma: float, *, metric: str =
         scaled = sq / (2 * sigma * sigma)
         return np.exp(-scaled) * (1 - 2 * scaled)
     if kind == "bubble":
-        return (np.abs(step) < sigma).all(axis=2).astype(float)
+        return (np.abs(cells) < sigma).all(axis=2).astype(float)
     if kind == "triangle":
-        return np.clip(sigma - np.abs(step), 0, None).prod(axis=2)
+        return np.clip(sigma - np.abs(cells), 0, None).prod(axis=2)
     if kind == "fixed_gaussian":
         return np.exp(-sq / sigma ** 2)
     if kind == "square":

@@ -261,14 +261,22 @@ def day_context(history: DataFrame, ts: str, matches: DataFrame, query_key: str)
     return history.withColumn("_day", F.to_date(ts)).join(days, "_day").drop("_day")
 
 
-def shared_rows(a: DataFrame, b: DataFrame, cols: Sequence[str], keep: bool = True) -> DataFrame:
-    """Rows of ``a`` that have (or have no) identical row in ``b``, nulls equal."""
-    right = b.select(*[F.col(c).alias(f"_r_{c}") for c in cols]).distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in cols]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    return a.join(right, cond, "left_semi" if keep else "left_anti")
+def shared_rows(a: DataFrame, b: DataFrame, cols: Sequence[str], keep: bool = True, hot_share: float = 1e-3) -> DataFrame:
+    """Rows of ``a`` that have (or have no) identical row in ``b``, nulls equal.
+
+    A tuple that fills more than ``hot_share`` of ``a`` is tested once and its answer sent to all tasks, where its rows
+    stay; at most 1 / ``hot_share`` tuples can. The others meet ``b``'s distinct tuples in a join, in which none is frequent.
+    """
+    tuples = F.struct(*[F.col(c) for c in cols])
+    left = a.withColumn("_tuple", tuples)
+    right = b.select(tuples.alias("_tuple")).distinct()
+    limit = a.count() * hot_share
+    hot = left.groupBy("_tuple").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("_tuple", F.lit(True).alias("_hot"))
+    known = hot.join(right.withColumn("_in", F.lit(True)), "_tuple", "left")
+    marked = left.join(F.broadcast(stage(known, "hot-tuples")), "_tuple", "left")
+    often = marked.where("_hot").where(F.col("_in").isNotNull() if keep else F.col("_in").isNull())
+    rare = marked.where("_hot IS NULL").join(right, "_tuple", "left_semi" if keep else "left_anti")
+    return often.select(*a.columns).unionByName(rare.select(*a.columns))
 
 
 def detection_share(detected: DataFrame, outliers: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ the map moves towards the kernel-weighted means. Kernels and schedules are the p
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorweave.operators.assign import assign, blocks, hit_map, nearest, unused_percent
-from sensorweave.operators.codebook import Codebook, array_matrix, neighbourhood, schedule
+from sensorweave.functions.scaling import hash_share
+from sensorweave.operators.codebook import Codebook, array_matrix, neighbourhood, random_codebook, schedule
+from sensorweave.sources.stage import stage
 
 
 @dataclass(frozen=True)
@@ -33,10 +35,12 @@ class TrainingParams:
     max_iter: int | None = None  # length some schedules decay over; the number of epochs if not given
 
 
-def _partial_sums(df: DataFrame, features: str, books: Mapping[int, Codebook]) -> DataFrame:
+def _partial_sums(df: DataFrame, features: str, books: Mapping[int, Codebook], share: str | None = None,
+                  views: Mapping[int, tuple[float, float]] | None = None) -> DataFrame:
     """Row count, vector sum and squared-distance sum per (config, neuron).
 
-    Every partition sums its own rows, so the shuffle carries at most one row per neuron and task.
+    Every partition sums its own rows, so the shuffle carries at most one row per neuron and task. ``views`` gives
+    a configuration the rows whose ``share`` is below its first number, stretched by its second.
     """
     weights = {c: b.weights for c, b in books.items()}
     dim = next(iter(books.values())).dim
@@ -45,9 +49,13 @@ def _partial_sums(df: DataFrame, features: str, books: Mapping[int, Codebook]) -
         n = {c: np.zeros(len(w)) for c, w in weights.items()}
         total = {c: np.zeros((len(w), dim + 1)) for c, w in weights.items()}
         for batch in batches:
-            x = array_matrix(batch.column(0), dim)
+            every = array_matrix(batch.column(0), dim)
             for c, w in weights.items():
-                for part in blocks(x, w):
+                x = every
+                if views is not None:
+                    limit, stretch = views[c]
+                    x = every[np.asarray(batch.column(1)) < limit] * stretch
+                for part in blocks(x, w) if len(x) else ():
                     idx, dist = nearest(part, w, 1)
                     hit = idx[:, 0]
                     n[c] += np.bincount(hit, minlength=len(w))
@@ -62,12 +70,9 @@ def _partial_sums(df: DataFrame, features: str, books: Mapping[int, Codebook]) -
                                          pa.array(total[c][hit].ravel()))],
                 names=["config", "bmu", "n", "s"])
 
-    rows = df.select(features).where(F.col(features).isNotNull())
+    rows = df.select(features, *([share] if views is not None else [])).where(F.col(features).isNotNull())
     part = rows.mapInArrow(run, "config int, bmu int, n double, s array<double>")
-    if dim < 128:
-        sums = F.array(*[F.sum(F.col("s")[j]) for j in range(dim + 1)])
-        return part.groupBy("config", "bmu").agg(F.sum("n").alias("n"), sums.alias("s"))
-    # Too many sums for one generated aggregate: add up by coordinate instead.
+    # added up by coordinate: one plan whatever the dimension
     long = part.select("config", "bmu", "n", F.posexplode("s").alias("i", "v"))
     cells = long.groupBy("config", "bmu", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     return cells.groupBy("config", "bmu").agg(F.max("n").alias("n"), F.sort_array(
@@ -84,11 +89,12 @@ def _moved(book: Codebook, n: np.ndarray, sums: np.ndarray, h: np.ndarray, lr: f
 
 
 def fit_many(df: DataFrame, starts: Mapping[int, Codebook], params: Mapping[int, TrainingParams] | TrainingParams,
-             features: str = "features") -> tuple[dict[int, Codebook], list[dict[int, float]]]:
+             features: str = "features", share: str | None = None,
+             views: Mapping[int, tuple[float, float]] | None = None) -> tuple[dict[int, Codebook], list[dict[int, float]]]:
     """Train several maps of equal dimension on the same rows, one job per epoch for all of them.
 
     Returns the maps and, per epoch, the mean squared distance each had before its update.
-    Cache or stage ``df`` beforehand: every epoch reads it once.
+    Cache or stage ``df`` beforehand: every epoch reads it once. ``share`` and ``views`` as in ``_partial_sums``.
     """
     books = dict(starts)
     per = dict(params) if isinstance(params, Mapping) else {c: params for c in books}
@@ -97,7 +103,7 @@ def fit_many(df: DataFrame, starts: Mapping[int, Codebook], params: Mapping[int,
     dim = next(iter(books.values())).dim
     for t in range(epochs):
         active = {c: b for c, b in books.items() if t < per[c].epochs}
-        rows = _partial_sums(df, features, active).collect()  # one row per neuron that was hit
+        rows = _partial_sums(df, features, active, share, views).collect()  # one row per neuron that was hit
         errors = {}
         for c, book in active.items():
             p = per[c]
@@ -143,3 +149,65 @@ def sweep(df: DataFrame, starts: Mapping[int, Codebook], params: TrainingParams,
         row = pct.select(F.lit(c).alias("config"), F.lit(book.rows).alias("som_size"), "unused_pct")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+@dataclass(frozen=True)
+class SweepConfig:
+    """One map of a sweep: the share of the rows it sees, the factor they are stretched by, the side of its grid."""
+
+    share: float
+    dispersion: float
+    side: int
+
+
+def sweep_table(df: DataFrame, features: str, row_key: Sequence[str], shares: Sequence[float], dispersions: Sequence[float],
+                sides: Sequence[int], params: TrainingParams = TrainingParams(epochs=1),
+                start: Callable[[SweepConfig, int], Codebook] | None = None, seed: int = 42) -> DataFrame:
+    """Unused neurons for every sample size, dispersion and grid (N29, A28, A29): one row per configuration.
+
+    Columns: ``size`` (rows of the sample), ``disp``, ``std`` of all its cells (A13), ``centroid_std`` of the distances to its
+    centroid (A15), ``som_size``, ``unused_pct``; sorted by size, dispersion and grid. Samples are nested: a row is in all
+    whose share exceeds the hash of its key. One scan per epoch moves every map, one more counts, and two give the
+    samples' figures; sums per neuron of all maps reach the driver, whose size the sweep sets. ``start`` gives the
+    first map of a configuration and dimension.
+    """
+    rows = stage(df.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("x"), hash_share(row_key, seed).alias("share")), "sweep")
+    head = rows.head(1)
+    if not head:
+        raise ValueError("no rows to sweep over")
+    dim = len(head[0]["x"])
+    configs = dict(enumerate(SweepConfig(s, d, g) for s in sorted(shares) for d in sorted(dispersions) for g in sorted(sides)))
+    start = start or (lambda c, d: random_codebook(c.side, c.side, d, "unit", seed=c.side))
+    views = {i: (c.share, c.dispersion) for i, c in configs.items()}
+    books, _ = fit_many(rows, {i: start(c, dim) for i, c in configs.items()}, params, "x", "share", views)
+    hits = _partial_sums(rows, "x", books, "share", views).groupBy("config").agg(F.count(F.lit(1)).alias("used")).collect()
+    used = {r["config"]: r["used"] for r in hits}
+
+    sample = {}
+    for s in sorted(shares):  # as aggregates of one scan each
+        sample[s] = F.col("share") < s
+    cells = F.aggregate("x", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+                        lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q")))
+    means = rows.withColumn("_c", cells).agg(*[a for i, (s, inside) in enumerate(sample.items()) for a in (
+        F.sum(inside.cast("long")).alias(f"n{i}"), F.sum(F.when(inside, F.col("_c.s"))).alias(f"s{i}"),
+        F.sum(F.when(inside, F.col("_c.q"))).alias(f"q{i}"), *[F.avg(F.when(inside, F.col("x")[j])).alias(f"m{i}_{j}") for j in range(dim)])]).first()
+    centre = {i: [means[f"m{i}_{j}"] for j in range(dim)] for i in range(len(sample)) if means[f"n{i}"]}
+    far = {i: F.sqrt(F.aggregate(F.zip_with("x", F.array(*[F.lit(v) for v in m]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v))
+           for i, m in centre.items()}
+    spread = rows.agg(F.count(F.lit(1)), *[F.stddev_pop(F.when(list(sample.values())[i], d)).alias(f"c{i}") for i, d in far.items()]).first()
+    out = []
+    for i, c in configs.items():
+        k = sorted(shares).index(c.share)
+        n = means[f"n{k}"]
+        if n:
+            mean = means[f"s{k}"] / (n * dim)
+            std = max(means[f"q{k}"] / (n * dim) - mean ** 2, 0.0) ** 0.5
+            out.append((int(n), float(c.dispersion), std * abs(c.dispersion), spread[f"c{k}"] * abs(c.dispersion), c.side,
+                        100.0 * (c.side ** 2 - used.get(i, 0)) / c.side ** 2))
+    return df.sparkSession.createDataFrame(out, "size long, disp double, std double, centroid_std double, som_size int, unused_pct double")
+
+
+def sweep_summary(table: DataFrame) -> DataFrame:
+    """Mean and largest share of unused neurons per sample size."""
+    return table.groupBy("size").agg(F.avg("unused_pct").alias("mean_unused"), F.max("unused_pct").alias("max_unused"),
+                                     F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from sensorweave.operators import assign as A
 from sensorweave.operators import codebook as C
 from sensorweave.operators import novelty as V
-from sensorweave.plans.som_training import TrainingParams, fit, fit_many, sweep, update_one
+from sensorweave.functions.scaling import hash_share
+from sensorweave.plans.som_training import TrainingParams, fit, fit_many, sweep, sweep_summary, sweep_table, update_one
 from tests.helpers import T0, close, series
 
 RNG = np.random.default_rng(0)
@@ -310,6 +311,49 @@ def test_shared_rows_treat_nulls_as_equal(spark):
     assert V.shared_rows(a, b, ["a", "b"], keep=False).count() == 1
 
 
+def test_frequent_tuples_are_spread(spark):
+    a = spark.createDataFrame([(1, None, i) for i in range(600)] + [(i, 1.0, i) for i in range(400)], "a int, b double, id int").repartition(4)
+    b = spark.createDataFrame([(1, None)] * 300 + [(i, 1.0) for i in range(0, 900, 2)], "a int, b double")
+    for keep in (True, False):
+        got = V.shared_rows(a, b, ["a", "b"], keep, hot_share=0.1)
+        want = sorted(r.id for r in a.collect() if ((r.b is None) or r.a % 2 == 0) == keep)
+        assert sorted(r.id for r in got.collect()) == want and got.columns == a.columns
+    assert V.shared_rows(a.limit(0), b, ["a", "b"]).count() == 0
+
+
+def test_hexagonal_maps_measure_on_the_plane(spark):
+    book = C.Codebook(RNG.normal(size=(12, 3)), 3, 4, "hexagonal")
+    p = book.plane()
+    shift = [0.5 if (3 - c) % 2 == 0 else 0.0 for _ in range(3) for c in range(4)]
+    np.testing.assert_allclose(p[:, 0], np.arange(12) // 4 - shift)
+    h = C.neighbourhood(book, "gaussian", 0.9)
+    want = np.exp(-((p[:, None] - p[None]) ** 2).sum(axis=2) / (2 * 0.81))
+    np.testing.assert_allclose(h, want)
+    flat = C.Codebook(book.weights, 3, 4)
+    assert (C.neighbourhood(book, "bubble", 2.0) == C.neighbourhood(flat, "bubble", 2.0)).all()
+    assert not np.allclose(h, C.neighbourhood(flat, "gaussian", 0.9))
+    df = spark.createDataFrame([(x.tolist(),) for x in X], "features array<double>")
+    trained, errors = fit(df, book, TrainingParams(epochs=4, kernel="gaussian", sigma=0.8, lr=0.5))
+    assert trained.topology == "hexagonal" and errors[-1] < errors[0]
+    with pytest.raises(ValueError):
+        C.Codebook(book.weights, 3, 4, "round")
+
+
+def test_sweep_holds_nested_samples(spark):
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, features array<double>")
+    got = sweep_table(df, "features", ["id"], [0.3, 1.0], [0.5, 2.0], [2, 4], TrainingParams(epochs=2, kernel="exp", lr=0.5))
+    rows = got.collect()
+    assert [(r.disp, r.som_size) for r in rows] == [(d, g) for _ in range(2) for d in (0.5, 2.0) for g in (2, 4)]
+    share = df.select("id", hash_share(["id"]).alias("h")).collect()
+    small = X[[r.id for r in share if r.h < 0.3]]
+    assert {r["size"] for r in rows} == {len(small), 300}
+    for r in rows:
+        x = (small if r["size"] < 300 else X) * r.disp
+        close([r["std"], r.centroid_std], [x.std(), np.linalg.norm(x - x.mean(axis=0), axis=1).std()], 1e-9)
+        assert 0 <= r.unused_pct < 100
+    assert [r.n for r in sweep_summary(got).collect()] == [4, 4]
+
+
 def test_u_matrix_is_scaled_to_one(spark):
     for topology in ("rectangular", "hexagonal"):
         for scaling in ("mean", "sum"):
