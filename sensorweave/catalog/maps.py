@@ -8,12 +8,13 @@ from sensorweave.catalog.base import (
     CB_SQL, COMPLETE_SQL, EMB_SQL, NEAR_SQL, R, SENS, SENSORS, code25, complete_sens, emb, query, rnd,
 )
 from sensorweave.operators import assign as A
+from sensorweave.operators import bounds as B
 from sensorweave.operators import codebook as C
 from sensorweave.operators import novelty as V
 from sensorweave.operators.diagnostics import centroid_spread, dispersion
 from sensorweave.plans.novelty_run import NoveltyRun, working_hours_novelty
 from sensorweave.sources.stage import stage
-from sensorweave.plans.som_training import TrainingParams, fit, fit_many, sweep_summary, sweep_table, update_one
+from sensorweave.plans.som_training import TrainingParams, fit, fit_bounded, fit_many, sweep_summary, sweep_table, update_one
 
 NEAR2_SQL = NEAR_SQL + """, near2 AS (SELECT vec_id, max(bmu) FILTER (k = 1) AS b1, max(bmu) FILTER (k = 2) AS b2,
   max(d) FILTER (k = 1) AS d1, max(d) FILTER (k = 2) AS d2 FROM ranked GROUP BY vec_id)"""
@@ -83,6 +84,13 @@ def _(spark, d):
     return out.select("vec_id", "bmu", rnd("dist").alias("dist"))
 
 
+@query("j8_n27_distance_summary", f"""WITH {NEAR_SQL} SELECT bmu, count(*) AS n, {R('min(d)')} AS dmin, {R('avg(d)')} AS dmean, {R('max(d)')} AS dmax
+FROM pairs GROUP BY bmu""")
+def _(spark, d):
+    out = B.distance_summary(emb(spark, d), code25(spark, d))
+    return out.select("bmu", "n", *[rnd(c).alias(c) for c in ("dmin", "dmean", "dmax")])
+
+
 @query("n27_codebook_vector_per_row", f"WITH {NEAR_SQL} SELECT vec_id, near.bmu, {R('w[1]')} AS w1, {R('w[64]')} AS w64 FROM near JOIN cb USING (bmu)")
 def _(spark, d):
     book = code25(spark, d)
@@ -345,6 +353,14 @@ for _name, _params in {
         return _book_view(fit(emb(spark, d), code25(spark, d), params)[0].table(spark))
 
 
+_BOUNDED = TrainingParams(epochs=4, kernel="exp", schedule="linear", sigma=0.8, lr=0.5)
+
+
+@query("n14_bounded_epochs", _training_sql(_BOUNDED))
+def _(spark, d):
+    return _book_view(fit_bounded(emb(spark, d), code25(spark, d), _BOUNDED, tile=2)[0].table(spark))
+
+
 _SHIFT = "CASE WHEN (4 - {c}) % 2 = 0 THEN 0.5 ELSE 0 END"
 _HEX_P = f"(pow((r - {_SHIFT.format(c='c')}) - (hr - {_SHIFT.format(c='hc')}), 2) + pow(c - hc, 2))"
 

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from sensorweave.operators.assign import assign, blocks, hit_map, nearest, unused_percent
 from sensorweave.functions.scaling import hash_share
+from sensorweave.operators.bounds import bounded, neuron_sums, tiles
 from sensorweave.operators.codebook import Codebook, array_matrix, neighbourhood, random_codebook, schedule
-from sensorweave.sources.stage import stage
+from sensorweave.sources.stage import discard, stage
 
 
 @dataclass(frozen=True)
@@ -71,8 +72,11 @@ def _partial_sums(df: DataFrame, features: str, books: Mapping[int, Codebook], s
                 names=["config", "bmu", "n", "s"])
 
     rows = df.select(features, *([share] if views is not None else [])).where(F.col(features).isNotNull())
-    part = rows.mapInArrow(run, "config int, bmu int, n double, s array<double>")
-    # added up by coordinate: one plan whatever the dimension
+    return _added(rows.mapInArrow(run, "config int, bmu int, n double, s array<double>"))
+
+
+def _added(part: DataFrame) -> DataFrame:
+    """Partial sums added up by coordinate: one plan whatever the dimension."""
     long = part.select("config", "bmu", "n", F.posexplode("s").alias("i", "v"))
     cells = long.groupBy("config", "bmu", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     return cells.groupBy("config", "bmu").agg(F.max("n").alias("n"), F.sort_array(
@@ -131,6 +135,48 @@ def fit(df: DataFrame, start: Codebook, params: TrainingParams = TrainingParams(
     return books[0], [h[0] for h in history]
 
 
+def fit_bounded(df: DataFrame, start: Codebook, params: TrainingParams = TrainingParams(), features: str = "features",
+                tile: int = 2, rewrite_above: float = 0.2) -> tuple[Codebook, list[dict[str, float]]]:
+    """Train one map as ``fit`` does, skipping neurons that cannot be a row's nearest.
+
+    The rows are staged with their neuron and one distance bound per ``tile`` x ``tile`` cells of the grid. Later
+    epochs measure only the tiles whose bound, less the way the tile's neurons have gone since, leaves a doubt. The
+    table is written anew after an epoch that measured more than ``rewrite_above`` of all distances. Both settings
+    change the work alone: map and errors are those of ``fit``. Returns the map and per epoch ``error`` (mean squared
+    distance before its update), ``measured`` (distances computed) and ``every`` (rows times neurons).
+    """
+    groups, book, kept, share = tiles(start, tile), start, None, 1.0
+    rows = df.where(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("x"))
+    history: list[dict[str, float]] = []
+    for t in range(params.epochs):
+        moved = None if kept is None else np.linalg.norm(book.weights - written.weights, axis=1)
+        if kept is None or share > rewrite_above:
+            fresh = stage(bounded(rows if kept is None else kept, book, groups, moved), "map-bounds")
+            if kept is not None:
+                discard(kept)
+            kept, written, moved = fresh, book, None
+        found = _added(neuron_sums(kept, book, groups, moved).selectExpr("0 AS config", "bmu", "n", "s")).collect()
+        n, sums, sq = np.zeros(book.size), np.zeros((book.size, book.dim)), 0.0
+        measured = 0.0
+        for r in found:  # one row per neuron that was hit, and the count of distances
+            if r["bmu"] < 0:
+                measured = r["n"]
+                continue
+            n[r["bmu"]], sums[r["bmu"]] = r["n"], r["s"][:book.dim]
+            sq += r["s"][book.dim]
+        if n.sum() == 0:
+            raise ValueError("no rows to train on")
+        share = measured / (n.sum() * book.size)
+        history.append({"error": float(sq / n.sum()), "measured": measured, "every": float(n.sum() * book.size)})
+        sigma, lr = schedule(params.schedule, params.sigma, params.lr, sigma_decay=params.sigma_decay, lr_decay=params.lr_decay,
+                             max_iter=params.max_iter)(t, params.epochs)
+        h = neighbourhood(book, params.kernel, sigma, metric=params.metric, max_distance=params.max_distance)
+        book = _moved(book, n, sums, h, lr)
+    if kept is not None:
+        discard(kept)
+    return book, history
+
+
 def update_one(book: Codebook, x: Sequence[float], params: TrainingParams, sigma: float, lr: float) -> Codebook:
     """The effect of a single row (N13): every neuron moves by ``lr * h * (x - w)``."""
     row = np.asarray(x, dtype=float)
