@@ -4,7 +4,7 @@ from importlib import import_module
 
 from sensorweave.catalog.base import ORACLES, QUERIES
 
-FAMILIES = ["cleaning", "calendar", "features", "maps", "tables", "fuzzy", "streams", "files"]
+FAMILIES = ["cleaning", "calendar", "features", "maps", "tables", "fuzzy", "training", "streams", "files"]
 
 for _family in FAMILIES:
     import_module(f"sensorweave.catalog.{_family}")
