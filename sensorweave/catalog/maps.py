@@ -263,13 +263,6 @@ def _(spark, d):
     return spark.createDataFrame(out, "schedule string, epoch int, mean_squared_distance double")
 
 
-@query("n32_working_hours_novelty")
-def _(spark, d):
-    params = NoveltyRun(rows=6, cols=6, start="05:00", end="17:30",
-                        training=TrainingParams(epochs=4, kernel="ceil", max_distance=3, lr=0.5))
-    return working_hours_novelty(complete_sens(spark, d), SENS, SENSORS, ["slot"], params)
-
-
 @query("n13_single_row_update", f"""WITH {NEAR_SQL}, x AS (SELECT features, near.bmu AS hit FROM emb JOIN near USING (vec_id) ORDER BY round(d, 9) DESC, vec_id LIMIT 1),
 hit AS (SELECT x.features AS x, cb.r, cb.c FROM x JOIN cb ON cb.bmu = x.hit),
 upd AS (SELECT b.bmu, list_transform(list_zip(b.w, a.x), lambda p: p[1] + 0.5 * exp(-pow(abs(a.r - b.r) + abs(a.c - b.c), 2) / (2 * 0.8 * 0.8)) * (p[2] - p[1])) AS w
@@ -303,11 +296,11 @@ _TRAIN_KERNELS = {
 }
 
 
-def _epoch_sql(cb: str, out: str, lr: float, h: str) -> str:
+def _epoch_sql(cb: str, out: str, lr: float, h: str, rows: str = "emb", dim: int = 64) -> str:
     """One batch epoch from map ``cb``: sums per neuron, kernel-weighted means, a step of ``lr`` towards them."""
-    return f""", {out}_pairs AS (SELECT vec_id, features, bmu, list_distance(features, w) AS d FROM emb, {cb}),
+    return f""", {out}_pairs AS (SELECT vec_id, features, bmu, list_distance(features, w) AS d FROM {rows}, {cb}),
 {out}_near AS (SELECT vec_id, features, arg_min(bmu, d) AS bmu FROM {out}_pairs GROUP BY vec_id, features),
-{out}_dims AS (SELECT bmu, i, sum(features[i]) AS s, count(*) AS n FROM {out}_near, range(1, 65) t(i) GROUP BY ALL),
+{out}_dims AS (SELECT bmu, i, sum(features[i]) AS s, count(*) AS n FROM {out}_near, range(1, {dim + 1}) t(i) GROUP BY ALL),
 {out}_pull AS (SELECT bmu, r, c, hit, {h} AS h FROM {cb}, (SELECT bmu AS hit, r AS hr, c AS hc FROM {cb})),
 {out}_mix AS (SELECT p.bmu, i, CASE WHEN abs(sum(h * n)) > 1e-12 THEN sum(h * s) / sum(h * n) END AS m
   FROM {out}_pull p JOIN {out}_dims x ON x.bmu = p.hit GROUP BY ALL),
@@ -324,13 +317,20 @@ _DECAY_SQL = {
 }
 
 
-def _training_sql(p: TrainingParams) -> str:
-    sql, book = CB_SQL, "cb"
+def _epochs_sql(p: TrainingParams, book: str, rows: str = "emb", dim: int = 64) -> tuple[str, str]:
+    """The epochs of a training as text, and the name of the map they end with."""
+    sql = ""
     for t in range(p.epochs):
         sigma, lr = (f"({base} * {text.format(t=float(t), n=float(p.epochs), ds=p.sigma_decay, dl=p.lr_decay)})"
                      for base, text in zip((p.sigma, p.lr), _DECAY_SQL[p.schedule]))
-        sql += _epoch_sql(book, f"e{t}", lr, _TRAIN_KERNELS[p.kernel](sigma, p.max_distance))
+        sql += _epoch_sql(book, f"e{t}", lr, _TRAIN_KERNELS[p.kernel](sigma, p.max_distance), rows, dim)
         book = f"e{t}"
+    return sql, book
+
+
+def _training_sql(p: TrainingParams) -> str:
+    epochs, book = _epochs_sql(p, "cb")
+    sql = CB_SQL + epochs
     return (f"WITH {sql} SELECT bmu, {R('w[1]', 6)} AS w1, {R('w[32]', 6)} AS w32, {R('list_sum(w)')} AS total FROM {book}")
 
 
@@ -375,16 +375,64 @@ for _name, _params, _h in [
         return _book_view(fit(emb(spark, d), replace(code25(spark, d), topology="hexagonal"), params)[0].table(spark))
 
 
-@query("n6_random_start")
+def _draws_sql(seed: int, neurons: int, dim: int, name: str = "u") -> str:
+    """Two numbers in [0, 1) per neuron ``j`` and column ``i``, from the hash of their place."""
+    def part(k: int) -> str:
+        return f"(('0x' || substr(md5('{seed},{k},' || j || ',' || i), 1, 8))::BIGINT) / 4294967296.0"
+
+    return f"{name} AS (SELECT j, i, {part(0)} AS u, {part(1)} AS v FROM range({neurons}) a(j), range({dim}) b(i))"
+
+
+@query("n6_random_start", f"""WITH {EMB_SQL}, {_draws_sql(0, 25, 64)},
+z AS (SELECT j, i, u, sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v) AS n, sqrt(sum(pow(2 * u - 1, 2)) OVER (PARTITION BY j)) AS len FROM u),
+x AS (SELECT 'uniform' AS start, j, i, u AS w FROM z UNION ALL SELECT 'normal', j, i, n FROM z
+  UNION ALL SELECT 'sq_normal', j, i, n * n - 1 FROM z UNION ALL SELECT 'unit', j, i, (2 * u - 1) / len FROM z),
+b AS (SELECT start, j, list(w ORDER BY i) AS w FROM x GROUP BY ALL),
+m AS (SELECT start, vec_id, min(list_distance(features, w)) AS d FROM emb, b GROUP BY ALL)
+SELECT start, {R('avg(d)')} AS quantization_error FROM m GROUP BY start""")
 def _(spark, d):
     parts = None
     for kind in ("uniform", "normal", "sq_normal", "unit"):
         qe = A.quantization_error(A.assign(emb(spark, d), C.random_codebook(5, 5, 64, kind, seed=0)))
-        qe = qe.select(F.lit(kind).alias("start"), "quantization_error")
+        qe = qe.select(F.lit(kind).alias("start"), rnd("quantization_error").alias("quantization_error"))
         parts = qe if parts is None else parts.unionByName(qe)
     return parts
 
 
+_RUN = NoveltyRun(rows=6, cols=6, start="05:00", end="17:30", training=TrainingParams(epochs=4, kernel="ceil", max_distance=3, lr=0.5))
+
+
+def _run_sql(p: NoveltyRun) -> str:
+    """Working hours of full weekdays, split by hash, scaled by the training rows; a trained map; three scores."""
+    dim, size = len(SENSORS), p.rows * p.cols
+    scaled = ", ".join(f"({s} - (SELECT avg({s}) FROM hours WHERE is_train)) / (SELECT coalesce(nullif(stddev_pop({s}), 0), 1) FROM hours WHERE is_train)" for s in SENSORS)
+    epochs, book = _epochs_sql(p.training, "cb", "learnt", dim)
+    return f"""WITH {COMPLETE_SQL}, open AS (SELECT * FROM full_sens WHERE ts::TIME BETWEEN '{p.start}:00' AND '{p.end}:00' AND isodow(ts) < 6),
+days AS (SELECT ts::DATE AS d, count(*) AS n FROM open GROUP BY 1),
+hours AS MATERIALIZED (SELECT *, 100 * ((('0x' || substr(md5('42,' || slot), 1, 8))::BIGINT) / 4294967296.0) < {p.train_percent} AS is_train
+  FROM open WHERE ts::DATE IN (SELECT d FROM days WHERE n = (SELECT max(n) FROM days))),
+vectors AS MATERIALIZED (SELECT slot AS vec_id, ts, is_train, [{scaled}] AS features FROM hours),
+learnt AS (SELECT vec_id, features FROM vectors WHERE is_train), {_draws_sql(p.seed, size, dim)},
+cb AS (SELECT j::INTEGER AS bmu, (j // {p.cols})::INTEGER AS r, (j % {p.cols})::INTEGER AS c, list(u ORDER BY i) AS w FROM u GROUP BY j){epochs},
+book AS MATERIALIZED (SELECT bmu, w FROM {book}),
+near AS MATERIALIZED (SELECT vec_id, ts, is_train, bmu, list_distance(features, w) AS d,
+  row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(features, w), bmu) AS k FROM vectors, book),
+own AS (SELECT bmu, max(d) AS dmax FROM near WHERE is_train AND k = 1 GROUP BY bmu),
+whole AS (SELECT avg(d) AS m, max(d) AS worst FROM near WHERE is_train AND k = 1),
+used AS (SELECT DISTINCT bmu FROM near WHERE NOT is_train AND k = 1),
+knn AS (SELECT vec_id, avg(d) AS knn FROM (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, bmu) AS k
+  FROM near JOIN used USING (bmu) WHERE NOT is_train) WHERE k <= {p.neighbours} GROUP BY vec_id),
+scored AS (SELECT vec_id, ts, knn, d, m, worst, dmax FROM near LEFT JOIN own USING (bmu) JOIN knn USING (vec_id), whole WHERE NOT is_train AND k = 1)
+SELECT vec_id AS slot, ts, {R('knn')} AS knn, {R('CASE WHEN d > worst THEN 0.0 WHEN d <= m THEN 1.0 WHEN d < worst THEN 1 - (d - m) / (worst - m) ELSE 0.0 END')} AS nd_worst,
+  {R('CASE WHEN d > dmax THEN 0.0 WHEN d <= m THEN 1.0 WHEN d < dmax THEN 1 - (d - m) / (dmax - m) ELSE 0.0 END')} AS nd_by_bmu FROM scored"""
+
+
+@query("n32_working_hours_novelty", _run_sql(_RUN))
+def _(spark, d):
+    out = working_hours_novelty(complete_sens(spark, d), SENS, SENSORS, ["slot"], _RUN)
+    return out.select("slot", "ts", *[rnd(c).alias(c) for c in ("knn", "nd_worst", "nd_by_bmu")])
+
+
 @query("n7_sampled_start", f"""WITH {EMB_SQL}, p AS (SELECT features, row_number() OVER (ORDER BY substr(md5('3,' || vec_id), 1, 8), vec_id) - 1 AS k FROM emb)
 SELECT k::INTEGER AS bmu, (k // 5)::INTEGER AS row, (k % 5)::INTEGER AS col, features AS w FROM p WHERE k < 25""")
 def _(spark, d):
@@ -477,6 +525,20 @@ def _(spark, d):
     return df.select(*LINE_KEY, rnd(pc1).alias("pc1"), rnd(F.lit(float(share[0])), 6).alias("share1"))
 
 
+@query("n8_two_column_start", f"""WITH m AS (SELECT var_samp(l_quantity) AS a, var_samp(l_extendedprice / 1000.0) AS c, covar_samp(l_quantity, l_extendedprice / 1000.0) AS b FROM lineitem),
+t AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS top FROM m),
+f AS (SELECT (top - c) / sqrt(pow(top - c, 2) + b * b) AS p, b / sqrt(pow(top - c, 2) + b * b) AS q FROM t),
+g AS (SELECT CASE WHEN abs(p) >= abs(q) THEN sign(p) ELSE sign(q) END AS s, CASE WHEN abs(q) >= abs(p) THEN -sign(q) ELSE sign(p) END AS o, p, q FROM f)
+SELECT (5 * i + j)::INTEGER AS bmu, i::INTEGER AS row, j::INTEGER AS col, {R('(i / 1.5 - 1) * s * p - (j / 2.0 - 1) * o * q')} AS w0,
+  {R('(i / 1.5 - 1) * s * q + (j / 2.0 - 1) * o * p')} AS w1 FROM g, range(4) x(i), range(5) y(j)""")
+def _(spark, d):
+    from sensorweave.catalog.base import lineitem
+
+    df = lineitem(spark, d).select(F.array("l_quantity", F.col("l_extendedprice") / 1000.0).alias("features"))
+    out = C.pca_codebook(df, "features", 2, 4, 5).table(spark)
+    return out.select("bmu", "row", "col", *[rnd(F.col("w")[i]).alias(f"w{i}") for i in (0, 1)])
+
+
 @query("n30_projection_variance", """WITH e AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings)
 SELECT (round(sum(v) + 1e-7, 4) + 0.0) AS total_variance FROM (SELECT i, var_samp(x) AS v FROM e GROUP BY i)""")
 def _(spark, d):

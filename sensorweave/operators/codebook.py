@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from hashlib import md5
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -81,19 +82,25 @@ def line_shift(line, lines: int):
     return 0.5 * ((lines - 1 - line) % 2 == 0)
 
 
+def draws(seed: int, rows: int, cols: int, part: int = 0) -> np.ndarray:
+    """Numbers in [0, 1) by place: the leading 32 bits of the MD5 of seed, part, row and column, comma-joined."""
+    digests = (md5(f"{seed},{part},{r},{c}".encode()).digest() for r in range(rows) for c in range(cols))
+    return np.array([int.from_bytes(d[:4], "big") for d in digests], dtype=float).reshape(rows, cols) / 2.0 ** 32
+
+
 def random_codebook(rows: int, cols: int, dim: int, kind: str = "uniform", seed: int = 0) -> Codebook:
     """Data-free start (N6): ``uniform`` [0, 1), ``normal``, ``sq_normal`` (square minus one), or
-    ``unit`` (uniform [-1, 1) scaled to length one)."""
-    rng = np.random.default_rng(seed)
+    ``unit`` (uniform [-1, 1) scaled to length one). The same numbers on any engine: see ``draws``."""
     shape = (rows * cols, dim)
+    u = draws(seed, *shape)
     if kind == "uniform":
-        weights = rng.uniform(size=shape)
-    elif kind == "normal":
-        weights = rng.normal(size=shape)
-    elif kind == "sq_normal":
-        weights = rng.normal(size=shape) ** 2 - 1
+        weights = u
+    elif kind in ("normal", "sq_normal"):
+        weights = np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * draws(seed, *shape, 1))
+        if kind == "sq_normal":
+            weights = weights ** 2 - 1
     elif kind == "unit":
-        weights = rng.uniform(-1, 1, size=shape)
+        weights = 2 * u - 1
         weights = weights / np.linalg.norm(weights, axis=1, keepdims=True)
     else:
         raise ValueError(f"unknown kind {kind}")
