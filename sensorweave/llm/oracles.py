@@ -17,8 +17,13 @@ fit AS (
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path,
   CASE WHEN b THEN 'example.net/en/' WHEN c THEN 'example.com/de/' WHEN d THEN 'org/fr/' WHEN a THEN 'net/' END AS rule,
   CASE WHEN b THEN 'allow' WHEN c THEN 'block' WHEN d THEN 'allow' WHEN a THEN 'block'
+    WHEN regexp_matches(host || path, '/ads\.txt$|^([^/]*\.)?responsible-gambling\.', 'is') THEN 'allow'
     WHEN regexp_matches(host || path,
-      '(^|[^A-Za-z0-9])(spam[^A-Za-z0-9]+farm|cheap[^A-Za-z0-9]+pills|casino[^A-Za-z0-9]+bonus|free[^A-Za-z0-9]+followers|replica[^A-Za-z0-9]+watches)($|[^A-Za-z0-9])')
+      '^([^/]*\.)?((ad|ads|adserver|adservice|track|tracker|tracking|pixel|bet|bets|casino|poker|porn|xxx|viagra)\.|(ads|casino|jackpot|poker|slots|escort|porn|xxx|viagra)-)', 'is')
+      OR regexp_matches(host || path, '^([^/]*\.)?((cheap-pills|casino-bonus|free-followers|payday-loans|replica-watches|spam-farm)\.|essay-writing.*\.)', 'is')
+      OR regexp_matches(host || path, '-(ads|track|tracker|bets|betting|casino|jackpot|poker|escorts|porn)\.|/(ads|adserver|banners|casino|sportsbook|porn)/', 'is')
+      OR regexp_matches(host || path, '/popunder([^A-Za-z0-9_.%-]|$)', 'is')
+      OR regexp_matches(host || path, '[^A-Za-z0-9_.%-](cheap[^A-Za-z0-9_.%-]pills|spam[^A-Za-z0-9_.%-]farm)([^A-Za-z0-9_.%-]|$)', 'is')
     THEN 'block' ELSE 'allow' END AS verdict
 FROM fit"""
 

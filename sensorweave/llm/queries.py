@@ -14,11 +14,70 @@ from sensorweave.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
-#: Host rules first; then tokens that mark spam wherever they stand in host or path.
+#: Lines of a block list: advertising and tracking, gambling, adult, pills and link spam.
+URL_LINES = """
+! advertising and tracking
+||ad.
+||ads.
+||ads-
+||adserver.
+||adservice.
+||track.
+||tracker.
+||tracking.
+||pixel.
+-ads.
+-track.
+-tracker.
+/ads/
+/adserver/
+/banners/
+/popunder^
+@@/ads.txt|
+! gambling
+||bet.
+||bets.
+||casino.
+||casino-
+||jackpot-
+||poker.
+||poker-
+||slots-
+-bets.
+-betting.
+-casino.
+-jackpot.
+-poker.
+/casino/
+/sportsbook/
+@@||responsible-gambling.
+! adult
+||escort-
+||porn.
+||porn-
+||xxx.
+||xxx-
+-escorts.
+-porn.
+/porn/
+! pills, followers, loans, essays
+||cheap-pills.
+||viagra.
+||viagra-
+||casino-bonus.
+||free-followers.
+||payday-loans.
+||replica-watches.
+||spam-farm.
+||essay-writing*.
+^cheap^pills^
+^spam^farm^
+""".splitlines()
+#: Host rules win over the block list.
 URL_RULES = [
     urls.host_rule("net/", "block"), urls.host_rule("example.net/en/", "allow"),
     urls.host_rule("example.com/de/", "block"), urls.host_rule("org/fr/", "allow"),
-    *[urls.word_rule(w) for w in ("spam-farm", "cheap-pills", "casino-bonus", "free-followers", "replica-watches")],
+    *urls.filter_rules(URL_LINES, rank=-1)[0],
 ]
 N_SHARDS = 40
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Sequence
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ _TOKEN = r"[A-Za-z0-9]+"
 
 @dataclass(frozen=True)
 class UrlRule:
-    """A regular expression over host and path joined, and whole tokens that any match must hold.
+    """A regular expression over host and path joined, and whole tokens, in any case, that any match must hold.
 
     Higher ``rank`` wins, then the longer ``name``, then the larger one. ``tokens`` may be empty: such a
     rule is tried on every URL.
@@ -52,6 +53,53 @@ def word_rule(words: str, verdict: str = "block", rank: int = 0) -> UrlRule:
     return UrlRule(words, verdict, rf"(?s)(?:^|[^A-Za-z0-9]){body}(?:$|[^A-Za-z0-9])", tuple(tokens), rank)
 
 
+def filter_rules(lines: Iterable[str], rank: int = 0) -> tuple[list[UrlRule], list[str]]:
+    """Rules from the lines of a public block list, and the lines that cannot be judged by a page's URL alone.
+
+    ``||`` stands for the start of the host or of one of its labels, ``|`` for either end, ``^`` for a separator or the
+    end, ``*`` for anything; ``/.../`` holds a regular expression; letters match in either case. ``@@`` marks an
+    exception: it allows, and ranks one above the blocking lines. Host and path are matched: a scheme is left out.
+    Comments, headings and blank lines give nothing. Lines with options or that hide parts of a page, and those that
+    would match every URL, come back as they are.
+    """
+    rules, left_out = [], []
+    for line in map(str.strip, lines):
+        if not line or line.startswith(("!", "[")):
+            continue
+        allow = line.startswith("@@")
+        body = line[2:] if allow else line
+        raw = len(body) > 2 and body[0] == body[-1] == "/" and re.search(r"[\\^$()\[\]{}+?|]", body[1:-1])
+        if not raw and (re.search(r"#[@?$%]*#", body) or "$" in body or not re.search(_TOKEN, body)):
+            left_out.append(line)
+            continue
+        if raw:
+            pattern, tokens = f"(?is){body[1:-1]}", ()
+        else:
+            pattern, tokens = _filter_pattern(body)
+        rules.append(UrlRule(line, "allow" if allow else "block", pattern, tokens, rank + allow))
+    return rules, left_out
+
+
+def _filter_pattern(body: str) -> tuple[str, tuple[str, ...]]:
+    """The regular expression of a block-list line, and the whole tokens any match must hold."""
+    head, tail = "(?is)", ""
+    if body.startswith("||"):
+        head, body = "(?is)^(?:[^/]*\\.)?", body[2:]
+    elif body.startswith("|"):
+        head, body = "(?is)^", re.sub(r"^[a-z]+://", "", body[1:])
+    if body.endswith("|"):
+        tail, body = "$", body[:-1]
+    tokens = []
+    for m in re.finditer(_TOKEN, body):
+        # a token is whole if a separator or an anchor is next to it on both sides
+        before = body[m.start() - 1] if m.start() else ("^" if head != "(?is)" else "*")
+        after = body[m.end()] if m.end() < len(body) else ("^" if tail else "*")
+        if "*" not in (before, after):
+            tokens.append(m.group().lower())
+    parts = {"*": ".*", "^": "(?:[^A-Za-z0-9_.%-]|$)"}
+    return head + "".join(parts.get(c) or re.escape(c) for c in body) + tail, tuple(tokens)
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lowered) and path of a URL; both empty for a null and where ``://`` is missing."""
     start = F.instr(url, "://")
@@ -62,15 +110,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_table(spark: SparkSession, rules: Sequence[UrlRule]) -> DataFrame:
-    """The rules as rows, built by SQL literals: a rule list is the caller's, not data."""
-    schema = "name string, verdict string, pattern string, tokens array<string>, rank int"
-    if not rules:
-        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (
-            x.split(" ", 1) for x in schema.split(", "))])
-    rows = [F.struct(F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"),
-                     F.array(*map(F.lit, r.tokens)).cast("array<string>").alias("tokens"),
-                     F.lit(r.rank).cast("int").alias("rank")) for r in rules]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    """The rules as rows, from one literal: a rule list is the caller's, not data."""
+    text = json.dumps([asdict(r) for r in rules])
+    schema = "array<struct<name string, verdict string, pattern string, tokens array<string>, rank int>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), schema)))
 
 
 def judge(df: DataFrame, rules: Sequence[UrlRule] | DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -91,10 +134,10 @@ def judge(df: DataFrame, rules: Sequence[UrlRule] | DataFrame, url: str = "url",
     rows = rows.select(row, host.alias("host"), path.alias("path"))
     pairs = stage(rows.select("host", "path").distinct(), "url-pairs")
     pairs = pairs.withColumn("_target", F.concat("host", "path"))
-    tokens = F.array_distinct(F.regexp_extract_all("_target", F.lit(f"({_TOKEN})"), 1))
+    tokens = F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("_target")), F.lit(f"({_TOKEN})"), 1))
 
     given = rules if isinstance(rules, DataFrame) else rule_table(spark, rules)
-    given = given.select("name", "verdict", "pattern", "tokens", "rank")
+    given = given.select("name", "verdict", "pattern", F.transform("tokens", ascii_lower).alias("tokens"), "rank")
     n_rules = given.agg(F.coalesce(F.sum(F.size("tokens") + 1), F.lit(0))).first()[0]
     small = F.broadcast if n_rules <= BROADCAST_RULES else (lambda x: x)
     keyed = given.withColumn("token", F.explode_outer("tokens"))
