@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from sensorweave.operators.assign import assign, distances, hit_map, nearest
 from sensorweave.operators.codebook import Codebook
+from sensorweave.operators.sketch import bit_sketch, common_types, with_maybe
 from sensorweave.sources.stage import stage
 from sensorweave.spec import from_micros
 
@@ -261,22 +262,30 @@ def day_context(history: DataFrame, ts: str, matches: DataFrame, query_key: str)
     return history.withColumn("_day", F.to_date(ts)).join(days, "_day").drop("_day")
 
 
-def shared_rows(a: DataFrame, b: DataFrame, cols: Sequence[str], keep: bool = True, hot_share: float = 1e-3) -> DataFrame:
+def shared_rows(a: DataFrame, b: DataFrame, cols: Sequence[str], keep: bool = True, hot_share: float = 1e-3,
+                sketch_bits: int = 24) -> DataFrame:
     """Rows of ``a`` that have (or have no) identical row in ``b``, nulls equal.
 
-    A tuple that fills more than ``hot_share`` of ``a`` is tested once and its answer sent to all tasks, where its rows
-    stay; at most 1 / ``hot_share`` tuples can. The others meet ``b``'s distinct tuples in a join, in which none is frequent.
+    A Bloom filter over ``b`` of ``2 ** sketch_bits`` bits, made by partial aggregates, settles most rows of ``a`` that ``b``
+    does not have where they lie; beyond some millions of tuples it fills up and lets more rows through, with the
+    same result. A tuple that fills more than ``hot_share`` of ``a`` is tested once and its answer sent to all tasks,
+    where its rows stay; at most 1 / ``hot_share`` tuples can. The others meet ``b``'s distinct tuples in a join, in
+    which none is frequent.
     """
-    tuples = F.struct(*[F.col(c) for c in cols])
-    left = a.withColumn("_tuple", tuples)
+    types = common_types(a, b, cols)
+    values = [F.col(c).cast(t) for c, t in types.items()]
+    tuples = F.struct(*[v.alias(c) for v, c in zip(values, types)])
     right = b.select(tuples.alias("_tuple")).distinct()
+    sketch = stage(bit_sketch(b, values, sketch_bits), "tuple-sketch")
+    left = with_maybe(a, sketch, values, sketch_bits).withColumn("_tuple", tuples)
     limit = a.count() * hot_share
-    hot = left.groupBy("_tuple").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("_tuple", F.lit(True).alias("_hot"))
+    hot = left.where("_maybe").groupBy("_tuple").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("_tuple", F.lit(True).alias("_hot"))
     known = hot.join(right.withColumn("_in", F.lit(True)), "_tuple", "left")
     marked = left.join(F.broadcast(stage(known, "hot-tuples")), "_tuple", "left")
-    often = marked.where("_hot").where(F.col("_in").isNotNull() if keep else F.col("_in").isNull())
-    rare = marked.where("_hot IS NULL").join(right, "_tuple", "left_semi" if keep else "left_anti")
-    return often.select(*a.columns).unionByName(rare.select(*a.columns))
+    # settled where they lie: tuples the filter does not hold, and frequent ones
+    settled = marked.where("NOT _maybe OR _hot").where(F.col("_in").isNotNull() if keep else F.col("_in").isNull())
+    rare = marked.where("_maybe AND _hot IS NULL").join(right, "_tuple", "left_semi" if keep else "left_anti")
+    return settled.select(*a.columns).unionByName(rare.select(*a.columns))
 
 
 def detection_share(detected: DataFrame, outliers: DataFrame, cols: Sequence[str]) -> DataFrame:
