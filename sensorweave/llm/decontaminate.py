@@ -28,6 +28,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SEED = 17
 BLOCK = 1 << 16
 BITS = 20
+#: Leading bits of a hash that a packed table knows: 16 MB.
+TABLE = 27
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,8 @@ class Params:
     least: int = 4
     literals: int = 5
     share: float = 0.5
-    #: Item windows whose hashes go along with the tasks to drop other windows early: 8 bytes each.
+    #: Item windows whose hashes go along with the tasks to drop other windows early, 8 bytes each. Of more windows a bit
+    #: table of fixed size goes along, which lets some others through to the join.
     filter_windows: int = 1_000_000
 
 
@@ -92,8 +95,11 @@ def with_bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes, bits
 
 
-def held(wanted: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
-    """Whether each hash is a wanted one; most are settled by the table."""
+def held(wanted: tuple[np.ndarray, np.ndarray] | np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash is a wanted one; most are settled by the table. A packed table alone may say yes by chance."""
+    if isinstance(wanted, np.ndarray):
+        place = hashes >> np.uint64(64 - TABLE)
+        return (wanted[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
     known, bits = wanted
     out = bits[(hashes >> np.uint64(64 - BITS)).astype(np.int64)]
     near = np.flatnonzero(out)
@@ -103,16 +109,23 @@ def held(wanted: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarra
     return out
 
 
-def windows_of(text: str, p: Params, canon: _Canon, size: int | None = None,
-               wanted: tuple[np.ndarray, np.ndarray] | None = None):
-    """(position, hash, slot values) of each window; only ``wanted`` hashes if given.
+def packed_table(index: DataFrame) -> np.ndarray:
+    """The leading ``TABLE`` bits of the index's hashes as a bit table, made by tasks: ``2 ** TABLE / 8`` bytes, whatever
+    the index."""
+    words = index.select(F.expr(f"shiftrightunsigned(hash, {64 - TABLE})").alias("at")).groupBy(
+        F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (TABLE - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def windows_of(tokens: list[str], p: Params, canon: _Canon, size: int,
+               wanted: tuple[np.ndarray, np.ndarray] | np.ndarray | None = None):
+    """Positions, hashes and slot values of the windows, in blocks; only ``wanted`` hashes if given.
 
     Each window comes out by its words in lower case, without slots, and once more by its template if it
     has slots and enough literals.
     """
-    tokens = tokens_of(text)
-    size = size or p.window
-    out = []
     for at in range(0, max(len(tokens) - size + 1, 0), BLOCK):
         part = tokens[at:at + BLOCK + size - 1]
         codes = np.fromiter(map(canon.__getitem__, part), np.uint64, len(part))
@@ -128,45 +141,62 @@ def windows_of(text: str, p: Params, canon: _Canon, size: int | None = None,
         fits = (n_slots > 0) & (n_slots <= max(size - p.literals, 0))
         if wanted is not None:
             fits &= held(wanted, hashes)
-        for i in np.flatnonzero(held(wanted, exact)) if wanted is not None else range(len(exact)):
-            out.append((at + int(i), int(exact[i].view(np.int64)), []))
-        for i in np.flatnonzero(fits):
-            values = [part[j].lower() for j in range(i, i + size) if codes[j] < 8]
-            out.append((at + int(i), int(hashes[i].view(np.int64)), values))
-    return out, len(tokens)
+        plain = np.flatnonzero(held(wanted, exact)) if wanted is not None else np.arange(len(exact))
+        typed_at = np.flatnonzero(fits)
+        values = [[part[j].lower() for j in range(i, i + size) if codes[j] < 8] for i in typed_at]
+        yield (at + np.concatenate([plain, typed_at])).astype(np.int32), np.concatenate([exact[plain], hashes[typed_at]]), len(plain), values
 
 
 _WINDOW = "pos int, hash long, slots array<string>, size int, n_tokens int"
 
 
 def _windows(df: DataFrame, key: str, text: str, p: Params, sizes: tuple[int, ...], whole_short: bool,
-             wanted: dict[int, np.ndarray] | None) -> DataFrame:
-    """``key`` and the windows of each text. Texts shorter than the window are one window if ``whole_short``."""
+             wanted: dict[int, np.ndarray] | np.ndarray | None) -> DataFrame:
+    """``key`` and the windows of each text. Texts shorter than the window are one window if ``whole_short``.
+
+    ``wanted``: the sorted hashes of each size, or a packed table for all; none lets every window through.
+    """
     rows = df.select(F.col(key), F.col(f"`{text}`").cast("string").alias("_text"))
     schema = StructType([rows.schema[key], *StructType.fromDDL(_WINDOW).fields])
-    kinds = pa.struct([("pos", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string())),
-                       ("size", pa.int32()), ("n_tokens", pa.int32())])
     shared = df.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = _Canon()
-        known = {size: with_bits(hashes) for size, hashes in shared.value.items()} if shared else {}
+        known = {}
+        if shared is not None:
+            packed = isinstance(shared.value, np.ndarray)
+            known = dict.fromkeys(sizes, shared.value) if packed else {size: with_bits(hashes) for size, hashes in shared.value.items()}
         for b in batches:
-            owner, made = [], []
+            held_back: list[tuple] = []
+            n_held = 0
+
+            def made(b=b) -> pa.RecordBatch:
+                owner, pos, hashes, lengths, flat, size, n = zip(*held_back)
+                count = [len(x) for x in pos]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)),
+                                                 pa.array([v for f in flat for x in f for v in x], pa.string()))
+                return pa.RecordBatch.from_arrays([
+                    b.column(key).take(pa.array(np.repeat(owner, count))), pa.array(np.concatenate(pos)), pa.array(np.concatenate(hashes).view(np.int64)),
+                    lists, pa.array(np.repeat(size, count).astype(np.int32)), pa.array(np.repeat(n, count).astype(np.int32))],
+                    names=[key, "pos", "hash", "slots", "size", "n_tokens"])
+
             for row, value in enumerate(b.column("_text")):
-                t = value.as_py() or ""
+                tokens = tokens_of(value.as_py() or "")
+                n = len(tokens)
                 own = sizes
                 if whole_short:
-                    n = len(tokens_of(t))
                     own = (min(n, p.window),) if n >= p.least else ()
                 for size in own:
-                    found, n = windows_of(t, p, canon, size, known.get(size))
-                    owner += [row] * len(found)
-                    made += [{"pos": i, "hash": h, "slots": s, "size": size, "n_tokens": n} for i, h, s in found]
-            if made:
-                body = pa.array(made, kinds)
-                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(owner)), *body.flatten()],
-                                                 names=[key, *[f.name for f in kinds]])
+                    for pos, hashes, plain, values in windows_of(tokens, p, canon, size, known.get(size)):
+                        if len(pos):
+                            lengths = np.concatenate([np.zeros(plain, np.int64), np.array([len(v) for v in values], np.int64)])
+                            held_back.append((row, pos, hashes, lengths, values, size, n))
+                            n_held += len(pos)
+                    if n_held > BLOCK:
+                        yield made()
+                        held_back, n_held = [], 0
+            if held_back:
+                yield made()
 
     return rows.mapInArrow(run, schema)
 
@@ -193,8 +223,9 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     if not sizes:
         sizes = (p.window,)
     n = index.count()
-    wanted = None
-    if n <= p.filter_windows:
+    if n > p.filter_windows:
+        wanted = packed_table(index)
+    else:
         got = index.select("size", "hash").distinct().toPandas()
         wanted = {s: np.sort(got["hash"][got["size"] == s].to_numpy(np.int64).view(np.uint64)) for s in sizes}
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_body"))
